@@ -48,7 +48,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__key")), "left")
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("removed_lines", F.coalesce(F.least(F.size("__covered"), F.col("n_lines")), F.lit(0)))
+        .withColumn("removed_lines", F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")))
         .withColumn(text, F.when(F.col("__covered").isNull(), F.col(text)).otherwise(left))
         .drop("__key", "__covered")
     )
