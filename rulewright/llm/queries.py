@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import exact, lines, mixing
+from rulewright.llm import exact, lines, mixing, tokenfile
 from rulewright.sources.tables import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,6 +35,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_token_file": op2_token_file,
     "op3_exact_dedup": op3_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
