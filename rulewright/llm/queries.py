@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import exact, lines, mixing, tokenfile
+from rulewright.llm import exact, langid, lines, mixing, tokenfile, toxicity
 from rulewright.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "removed_lines", "text")
@@ -37,6 +45,8 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_file": op2_token_file,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op7_language_id": op7_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
