@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 WINDOW_LINES = 3
 
 
-def _window_keys(lines: Column, width: int) -> Column:
-    """128-bit keys of all runs of ``width`` consecutive lines, by start; none where there are fewer lines."""
+def _windows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """All runs of ``width`` consecutive lines: key, at (the first line's number) and a 128-bit key (a, b).
 
-    def key(i: Column) -> Column:
-        run = [F.get(lines, i + k) for k in range(width)]
-        return F.struct(F.xxhash64(*run).alias("a"), F.xxhash64(F.lit("second"), *run).alias("b"))
+    Each line is hashed once, in a projection of its own, and a run from its lines' hashes.
+    """
+    lines = docs.select(F.col(doc_id).alias("key"), F.split(F.col(text), "\n", -1).alias("lines"))
+    hashed = lines.select("key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"))).alias("h"))
+
+    def run(i: Column) -> Column:
+        return F.struct(*[F.xxhash64(*[F.get("h", i + k)[part] for k in range(width)]).alias(part) for part in ("a", "b")])
 
-    return F.when(F.size(lines) >= width, F.transform(F.sequence(F.lit(0), F.size(lines) - width), key))
+    runs = F.when(F.size("h") >= width, F.transform(F.sequence(F.lit(0), F.size("h") - width), run))
+    return hashed.select("key", F.posexplode(runs).alias("at", "w")).select("key", "at", "w.a", "w.b")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW_LINES) -> DataFrame:
@@ -25,8 +30,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table the first stays, by doc_id (null last) and line number; the lines of the others go,
     overlapping windows merged. Rows that repeat a doc_id share their covered lines.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    windows = docs.select(F.col(doc_id).alias("key"), F.posexplode(_window_keys(lines, width)).alias("at", "w")).select("key", "at", "w.a", "w.b")
+    windows = _windows(docs, doc_id, text, width)
     place = F.struct(F.col("key").isNull().alias("none"), "key", "at")
     first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1").drop("count")
     later = windows.join(first, ["a", "b"]).filter(place != F.col("first"))
@@ -43,12 +47,12 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     together; all columns of ``docs`` are kept, so none may be called n_lines or removed_lines.
     """
     gone = repeated_lines(docs, doc_id, text, width).select(F.col("key").alias("__key"), F.col("covered").alias("__covered"))
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__covered"), i)), "\n")
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__key")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__covered")
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__key")), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
     return (
-        joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
+        joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")))
         .withColumn("removed_lines", F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")))
         .withColumn(text, F.when(F.col("__covered").isNull(), F.col(text)).otherwise(left))
-        .drop("__key", "__covered")
+        .drop("__key", "__covered", "__lines")
     )
