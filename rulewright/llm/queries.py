@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import exact, langid, lines, mixing, tokenfile, toxicity
+from rulewright.llm import exact, langid, lines, mixing, near, tokenfile, toxicity
 from rulewright.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_token_file": op2_token_file,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
