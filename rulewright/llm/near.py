@@ -7,6 +7,11 @@ sorted to a greater depth and split there, the deeper the more documents it has,
 task holds a large one; its members are also candidates with the region's least document, which
 keeps the parts together. Candidates whose signatures agree enough are confirmed on their full
 shingle sets.
+
+A document of a crowded region isn't compared with every other one there. So that no link
+between two groups is lost, all documents of such regions are matched once more, exactly: two
+linked documents share one of their rarest shingles (the prefix filter of set joins), and only
+pairs that aren't in one group yet are formed.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from rulewright.llm.components import components
 
 SHINGLE_WORDS = 5
 VALUES, TREES = 64, 16
-NEIGHBOURS = 6
+NEIGHBOURS = 8
 #: Documents in a region from which on it is split, and further values that may split it.
 REGION, DEEPER = 64, 12
 #: Documents of a region that even its deepest part is dealt out by, so that no task holds more.
@@ -86,14 +91,14 @@ def _shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, shingles array<long>")
 
 
-def forest_candidates(reps: DataFrame, prefix: int) -> DataFrame:
-    """Distinct candidate pairs a < b among rows (rep, sig), from all orders of the forest."""
+def forest_candidates(reps: DataFrame, prefix: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs a < b among rows (rep, sig), and the documents of crowded regions (rep)."""
     step = VALUES // TREES
     keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(*[F.get("sig", F.lit((t * step + i) % VALUES)) for i in range(prefix)]).alias("key")) for t in range(TREES)]
     rows = reps.select("rep", F.explode(F.array(*keys)).alias("x")).select("rep", "x.tree", "x.key")
     regions = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
     # a document is in one region of each tree, so this list has TREES entries at most
-    members = rows.join(regions, ["tree", "key"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "key", "size", "first")).alias("in"))
+    members = stored(rows.join(regions, ["tree", "key"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "key", "size", "first")).alias("in")))
     twice = reps.select("rep", F.concat("sig", "sig").alias("twice")).join(members, "rep").select("rep", "twice", F.explode("in").alias("x"))
     more = F.least(F.lit(DEEPER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("x.size") / REGION)).cast("int")))
     deep = F.slice("twice", F.col("x.tree") * step + prefix + 1, DEEPER)
@@ -104,7 +109,8 @@ def forest_candidates(reps: DataFrame, prefix: int) -> DataFrame:
     order = Window.partitionBy("tree", "key", "part", "salt").orderBy("deep", "rep")
     near = placed.select("rep", F.array("first", *[F.lag("rep", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others"))
     pairs = near.select("rep", F.explode("others").alias("other")).filter("other is not null and other <> rep")
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    crowded = members.filter(F.exists("in", lambda x: x["size"] > NEIGHBOURS + 1)).select("rep")
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), crowded
 
 
 def _fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,27 +122,53 @@ def _fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "key", "left_semi")
 
 
-def near_links(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives by set, confirmed links between them), from rows (key, text) and their sketches."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
+
+
+def crowded_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs a < b of rows (rep, component, shingles) in different components that may be similar enough.
+
+    If two sets have that similarity, they share one of the first n - ceil(n * percent / 100) + 1
+    shingles of either, in any one order of all shingles; here the rarest come first.
+    """
+    each = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # shingles of one document or one component stand in the order but form no pairs
+    ranked = each.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle", (F.col("low") != F.col("high")).alias("joins")))).alias("order"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
+    post = stored(ranked.select("rep", "component", "n", F.explode(F.slice("order", F.lit(1), first)).alias("x")).filter("x.joins").select("rep", "component", "n", "x.shingle"))
+    a, b = (post.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), "shingle") for x in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return a.join(b, "shingle").filter(apart).select("a", "b").distinct()
+
+
+def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(representatives by set, their components), from rows (key, text) and their sketches."""
     some = sketched.filter("n_shingles > 0 and key is not null")
     reps = stored(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep"), F.any_value("sig").alias("sig")))
     share = percent / 100
     prefix = max(1, min(VALUES // TREES, round(np.log(0.5) / np.log(share)))) if share < 1 else VALUES // TREES
     least = int(VALUES * share - 5 * (VALUES * share * (1 - share)) ** 0.5)
-    pairs = forest_candidates(reps, prefix)
-    sized = reps.select(F.col("rep"), "n_shingles", "sig")
-    ends = pairs.join(sized.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a").join(
-        sized.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b"
+    pairs, crowded = forest_candidates(reps, prefix)
+    ends = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a").join(
+        reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b"
     )
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     close = ends.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= least))
     close = stored(close.select("a", "b"))
-    ids = stored(close.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    sets = _shingle_arrays(_fetched(docs, ids), words).dropDuplicates(["key"])
-    left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = close.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
-    return reps.select("rep", "n_shingles", "set_a", "set_b"), stored(links.select("a", "b"))
+    ids = stored(close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select(F.col("rep").alias("key"))).distinct())
+    sets = stored(_shingle_arrays(_fetched(docs, ids), words).dropDuplicates(["key"]).withColumnRenamed("key", "rep"))
+    joined = components(_confirmed(close, sets, percent))
+    if not crowded.isEmpty():
+        of = joined.select(F.col("node").alias("rep"), "component")
+        apart = sets.join(crowded, "rep", "left_semi").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        more = _confirmed(crowded_pairs(apart, percent), sets, percent)
+        joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return reps.select("rep", "n_shingles", "set_a", "set_b"), joined
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -152,8 +184,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     sketched = stored(sketches(plain, words))
-    reps, links = near_links(plain, sketched, percent, words)
-    joined = components(links)
+    reps, joined = near_components(plain, sketched, percent, words)
     of_set = reps.join(joined, reps["rep"] == joined["node"], "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     rows = sketched.select("key", "n_shingles", "set_a", "set_b").join(of_set, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
