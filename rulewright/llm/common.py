@@ -54,8 +54,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * _INT64(0x9E3779B97F4A7C15))
 _LOWER_CODES = _BYTE_CODES.copy()
 _LOWER_CODES[65:91] = _BYTE_CODES[97:123]
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+IS_BLANK = np.zeros(256, bool)
+IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -77,7 +77,7 @@ with np.errstate(over="ignore"):
 
 def _words_of(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start bytes and 64-bit hashes of the words in at most ``_CHUNK`` bytes."""
-    blank = _IS_BLANK[data]
+    blank = IS_BLANK[data]
     edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     with np.errstate(over="ignore"):
@@ -99,14 +99,14 @@ def word_hashes(text: bytes | np.ndarray, lower: bool = False) -> np.ndarray:
     while at < len(data):
         end = min(at + _CHUNK, len(data))
         if end < len(data):
-            cuts = np.flatnonzero(_IS_BLANK[data[at:end]])
+            cuts = np.flatnonzero(IS_BLANK[data[at:end]])
             if len(cuts):
                 end = at + int(cuts[-1]) + 1
             else:
                 part = _words_of(data[at:end], lower)[1]
-                while end < len(data) and not _IS_BLANK[data[end]]:
+                while end < len(data) and not IS_BLANK[data[end]]:
                     stop = min(end + _CHUNK, len(data))
-                    blanks = np.flatnonzero(_IS_BLANK[data[end:stop]])
+                    blanks = np.flatnonzero(IS_BLANK[data[end:stop]])
                     stop = end + int(blanks[0]) if len(blanks) else stop
                     with np.errstate(over="ignore"):
                         part = mix64(part * _INT64(3) + _words_of(data[end:stop], lower)[1])

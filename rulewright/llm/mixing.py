@@ -93,6 +93,10 @@ def schedule(targets: DataFrame, total_words: int, block_words: int) -> DataFram
     return running_start(placed, "sid", "bucket", [F.col("slot")], "one", "rank").select("sid", "slot", "rank")
 
 
+def _place(doc_id: Column, text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
     repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 17,
@@ -108,7 +112,7 @@ def mix(
     An empty table, or one without words, gives rows with target and taken 0. Other columns are ignored.
     """
     plain = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("place")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _place(F.col(doc_id), F.col(text), seed).alias("place")
     )
     plain = stored(plain)
     stats = stored(source_targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
@@ -135,5 +139,25 @@ def mix(
     taken = pieces.join(turns, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words * F.col("times")).alias("taken")).withColumn("one", F.lit(1))
     full = laid.withColumn("one", F.when(F.col("size") > 0, 1))
     return full.join(taken, ["sid", "start", "one"], "left").select(
-        "doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "place"
     )
+
+
+def mixed(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 17,
+) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each time that it is taken whole, and one with its first words for a part.
+
+    All columns stay. Rows that repeat both doc_id and text share equally what the mix takes of
+    them. Rows of which it takes nothing, those without words among them, are left out.
+    """
+    takes = mix(docs, doc_id, text, source, weights, repeats, block_words, seed).filter("taken > 0")
+    takes = takes.groupBy(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).agg(F.first("size").alias("__size"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__taken"))
+    rows = docs.withColumn("__at", _place(F.col(doc_id), F.col(text), seed))
+    rows = rows.join(takes, (F.col("__at") == F.col("__place")) & F.col(doc_id).eqNullSafe(F.col("__id")))
+    whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
+    rows = rows.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{BLANK}]*[^{BLANK}]+"), F.lit(0))
+    rows = rows.withColumn(text, F.when(F.col("__words") < 0, F.col(text)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("__words").cast("int")), "")))
+    return rows.drop("__at", "__id", "__place", "__size", "__taken", "__words")

@@ -113,7 +113,7 @@ def forest_candidates(reps: DataFrame, prefix: int) -> tuple[DataFrame, DataFram
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), crowded
 
 
-def _fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of (key, text) whose key is in ``ids``, each once: broadcast up to BROADCAST_IDS ids."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -122,7 +122,7 @@ def _fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "key", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -161,12 +161,12 @@ def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: i
     close = ends.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= least))
     close = stored(close.select("a", "b"))
     ids = stored(close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select(F.col("rep").alias("key"))).distinct())
-    sets = stored(_shingle_arrays(_fetched(docs, ids), words).dropDuplicates(["key"]).withColumnRenamed("key", "rep"))
-    joined = components(_confirmed(close, sets, percent))
+    sets = stored(_shingle_arrays(fetched(docs, ids), words).dropDuplicates(["key"]).withColumnRenamed("key", "rep"))
+    joined = components(confirmed(close, sets, percent))
     if not crowded.isEmpty():
         of = joined.select(F.col("node").alias("rep"), "component")
         apart = sets.join(crowded, "rep", "left_semi").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        more = _confirmed(crowded_pairs(apart, percent), sets, percent)
+        more = confirmed(crowded_pairs(apart, percent), sets, percent)
         joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return reps.select("rep", "n_shingles", "set_a", "set_b"), joined
 
@@ -189,3 +189,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     rows = sketched.select("key", "n_shingles", "set_a", "set_b").join(of_set, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return rows.select(F.col("key").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one of the smallest doc_id; all columns stay."""
+    gone = stored(near_groups(docs, doc_id, text, percent, words).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
