@@ -31,6 +31,8 @@ VALUES, TREES = 64, 16
 NEIGHBOURS = 8
 #: Documents in a region from which on it is split, and further values that may split it.
 REGION, DEEPER = 64, 12
+#: In one of so many trees a document of a crowded region also has its nearest neighbour as a candidate.
+CROWDED_TREES = 4
 #: Documents of a region that even its deepest part is dealt out by, so that no task holds more.
 SALT_ROWS = 1 << 16
 #: Up to so many ids are broadcast to fetch candidates' texts (8 bytes each); more are joined by a shuffle.
@@ -103,11 +105,14 @@ def forest_candidates(reps: DataFrame, prefix: int) -> tuple[DataFrame, DataFram
     more = F.least(F.lit(DEEPER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("x.size") / REGION)).cast("int")))
     deep = F.slice("twice", F.col("x.tree") * step + prefix + 1, DEEPER)
     placed = twice.select(
-        "rep", "x.first", "x.tree", "x.key", deep.alias("deep"), F.when(more > 0, F.xxhash64(F.slice(deep, F.lit(1), more))).otherwise(F.lit(0)).alias("part"),
+        "rep", "x.first", "x.tree", "x.key", "x.size", deep.alias("deep"), F.when(more > 0, F.xxhash64(F.slice(deep, F.lit(1), more))).otherwise(F.lit(0)).alias("part"),
         F.when(more == DEEPER, F.pmod(F.xxhash64("rep"), F.ceil(F.col("x.size") / SALT_ROWS))).otherwise(F.lit(0)).alias("salt"),
     )
     order = Window.partitionBy("tree", "key", "part", "salt").orderBy("deep", "rep")
-    near = placed.select("rep", F.array("first", *[F.lag("rep", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others"))
+    near = placed.select("rep", "size", "tree", F.array("first", *[F.lag("rep", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others"))
+    # documents of crowded regions are matched exactly later on: here a few of their neighbours do
+    sparse = F.when(F.col("tree") % CROWDED_TREES == 0, F.slice("others", 1, 2)).otherwise(F.slice("others", 1, 1))
+    near = near.select("rep", F.when(F.col("size") > NEIGHBOURS + 1, sparse).otherwise(F.col("others")).alias("others"))
     pairs = near.select("rep", F.explode("others").alias("other")).filter("other is not null and other <> rep")
     crowded = members.filter(F.exists("in", lambda x: x["size"] > NEIGHBOURS + 1)).select("rep")
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), crowded
@@ -133,17 +138,20 @@ def crowded_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """All pairs a < b of rows (rep, component, shingles) in different components that may be similar enough.
 
     If two sets have that similarity, they share one of the first n - ceil(n * percent / 100) + 1
-    shingles of either, in any one order of all shingles; here the rarest come first.
+    shingles of either, in any one order of all shingles; here the rarest come first. From the first
+    shingle that they share on, both must have as many as the similarity asks them to share.
     """
     each = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
     # shingles of one document or one component stand in the order but form no pairs
     ranked = each.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle", (F.col("low") != F.col("high")).alias("joins")))).alias("order"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
-    post = stored(ranked.select("rep", "component", "n", F.explode(F.slice("order", F.lit(1), first)).alias("x")).filter("x.joins").select("rep", "component", "n", "x.shingle"))
-    a, b = (post.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), "shingle") for x in "ab")
+    post = ranked.select("rep", "component", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "x")).filter("x.joins")
+    post = stored(post.select("rep", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "x.shingle"))
+    a, b = (post.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), "shingle") for x in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return a.join(b, "shingle").filter(apart).select("a", "b").distinct()
+    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return a.join(b, "shingle").filter(apart & enough).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
