@@ -20,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent (tests, one machine) a temporary folder is made once.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="rulewright-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
