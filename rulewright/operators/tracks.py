@@ -31,6 +31,10 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows)
         return rows[order], columns[order]
     n, m = cost.shape
+    nearest = cost.argmin(axis=1)
+    if len(np.unique(nearest)) == n:
+        # every row can have its own best column
+        return np.arange(n), nearest
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     owner = np.zeros(m + 1, int)
     for i in range(1, n + 1):

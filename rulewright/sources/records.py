@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CORRUPT = "_corrupt_record"
-
 
 def json_document(spark: SparkSession, paths: str | list[str], schema: StructType | str, key: str | None = None) -> DataFrame:
     """Records of whole JSON files: a list, or with ``key`` the list under that key; adds ord, the place within its file.
@@ -31,13 +29,10 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: StructType |
     return spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED").schema(schema).json(paths)
 
 
-def bad_lines(spark: SparkSession, paths: str | list[str], schema: StructType | str) -> DataFrame:
-    """(path, bad): how many lines of each file are no JSON records."""
-    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(StructType([*fields]).add(CORRUPT, "string")).json(paths)
-    # the bad lines alone can't be asked of the reader without the file's name
-    told = rows.select(F.input_file_name().alias("path"), CORRUPT, F.struct(*[f.name for f in fields]).alias("row"))
-    return told.groupBy("path").agg(F.count(CORRUPT).alias("bad"))
+def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, bad): how many lines of each file, blank ones apart, are no JSON."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value").filter(F.trim("value") != "")
+    return lines.groupBy("path").agg(F.count(F.when(F.try_parse_json("value").isNull(), 1)).alias("bad"))
 
 
 def nested_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
