@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulewright.plans import conversations, corpus, geometry, mining, scores, splits, streams, texts, tracks  # noqa: F401
+from rulewright.plans import conversations, corpus, geometry, mining, packages, scores, splits, streams, texts, tracks  # noqa: F401
 from rulewright.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
