@@ -256,3 +256,49 @@ def plain_answer(text: Column) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(out, r"\.(?![0-9])", ""), BLANKS, " ")), " "), lambda w: ~w.isin(*ARTICLES, ""))
     numbers = {k: v for k, v in NUMBER_WORDS.items() if k not in ("no", "eleven", "twelve")}
     return F.array_join(F.transform(words, lambda w: _lookup(numbers, w)), " ")
+
+
+def prompt_question(prompt: Column) -> Column:
+    """The lower-case question of a prompt of one of four layouts; null for any other."""
+    lines = F.split(prompt, "\n")
+    tokens_first = F.regexp_extract(prompt, "(?s)Question: (.*?) Short answer:", 1)
+    three = prompt.contains("Reference OCR token: ") & (F.size(lines) == 3)
+    found = (
+        F.when(prompt.startswith("OCR tokens: "), tokens_first)
+        .when(three & prompt.startswith("Reference OCR token:"), F.get(lines, F.lit(1)))
+        .when(three | (F.size(lines) == 2), F.get(lines, F.lit(0)))
+    )
+    return F.lower(found)
+
+
+def tagged_answer(text: Column) -> Column:
+    """What stands between the first answer tags, or the whole text; without blanks at the ends."""
+    inner = F.regexp_extract(text, "<answer>(.*?)</answer>", 1)
+    return trimmed(F.when(text.rlike("<answer>.*?</answer>"), inner).otherwise(text))
+
+
+def exact_reward(completion: Column, solution: Column) -> Column:
+    return (tagged_answer(completion) == tagged_answer(solution)).cast("double")
+
+
+def format_reward(completion: Column) -> Column:
+    """1 if a text starts with thoughts and an answer, each in its tags on one line, else 0."""
+    return completion.rlike(r"^<think>.*?</think>[ \t\n\x0b\f\r]*<answer>.*?</answer>").cast("double")
+
+
+def dataset_of(path: Column, has_question: Column, has_answer: Column) -> Column:
+    """gqa or vg by an image's path, else vqa for a row with a question and an answer."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    return F.when(low.rlike("masked_images/gqa|/gqa/"), "gqa").when(low.rlike("masked_images/vg|/vg/|visual_genome"), "vg").when(has_question & has_answer, "vqa")
+
+
+def dataset_of_generated(path: Column, generated: Column, question: Column) -> Column:
+    """As ``dataset_of`` with two more paths; vqa only where no question was generated."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    return (
+        F.when(low.rlike("masked_images/gqa|masked_results_gqa|/gqa/"), "gqa").when(low.rlike("masked_images/vg|masked_results_vg|/vg/|visual_genome"), "vg").when(generated.isNull() & question.isNotNull(), "vqa")
+    )
+
+
+def mask_quality(coverage: Column, share: Column, area: Column) -> Column:
+    return F.when((coverage >= 0.5) & (share >= 0.15) & (area <= 0.6), "strong").when((coverage >= 0.2) & (share >= 0.03) & (area <= 0.75), "partial").otherwise("weak")

@@ -133,3 +133,29 @@ def p13_top_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p14_plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as evaluation compares them."""
     return questions(spark, sf_dir).select("question_id", T.plain_answer(F.col("answer")).alias("answer"))
+
+
+_PROMPTS = ["OCR tokens: a. Question: Is {} red? Short answer:", "Reference OCR token: x\n{} where\nAnswer", "What {}\nReference OCR token: y\nAnswer", "Which {}\nAnswer", "nothing of {}"]
+_SAID = ["<think>a</think> <answer> {} </answer>", "{}", "<answer>x</answer>", "<think>b</think>\n<answer>{}</answer>"]
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN 'is ' || lower(p_name) || ' red?' WHEN 1 THEN lower(p_name) || ' where' WHEN 2 THEN 'what ' || lower(p_name) WHEN 3 THEN 'which ' || lower(p_name) END AS question,
+      p_partkey % 4 AS k, ['masked_images/GQA/1.png', 'a/vg/2.png', 'masked_results_gqa/3.png', 'c.png'][p_partkey % 4 + 1] AS path FROM part)
+    SELECT p_partkey, question, CASE WHEN k IN (0, 1, 3) THEN 1.0::DOUBLE ELSE 0 END AS exact, CASE WHEN k IN (0, 3) THEN 1.0::DOUBLE ELSE 0 END AS format, CASE k WHEN 0 THEN 'gqa' WHEN 1 THEN 'vg' ELSE 'vqa' END AS dataset,
+      CASE WHEN k IN (0, 2) THEN 'gqa' WHEN k = 1 THEN 'vg' WHEN p_partkey % 2 = 0 THEN 'vqa' END AS generated_dataset FROM r""")
+def p15_prompts_and_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of prompts, rewards of completions, data sets by path."""
+    k = F.col("p_partkey")
+    pick = lambda texts: F.replace(F.element_at(F.array(*[F.lit(t) for t in texts]), (k % len(texts) + 1).cast("int")), F.lit("{}"), F.col("p_name"))
+    path = pick(["masked_images/GQA/1.png", "a/vg/2.png", "masked_results_gqa/3.png", "c.png"])
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.prompt_question(pick(_PROMPTS)).alias("question"), T.exact_reward(pick(_SAID), F.col("p_name")).alias("exact"), T.format_reward(pick(_SAID)).alias("format"),
+        T.dataset_of(path, F.lit(True), F.lit(True)).alias("dataset"), T.dataset_of_generated(path, F.when(k % 2 == 1, F.lit("g")), F.col("p_name")).alias("generated_dataset"),
+    )
+
+
+@query(f"""WITH {_SHARE}, q AS (SELECT doc_id, share, doc_id % 10 / 10 AS c, doc_id % 7 / 20 AS m FROM s) SELECT CASE WHEN c >= 0.5 AND m >= 0.15 AND share <= 0.6 THEN 'strong' WHEN c >= 0.2 AND m >= 0.03 AND share <= 0.75 THEN 'partial' ELSE 'weak' END AS quality, count(*) AS n FROM q GROUP BY 1""")
+def p16_mask_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks by quality of their match and area."""
+    k = F.col("doc_id")
+    return _shares(spark, sf_dir).select(T.mask_quality(k % 10 / 10, k % 7 / 20, F.col("share")).alias("quality")).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
