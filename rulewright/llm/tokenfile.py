@@ -25,8 +25,8 @@ from rulewright.llm.mixing import running_start
 
 END_ID = 0
 SEGMENT_IDS = 1 << 19
-#: Words whose ids a Python worker remembers at most; then it starts anew.
-CACHE_WORDS = 300_000
+#: Words of the present and of the last generation, each, whose ids a Python worker remembers at most.
+CACHE_WORDS = 700_000
 SELECT_EVERY = 256
 _SEGMENT = "shard int, segment int, docs long, nulls long, ids long, width int, first_id long, last_id long, data binary, ends_low binary, ends_high binary, ends_select binary, keys_low binary, keys_high binary, keys_select binary"
 
@@ -93,7 +93,7 @@ class WordEncoder:
     that aren't white space, so a text's ids are those of its words, each with its space before it.
     """
 
-    _blanks = re.compile(r"\s\s|^\s|\s$")
+    _blanks = re.compile(r"\s(?:\s|\Z)")
     _cuts = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -108,9 +108,10 @@ class WordEncoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.seen: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words without blanks at their ends or spaces within, many at a time."""
@@ -121,7 +122,7 @@ class WordEncoder:
                 run.append(words[at])
                 size += len(words[at]) + 1
                 at += 1
-            ids = np.array(self.tok.encode(" " + " ".join(run), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, self.dtype)
             heads = np.flatnonzero(self.starts[ids])
             if len(heads) != len(run):
                 raise ValueError("the tokenizer doesn't split at single spaces")
@@ -131,22 +132,27 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian numbers of ``dtype``."""
-        parts: list[list[str] | bytes] = []
+        parts: list[tuple[bytes, list[str]]] = []
+        new: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special):
-                parts.append(self.whole(text))
-            elif self._blanks.search(text):
-                parts.append(self._cuts.split(text))
-            else:
-                parts.append(text.split(" "))
+                parts.append((self.whole(text), []))
+                continue
+            words = self._cuts.split(text) if text[:1].isspace() or self._blanks.search(text) else text.split(" ")
+            first = words.pop(0)
+            new.update(words)
+            parts.append((self.whole(first) if first else b"", words))
         if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        new = {w for p in parts if isinstance(p, list) for w in p[1:]} - self.seen.keys()
-        simple = [w for w in new if " " not in w]
-        self._learn(simple)
-        self.seen.update((w, self.whole(" " + w)) for w in new if " " in w)
+            self.seen, self.last = {}, self.seen
+        new -= self.seen.keys()
+        again = new & self.last.keys()
+        self.seen.update((w, self.last[w]) for w in again)
+        new -= again
+        odd = [w for w in new if " " in w]
+        self.seen.update((w, self.whole(" " + w)) for w in odd)
+        self._learn(list(new.difference(odd)))
         get = self.seen.__getitem__
-        return [p if isinstance(p, bytes) else (self.whole(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])) for p in parts]
+        return [first + b"".join(map(get, words)) for first, words in parts]
 
 
 def _segments(path: str, end_id: int, segment_ids: int):
@@ -192,7 +198,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     ``tokenizer`` is the path of a byte-level tokenizer file on every executor.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges by the quantiles of the ids alone: a range partitioning of the rows would read all texts once more
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    rows = rows.repartitionById(parts, F.when(F.col("doc_id").isNull(), 0).otherwise(part)).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_segments(tokenizer, end_id, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
