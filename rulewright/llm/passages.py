@@ -2,7 +2,8 @@
 
 Two kinds of pieces of a text are compared. Whole paragraphs (lines of at least MIN_WORDS words)
 get MinHash values in bands; paragraphs that share a band are joined, verified by the exact Jaccard
-similarity of their word shingles, and clustered by components. Passages that stand within
+similarity of their word shingles, and clustered by components; the paragraphs of bands with more
+members than are all paired are matched once more exactly, by a prefix filter. Passages that stand within
 different paragraphs are found as stretches of STRETCH words. A stretch begins where the shingle
 hash is the least of SPREAD consecutive ones, so it depends on its own surroundings alone, and any
 run of STRETCH + SPREAD - 1 words (49) that two documents share has a stretch in common; stretches
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rulewright.llm.common import IS_BLANK, grams, mix64, slices, small_batches, stored, text_column, word_hashes
 from rulewright.llm.components import components
-from rulewright.llm.near import confirmed, fetched
+from rulewright.llm.near import confirmed, crowded_pairs, fetched
 
 SHINGLE_WORDS, MIN_WORDS, PERCENT = 5, 20, 80
 STRETCH, SPREAD = 20, 30
@@ -156,15 +157,28 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Pairs a < b of nodes that share a band: each with the least of the band, and with neighbours.
 
     Only the neighbours within slots of about SLOT nodes are paired, so a band that very many
-    paragraphs share is no larger task than any other.
+    paragraphs share is no larger task than any other. ``crowded`` says that the band has more
+    nodes than are all paired that way; every node of such a band is in one of those pairs.
     """
     keys = classes.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1")
     placed = keys.join(shared, "band").withColumn("slot", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SLOT)))
     order = Window.partitionBy("band", "slot").orderBy("node")
-    near = placed.select("node", F.array("first", *[F.lag("node", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others"))
-    others = near.select("node", F.explode("others").alias("other"))
-    return others.filter("other is not null and other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    near = placed.select("node", (F.col("size") > NEIGHBOURS + 2).alias("crowded"), F.array("first", *[F.lag("node", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others"))
+    others = near.select("node", "crowded", F.explode("others").alias("other")).filter("other is not null and other <> node")
+    return others.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("crowded").alias("crowded"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by the confirmed pairs, and by all links between nodes of crowded bands that lie in different components."""
+    joined = components(confirmed(pairs, sets, percent))
+    crowded = stored(pairs.filter("crowded").select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    if crowded.isEmpty():
+        return joined
+    of = joined.select(F.col("node").alias("rep"), "component")
+    apart = sets.join(crowded, "rep", "left_semi").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = confirmed(crowded_pairs(apart, percent), sets, percent)
+    return components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def _paragraph_keeps(plain: DataFrame, paragraphs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -178,7 +192,7 @@ def _paragraph_keeps(plain: DataFrame, paragraphs: DataFrame, percent: int, word
     sets = texts.mapInArrow(_paragraph_sets(words), "a long, b long, shingles array<long>")
     with small_batches(plain.sparkSession):
         sets = stored(sets.join(wanted.select("a", "b", F.col("node").alias("rep")), ["a", "b"]).select("rep", "shingles").dropDuplicates(["rep"]))
-    joined = components(confirmed(pairs, sets, percent))
+    joined = linked(pairs, sets, percent)
     placed = classes.select("a", "b", "first", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keeps = placed.groupBy("component").agg(F.min("first").alias("keep"))
     return placed.join(keeps, "component").select("a", "b", "keep")
