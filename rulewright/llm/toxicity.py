@@ -5,6 +5,9 @@ marks for both ends), so that an unseen misspelling shares most of them with a k
 embeddings are averaged over each run of a few words, and a linear softmax tells toxic runs from
 clean ones. A document is as toxic as its most toxic run, so that length dilutes nothing; in
 training a clean document's runs are all clean, and a toxic document's top run is toxic.
+
+Texts without blanks are long words: a word of more than PART bytes is taken apart into
+overlapping parts, each of which counts as a word of the run, so that no byte of it is left out.
 """
 
 from __future__ import annotations
@@ -24,12 +27,28 @@ from rulewright.llm.wordscores import WordTable, held_out, scored_batches, words
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 200_000
 BUCKETS, DIM, RUN, STEPS = 1 << 17, 8, 4, 120
 _GRAMS = (3, 4, 5, 6)
+#: The longest word that is scored as one, in bytes, and the bytes that parts of longer ones share (more than an n-gram's).
+PART, OVERLAP = 64, 8
 _EDGE = b".,;:!?*#%&$\"'()[]{}<>-_/\\|~`^+=@"
 
 
+def parted(words: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words with those of more than PART bytes taken apart, and each document's number of them."""
+    out, sizes = [], np.ones(len(words), np.int64)
+    for i, word in enumerate(words):
+        if len(word) <= PART or len(bare := word.strip(_EDGE) or word) <= PART:
+            out.append(word)
+            continue
+        parts = [bare[at : at + PART] for at in range(0, len(bare) - OVERLAP, PART - OVERLAP)]
+        out.extend(parts)
+        sizes[i] = len(parts)
+    before, ends = np.concatenate(([0], np.cumsum(sizes))), np.cumsum(counts)
+    return out, before[ends] - before[ends - counts]
+
+
 def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' bags, one behind the other, and where each bag starts."""
-    marked = [b"<" + (w.strip(_EDGE) or w)[:64] + b">" for w in words]
+    marked = [b"<" + (w.strip(_EDGE) or w) + b">" for w in words]
     sizes = np.array([len(w) for w in marked], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
@@ -76,6 +95,7 @@ class Model:
         return WordTable(score)
 
     def scores(self, table: WordTable, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        words, counts = parted(words, counts)
         values = table.lookup(words)[:, 0].astype(np.float64)
         top, _ = top_runs(values, counts)
         return 1 / (1 + np.exp(-np.clip(self.bias + top, -60, 60)))
@@ -120,7 +140,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 5)
     """Trains embeddings and softmax jointly by Adam, first on whole documents, then on their top runs."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in parted(words_of(t), np.zeros(0, np.int64))[0]], np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, toxic = [docs[i] for i in keep], toxic[keep].astype(np.float64)
     if not len(docs) or toxic.min() == toxic.max():

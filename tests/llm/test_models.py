@@ -1,5 +1,6 @@
 """Toxicity and language: held-out accuracy and the cases at the edge."""
 
+import random
 import zlib
 
 import numpy as np
@@ -72,3 +73,24 @@ def test_language_edges(corpus, empty):
     assert {r.lang_pred for r in got} <= {"en", "fr", "und"}
     assert langid.predict(empty).count() == 0
     assert {r.lang_pred for r in langid.predict(corpus.withColumn("lang", corpus["lang"].substr(9, 1)).filter("lang is null")).collect()} <= {"und"}
+
+
+def test_toxic_words_behind_long_runs_without_blanks(words):
+    random.seed(21)
+    clean = lambda n: [random.choice(words) for _ in range(n)]
+    texts = [" ".join([*clean(12), *["vilezzq"] * (i % 2), *clean(12)]) for i in range(300)]
+    model = toxicity.fit(texts, np.arange(300) % 2)
+    for join in ("_", "\u00a0", "/"):
+        behind = [join.join([*clean(30), *["vilezzq"] * k, *clean(30)]) for k in (0, 8)]
+        found = [toxicity.words_of(t) for t in [*behind, ""]]
+        assert [len(x) for x in found] == [1, 1, 0] and all(len(join.join(t.split(join)[:30]).encode()) > 64 for t in behind)
+        scores = model.scores(model.table(), [w for x in found for w in x], np.array([1, 1, 0]))
+        assert scores[0] < 0.5 <= scores[1]
+
+
+def test_long_words_are_taken_apart_whole():
+    word = bytes(random.Random(1).randrange(97, 123) for _ in range(1000))
+    parts, counts = toxicity.parted([b"a", word, b"b", b"-" * 200], np.array([0, 2, 0, 2]))
+    grams = {word[i : i + 6] for i in range(995)}
+    assert grams == {p[i : i + 6] for p in parts[1:-5] for i in range(len(p) - 5)}
+    assert counts.sum() == len(parts) and max(map(len, parts)) <= toxicity.PART and counts[0] == counts[2] == 0
