@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rulewright.sources.staging import run_dir, shared_dir, staged as stored  # noqa: F401
+
+#: Rows of one key that a task gets of a join, and keys or ids that are broadcast at most.
+SALT_ROWS, BROADCAST_IDS = 1 << 14, 200_000
 #: The white space that separates words, as a Java or Python character class body.
 BLANK = r"\x20\x09-\x0D"
 _INT64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, one machine) a temporary folder is made once.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="rulewright-checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rulewright-{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def many_to_one(rows: DataFrame, small: DataFrame, on: list[str], count: str, by: list[str]) -> DataFrame:
+    """``rows`` joined with the stored table ``small``, in which ``on`` is a key and ``count`` says how many rows meet it.
+
+    Keys that more than SALT_ROWS rows meet are dealt over several tasks by the columns ``by``. They
+    are known from a broadcast list; if it has more than BROADCAST_IDS keys, adaptive execution has to split them.
+    """
+    deals = F.ceil(F.col(count) / SALT_ROWS).cast("int")
+    hot = small.filter(F.col(count) > SALT_ROWS).select(*on, deals.alias("__deals"))
+    if not 0 < hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(small.drop(count), on)
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__deals"))).cast("int")).drop("__deals")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1))).drop(count)
+    return salted.join(copies, [*on, "__salt"]).drop("__salt")
 
 
 @contextmanager

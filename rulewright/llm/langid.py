@@ -10,6 +10,7 @@ names its language.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from rulewright.llm.wordscores import WordTable, held_out, scored_batches, words_of
 
 ORDER = 4
-#: Documents per language that are learned from at most, characters in each, and documents in all.
+#: Documents per language that are learned from at most, their first characters, and documents in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 300, 50_000, 6000
 UNDETERMINED = "und"
 _MARKS = b".,;:!?*#%&$\"'()[]{}<>-_/\\|~`^+=@0123456789"
@@ -129,20 +130,29 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(names, symbols, escapes)
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_lang: int = SAMPLE_DOCS, seed: int = 13) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from, outside the held-out fold: the least hashes of each language.
+def sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_lang: int = SAMPLE_DOCS, seed: int = 13) -> DataFrame:
+    """Rows (key, lang, text) to learn from, outside the held-out fold: the least hashes of each language.
 
-    At most SAMPLE_ALL texts of at most SAMPLE_CHARS characters come to the driver.
+    At most SAMPLE_ALL texts, and of each its first SAMPLE_CHARS characters.
     """
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(
-        F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out(F.col("key"))
-    )
-    order = F.xxhash64(F.lit(seed), "key")
-    least = rows.select("key", "lang", order.alias("order")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "key")))
-    chosen = least.filter(F.col("rank") <= per_lang).orderBy("rank", "lang").limit(SAMPLE_ALL).select("key", "lang").distinct()
-    found = rows.join(F.broadcast(chosen), ["key", "lang"]).select("key", "lang", "text").collect()
-    found = sorted({(r.key, r.lang): r for r in found}.values(), key=lambda r: (r.key, r.lang))
-    return [r.text for r in found], [r.lang for r in found]
+    rows = docs.select(F.col(doc_id).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.filter(F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
+    order = Window.partitionBy("lang").orderBy("order", "key", "hash")
+    least = rows.select("key", "hash", "lang", F.xxhash64(F.lit(seed), "key").alias("order")).withColumn("rank", F.row_number().over(order))
+    chosen = least.filter(F.col("rank") <= per_lang).orderBy("rank", "lang").limit(SAMPLE_ALL).select("key", "hash", "lang").distinct()
+    found = rows.join(F.broadcast(chosen), ["key", "hash", "lang"]).select("key", "hash", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return found.dropDuplicates(["key", "hash", "lang"])
+
+
+def _learned(docs: DataFrame, doc_id: str, text: str, lang: str) -> Model:
+    """The model, fitted in one task on the bounded sample; only its frozen statistics come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((x["key"], x["hash"], x["lang"], x["text"]) for batch in batches for x in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[3] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
+
+    found = sample(docs, doc_id, text, lang).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], [])
 
 
 def predict(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -153,7 +163,7 @@ def predict(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     without letters has ``und`` and score 0, and so has every text if there is nothing to learn
     from. Equal lengths go to the first name. Other columns are ignored; rows that repeat stay.
     """
-    model = fit(*sample(docs, doc_id, text, lang))
+    model = _learned(docs, doc_id, text, lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()

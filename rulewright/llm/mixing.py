@@ -2,8 +2,9 @@
 
 Every slot of the schedule takes one block of equally many words. Slot j has the golden-ratio
 point frac(j * 0.618...); the source whose share of the unit interval holds the point fills the
-slot with its next block. A source's blocks are cut from its documents in shuffled order, and
-when they are used up the source starts again with its first block.
+slot with its next block. A source's blocks are cut from its documents in shuffled order, which
+are laid one behind the other as often as a document may be taken; the block of rank r, from word
+r * block_words on, fills the source's slot of that rank. So all blocks but the very last are equal.
 
 Positions and ranks are running sums over a source in two steps, within buckets and over the
 buckets' totals, so that no task has to hold a whole source.
@@ -11,18 +12,21 @@ buckets' totals, so that no task has to hold a whole source.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import BLANK, stored
+from rulewright.llm.common import BLANK, fresh, stored
 
 GOLDEN = 0.6180339887498949
+#: The same for steps of _STRIDE slots, so that far slots lose no digits of their fraction.
+_STRIDE = 1 << 20
+_GOLDEN_STRIDE = float(Decimal("0.618033988749894848204586834365638117720309179805762862135") * _STRIDE % 1)
 #: By the rank of a source in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-BLOCK_WORDS = 512
-#: A mix has this many slots at least, by smaller blocks, so that small tables come near their targets too.
-LEAST_SLOTS = 16384
+BLOCK_WORDS = 64
 _BUCKET_ROWS = 4096
 _CELLS = 1024
 
@@ -86,7 +90,7 @@ def schedule(targets: DataFrame, total_words: int, block_words: int) -> DataFram
     shares = targets.filter("target > 0").withColumn("high", F.sum("target").over(upto) / F.sum("target").over(every)).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("sid")), F.lit(0.0)))
     shares = shares.withColumn("high", F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), F.lit(1.0)).otherwise(F.col("high")))
     cells = shares.select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * _CELLS), F.least(F.floor(F.col("high") * _CELLS), F.lit(_CELLS - 1)))).alias("cell"))
-    x = F.col("slot") * F.lit(GOLDEN)
+    x = F.floor(F.col("slot") / _STRIDE) * F.lit(_GOLDEN_STRIDE) % 1 + F.col("slot") % _STRIDE * F.lit(GOLDEN)
     slots = spark.range(max(1, round(total_words / block_words))).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x))
     placed = slots.withColumn("cell", F.floor(F.col("x") * _CELLS)).join(cells, "cell").filter("x >= low and x < high")
     placed = placed.select("sid", "slot", _chunk(F.col("slot"), 8 * _BUCKET_ROWS).alias("bucket"), F.lit(1).cast("long").alias("one"))
@@ -106,8 +110,8 @@ def mix(
     Returns doc_id, source, size (words), source_size, target (its source's) and taken: size times
     the whole passes over the source, and a part of size where the last pass ends within the
     document. No document is taken more than ``repeats`` times. A source's taken words differ from
-    its target by a few blocks. Null texts have size 0; a null source is a source of its own, last
-    in order. Rows that repeat a doc_id and text stand one behind the other and count each.
+    its target by a few blocks of ``block_words`` words, whatever the size of the table. Null texts
+    have size 0; a null source is a source of its own, last in order. Rows that repeat a doc_id and text stand one behind the other and count each.
     The order within a source depends on ``seed``, doc_id and the text alone, so reruns agree.
     An empty table, or one without words, gives rows with target and taken 0. Other columns are ignored.
     """
@@ -118,7 +122,6 @@ def mix(
     stats = stored(source_targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
                    .withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")))
     total, rows = plain.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = max(1, min(block_words, total // LEAST_SLOTS))
 
     small = stats.select(F.col("source").alias("__s"), "sid", "source_size", "target")
     keyed = plain.join(small, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -126,17 +129,15 @@ def mix(
     order = [F.col("place"), F.col("doc_id").asc_nulls_last(), F.col("size")]
     laid = stored(running_start(keyed, "sid", "bucket", order, "size", "start"))
 
-    blocks = F.ceil(F.col("source_size") / F.lit(float(block))).cast("long")
-    turns = (
-        schedule(stats.select("sid", "target"), int(total), block)
-        .join(stats.select("sid", blocks.alias("blocks")), "sid")
-        .filter(F.col("rank") < F.col("blocks") * repeats)
-        .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
-    )
-    at = F.explode(F.sequence(_chunk(F.col("start"), block), _chunk(F.col("start") + F.col("size") - 1, block)))
-    pieces = laid.filter("size > 0").select("sid", "start", "size", at.alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.join(turns, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words * F.col("times")).alias("taken")).withColumn("one", F.lit(1))
+    ranks = stored(schedule(stats.select("sid", "target"), int(total), block_words).select("sid", F.col("rank").alias("block")))
+    slots = stored(ranks.groupBy("sid").agg(F.count(F.lit(1)).alias("slots")))
+    # each document as often as it may be taken, up to the last word that its source's slots have room for
+    laps = laid.filter("size > 0").join(F.broadcast(slots), "sid").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    laps = laps.select("sid", "start", "size", "slots", (F.col("start") + F.col("lap") * F.col("source_size")).alias("first"))
+    laps = laps.filter(F.col("first") < F.col("slots") * block_words).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("slots") * block_words))
+    pieces = laps.withColumn("block", F.explode(F.sequence(_chunk(F.col("first"), block_words), _chunk(F.col("end") - 1, block_words))))
+    words = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("first"), F.col("block") * block_words)
+    taken = pieces.join(ranks, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words).alias("taken")).withColumn("one", F.lit(1))
     full = laid.withColumn("one", F.when(F.col("size") > 0, 1))
     return full.join(taken, ["sid", "start", "one"], "left").select(
         "doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "place"
@@ -149,15 +150,17 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: a row of ``docs`` for each time that it is taken whole, and one with its first words for a part.
 
-    All columns stay. Rows that repeat both doc_id and text share equally what the mix takes of
-    them. Rows of which it takes nothing, those without words among them, are left out.
+    All columns stay, whatever their names. Rows that repeat both doc_id and text share equally what
+    the mix takes of them. Rows of which it takes nothing, those without words (null texts among
+    them), are left out; a null doc_id or source is a value like any other. An empty table stays empty.
     """
+    at, id_, place, size, all_, some = (fresh(docs, f"mix_{x}") for x in ("at", "id", "place", "size", "taken", "words"))
     takes = mix(docs, doc_id, text, source, weights, repeats, block_words, seed).filter("taken > 0")
-    takes = takes.groupBy(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).agg(F.first("size").alias("__size"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__taken"))
-    rows = docs.withColumn("__at", _place(F.col(doc_id), F.col(text), seed))
-    rows = rows.join(takes, (F.col("__at") == F.col("__place")) & F.col(doc_id).eqNullSafe(F.col("__id")))
-    whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
-    rows = rows.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    takes = takes.groupBy(F.col("doc_id").alias(id_), F.col("place").alias(place)).agg(F.first("size").alias(size), F.floor(F.sum("taken") / F.count(F.lit(1))).alias(all_))
+    rows = docs.withColumn(at, _place(F.col(doc_id), F.col(text), seed))
+    rows = rows.join(takes, (F.col(at) == F.col(place)) & F.col(doc_id).eqNullSafe(F.col(id_)))
+    whole, part = F.floor(F.col(all_) / F.col(size)).cast("int"), F.col(all_) % F.col(size)
+    rows = rows.withColumn(some, F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{BLANK}]*[^{BLANK}]+"), F.lit(0))
-    rows = rows.withColumn(text, F.when(F.col("__words") < 0, F.col(text)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("__words").cast("int")), "")))
-    return rows.drop("__at", "__id", "__place", "__size", "__taken", "__words")
+    rows = rows.withColumn(text, F.when(F.col(some) < 0, F.col(text)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(some).cast("int")), "")))
+    return rows.drop(at, id_, place, size, all_, some)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import grams, mix64, slices, stored, text_column, word_hashes
+from rulewright.llm.common import BROADCAST_IDS, fresh, grams, mix64, slices, stored, text_column, word_hashes
 from rulewright.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -35,8 +35,6 @@ REGION, DEEPER = 64, 12
 CROWDED_TREES = 4
 #: Documents of a region that even its deepest part is dealt out by, so that no task holds more.
 SALT_ROWS = 1 << 16
-#: Up to so many ids are broadcast to fetch candidates' texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,17 +56,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in slices(batches, "text"):
         data, offsets = text_column(batch, "text")
-        yield batch.column(batch.schema.get_field_index("key")), [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield batch, [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, mark, text) of each row; the mark tells rows of one doc_id with different texts apart."""
+    return docs.select(F.col(doc_id).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def sketches(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, n_shingles, set_a, set_b, sig) of each row of (key, text); equal sets have equal set_a, set_b."""
+    """(key, mark, n_shingles, set_a, set_b, sig) of each row of (key, mark, text); equal sets have equal set_a, set_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _texts(batches):
+        for batch, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
             sigs = [signature(s) if len(s) else np.zeros(VALUES, np.uint32) for s in sets]
             with np.errstate(over="ignore"):
@@ -76,25 +79,26 @@ def sketches(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 b = np.array([mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
             flat = pa.array(np.concatenate(sigs).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * VALUES), flat)],
-                names=["key", "n_shingles", "set_a", "set_b", "sig"],
+                [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * VALUES), flat)],
+                names=["key", "mark", "n_shingles", "set_a", "set_b", "sig"],
             )
 
-    return docs.mapInArrow(run, "key long, n_shingles long, set_a long, set_b long, sig array<int>")
+    return docs.mapInArrow(run, "key long, mark long, n_shingles long, set_a long, set_b long, sig array<int>")
 
 
 def _shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _texts(batches):
+        for batch, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "shingles"])
 
-    return docs.mapInArrow(run, "key long, shingles array<long>")
+    return docs.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def forest_candidates(reps: DataFrame, prefix: int) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs a < b among rows (rep, sig), and the documents of crowded regions (rep)."""
+    reps = reps.select("rep", "sig")
     step = VALUES // TREES
     keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(*[F.get("sig", F.lit((t * step + i) % VALUES)) for i in range(prefix)]).alias("key")) for t in range(TREES)]
     rows = reps.select("rep", F.explode(F.array(*keys)).alias("x")).select("rep", "x.tree", "x.key")
@@ -118,13 +122,10 @@ def forest_candidates(reps: DataFrame, prefix: int) -> tuple[DataFrame, DataFram
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), crowded
 
 
-def fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (key, text) whose key is in ``ids``, each once: broadcast up to BROADCAST_IDS ids."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    else:
-        ids = ids.hint("shuffle_hash")
-    return docs.join(ids, "key", "left_semi")
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the columns of ``wanted`` (key, mark, rep) to them; up to BROADCAST_IDS rows are broadcast."""
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), ["key", "mark"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,10 +155,11 @@ def crowded_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "shingle").filter(apart & enough).select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives by set, their components), from rows (key, text) and their sketches."""
+def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> DataFrame:
+    """(n_shingles, set_a, set_b, component_id) of each distinct set, from rows (key, mark, text) and their sketches."""
     some = sketched.filter("n_shingles > 0 and key is not null")
-    reps = stored(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep"), F.any_value("sig").alias("sig")))
+    reps = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("key", "mark")).alias("first"), F.any_value("sig").alias("sig"))
+    reps = stored(reps.select("n_shingles", "set_a", "set_b", "sig", "first.key", "first.mark").withColumn("rep", F.monotonically_increasing_id()))
     share = percent / 100
     prefix = max(1, min(VALUES // TREES, round(np.log(0.5) / np.log(share)))) if share < 1 else VALUES // TREES
     least = int(VALUES * share - 5 * (VALUES * share * (1 - share)) ** 0.5)
@@ -167,16 +169,26 @@ def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: i
     )
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     close = ends.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= least))
-    close = stored(close.select("a", "b"))
-    ids = stored(close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select(F.col("rep").alias("key"))).distinct())
-    sets = stored(_shingle_arrays(fetched(docs, ids), words).dropDuplicates(["key"]).withColumnRenamed("key", "rep"))
+    close, crowded = stored(close.select("a", "b")), stored(crowded)
+    ids = close.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowded).distinct()
+    wanted = stored(reps.select("key", "mark", "rep").join(ids, "rep", "left_semi"))
+    sets = stored(_shingle_arrays(fetched(docs, wanted), words).dropDuplicates(["rep"]))
     joined = components(confirmed(close, sets, percent))
     if not crowded.isEmpty():
         of = joined.select(F.col("node").alias("rep"), "component")
         apart = sets.join(crowded, "rep", "left_semi").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         more = confirmed(crowded_pairs(apart, percent), sets, percent)
         joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return reps.select("rep", "n_shingles", "set_a", "set_b"), joined
+    placed = stored(reps.drop("sig").join(joined, reps["rep"] == joined["node"], "left").withColumn("component", F.coalesce("component", "rep")))
+    least_id = placed.groupBy("component").agg(F.min("key").alias("component_id"))
+    return placed.join(least_id, "component").select("n_shingles", "set_a", "set_b", "component_id")
+
+
+def _groups(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    sketched = stored(sketches(docs, words))
+    of_set = near_components(docs, sketched, percent, words)
+    rows = sketched.drop("sig").join(of_set, ["n_shingles", "set_a", "set_b"], "left")
+    return rows.select("key", "mark", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -187,20 +199,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     shingle; null and empty texts have none and are linked with nothing. component_id is the
     smallest doc_id reachable over links, and its row stays. Shingles are compared by 64-bit
     hashes. A null doc_id is linked with nothing, has a null component and stays. Rows that
-    repeat a doc_id with other texts count as one document for links: the text that the shuffle
-    meets first. Other columns of ``docs`` are ignored.
+    repeat a doc_id with other texts are documents of their own, each with its own links; those
+    that repeat both are one. An empty table gives an empty result; other columns are ignored.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
-    sketched = stored(sketches(plain, words))
-    reps, joined = near_components(plain, sketched, percent, words)
-    of_set = reps.join(joined, reps["rep"] == joined["node"], "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    rows = sketched.select("key", "n_shingles", "set_a", "set_b").join(of_set, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
-    return rows.select(F.col("key").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    rows = _groups(marked(docs, doc_id, text), percent, words)
+    return rows.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of the smallest doc_id; all columns stay."""
-    gone = stored(near_groups(docs, doc_id, text, percent, words).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each near-duplicate group, the one of the smallest doc_id; all columns stay.
+
+    Rows with a null doc_id, and texts that are null or without words, are in no group and stay. Rows
+    that repeat the doc_id and text that stay do so together, and so do texts of one doc_id. An empty
+    table stays empty; columns of any other names are left as they are.
+    """
+    key, mark = fresh(docs, "gone_key"), fresh(docs, "gone_mark")
+    gone = _groups(marked(docs, doc_id, text), percent, words).filter("key <> component_id")
+    gone = stored(gone.select(F.col("key").alias(key), F.col("mark").alias(mark)).distinct())
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
+    return docs.join(gone, (docs[doc_id].cast("long") == F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "left_anti")

@@ -7,7 +7,9 @@ members than are all paired are matched once more exactly, by a prefix filter. P
 different paragraphs are found as stretches of STRETCH words. A stretch begins where the shingle
 hash is the least of SPREAD consecutive ones, so it depends on its own surroundings alone, and any
 run of STRETCH + SPREAD - 1 words (49) that two documents share has a stretch in common; stretches
-are joined where their shingles are all equal.
+are joined where their shingles are all equal. Each is then extended, word by word, as far as it
+agrees with the document that keeps it; a stretch begins in any SPREAD words of a run, so REACH words
+to each side are enough to come to its ends. Only runs of MIN_RUN words or more are removed.
 
 Of each group the pieces of the smallest doc_id stay; those of other documents are removed.
 """
@@ -18,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import IS_BLANK, grams, mix64, slices, small_batches, stored, text_column, word_hashes
+from rulewright.llm.common import IS_BLANK, fresh, grams, many_to_one, mix64, slices, small_batches, stored, text_column, word_hashes
 from rulewright.llm.components import components
-from rulewright.llm.near import confirmed, crowded_pairs, fetched
+from rulewright.llm.near import confirmed, crowded_pairs, fetched, marked
 
 SHINGLE_WORDS, MIN_WORDS, PERCENT = 5, 20, 80
 STRETCH, SPREAD = 20, 30
+#: How far a stretch is extended to each side, and the least run of words that is a repeated passage.
+REACH, MIN_RUN = SPREAD - 1, 50
 #: Two values a band: of pairs with similarity 0.8, 1 - (1 - 0.8^2)^6 = 99.8 % share a band.
 BANDS, ROWS = 6, 2
 #: Paragraphs of one band that are compared with their neighbours at a time, and neighbours of each.
@@ -46,7 +50,8 @@ class Document:
     def __init__(self, data: np.ndarray, words: int):
         edge = np.diff(np.concatenate(([True], IS_BLANK[data], [True])).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.shingles = grams(word_hashes(data, lower=True), words)
+        self.words = word_hashes(data, lower=True)
+        self.shingles = grams(self.words, words)
         self.count = len(self.starts)
         lines = np.searchsorted(self.starts, np.flatnonzero(data == 10))
         self.lines = np.unique(np.concatenate(([0], lines, [self.count])))
@@ -68,10 +73,10 @@ class Document:
         return first[long], after[long]
 
 
-def _documents(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[Document]]]:
+def _documents(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[Document]]]:
     for batch in slices(batches, "text", SLICE_BYTES):
         data, offsets = text_column(batch, "text")
-        yield batch.column(0), [Document(data[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield batch, [Document(data[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _sums(shingles: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +108,20 @@ def bands_of(shingles: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.n
 
 def _pieces(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "from", "to", "a", "b", "bands"]
-        for keys, docs in _documents(batches, words):
+        names = ["key", "mark", "at", "from", "to", "a", "b", "bands"]
+        for batch, docs in _documents(batches, words):
             owner, first, after = [], [], []
+            bases = np.cumsum([0, *[d.count for d in docs]])
             for whole in (True, False):
-                base, own, one, two = 0, [], [], []
+                own, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, d in enumerate(docs):
                     if d.count >= MIN_WORDS:
                         a, b = d.paragraphs() if whole else (s := d.stretches(), s + STRETCH)
                         own.append(np.full(len(a), i))
-                        one.append(a + base)
-                        two.append(b + base)
-                    base += d.count
-                owner.append(np.concatenate(own) if own else np.zeros(0, np.int64))
-                first.append(np.concatenate(one) if one else np.zeros(0, np.int64))
-                after.append(np.concatenate(two) if two else np.zeros(0, np.int64))
+                        one.append(a + bases[i])
+                        two.append(b + bases[i])
+                for out, x in zip((owner, first, after), (own, one, two), strict=True):
+                    out.append(np.concatenate(x))
             if not len(owner[1]) and not len(owner[0]):
                 continue
             starts, ends = np.concatenate([d.starts for d in docs]), np.concatenate([d.ends for d in docs])
@@ -130,12 +134,80 @@ def _pieces(words: int):
                 low, high = _sums(shingles, a, b)
                 bands = pa.nulls(len(of), pa.list_(pa.int64())) if whole else pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(shingles, a, b).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(of)), pa.array(starts[a], pa.int64()), pa.array(ends[after[whole] - 1], pa.int64()), pa.array(low), pa.array(high), bands], names=names
-                )
+                    [*[c.take(pa.array(of)) for c in batch.columns[:2]], pa.array((a - bases[of]).astype(np.int32)), pa.array(starts[a], pa.int64()), pa.array(ends[after[whole] - 1], pa.int64()), pa.array(low), pa.array(high), bands], names=names
+                )
 
     return run
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each seed of (key, mark, seeds, text): the words next to it, as 32-bit hashes, and where they end.
+
+    ``before`` and ``after`` go away from the stretch, REACH words each. A document that keeps a stretch
+    gives both (role 0); one that loses it only the words that its neighbouring stretches with the same
+    keeper don't reach (role 1), and in how many bytes from the stretch these words begin and end.
+    """
+    for batch, docs in _documents(batches, SHINGLE_WORDS):
+        rows = []
+        for x, d in zip(batch.select(["key", "mark", "seeds"]).to_pylist(), docs, strict=True):
+            words = (d.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            seeds, kept = sorted(x["seeds"], key=lambda s: s["at"]), set()
+            for i, s in enumerate(seeds):
+                at, end = s["at"], s["at"] + STRETCH
+                role = int(s["keep"] < x["key"])
+                back, on = min(REACH, at), min(REACH, d.count - end)
+                if role:
+                    if i and seeds[i - 1]["keep"] == s["keep"]:
+                        back = min(back, max(0, at - seeds[i - 1]["at"] - STRETCH))
+                    if i + 1 < len(seeds) and seeds[i + 1]["keep"] == s["keep"]:
+                        on = min(on, max(0, seeds[i + 1]["at"] - end))
+                elif (s["a"], s["b"]) in kept:
+                    continue
+                else:
+                    kept.add((s["a"], s["b"]))
+                rows.append({
+                    "a": s["a"], "b": s["b"], "role": role, "key": x["key"], "mark": x["mark"], "keep": s["keep"], "at": at, "from": int(d.starts[at]), "to": int(d.ends[end - 1]),
+                    "before": words[at - back : at][::-1], "after": words[end : end + on],
+                    "back": (d.starts[at] - d.starts[at - back : at][::-1]).astype(np.int32) if role else [], "on": (d.ends[end : end + on] - d.ends[end - 1]).astype(np.int32) if role else [],
+                })
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SURROUNDINGS)
+
+
+_WORDS = pa.list_(pa.int32())
+_SURROUNDINGS = pa.schema([
+    *[(n, pa.int64()) for n in ("a", "b")], ("role", pa.int32()), *[(n, pa.int64()) for n in ("key", "mark", "keep")], ("at", pa.int32()), ("from", pa.int64()), ("to", pa.int64()),
+    *[(n, _WORDS) for n in ("before", "after", "back", "on")],
+])
+
+
+def _agreed(one: str, two: str) -> Column:
+    """How many values two arrays have in common at their beginnings."""
+    same = F.zip_with(one, two, lambda x, y: x.eqNullSafe(y))
+    end = F.array_position(same, F.lit(False))
+    return F.when(end == 0, F.size(same)).otherwise(end - 1).cast("int")
+
+
+def extended(plain: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key, mark, keep, from, to, at, end): the stretches of ``hits`` in documents that lose them, extended as far as they agree with their keeper.
+
+    ``plain`` has the texts (key, mark, text); ``hits`` are stored rows (key, mark, at, a, b, keep, n) of the documents with key >= keep.
+    """
+    seeds = stored(hits.groupBy("key", "mark").agg(F.collect_list(F.struct("at", "a", "b", "keep")).alias("seeds")))
+    ids = stored(seeds.select("key", "mark"))
+    texts = fetched(plain, ids).join(seeds, ["key", "mark"]).select("key", "mark", "seeds", "text")
+    with small_batches(plain.sparkSession):
+        sides = stored(texts.mapInArrow(_surroundings, "a long, b long, role int, key long, mark long, keep long, at int, from long, to long, before array<int>, after array<int>, back array<int>, on array<int>"))
+    kept = sides.filter("role = 0").groupBy("a", "b").agg(F.min(F.struct("mark", "before", "after")).alias("k"))
+    sizes = sides.filter("role = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(kept.join(sizes, ["a", "b"]).select("a", "b", F.col("k.before").alias("kept_before"), F.col("k.after").alias("kept_after"), "n"))
+    # one side's words may be cut short where a neighbour takes over, so only as many are compared
+    both = many_to_one(sides.filter("role = 1").drop("role"), kept, ["a", "b"], "n", ["key", "mark", "at"])
+    both = both.withColumn("l", F.least(_agreed("before", "kept_before"), F.size("before"))).withColumn("r", F.least(_agreed("after", "kept_after"), F.size("after")))
+    reach = lambda ends, n: F.coalesce(F.get(ends, F.col(n) - 1), F.lit(0))
+    return both.select("key", "mark", "keep", (F.col("from") - reach("back", "l")).alias("from"), (F.col("to") + reach("on", "r")).alias("to"), (F.col("at") - F.col("l")).alias("at"), (F.col("at") + STRETCH + F.col("r")).alias("end"))
+
+
 def _paragraph_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, docs in _documents(batches, words):
@@ -182,81 +254,102 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _paragraph_keeps(plain: DataFrame, paragraphs: DataFrame, percent: int, words: int) -> DataFrame:
-    """(a, b, keep): the smallest doc_id of the component of each distinct paragraph."""
-    grouped = paragraphs.groupBy("a", "b").agg(F.min("key").alias("first"), F.any_value("bands").alias("bands"))
+    """(a, b, keep, n): the smallest doc_id of the component of each distinct paragraph, and how often it stands, stored."""
+    grouped = paragraphs.groupBy("a", "b").agg(F.min(F.struct("key", "mark")).alias("first"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
     pairs = stored(candidate_pairs(classes.select("node", "bands")))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "a", "b", "first"))
-    texts = fetched(plain, wanted.select(F.col("first").alias("key")).distinct())
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "a", "b", "first.key", "first.mark"))
+    texts = fetched(plain, stored(wanted.select("key", "mark").distinct()))
     sets = texts.mapInArrow(_paragraph_sets(words), "a long, b long, shingles array<long>")
     with small_batches(plain.sparkSession):
         sets = stored(sets.join(wanted.select("a", "b", F.col("node").alias("rep")), ["a", "b"]).select("rep", "shingles").dropDuplicates(["rep"]))
     joined = linked(pairs, sets, percent)
-    placed = classes.select("a", "b", "first", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keeps = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    return placed.join(keeps, "component").select("a", "b", "keep")
+    placed = classes.select("a", "b", "n", F.col("first.key").alias("first"), "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keeps = placed.groupBy("component").agg(F.min("first").alias("keep"), F.max("first").alias("last"), F.sum("n").alias("rows"))
+    return stored(placed.join(keeps.filter("rows > 1").select("component", "keep"), "component").select("a", "b", "keep", "n"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each (key, mark, pieces): the runs that are long enough and the paragraphs, as byte spans."""
     for batch in batches:
         rows = []
         for x in batch.to_pylist():
+            whole, runs = [], []
+            for p in sorted(x["pieces"], key=lambda p: (p["at"], p["end"] or 0)):
+                if p["end"] is None:
+                    whole.append((p["from"], p["to"], {p["keep"]}))
+                elif runs and p["at"] <= runs[-1]["end"]:
+                    run = runs[-1]
+                    run |= {"to": max(run["to"], p["to"]), "end": max(run["end"], p["end"]), "keeps": run["keeps"] | {p["keep"]}}
+                else:
+                    runs.append({"at": p["at"], "from": p["from"], "to": p["to"], "end": p["end"], "keeps": {p["keep"]}})
+            found = sorted(whole + [(r["from"], r["to"], r["keeps"]) for r in runs if r["end"] - r["at"] >= MIN_RUN], key=lambda f: f[:2])
             spans: list[list[int]] = []
-            for piece in sorted(x["pieces"], key=lambda p: (p["from"], p["to"])):
-                if spans and piece["from"] <= spans[-1][1] + 1:
-                    spans[-1][1] = max(spans[-1][1], piece["to"])
+            for a, b, _ in found:
+                if spans and a <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], b)
                 else:
-                    spans.append([piece["from"], piece["to"]])
-            rows.append({"doc_id": x["key"], "keep_ids": sorted({p["keep"] for p in x["pieces"]}), "spans": [{"from": a, "to": b} for a, b in spans], "removed_bytes": sum(b - a for a, b in spans)})
+                    spans.append([a, b])
+            if found:
+                keeps = sorted(set().union(*[f[2] for f in found]))
+                rows.append({"doc_id": x["key"], "text_hash": x["mark"], "keep_ids": keeps, "spans": [{"from": a, "to": b} for a, b in spans], "removed_bytes": sum(b - a for a, b in spans)})
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("keep_ids", pa.list_(pa.int64())), ("spans", span), ("removed_bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("keep_ids", pa.list_(pa.int64())), ("spans", span), ("removed_bytes", pa.int64())]))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """What repeats from other documents: doc_id, keep_ids, spans, removed_bytes; only documents that lose something.
+    """What repeats from other documents: doc_id, text_hash, keep_ids, spans, removed_bytes; only documents that lose something.
 
     keep_ids are the documents in which the removed pieces stay, spans the merged ranges to remove,
-    in bytes of the UTF-8 text. Shorter texts and paragraphs than MIN_WORDS words, null and empty
-    texts lose nothing. Pieces that repeat within one document only stay. Rows with a null doc_id
-    take no part, and rows that repeat a doc_id count as one document. Shingles are compared by
-    64-bit hashes, A-Z as lower case. An empty table gives an empty result; other columns are ignored.
+    in bytes of the UTF-8 text. Paragraphs of at least MIN_WORDS words go if they are like one of
+    an earlier document; passages within paragraphs go if they have at least MIN_RUN words, up to
+    the last word that they share with the earliest document that has the same stretches. Null
+    and empty texts and shorter ones lose nothing, and what repeats within one document only
+    stays. Rows with a null doc_id take no part. Rows that repeat a doc_id with other texts have
+    spans of their own, told apart by text_hash, and lose nothing to one another; rows that repeat both
+    are one document. Words are compared by hashes, A-Z as lower case. An empty table gives an
+    empty result; other columns are ignored.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null")
+    plain = marked(docs, doc_id, text).filter("key is not null")
     with small_batches(docs.sparkSession):
-        pieces = stored(plain.mapInArrow(_pieces(words), "key long, from long, to long, a long, b long, bands array<long>"))
+        pieces = stored(plain.mapInArrow(_pieces(words), "key long, mark long, at int, from long, to long, a long, b long, bands array<long>"))
     stretches, paragraphs = pieces.filter("bands is null").drop("bands"), pieces.filter("bands is not null")
-    keeps = stretches.groupBy("a", "b").agg(F.min("key").alias("keep"), F.max("key").alias("last")).filter("keep < last").drop("last")
-    found = stretches.join(keeps, ["a", "b"]).unionByName(paragraphs.drop("bands").join(_paragraph_keeps(plain, paragraphs, percent, words), ["a", "b"]))
-    found = found.filter("key > keep").groupBy("key").agg(F.collect_set(F.struct("from", "to", "keep")).alias("pieces"))
-    return found.mapInArrow(_merged, "doc_id long, keep_ids array<long>, spans array<struct<from:long,to:long>>, removed_bytes long")
+    keeps = stretches.groupBy("a", "b").agg(F.min("key").alias("keep"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).filter("keep < last").drop("last")
+    hits = stored(many_to_one(stretches.drop("from", "to"), stored(keeps), ["a", "b"], "n", ["key", "mark", "at"]))
+    alike = many_to_one(paragraphs.drop("bands", "at"), _paragraph_keeps(plain, paragraphs, percent, words), ["a", "b"], "n", ["key", "mark", "from"])
+    alike = alike.select("key", "mark", "keep", "from", "to", F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+    found = extended(plain, hits).unionByName(alike.filter("key > keep"))
+    found = found.groupBy("key", "mark").agg(F.collect_set(F.struct("from", "to", "keep", "at", "end")).alias("pieces"))
+    return found.mapInArrow(_merged, "doc_id long, text_hash long, keep_ids array<long>, spans array<struct<from:long,to:long>>, removed_bytes long")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        spans, texts = batch.column(names.index("__spans")).to_pylist(), batch.column(names.index("__text")).to_pylist()
-        out = []
-        for text, gone in zip(texts, spans, strict=True):
-            if not gone or text is None:
-                out.append(text)
-                continue
-            data, at, left = text.encode(), 0, []
-            for span in gone:
-                left.append(data[at : span["from"]])
-                at = span["to"]
-            out.append(b"".join([*left, data[at:]]).decode())
-        i = names.index("__text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, pa.string()))
+def _without(text: str, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.names.index(text)
+            out = []
+            for whole, gone in zip(batch.column(i).to_pylist(), batch.column(batch.schema.names.index(spans)).to_pylist(), strict=True):
+                if not gone or whole is None:
+                    out.append(whole)
+                    continue
+                data, at, left = whole.encode(), 0, []
+                for span in gone:
+                    left.append(data[at : span["from"]])
+                    at = span["to"]
+                out.append(b"".join([*left, data[at:]]).decode())
+            yield batch.set_column(i, batch.schema.field(i), pa.array(out, pa.string()))
+
+    return run
 
 
 def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated pieces of their texts, as ``repeated_passages`` finds them.
 
-    All rows and columns stay; blanks around a removed piece stay too. Where rows repeat a doc_id
-    with other texts, the spans of one of them would cut another, so doc_id has to be a key of the
-    rows that are not null.
+    All rows and columns stay, whatever the columns' names; blanks around a removed piece stay too. Rows
+    with a null doc_id or text stay as they are, and rows that repeat a doc_id lose what their own texts repeat.
     """
-    gone = repeated_passages(docs, doc_id, text).select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
-    joined = docs.join(gone, docs[doc_id].cast("long") == F.col("__key"), "left").drop("__key").withColumnRenamed(text, "__text")
-    return joined.mapInArrow(_without, joined.schema).drop("__spans").withColumnRenamed("__text", text)
+    key, mark, spans = (fresh(docs, f"gone_{x}") for x in ("key", "mark", "spans"))
+    gone = repeated_passages(docs, doc_id, text).select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), F.col("spans").alias(spans))
+    joined = docs.join(gone, (docs[doc_id].cast("long") == F.col(key)) & (F.xxhash64(docs[text]) == F.col(mark)), "left").drop(key, mark)
+    return joined.mapInArrow(_without(text, spans), joined.schema).drop(spans)

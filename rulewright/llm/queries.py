@@ -17,44 +17,54 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all documents takes of each, by its source's target."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("place")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in a token file of all documents, and their checksum, read back from the file."""
     return tokenfile.token_file(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of each group of equal texts."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose paragraphs or passages that stand in an earlier one, with the spans."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of each document at a similarity of 0.85."""
     return near.near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of each document, and whether they decode to its text."""
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of each fiftieth vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without the later occurrences of repeated three-line windows, and how many lines went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "removed_lines", "text")
+    return lines.drop_repeated_lines(docs, counts="counts").select("doc_id", "counts.n_lines", "counts.removed_lines", "text")
 
 
 QUERIES = {

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import shared_dir, slices
+from rulewright.llm.common import run_dir, slices
 from rulewright.llm.mixing import running_start
 
 END_ID = 0
@@ -190,6 +190,14 @@ def _segments(path: str, end_id: int, segment_ids: int):
     return run
 
 
+def _bounds_below(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are less than ``key``, by binary search."""
+    bits = len(bounds).bit_length()
+    full = F.array(*[F.lit(b) for b in bounds + [(1 << 63) - 1] * ((1 << bits) - 1 - len(bounds))]).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(full, at + step - 1) < key, at + step).otherwise(at))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the ids of all texts to ``path``, in ascending doc_id order (null first), ``end_id`` after each.
 
@@ -201,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     # ranges by the quantiles of the ids alone: a range partitioning of the rows would read all texts once more
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    part = _bounds_below(F.col("doc_id"), [int(b) for b in bounds]) if bounds else F.lit(0)
     rows = rows.repartitionById(parts, F.when(F.col("doc_id").isNull(), 0).otherwise(part)).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_segments(tokenizer, end_id, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(path)
 
@@ -250,6 +258,6 @@ def token_file(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     import uuid
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, doc_id, text)
     return read_tokens(spark, path)

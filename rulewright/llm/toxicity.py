@@ -17,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import mix64
 from rulewright.llm.wordscores import WordTable, held_out, scored_batches, words_of
 
-#: The documents of each class that the classifier is fitted on, at most, and their longest text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 200_000
+#: The documents of each class that the classifier is fitted on, at most, and the characters of one of them and of a class.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, CLASS_CHARS = 1500, 2500, 200_000, 16_000_000
 BUCKETS, DIM, RUN, STEPS = 1 << 17, 8, 4, 120
 _GRAMS = (3, 4, 5, 6)
 #: The longest word that is scored as one, in bytes, and the bytes that parts of longer ones share (more than an n-gram's).
@@ -189,22 +189,35 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 5)
     return Model((E @ U).astype(np.float32), bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: int, clean: int, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from: of each class the rows with the least hashes, outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: int, clean: int, seed: int = 11) -> DataFrame:
+    """Rows (key, mark, text) to learn from, outside the held-out fold: of each class those with the least hashes.
 
-    At most ``toxic`` + ``clean`` texts of at most SAMPLE_CHARS characters come to the driver.
+    At most ``toxic`` + ``clean`` documents that ``docs`` has, and of a class none behind the one with
+    which it comes to CLASS_CHARS characters. Longer texts than SAMPLE_CHARS are taken after all others,
+    and by their first SAMPLE_CHARS characters. Of rows that repeat a doc_id the shortest counts.
     """
     marks = labels.select(F.col(doc_id).cast("long").alias("key"), F.col("toxic").alias("mark")).filter(F.col("mark").isNotNull() & F.col("key").isNotNull())
-    marks = marks.filter(~held_out(F.col("key"))).groupBy("key").agg(F.max("mark").alias("mark")).withColumn("order", F.xxhash64(F.lit(seed), "key"))
-    # a least-hash limit of fixed size: no more than toxic + clean ids
-    chosen = marks.filter("mark = 1").orderBy("order", "key").limit(toxic).unionByName(marks.filter("mark <> 1").orderBy("order", "key").limit(clean))
-    rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "key").select("key", "text", "mark").collect()
-    rows = sorted({r.key: r for r in rows}.values(), key=lambda r: r.key)
-    return [r.text for r in rows], np.array([float(r.mark == 1) for r in rows])
+    marks = marks.filter(~held_out(F.col("key"))).groupBy("key").agg(F.max(F.when(F.col("mark") == 1, 1).otherwise(0)).alias("mark"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).filter("text is not null")
+    found = rows.select("key", F.struct(F.length("text").alias("n"), "hash").alias("row")).join(marks, "key").groupBy("key", "mark").agg(F.min("row").alias("row"))
+    found = found.select("key", "mark", "row.hash", F.least("row.n", F.lit(SAMPLE_CHARS)).alias("n"), (F.col("row.n") > SAMPLE_CHARS).alias("long"), F.xxhash64(F.lit(seed), "key").alias("order"))
+    least = lambda mark, most: found.filter(F.col("mark") == mark).orderBy("long", "order", "key").limit(most)
+    before = F.sum("n").over(Window.partitionBy("mark").orderBy("long", "order", "key").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = least(1, toxic).unionByName(least(0, clean)).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < CLASS_CHARS)
+    texts = rows.join(F.broadcast(chosen.select("key", "hash", "mark")), ["key", "hash"])
+    return texts.select("key", "mark", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["key"])
 
 
 def _learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: int, clean: int) -> Model:
-    return fit(*sample(docs, labels, doc_id, text, toxic, clean))
+    """The model, fitted in one task on the bounded sample; only the weights of the buckets come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((x["key"], x["mark"], x["text"]) for batch in batches for x in batch.to_pylist())
+        model = fit([t for *_, t in rows], np.array([float(m) for _, m, _ in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
+
+    found = sample(docs, labels, doc_id, text, toxic, clean).repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"]) if found else fit([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
@@ -232,7 +245,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
     """``docs`` without the rows that ``score_documents`` predicts to be toxic; all columns stay.
 
-    Rows without words have nothing toxic in them and stay, whatever the score of an empty bag.
+    Rows without words, null texts among them, have nothing toxic in them and stay, whatever the score
+    of an empty bag. Rows that repeat stay or go together; null labels, and labels of one class or none,
+    count as in ``score_documents``. An empty table stays empty; columns of any other names are left as they are.
     """
     model = _learned(docs, labels, doc_id, text, toxic, clean)
 

@@ -59,10 +59,88 @@ def test_language_on_held_out_documents(tables):
     assert all(0 <= r.score <= 1 and r.held_out == is_held_out(d) for d, r in got.items())
 
 
-def test_code_lengths_sum_to_a_distribution():
-    model = langid.fit(["abab abc", "xyz xyx"], ["a", "x"])
-    bits = model.bits([b"ab", b"xy"])
-    assert bits[0, 0] < bits[0, 1] and bits[1, 1] < bits[1, 0]
+def code_length(texts, word):
+    """Bits of a word and its closing blank by prediction by partial matching, method C, read off the texts each time."""
+    seen = [f" {w} ".encode() for t in texts for w in t.split()]
+    data, bits = f" {word} ".encode(), 0.0
+    for i in range(1, len(data)):
+        for k in range(min(langid.ORDER, i), -1, -1):
+            context = data[i - k : i]
+            after = [s[j + k] for s in seen for j in range(0 if k else 1, len(s) - k) if s[j : j + k] == context]
+            if not after:
+                continue
+            if data[i] in after:
+                bits -= np.log2(after.count(data[i]) / (len(after) + len(set(after))))
+                break
+            bits -= np.log2(len(set(after)) / (len(after) + len(set(after))))
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_those_of_partial_matching():
+    random.seed(4)
+    make = lambda letters, n: " ".join("".join(random.choice(letters) for _ in range(random.randint(1, 7))) for _ in range(n))
+    texts = {"a": [make("abcde", 60), make("abx", 20)], "x": [make("vwxyz", 50)], "é": [make("éèab", 40)]}
+    model = langid.fit([t for ts in texts.values() for t in ts], [g for g, ts in texts.items() for _ in ts])
+    words = [*make("abvwxéq", 60).split(), "a", "é", "zzzzzzzz"]
+    want = [[code_length(texts[g], w) for g in model.langs] for w in words]
+    assert np.allclose(model.bits([w.encode() for w in words]), want, atol=1e-3)
+
+
+def test_language_names_the_shortest_code(spark):
+    random.seed(6)
+    make = lambda letters, n: " ".join("".join(random.choice(letters) for _ in range(random.randint(1, 7))) for _ in range(n))
+    rows = [(i, make("abcde" if i % 2 else "cdefg", 12), "ab" if i % 2 else "fg") for i in range(60)]
+    # the documents of this language are all longer than what is learned of each
+    rows += [(60 + i, make("xyz", 20_000), "xy") for i in range(6)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learn = {g: [t[: langid.SAMPLE_CHARS] for d, t, x in rows if x == g and not is_held_out(d)] for g in ("ab", "fg", "xy")}
+    for d, text, _ in rows[:40]:
+        bits = {g: sum(code_length(learn[g], w) for w in text.split()) for g in ("ab", "fg")}
+        assert got[d].lang_pred == min(bits, key=bits.get)
+        assert abs(got[d].score - 1 / (1 + 2.0 ** (min(bits.values()) - max(bits.values())))) < 1e-3
+    assert {got[60 + i].lang_pred for i in range(6)} == {"xy"}
+
+
+def naive_score(model, text):
+    """A document's score by a loop over words, n-grams and runs."""
+    def bucket(data, n):
+        code = 0
+        for c in data:
+            code = (code * 0x100000001B3 + c + 1) % 2**64
+        return int(toxicity.mix64(np.array([(code + n) % 2**64], np.uint64))[0]) % toxicity.BUCKETS
+
+    values = []
+    for word in text.lower().encode().split():
+        bare = word.strip(toxicity._EDGE) or word
+        marked = b"<" + bare + b">"
+        bag = [bucket(marked[i : i + n], n) for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)]
+        bag.append(int(toxicity.mix64(np.array([zlib.crc32(marked) | zlib.adler32(marked) << 32], np.uint64))[0]) % toxicity.BUCKETS)
+        values.append(np.mean([model.weights[b] for b in bag]))
+    runs = [np.mean(values[i : i + toxicity.RUN]) for i in range(max(1, len(values) - toxicity.RUN + 1))] if values else [0.0]
+    return 1 / (1 + np.exp(-(model.bias + max(runs))))
+
+
+def test_scores_are_those_of_bags_and_runs(words):
+    rng, texts = np.random.default_rng(8), []
+    random.seed(9)
+    for n in (0, 1, 2, 3, 4, 5, 9, 40, 200):
+        texts.append(" ".join(random.choice(words) + random.choice(["", ",", "!", "É"]) for _ in range(n)))
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.5)
+    found = [toxicity.words_of(t) for t in texts]
+    got = model.scores(model.table(), [w for ws in found for w in ws], np.array([len(ws) for ws in found]))
+    assert np.allclose(got, [naive_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_sample_is_bounded_and_replaces_what_is_missing(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50)
+    monkeypatch.setattr(toxicity, "CLASS_CHARS", 400)
+    docs = [(i, ("w " * (10 if i % 3 else 100))[: 20 if i % 3 else 200]) for i in range(300)] + [(1, "w"), (2, None)]
+    labels = [(i, int(i % 2)) for i in range(600)] + [(5, None), (None, 1)]
+    rows = toxicity.sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", 15, 40).collect()
+    assert all(not is_held_out(r.key) and r.mark == r.key % 2 and r.key < 300 and r.key % 3 for r in rows)
+    assert sum(r.mark for r in rows) == 15 and sum(1 - r.mark for r in rows) == 20
 
 
 def test_language_edges(corpus, empty):
