@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.functions import text as T
 from rulewright.sources.staging import staged
 
 CUE = "V_"
@@ -33,8 +34,8 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
     A rule holds at most ``longest`` items, its answer among them, and at least ``least`` baskets
     have all of them. The search goes level by level: a basket passes to the next level with each
     itemset that is frequent with some answer, extended by a later item that is frequent itself.
+    ``transactions`` are read at each level, so stage them first.
     """
-    transactions = staged(transactions)
     found = []
     if empty:
         whole = transactions.agg(F.count(F.lit(1)).alias("n_items"))
@@ -50,18 +51,71 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
         found.append(both.filter(F.col("n_both") >= least).join(alone.drop("most"), "itemset").select("itemset", "answer", "n_items", "n_both"))
         if size + 1 < longest:
             going = level.join(alone.select("itemset"), "itemset")
-            more = items.select(key, "item")
-            level = going.join(more, key).filter(F.col("item") > F.element_at("itemset", -1)).select(key, "answer", F.concat("itemset", F.array("item")).alias("itemset"))
+            more = items.groupBy(key).agg(F.collect_list("item").alias("others"))
+            level = going.join(more, key).select(key, "answer", "itemset", F.explode(F.filter("others", lambda x: x > F.element_at("itemset", -1))).alias("item"))
+            level = level.select(key, "answer", F.concat("itemset", F.array("item")).alias("itemset"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.withColumn("confidence", F.col("n_both") / F.col("n_items")).filter(F.col("confidence") >= confidence)
 
 
-def ranked(mined: DataFrame) -> DataFrame:
-    """Adds rank: by confidence and support (n_items), both falling, then fewer items, answer and itemset."""
-    order = Window.orderBy(F.col("confidence").desc(), F.col("n_items").desc(), F.size("itemset"), "answer", "itemset")
-    return mined.withColumn("rank", F.row_number().over(order))
+#: The orders in which rules are ranked: by confidence and support, with different ties, or by support first.
+ORDERS = {
+    "items": lambda: [F.col("confidence").desc(), F.col("n_items").desc(), F.size("itemset"), "answer", "itemset"],
+    "name": lambda: [F.col("confidence").desc(), F.col("n_items").desc(), F.concat_ws(" ", "answer", F.array_join("itemset", " "))],
+    "length": lambda: [F.col("confidence").desc(), F.col("n_items").desc(), F.size("itemset").desc(), "itemset", "answer"],
+    "support": lambda: [F.col("n_items").desc(), F.col("confidence").desc(), "itemset", "answer"],
+}
+
+
+def ranked(mined: DataFrame, order: str = "items") -> DataFrame:
+    """Adds rank in one of ORDERS: confidence and support (n_items) falling, then by fewer items, by name or by more items; or support first."""
+    return mined.withColumn("rank", F.row_number().over(Window.orderBy(*ORDERS[order]())))
+
+
+def with_cue(mined: DataFrame) -> DataFrame:
+    """The rules that have a visual cue."""
+    return mined.filter(F.exists("itemset", lambda x: x.startswith(CUE)))
+
+
+def rule_rows(mined: DataFrame) -> DataFrame:
+    """Adds to rules text_keywords, visual_cues (without their mark) and trigger, the keywords joined by spaces."""
+    named = mined.withColumns({"text_keywords": keywords(F.col("itemset")), "visual_cues": F.transform(cues(F.col("itemset")), lambda x: F.substring(x, len(CUE) + 1, 1 << 30))})
+    return named.withColumn("trigger", F.array_join("text_keywords", " "))
+
+
+def answer_candidates(rows: DataFrame, key: str, text: str, answers: DataFrame, most: int = 16) -> DataFrame:
+    """(key, answer): the known answers that a text is or holds as a run of tokens, at most the ``most`` of least answer_id.
+
+    ``answers`` has answer and answer_id. Tokens are lower-case letters and digits, apostrophes stand
+    alone; runs are as long as the longest known answer has words.
+    """
+    plain = T.normalized_answer(F.col(text))
+    longest = answers.agg(F.coalesce(F.max(F.size(F.split("answer", " "))), F.lit(0)).alias("__most"))
+    tokens = rows.select(key, plain.alias("__plain"), F.regexp_extract_all(plain, F.lit("[a-z0-9]+|'"), F.lit(0)).alias("__w")).crossJoin(F.broadcast(longest))
+    none = F.array().cast("array<string>")
+    upto = lambda i: F.least(F.col("__most"), F.size("__w") - i + 1)
+    at = lambda i: F.when(upto(i) > 0, F.transform(F.sequence(F.lit(1), upto(i)), lambda n: F.array_join(F.slice("__w", i, n), " "))).otherwise(none)
+    runs = F.when(F.size("__w") > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size("__w")), at))).otherwise(none)
+    said = tokens.select(key, F.explode(F.array_distinct(F.concat(F.array("__plain"), runs))).alias("answer"))
+    found = said.join(answers.select("answer", "answer_id"), "answer").groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("answer_id", "answer"))), 1, most).alias("__found"))
+    return found.select(key, F.explode("__found").alias("x")).select(key, F.col("x.answer").alias("answer"))
+
+
+def lowest_keywords(rows: DataFrame, key: str, tokens: str, known: DataFrame, most: int = 64) -> DataFrame:
+    """(key, keywords): the known tokens of each row, at most the ``most`` of least keyword_id, in that order.
+
+    ``known`` has keyword and keyword_id. Rows without a known token are left out.
+    """
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("keyword")).join(known.select("keyword", "keyword_id"), "keyword")
+    sets = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("keyword_id", "keyword"))), 1, most).alias("x"))
+    return sets.select(key, F.transform("x", lambda k: k["keyword"]).alias("keywords"))
+
+
+def with_candidates(transactions: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """A basket for each answer candidate: (key, items, answer), for ``match_any_cue``."""
+    return transactions.drop("answer").join(candidates.select(key, "answer"), key)
 
 
 def _subsets(itemset: Column, size: int) -> Column:
@@ -98,36 +152,52 @@ def keywords(itemset: Column) -> Column:
     return F.filter(itemset, lambda x: ~x.startswith(CUE))
 
 
+def _anchored(split: DataFrame, items: str, counts: DataFrame) -> DataFrame:
+    """Adds item, the one of a rule's ``items`` that the fewest baskets have (ties by name); rules without any are left out."""
+    parts = split.select("rank", F.explode(items).alias("item")).join(counts, "item", "left")
+    return split.join(parts.groupBy("rank").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "item"))["item"].alias("item")), "rank")
+
+
 def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: bool = False) -> DataFrame:
     """(key, rank) of the best rule of each basket: its answer, any of its cues and all its keywords are there.
 
-    Rules without cues match nothing, or with ``bare`` by their keywords alone. Cue and answer are
-    the join's key; the number of keywords that are met is compared in the join's condition.
+    Rules without cues match nothing, or with ``bare`` by their keywords alone. A basket meets a
+    rule by its answer and a cue, or by its answer and the rule's rarest keyword; of the rules
+    that have neither cue nor keyword only the best of each answer can be a basket's best.
     """
     split = mined.select("rank", "answer", cues(F.col("itemset")).alias("cues"), keywords(F.col("itemset")).alias("words"))
     own = transactions.select(key, "answer", "items")
+    fits = F.size(F.array_except("words", "items")) == 0
     by_cue = own.withColumn("cue", F.explode(cues(F.col("items")))).join(split.withColumn("cue", F.explode("cues")), ["answer", "cue"])
-    met = by_cue.filter(F.size(F.array_except("words", "items")) == 0).select(key, "rank")
+    met = by_cue.filter(fits).groupBy(key).agg(F.min("rank").alias("rank"))
     if bare:
-        plain = own.join(split.filter(F.size("cues") == 0), "answer")
-        met = met.unionByName(plain.filter(F.size(F.array_except("words", "items")) == 0).select(key, "rank"))
+        plain = split.filter(F.size("cues") == 0).drop("cues")
+        worded = _anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions))
+        by_word = own.withColumn("item", F.explode(keywords(F.col("items")))).join(worded, ["answer", "item"]).filter(fits)
+        best = plain.filter(F.size("words") == 0).groupBy("answer").agg(F.min("rank").alias("rank"))
+        met = met.unionByName(by_word.groupBy(key).agg(F.min("rank").alias("rank"))).unionByName(own.join(best, "answer").select(key, "rank"))
     return met.groupBy(key).agg(F.min("rank").alias("rank"))
 
 
-def match_all_items(transactions: DataFrame, mined: DataFrame, key: str) -> DataFrame:
+def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue: bool = False) -> DataFrame:
     """(key, rank, correct) of all rules whose items all stand in the basket; an empty itemset is in every basket.
 
-    Rules are found by their rarest item (ties by name), so that a basket meets few rules.
+    With ``any_cue`` all keywords and, where a rule has cues, any one of them are enough. Rules are
+    found by their rarest item (ties by name), or by their rarest keyword, so that a basket meets few rules.
     """
-    counts = item_counts(transactions)
-    parts = mined.select("rank", F.explode("itemset").alias("item")).join(counts, "item", "left")
-    anchors = parts.groupBy("rank").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "item"))["item"].alias("item"))
     known = mined.select("rank", "itemset", F.col("answer").alias("consequent"))
-    by_item = transactions.select(key, "answer", "items", F.explode("items").alias("item")).join(known.join(anchors, "rank"), "item")
-    met = by_item.filter(F.size(F.array_except("itemset", "items")) == 0)
-    always = transactions.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
     columns = [key, "rank", (F.col("answer") == F.col("consequent")).alias("correct")]
-    return met.select(*columns).unionByName(always.select(*columns))
+    own = transactions.select(key, "answer", "items")
+    each = own.withColumn("item", F.explode("items"))
+    always = own.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
+    if not any_cue:
+        met = each.join(_anchored(known, "itemset", item_counts(transactions)), "item").filter(F.size(F.array_except("itemset", "items")) == 0)
+        return met.select(*columns).unionByName(always.select(*columns))
+    split = known.withColumns({"cues": cues(F.col("itemset")), "words": keywords(F.col("itemset"))})
+    fits = (F.size(F.array_except("words", "items")) == 0) & ((F.size("cues") == 0) | F.arrays_overlap("cues", "items"))
+    worded = each.join(_anchored(split.filter(F.size("words") > 0), "words", item_counts(transactions)), "item").filter(fits).select(*columns)
+    by_cue = each.join(split.filter((F.size("words") == 0) & (F.size("cues") > 0)).withColumn("item", F.explode("cues")), "item").select(*columns).distinct()
+    return worded.unionByName(by_cue).unionByName(always.select(*columns))
 
 
 def dilution(matches: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
@@ -135,3 +205,15 @@ def dilution(matches: DataFrame, groups: DataFrame, key: str, group: str) -> Dat
     rows = matches.join(groups.select(key, F.col(group).alias("group")), key)
     counted = rows.groupingSets([["rank", "group"], ["rank"]], "rank", "group").agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
     return counted.select("rank", "group", "active", "positive")
+
+
+def match_stages(transactions: DataFrame, mined: DataFrame, key: str) -> DataFrame:
+    """(key, stage): how far each basket comes: ``no answer`` with rules, ``no candidate`` by a cue, ``no match``, or ``matched``."""
+    known = mined.select("answer").distinct().withColumn("__known", F.lit(True))
+    pairs = mined.select("answer", F.explode(cues(F.col("itemset"))).alias("cue")).distinct()
+    own = transactions.select(key, "answer", F.explode(cues(F.col("items"))).alias("cue"))
+    cued = own.join(pairs, ["answer", "cue"], "left_semi").select(key).distinct().withColumn("__cued", F.lit(True))
+    met = match_any_cue(transactions, mined, key).select(key, F.lit(True).alias("__met"))
+    told = transactions.select(key, "answer").join(known, "answer", "left").join(cued, key, "left").join(met, key, "left")
+    stage = F.when(F.col("__known").isNull(), "no answer").when(F.col("__cued").isNull(), "no candidate").when(F.col("__met").isNull(), "no match").otherwise("matched")
+    return told.select(key, stage.alias("stage"))

@@ -9,7 +9,7 @@ from rulewright.operators import images as M
 from rulewright.operators import mining
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import _GRID, BOXES_SQL, SIDE, grids, part_boxes
-from rulewright.plans.mining import _RULES, order_baskets, order_rules
+from rulewright.plans.mining import _RULES, baskets_and_rules
 from rulewright.sources.tables import table
 
 
@@ -120,11 +120,5 @@ def i12_token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CASE WHEN answers = 0 THEN 'no answer' WHEN cued = 0 THEN 'no candidate' WHEN met = 0 THEN 'no match' ELSE 'matched' END AS stage, count(*) AS n FROM s GROUP BY 1""")
 def q8_match_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the orders come in matching: an answer with rules, a candidate by a cue, a match."""
-    own, mined = order_baskets(spark, sf_dir), order_rules(spark, sf_dir)
-    known = mined.select("answer").distinct().withColumn("known", F.lit(True))
-    pairs = mined.select("answer", F.explode(mining.cues(F.col("itemset"))).alias("cue")).distinct()
-    cued = own.select("o_orderkey", "answer", F.explode(mining.cues(F.col("items"))).alias("cue")).join(pairs, ["answer", "cue"], "left_semi").select("o_orderkey").distinct().withColumn("cued", F.lit(True))
-    met = mining.match_any_cue(own, mined, "o_orderkey")
-    told = own.select("o_orderkey", "answer").join(known, "answer", "left").join(cued, "o_orderkey", "left").join(met, "o_orderkey", "left")
-    stage = F.when(F.col("known").isNull(), "no answer").when(F.col("cued").isNull(), "no candidate").when(F.col("rank").isNull(), "no match").otherwise("matched")
-    return told.select(stage.alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    own, rules = baskets_and_rules(spark, sf_dir)
+    return mining.match_stages(own, rules, "o_orderkey").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))

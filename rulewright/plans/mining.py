@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.operators import mining
+from rulewright.operators import corpus, mining
 from rulewright.plans.catalog import query
+from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
 
 LEAST, LONGEST, CONFIDENCE = 25, 3, 0.2
@@ -19,8 +20,15 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.baskets(items, table(spark, sf_dir, "orders"), "o_orderkey", answer="o_orderpriority")
 
 
-def order_rules(spark: SparkSession, sf_dir: str, empty: bool = True) -> DataFrame:
-    return mining.ranked(mining.rules(order_baskets(spark, sf_dir), "o_orderkey", LEAST, LONGEST, CONFIDENCE, empty))
+def order_rules(own: DataFrame, empty: bool = True) -> DataFrame:
+    """The ranked rules of staged baskets."""
+    return mining.ranked(mining.rules(own, "o_orderkey", LEAST, LONGEST, CONFIDENCE, empty))
+
+
+def baskets_and_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The baskets and their rules, each computed once."""
+    own = staged(order_baskets(spark, sf_dir))
+    return own, staged(order_rules(own))
 
 
 _ITEMS = """
@@ -63,13 +71,13 @@ _SELECT = "SELECT array_to_string(itemset, '|') AS itemset, answer, n_items, n_b
 @query(_RULES + _SELECT + "r")
 def q1_rule_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with support and confidence, ranked."""
-    return _rows(order_rules(spark, sf_dir))
+    return _rows(order_rules(staged(order_baskets(spark, sf_dir))))
 
 
 @query(_PRUNED + _SELECT + "p")
 def q2_rule_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules without redundant supersets."""
-    return _rows(mining.without_redundant(order_rules(spark, sf_dir), LONGEST))
+    return _rows(mining.without_redundant(baskets_and_rules(spark, sf_dir)[1], LONGEST))
 
 
 @query("WITH" + _ITEMS + " SELECT item, count(*) AS n FROM t GROUP BY item HAVING count(*) >= 100 ORDER BY n DESC, item LIMIT 20")
@@ -87,13 +95,13 @@ _ANY = "len(list_filter(r.itemset, lambda i: starts_with(i, 'V_') AND list_conta
 @query(_RULES + _MATCH.format(cues=_ANY))
 def q4_match_any_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rule of each order, by any cue and all keywords."""
-    return mining.match_any_cue(order_baskets(spark, sf_dir), order_rules(spark, sf_dir), "o_orderkey")
+    return mining.match_any_cue(*baskets_and_rules(spark, sf_dir), "o_orderkey")
 
 
 @query(_RULES + _MATCH.format(cues=f"({_ANY} OR len(list_filter(r.itemset, lambda i: starts_with(i, 'V_'))) = 0)"))
 def q5_match_bare_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rule of each order, rules without cues included."""
-    return mining.match_any_cue(order_baskets(spark, sf_dir), order_rules(spark, sf_dir), "o_orderkey", bare=True)
+    return mining.match_any_cue(*baskets_and_rules(spark, sf_dir), "o_orderkey", bare=True)
 
 
 _ALL = """, o AS (SELECT k, answer, list(item) AS items FROM t GROUP BY ALL),
@@ -103,8 +111,8 @@ _ALL = """, o AS (SELECT k, answer, list(item) AS items FROM t GROUP BY ALL),
 @query(_PRUNED + _ALL + " SELECT rank, count(*) AS active, sum(correct::INT)::BIGINT AS positive FROM hit GROUP BY rank")
 def q6_match_all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that hold all items of a pruned rule, and those of them with its answer."""
-    kept = mining.without_redundant(order_rules(spark, sf_dir), LONGEST)
-    hits = mining.match_all_items(order_baskets(spark, sf_dir), kept, "o_orderkey")
+    own, rules = baskets_and_rules(spark, sf_dir)
+    hits = mining.match_all_items(own, mining.without_redundant(rules, LONGEST), "o_orderkey")
     return hits.groupBy("rank").agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
 
 
@@ -120,8 +128,8 @@ def q6_match_all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q7_rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active and correct orders and the lift of each pruned rule, by order status and in all."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    own = order_baskets(spark, sf_dir)
-    kept = mining.without_redundant(order_rules(spark, sf_dir), LONGEST)
+    own, rules = baskets_and_rules(spark, sf_dir)
+    kept = mining.without_redundant(rules, LONGEST)
     counted = mining.dilution(mining.match_all_items(own, kept, "o_orderkey"), orders, "o_orderkey", "o_orderstatus")
     base = own.join(orders, "o_orderkey").groupingSets([["answer", "o_orderstatus"], ["answer"], ["o_orderstatus"], []], "answer", "o_orderstatus").agg(
         F.grouping("answer").alias("of_all"), F.count(F.lit(1)).alias("n")
@@ -131,3 +139,87 @@ def q7_rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = counted.join(kept.select("rank", "answer"), "rank").join(share.select(F.col("answer").alias("a"), "d", "n", "of"), (F.col("answer") == F.col("a")) & F.col("group").eqNullSafe(F.col("d")))
     return rows.select("rank", F.col("group").alias("dataset"), "active", "positive", F.round(F.col("positive") / F.col("active") / (F.col("n") / F.col("of")), 6).alias("lift"))
+
+
+@query(
+    _PRUNED
+    + """, o AS (SELECT k, answer, list(item) AS items FROM t GROUP BY ALL), xs AS (SELECT rank, answer, list_filter(itemset, lambda i: starts_with(i, 'V_')) AS cues, list_filter(itemset, lambda i: NOT starts_with(i, 'V_')) AS words FROM p),
+    hit AS (SELECT xs.rank, xs.answer = o.answer AS correct FROM xs JOIN o ON len(list_filter(xs.words, lambda i: NOT list_contains(o.items, i))) = 0 AND (len(xs.cues) = 0 OR list_has_any(xs.cues, o.items)))
+    SELECT rank, count(*) AS active, sum(correct::INT)::BIGINT AS positive FROM hit GROUP BY rank"""
+)
+def q9_match_keywords_any_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in which a pruned rule is active by all its keywords and any of its cues."""
+    own, rules = baskets_and_rules(spark, sf_dir)
+    hits = mining.match_all_items(own, mining.without_redundant(rules, LONGEST), "o_orderkey", any_cue=True)
+    return hits.groupBy("rank").agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
+
+
+_NAMED = """, z AS (SELECT *, list_transform(list_filter(itemset, lambda i: starts_with(i, 'V_')), lambda i: i[3:]) AS cues, list_filter(itemset, lambda i: NOT starts_with(i, 'V_')) AS words FROM m)
+    SELECT array_to_string(words, '|') AS text_keywords, array_to_string(cues, '|') AS visual_cues, array_to_string(words, ' ') AS trigger, answer,
+      row_number() OVER (ORDER BY confidence DESC, n_items DESC, len(itemset), answer, itemset)::INT AS by_items, row_number() OVER (ORDER BY confidence DESC, n_items DESC, answer || ' ' || array_to_string(itemset, ' '))::INT AS by_name,
+      row_number() OVER (ORDER BY confidence DESC, n_items DESC, len(itemset) DESC, itemset, answer)::INT AS by_length, row_number() OVER (ORDER BY n_items DESC, confidence DESC, itemset, answer)::INT AS by_support FROM z WHERE len(cues) > 0"""
+
+
+@query(_RULES + _NAMED)
+def q10_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with a cue, their parts by name, and their rank in each of the four orders."""
+    rows = mining.rule_rows(mining.with_cue(baskets_and_rules(spark, sf_dir)[1].drop("rank")))
+    for name in mining.ORDERS:
+        rows = mining.ranked(rows, name).withColumnRenamed("rank", f"by_{name}")
+    return rows.select(F.array_join("text_keywords", "|").alias("text_keywords"), F.array_join("visual_cues", "|").alias("visual_cues"), "trigger", "answer", *[f"by_{n}" for n in mining.ORDERS])
+
+
+_SPOKEN = """w AS (SELECT p_partkey, lower(p_name) || chr(39) || 's ' || lower(p_type) || ' ' || p_partkey % 30 AS text FROM part),
+    a AS (SELECT answer, row_number() OVER (ORDER BY answer DESC) AS answer_id FROM (SELECT DISTINCT lower(p_name) AS answer FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT (p_partkey % 30)::VARCHAR FROM part UNION SELECT DISTINCT string_split(lower(p_name), ' ')[2] FROM part UNION SELECT 's ' || lower(p_type) FROM part)),
+    x AS (SELECT p_partkey, regexp_extract_all(text, '[a-z0-9]+|' || chr(39)) AS l FROM w), n AS (SELECT unnest(range(1, 3)) AS n),
+    g AS (SELECT DISTINCT p_partkey, array_to_string(l[i:i + n - 1], ' ') AS answer FROM (SELECT p_partkey, l, unnest(range(1, len(l) + 1)) AS i FROM x), n WHERE i + n - 1 <= len(l)),
+    c AS (SELECT p_partkey, answer FROM g JOIN a USING (answer) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY answer_id) <= 3)"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, low = table(spark, sf_dir, "part"), lambda c: F.lower(c)
+    texts = part.select("p_partkey", F.concat(low("p_name"), F.lit("'s "), low("p_type"), F.lit(" "), (F.col("p_partkey") % 30).cast("string")).alias("text"))
+    words = [low("p_type"), (F.col("p_partkey") % 30).cast("string"), F.get(F.split(low("p_name"), " "), F.lit(1)), F.concat(F.lit("s "), low("p_type"))]
+    answers = part.filter("p_partkey % 2 = 0").select(low("p_name").alias("answer"))
+    for w in words:
+        answers = answers.unionByName(part.select(w.alias("answer")))
+    return texts, corpus.numbered(answers.distinct(), [F.col("answer").desc()], "answer_id", 1)
+
+
+@query("WITH " + _SPOKEN + " SELECT p_partkey, answer FROM c")
+def q11_answer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known answers within texts, at most three of each: the limit is the feature."""
+    texts, answers = _spoken(spark, sf_dir)
+    return mining.answer_candidates(texts, "p_partkey", "text", answers, 3)
+
+
+@query(
+    _RULES
+    + """, s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) ELSE 'maybe ' || lower(o_orderpriority) || ' or 2-high' END AS text FROM orders),
+    a AS (SELECT answer, lower(regexp_replace(answer, '-', ' ')) AS said, lower(answer) AS plain FROM (SELECT DISTINCT answer FROM r)),
+    c AS (SELECT s.o_orderkey, a.answer FROM s JOIN a ON s.text = a.plain OR contains(' ' || array_to_string(regexp_extract_all(s.text, '[a-z0-9]+'), ' ') || ' ', ' ' || a.said || ' ')),
+    o AS (SELECT k, list(item) AS items FROM t GROUP BY k)
+    SELECT c.o_orderkey, min(r.rank) AS rank FROM c JOIN o ON o.k = c.o_orderkey JOIN r ON r.answer = c.answer AND len(list_filter(r.itemset, lambda i: NOT starts_with(i, 'V_') AND NOT list_contains(o.items, i))) = 0
+    WHERE len(list_filter(r.itemset, lambda i: starts_with(i, 'V_') AND list_contains(o.items, i))) > 0 GROUP BY 1"""
+)
+def q12_match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rule of each order whose answer is, or stands within, the order's text."""
+    own, rules = baskets_and_rules(spark, sf_dir)
+    low = F.lower("o_orderpriority")
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, low).otherwise(F.concat(F.lit("maybe "), low, F.lit(" or 2-high"))).alias("text"))
+    answers = corpus.numbered(rules.select(F.col("answer").alias("name")).distinct(), [F.col("name")], "answer_id", 1)
+    said = answers.select("answer_id", "name", F.explode(F.array(F.lower("name"), F.lower(F.regexp_replace("name", "-", " ")))).alias("answer"))
+    found = mining.answer_candidates(texts, "o_orderkey", "text", said).join(said.select("answer", "name"), "answer").select("o_orderkey", F.col("name").alias("answer")).distinct()
+    return mining.match_any_cue(mining.with_candidates(own, found, "o_orderkey"), rules, "o_orderkey")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS keyword FROM documents), k AS (SELECT keyword, row_number() OVER (ORDER BY count(*) DESC, keyword) AS id FROM w GROUP BY keyword HAVING count(*) >= 20),
+    c AS (SELECT doc_id, keyword, id FROM w JOIN k USING (keyword) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY id) <= 64)
+    SELECT doc_id, count(*)::INT AS n, arg_max(keyword, id) AS last FROM c GROUP BY doc_id""")
+def q13_lowest_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 most frequent known words of each document: the limit is the feature."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("items"))
+    counts = mining.vocabulary(mining.item_counts(rows), 20)
+    known = corpus.numbered(counts, [F.col("n").desc(), F.col("item")], "keyword_id", 1).select(F.col("item").alias("keyword"), "keyword_id")
+    found = mining.lowest_keywords(rows, "doc_id", "items", known)
+    return found.select("doc_id", F.size("keywords").alias("n"), F.element_at("keywords", -1).alias("last"))
