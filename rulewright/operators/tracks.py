@@ -1,27 +1,72 @@
-"""Greedy and optimal choices within small groups: suppression, assignment, tracking scores.
+"""Overlaps of boxes by joins, and the choices among them that need an order or an optimum.
 
-Each group (an image, a frame, a video) is one call of a pandas function; groups are the unit that
-Spark deals out, and each is as large as one image or video has boxes.
+Which boxes overlap is found by a join; boxes that overlap no other never leave Spark's expressions.
+Only the overlapping pairs of a group (an image, a frame) go to Python, many groups in one batch, and
+within a group each connected set of pairs is settled by itself. All sums over frames, tracks
+and videos are aggregates.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.sources.staging import staged
+
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, of_smaller: bool = False) -> np.ndarray:
-    """IoU of each box of ``a`` with each of ``b``, or the intersection over the smaller area."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    both = np.clip(w, 0, None) * np.clip(h, 0, None)
-    one, two = ((x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b))
-    whole = np.minimum(one[:, None], two[None, :]) if of_smaller else one[:, None] + two[None, :] - both
-    return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0)
+def overlapping(a: DataFrame, b: DataFrame, group: list[str], of_smaller: bool = False, cell: float | None = None) -> DataFrame:
+    """(group, a, b, iou) of the boxes (group, id, x0, y0, x1, y1) of two tables that share area in one group.
+
+    ``of_smaller`` divides by the smaller area. In groups with very many boxes ``cell``, the side of a grid's
+    cells, joins by group and cell, and a pair counts in the cell of its common part's corner.
+    """
+    sides = []
+    for rows, mark in ((a, "a"), (b, "b")):
+        side = rows.select(*group, F.col("id").alias(mark), *[F.col(c).cast("double").alias(f"{mark}_{c}") for c in BOX])
+        if cell:
+            at = {k: F.explode(F.sequence(F.floor(F.col(f"{mark}_{k}0") / cell), F.floor(F.col(f"{mark}_{k}1") / cell))) for k in "xy"}
+            side = side.withColumn("__cx", at["x"]).withColumn("__cy", at["y"])
+        sides.append(side)
+    low, high = (lambda c: F.greatest(f"a_{c}", f"b_{c}")), (lambda c: F.least(f"a_{c}", f"b_{c}"))
+    pairs = sides[0].join(sides[1], [*group, "__cx", "__cy"] if cell else group)
+    if cell:
+        pairs = pairs.filter((F.floor(low("x0") / cell) == F.col("__cx")) & (F.floor(low("y0") / cell) == F.col("__cy")))
+    w, h = high("x1") - low("x0"), high("y1") - low("y0")
+    size = {m: (F.col(f"{m}_x1") - F.col(f"{m}_x0")) * (F.col(f"{m}_y1") - F.col(f"{m}_y0")) for m in "ab"}
+    whole = F.least(size["a"], size["b"]) if of_smaller else size["a"] + size["b"] - w * h
+    return pairs.filter((w > 0) & (h > 0)).select(*group, "a", "b", F.try_divide(w * h, whole).alias("iou"))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by ``keys``, cut anew so that no group lies in two of them."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        held = batch if held is None else pd.concat((held, batch), ignore_index=True)
+        same = (held[keys] == held[keys].iloc[-1]).all(axis=1).to_numpy()
+        start = int(np.argmax(same))
+        if start:
+            yield held.iloc[:start]
+            held = held.iloc[start:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def by_groups(rows: DataFrame, keys: list[str], order: list[Column], each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``each`` of blocks of whole groups, sorted by keys and order: many small groups share one call."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in whole_groups(batches, keys):
+            yield each(block)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,42 +106,105 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], columns[order]
 
 
-def suppressed(boxes: DataFrame, group: str, key: str, most: float, at_most: bool = True, of_smaller: bool = False) -> DataFrame:
+def chosen_pairs(group: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the sparse pairs are in their group's one-to-one assignment of most total weight.
+
+    Pairs whose ends meet no other pair are taken at once; each other connected set is a small dense problem.
+    """
+    ends = [np.unique(np.stack((group, x), axis=1), axis=0, return_inverse=True, return_counts=True) for x in (a, b)]
+    (_, ia, na), (_, ib, nb) = ends
+    ia, ib = ia.reshape(-1), ib.reshape(-1)
+    chosen = (na[ia] == 1) & (nb[ib] == 1)
+    open_ = np.flatnonzero(~chosen)
+    if not len(open_):
+        return chosen
+    # connected sets: the least pair number spreads over both ends until nothing changes
+    label = open_.copy()
+    while True:
+        new = label
+        for index in (ia[open_], ib[open_]):
+            least = np.full(index.max() + 1, len(a))
+            np.minimum.at(least, index, new)
+            new = least[index]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        rows = open_[part]
+        ua, x = np.unique(ia[rows], return_inverse=True)
+        ub, y = np.unique(ib[rows], return_inverse=True)
+        gain = np.zeros((len(ua), len(ub)))
+        gain[x, y] = weight[rows]
+        row, column = assignment(-gain)
+        taken = np.zeros(gain.shape, bool)
+        taken[row, column] = True
+        chosen[rows] = taken[x, y]
+    return chosen
+
+
+def assigned(pairs: DataFrame, group: list[str], weight: str = "iou") -> DataFrame:
+    """The pairs (group, a, b, ...) of each group's one-to-one assignment of most total ``weight``; pairs not listed weigh 0."""
+    fields = pairs.schema
+
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        codes = block.groupby(group, sort=False).ngroup().to_numpy()
+        return block[chosen_pairs(codes, block["a"].to_numpy(), block["b"].to_numpy(), block[weight].to_numpy(float))]
+
+    return by_groups(pairs, group, [F.col("a"), F.col("b")], each, fields)
+
+
+def suppressed(boxes: DataFrame, group: str, key: str, most: float, at_most: bool = True, of_smaller: bool = False, cell: float | None = None) -> DataFrame:
     """(group, key) of the boxes that stay: from the best score down (ties by key), one that overlaps none kept too much.
 
     ``at_most`` keeps an overlap equal to ``most``; without it such a box goes. ``of_smaller``
-    compares the intersection over the smaller area.
+    compares the intersection over the smaller area; ``cell`` is as for ``overlapping``.
     """
+    return suppressed_pairs(boxes, overlapping(*[boxes.withColumnRenamed(key, "id")] * 2, [group], of_smaller, cell), group, key, most, at_most)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", key], ascending=[False, True])
-        shared = overlaps(*[pdf[BOX].to_numpy(float)] * 2, of_smaller)
-        too_much = shared > most if at_most else shared >= most
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not too_much[i, kept].any():
-                kept.append(i)
-        return pdf.iloc[kept][[group, key]]
 
-    rows = boxes.select(F.col(group).cast("long"), F.col(key).cast("long"), F.col("score").cast("double"), *[F.col(c).cast("double") for c in BOX])
-    return rows.groupBy(group).applyInPandas(run, f"{group} long, {key} long")
+def suppressed_pairs(rows: DataFrame, pairs: DataFrame, group: str, key: str, most: float, at_most: bool = True) -> DataFrame:
+    """As ``suppressed`` from given overlaps (group, a, b, iou) of boxes, masks or tracks, each pair in any or both orders."""
+    both = pairs.select(group, "a", "b", "iou").unionByName(pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "iou")).filter("a <> b")
+    score = rows.select(group, F.col(key).alias("a"), F.col("score").cast("double").alias("sa"))
+    other = score.select(group, F.col("a").alias("b"), F.col("sa").alias("sb"))
+    too_much = F.col("iou") > most if at_most else F.col("iou") >= most
+    better = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a")))
+    beaten = both.filter(too_much).join(score, [group, "a"]).join(other, [group, "b"]).filter(better)
+    beaten = beaten.select(F.col(group).cast("long").alias(group), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "sa").distinct()
 
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        gone: set[tuple[int, int]] = set()
+        for g, a, b in zip(block[group], block["a"], block["b"], strict=True):
+            # boxes come from the best score down, so those that beat this one are settled
+            if (g, b) not in gone:
+                gone.add((g, a))
+        return pd.DataFrame(sorted(gone), columns=[group, key])
 
-def matched(truth: DataFrame, found: DataFrame, group: str, least: float) -> DataFrame:
+    dropped = by_groups(beaten, [group], [F.col("sa").desc(), F.col("a")], each, f"{group} long, {key} long")
+    return rows.select(F.col(group).cast("long").alias(group), F.col(key).cast("long").alias(key)).join(dropped, [group, key], "left_anti")
+
+
+def matched(truth: DataFrame, found: DataFrame, group: str, least: float, cell: float | None = None) -> DataFrame:
     """(group, truth_id, found_id, iou): the one-to-one matching of most total IoU in each group, pairs under ``least`` left out."""
+    pairs = assigned(overlapping(truth, found, [group], cell=cell), [group]).filter(F.col("iou") >= least)
+    return pairs.select(group, F.col("a").alias("truth_id"), F.col("b").alias("found_id"), "iou")
+
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({group: [], "truth_id": [], "found_id": [], "iou": []})
-        a, b = a.sort_values("id"), b.sort_values("id")
-        shared = overlaps(a[BOX].to_numpy(float), b[BOX].to_numpy(float))
-        rows, columns = assignment(-shared)
-        good = shared[rows, columns] >= least
-        rows, columns = rows[good], columns[good]
-        return pd.DataFrame({group: a[group].iloc[0], "truth_id": a["id"].to_numpy()[rows], "found_id": b["id"].to_numpy()[columns], "iou": shared[rows, columns]})
+def associated(detections: DataFrame, pairs: DataFrame, tracks: DataFrame, group: str, least: float, least_track: float, new_score: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New detections, unmatched tracks, and all (detection, track) pairs of at least ``least``, from overlaps (group, a, b, iou).
 
-    sides = [x.select(F.col(group).cast("long"), F.col("id").cast("long"), *[F.col(c).cast("double") for c in BOX]) for x in (truth, found)]
-    return sides[0].groupBy(group).cogroup(sides[1].groupBy(group)).applyInPandas(run, f"{group} long, truth_id long, found_id long, iou double")
+    A detection (a) is new if it overlaps no track by ``least`` and scores ``new_score`` or more; a track (b) is
+    unmatched if the best one-to-one assignment gives it no detection with ``least_track``. A group
+    without tracks has all its detections as new, whatever they score; one without detections has no unmatched tracks.
+    """
+    close = pairs.filter(F.col("iou") >= least).select(group, "a", "b")
+    has = lambda rows, name: rows.select(group).distinct().withColumn(name, F.lit(True))
+    open_ = detections.join(close.select(group, F.col("a").alias("id")).distinct(), [group, "id"], "left_anti").join(has(tracks, "__tracks"), group, "left")
+    new = open_.filter(F.col("__tracks").isNull() | (F.col("score") >= new_score)).select(group, "id")
+    met = assigned(pairs, [group]).filter(F.col("iou") >= least_track).select(group, F.col("b").alias("id"))
+    lost = tracks.join(has(detections, "__any"), group, "left_semi").join(met, [group, "id"], "left_anti").select(group, "id")
+    return new, lost, close
 
 
 def track_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -116,56 +224,162 @@ def track_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("video", "truth_track", "found_track", (F.col("shared") / (F.col("truth_area") + F.col("found_area") - F.col("shared"))).alias("iou"))
 
 
-ALPHAS = np.arange(0.05, 0.99, 0.05)
+def mean_track_area(areas: Column) -> Column:
+    """The mean of a track's areas by frame, null and zero ones left out; 0 if none is left."""
+    some = F.filter(areas, lambda x: x.isNotNull() & (x != 0))
+    return F.coalesce(F.try_divide(F.aggregate(some, F.lit(0.0), lambda n, x: n + x), F.size(some)), F.lit(0.0))
 
 
-def _hota(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Detection and association counts of one video at each threshold."""
-    truth, found = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    ids = [{t: i for i, t in enumerate(sorted(x["track"].unique()))} for x in (truth, found)]
-    n, m = len(ids[0]), len(ids[1])
-    counts = [x["track"].map(k).value_counts().reindex(range(len(k)), fill_value=0).to_numpy(float) for x, k in zip((truth, found), ids, strict=True)]
-    frames, potential = [], np.zeros((n, m))
-    of_frame = {f: x for f, x in found.groupby("frame")}
-    for frame, a in truth.groupby("frame"):
-        b = of_frame.get(frame)
-        if b is None:
-            continue
-        shared = overlaps(a[BOX].to_numpy(float), b[BOX].to_numpy(float))
-        ia, ib = a["track"].map(ids[0]).to_numpy(), b["track"].map(ids[1]).to_numpy()
-        union = shared.sum(0)[None, :] + shared.sum(1)[:, None] - shared
-        potential[np.ix_(ia, ib)] += np.divide(shared, union, out=np.zeros_like(shared), where=union > 1e-12)
-        frames.append((ia, ib, shared))
-    whole = counts[0][:, None] + counts[1][None, :] - potential
-    aligned = np.divide(potential, whole, out=np.zeros_like(potential), where=whole > 0)
-    tp, loc, met = np.zeros(len(ALPHAS)), np.zeros(len(ALPHAS)), np.zeros((len(ALPHAS), n, m))
-    for ia, ib, shared in frames:
-        rows, columns = assignment(-(aligned[np.ix_(ia, ib)] * shared))
-        value = shared[rows, columns]
-        for k, alpha in enumerate(ALPHAS):
-            good = value >= alpha - 1e-12
-            tp[k] += good.sum()
-            loc[k] += value[good].sum()
-            np.add.at(met[k], (ia[rows[good]], ib[columns[good]]), 1)
-    union = np.maximum(counts[0][None, :, None] + counts[1][None, None, :] - met, 1)
-    association = (met * met / union).sum(axis=(1, 2))
-    return pd.DataFrame({"video": pdf["video"].iloc[0], "step": range(len(ALPHAS)), "tp": tp, "fn": len(truth) - tp, "fp": len(found) - tp, "association": association, "located": loc})
+#: Thresholds of tracking scores, by step from 0: 0.05 to 0.95.
+STEPS = 19
+
+
+def _threshold(step: Column) -> Column:
+    return (step + 1) * 0.05
+
+
+def aligned_matches(truth: DataFrame, found: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frames' matches (groups, frame, a, b, iou), and the number of frames of each truth track (na) and found track (nb).
+
+    Tracks are aligned over all frames first: a pair's IoU in a frame counts by its share of all that
+    its two boxes overlap there, and the sum, over the frames that either track has, is the
+    alignment. In each frame the assignment of most alignment times IoU is chosen. ``groups`` are columns of truth;
+    of them found has video.
+    """
+    pairs = overlapping(truth.withColumnRenamed("track", "id"), found.withColumnRenamed("track", "id"), ["video", "frame"])
+    more = [c for c in groups if c != "video"]
+    if more:
+        pairs = pairs.join(truth.select("video", "frame", F.col("track").alias("a"), *more), ["video", "frame", "a"])
+    of = lambda side: F.sum("iou").over(Window.partitionBy(*groups, "frame", side))
+    pairs = staged(pairs.withColumn("share", F.col("iou") / (of("a") + of("b") - F.col("iou"))))
+    na = truth.groupBy(*groups, F.col("track").alias("a")).agg(F.count(F.lit(1)).alias("na"))
+    nb = found.groupBy("video", F.col("track").alias("b")).agg(F.count(F.lit(1)).alias("nb"))
+    met = pairs.groupBy(*groups, "a", "b").agg(F.sum("share").alias("s")).join(na, [*groups, "a"]).join(nb, ["video", "b"])
+    aligned = met.select(*groups, "a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("aligned"))
+    weighed = pairs.drop("share").join(aligned, [*groups, "a", "b"]).withColumn("weight", F.col("aligned") * F.col("iou")).drop("aligned")
+    return staged(assigned(weighed, [*groups, "frame"], "weight").drop("weight")), na, nb
+
+
+def matches_by_step(matches: DataFrame, na: DataFrame, nb: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The matches with each step whose threshold they reach, and association by (groups, step): a, re, pr.
+
+    A pair of tracks that meets in m frames adds m times its share of the frames of either, of
+    the truth and of the found track.
+    """
+    steps = matches.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))).filter(F.col("iou") >= _threshold(F.col("step")) - 1e-12)
+    met = steps.groupBy(*groups, "step", "a", "b").agg(F.count(F.lit(1)).alias("m")).join(na, [*groups, "a"]).join(nb, ["video", "b"])
+    share = lambda n: F.sum(F.col("m") * F.col("m") / F.greatest(F.lit(1), n))
+    sums = met.groupBy(*groups, "step").agg(share(F.col("na") + F.col("nb") - F.col("m")).alias("association"), share(F.col("na")).alias("association_re"), share(F.col("nb")).alias("association_pr"))
+    return steps, sums
+
+
+def _with_steps(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
 
 
 def hota_parts(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Sums of each video at each of 19 IoU thresholds: video, step, tp, fn, fp, association, located."""
-    columns = [F.col("video").cast("long"), F.col("frame").cast("long"), F.col("track").cast("long"), *[F.col(c).cast("double") for c in BOX]]
-    rows = truth.select(F.lit(0).alias("side"), *columns).unionByName(found.select(F.lit(1).alias("side"), *columns))
-    return rows.groupBy("video").applyInPandas(_hota, "video long, step int, tp double, fn double, fp double, association double, located double")
+    """Sums of each video at each of 19 IoU thresholds: video, step, tp, fn, fp, association (and _re, _pr), located."""
+    matches, na, nb = aligned_matches(truth, found, ["video"])
+    steps, association = matches_by_step(matches, na, nb, ["video"])
+    hits = steps.groupBy("video", "step").agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("located"))
+    count = lambda rows, name: rows.groupBy("video").agg(F.count(F.lit(1)).alias(name))
+    videos = _with_steps(count(truth, "n").join(count(found, "m"), "video", "full"))
+    rows = videos.join(hits, ["video", "step"], "left").join(association, ["video", "step"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    tp = zero(F.col("tp"))
+    return rows.select("video", "step", tp.alias("tp"), (zero(F.col("n")) - tp).alias("fn"), (zero(F.col("m")) - tp).alias("fp"), *[zero(F.col(c)).alias(c) for c in ("association", "association_re", "association_pr", "located")])
 
 
 def hota(parts: DataFrame) -> DataFrame:
-    """The scores over all videos, each the mean over the thresholds: hota, det_a, ass_a, loc_a.
+    """The scores over all videos, each the mean over the thresholds: hota, det_a, ass_a, ass_re, ass_pr, loc_a.
 
     Videos are combined by their counts: detections are summed, associations weigh by true positives.
     """
-    sums = parts.groupBy("step").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "association", "located")])
+    sums = parts.groupBy("step").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "association", "association_re", "association_pr", "located")])
     det = F.col("tp") / F.greatest(F.lit(1.0), F.col("tp") + F.col("fn") + F.col("fp"))
-    ass, loc = F.col("association") / F.greatest(F.lit(1.0), F.col("tp")), F.greatest(F.lit(1e-10), F.col("located")) / F.greatest(F.lit(1e-10), F.col("tp"))
-    each = sums.select(F.sqrt(det * ass).alias("hota"), det.alias("det_a"), ass.alias("ass_a"), loc.alias("loc_a"))
+    ass = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("tp"))
+    loc = F.greatest(F.lit(1e-10), F.col("located")) / F.greatest(F.lit(1e-10), F.col("tp"))
+    each = sums.select(F.sqrt(det * ass("association")).alias("hota"), det.alias("det_a"), ass("association").alias("ass_a"), ass("association_re").alias("ass_re"), ass("association_pr").alias("ass_pr"), loc.alias("loc_a"))
     return each.agg(*[F.avg(c).alias(c) for c in each.columns])
+
+
+def teta_parts(truth: DataFrame, found: DataFrame, near: float = 0.5) -> DataFrame:
+    """Counts by the truth's class at each threshold: cls, step, loc_tp, loc_fn, loc_fp, association (and _re, _pr), cls_tp, cls_fn, cls_fp.
+
+    Rows have video, frame, track, cls and a box. Tracks of any class are matched with a class's truth. A
+    found box that overlaps one by ``near`` and isn't matched is a false location; class counts are of matches from 0.5 on,
+    and a match of the wrong class is false for the class that was found.
+    """
+    groups = ["video", "cls"]
+    matches, na, nb = aligned_matches(truth, found, groups)
+    steps, association = matches_by_step(matches, na, nb, groups)
+    told = steps.join(found.select("video", "frame", F.col("track").alias("b"), F.col("cls").alias("said")), ["video", "frame", "b"])
+    high, right = F.col("step") >= 9, F.col("said").eqNullSafe(F.col("cls"))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    hits = told.groupBy("cls", "step").agg(n(F.lit(True), "loc_tp"), n(high & right, "cls_tp"), n(high & ~right, "cls_fn"))
+    wrong = told.filter(high & ~right).groupBy(F.col("said").alias("cls"), "step").agg(n(F.lit(True), "cls_fp"))
+    keys = ["video", "frame", "cls", "b"]
+    pairs = overlapping(truth.withColumnRenamed("track", "id"), found.withColumnRenamed("track", "id"), ["video", "frame"]).filter(F.col("iou") >= near)
+    close = pairs.join(truth.select("video", "frame", F.col("track").alias("a"), "cls"), ["video", "frame", "a"]).select(*keys).distinct()
+    false = _with_steps(close).join(steps.select(*keys, "step"), [*keys, "step"], "left_anti").groupBy("cls", "step").agg(n(F.lit(True), "loc_fp"))
+    parts = _with_steps(truth.groupBy("cls").agg(F.count(F.lit(1)).alias("n")))
+    sums = association.groupBy("cls", "step").agg(*[F.sum(c).alias(c) for c in ("association", "association_re", "association_pr")])
+    for more in (hits, wrong, false, sums):
+        parts = parts.join(more, ["cls", "step"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    return parts.select(
+        "cls", "step", zero("loc_tp").alias("loc_tp"), (F.col("n") - zero("loc_tp")).alias("loc_fn"), *[zero(c).alias(c) for c in ("loc_fp", "association", "association_re", "association_pr", "cls_tp", "cls_fn", "cls_fp")]
+    )
+
+
+def teta(parts: DataFrame, by_class: bool = True) -> DataFrame:
+    """loc_a, assoc_a, cls_a and their mean teta, over the thresholds: the mean of the classes that have any box, or of all boxes together."""
+    names = ["loc_tp", "loc_fn", "loc_fp", "association", "cls_tp", "cls_fn", "cls_fp"]
+    rows = parts.select("cls", "step", *names) if by_class else parts.groupBy("step").agg(*[F.sum(c).alias(c) for c in names]).withColumn("cls", F.lit(0))
+    part = lambda k: F.col(f"{k}_tp") / F.greatest(F.lit(1.0), F.col(f"{k}_tp") + F.col(f"{k}_fn") + F.col(f"{k}_fp"))
+    each = rows.filter("loc_tp + loc_fn + loc_fp > 0").select("cls", "step", part("loc").alias("loc_a"), (F.col("association") / F.greatest(F.lit(1.0), F.col("loc_tp"))).alias("assoc_a"), F.when(F.col("step") >= 9, part("cls")).alias("cls_a"))
+    own = each.groupBy("cls").agg(*[F.avg(c).alias(c) for c in ("loc_a", "assoc_a", "cls_a")])
+    return own.agg(*[F.avg(c).alias(c) for c in ("loc_a", "assoc_a", "cls_a")]).withColumn("teta", (F.col("loc_a") + F.col("assoc_a") + F.col("cls_a")) / 3)
+
+
+def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresholds: list[float], ranges: list[tuple[float, float]]) -> DataFrame:
+    """For each found box two arrays over threshold and area range, ``hit`` and ``ignored``: (group, id, hit, ignored).
+
+    From the best score down (ties by id) a found box takes the truth that it overlaps most among
+    those that are free and reach the threshold, one that counts before one that doesn't. Truths are ignored where
+    their area lies outside the range or they are crowds, which any number of boxes may take and which are measured by
+    the found box's area. An unmatched box outside the range is ignored too. truth has id, area, crowd and a box, found id, score and a box.
+    """
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    keyed = found.withColumn("__size", size)
+    pairs = overlapping(truth, found, group).join(truth.select(*group, F.col("id").alias("a"), F.col("area").cast("double").alias("area"), "crowd", size.alias("sa")), [*group, "a"])
+    pairs = pairs.join(keyed.select(*group, F.col("id").alias("b"), F.col("score").cast("double").alias("score"), F.col("__size").alias("size")), [*group, "b"])
+    shared = F.col("iou") * (F.col("sa") + F.col("size")) / (1 + F.col("iou"))
+    pairs = pairs.withColumn("iou", F.when(F.col("crowd"), shared / F.col("size")).otherwise(F.col("iou"))).drop("sa")
+    limits, bounds = np.array(thresholds), np.array(ranges)
+
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, rows in block.groupby(group, sort=False):
+            taken: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((len(limits), len(bounds)), bool))
+            for b, own in rows.groupby("b", sort=False):
+                outside = lambda x: (x < bounds[:, 0]) | (x > bounds[:, 1])
+                ignore = np.stack([outside(x) | c for x, c in zip(own["area"], own["crowd"], strict=True)])
+                free = np.stack([~taken[a] | c for a, c in zip(own["a"], own["crowd"], strict=True)])
+                can = free & (own["iou"].to_numpy()[:, None, None] >= limits[None, :, None] - 1e-12)
+                worth = np.where(can, own["iou"].to_numpy()[:, None, None] + 2 * ~ignore[:, None, :], -1)
+                best = worth.argmax(axis=0)
+                got = worth.max(axis=0) >= 0
+                for i, a in enumerate(own["a"]):
+                    taken[a] = taken[a] | (got & (best == i))
+                skipped = np.where(got, np.take_along_axis(np.broadcast_to(ignore[:, None, :], worth.shape), best[None], axis=0)[0], outside(own["size"].iloc[0])[None, :])
+                out.append((*(key if isinstance(key, tuple) else (key,)), b, (got & ~skipped).reshape(-1).tolist(), skipped.reshape(-1).tolist()))
+        return pd.DataFrame(out, columns=[*group, "id", "hit", "ignored"])
+
+    kinds = dict(found.select(*group, "id").dtypes)
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", hit array<boolean>, ignored array<boolean>"
+    met = by_groups(pairs, group, [F.col("score").desc(), F.col("b")], each, schema)
+    none = F.array_repeat(F.lit(False), len(limits) * len(bounds))
+    own_range = F.array(*[(F.col("__size") < low) | (F.col("__size") > high) for low, high in ranges])
+    rows = keyed.select(*group, "id", "__size").join(met, [*group, "id"], "left")
+    return rows.select(*group, "id", F.coalesce("hit", none).alias("hit"), F.coalesce("ignored", F.flatten(F.array_repeat(own_range, len(limits)))).alias("ignored"))

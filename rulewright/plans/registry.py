@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulewright.plans import conversations, corpus, geometry, images, mining, packages, scores, splits, stages, streams, texts, tracks  # noqa: F401
+from rulewright.plans import conversations, corpus, detection, geometry, images, mining, packages, scores, splits, stages, streams, texts, tracks  # noqa: F401
 from rulewright.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rulewright.operators import tracks as K
 from rulewright.plans.catalog import query
-from rulewright.plans.geometry import part_boxes
+from rulewright.plans.geometry import BOXES_SQL, part_boxes
+from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
 
 
@@ -15,13 +16,21 @@ def _flat(boxes: DataFrame) -> DataFrame:
     return boxes.select("image", "id", "score", *[F.col("b")[c].alias(c) for c in K.BOX])
 
 
-@query()
+_SUPPRESSED = f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS rank, (x1 - x0) * (y1 - y0) AS area FROM b),
+    p AS (SELECT a.image, a.rank, c.rank AS better, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS i, a.area AS s1, c.area AS s2 FROM o a JOIN o c ON a.image = c.image AND c.rank < a.rank),
+    q AS (SELECT o.image, o.id, o.rank, coalesce(list(better) FILTER ({{}}), []) AS bad FROM o LEFT JOIN p USING (image, rank) GROUP BY ALL),
+    r AS (SELECT image, 0::BIGINT AS rank, []::BIGINT[] AS kept FROM o GROUP BY image
+          UNION ALL SELECT r.image, q.rank, CASE WHEN list_has_any(q.bad, r.kept) THEN r.kept ELSE list_append(r.kept, q.rank) END FROM r JOIN q ON q.image = r.image AND q.rank = r.rank + 1)
+    SELECT q.image, q.id FROM q JOIN (SELECT image, arg_max(kept, rank) AS kept FROM r GROUP BY image) k ON k.image = q.image AND list_contains(k.kept, q.rank)"""
+
+
+@query(_SUPPRESSED.format("i > 0.3 * (s1 + s2 - i)"))
 def k1_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each image that greedy suppression keeps."""
     return K.suppressed(_flat(part_boxes(spark, sf_dir)), "image", "id", 0.3)
 
 
-@query()
+@query(_SUPPRESSED.format("i > 0.5 * least(s1, s2)"))
 def k2_suppression_of_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the share of the smaller box."""
     return K.suppressed(_flat(part_boxes(spark, sf_dir)), "image", "id", 0.5, of_smaller=True)
@@ -61,3 +70,13 @@ def k5_hota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking scores over all videos."""
     found = K.hota(K.hota_parts(*_tracks(spark, sf_dir)))
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query()
+def k6_teta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location, association and class scores, by class and over all boxes."""
+    truth, found = _tracks(spark, sf_dir)
+    cls = F.pmod(F.col("video") + F.col("track"), F.lit(3))
+    parts = staged(K.teta_parts(truth.withColumn("cls", cls), found.withColumn("cls", F.when(F.col("frame") == 4, (cls + 1) % 3).otherwise(cls))))
+    rows = K.teta(parts).withColumn("averaged", F.lit("class")).unionByName(K.teta(parts, by_class=False).withColumn("averaged", F.lit("boxes")))
+    return rows.select("averaged", *[F.round(c, 6).alias(c) for c in ("loc_a", "assoc_a", "cls_a", "teta")])

@@ -1,5 +1,6 @@
 """Operators against plain Python, on small fixtures with the cases at the edge."""
 
+import collections
 import itertools
 import json
 import random
@@ -92,7 +93,7 @@ def test_suppression(spark):
 def test_hota_of_perfect_and_missing_tracks(spark):
     truth = spark.createDataFrame([(1, f, t, 20.0 * t, 0.0, 20.0 * t + 10, 10.0) for f in range(4) for t in range(2)], "video long, frame long, track long, x0 double, y0 double, x1 double, y1 double")
     perfect = tracks.hota(tracks.hota_parts(truth, truth.withColumn("track", F.col("track") + 7))).first()
-    assert [round(x, 9) for x in perfect] == [1, 1, 1, 1]
+    assert [round(x, 9) for x in perfect] == [1] * 6
     swapped = truth.withColumn("track", F.when(F.col("frame") >= 2, 1 - F.col("track")).otherwise(F.col("track")))
     got = tracks.hota(tracks.hota_parts(truth, swapped)).first()
     assert round(got.det_a, 9) == 1 and round(got.ass_a, 6) == round(1 / 3, 6)
@@ -101,6 +102,148 @@ def test_hota_of_perfect_and_missing_tracks(spark):
     assert tracks.matched(truth.withColumn("id", F.col("track")), truth.withColumn("id", F.col("track")).filter("false"), "frame", 0.5).count() == 0
 
 
+def box_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+
+def best_assignment(rows, columns, weight):
+    """The one-to-one pairs of most total weight, by trying all of them."""
+    if len(rows) > len(columns):
+        return [(a, b) for b, a in best_assignment(columns, rows, lambda b, a: weight(a, b))]
+    tries = [list(zip(rows, p, strict=True)) for p in itertools.permutations(columns, len(rows))]
+    return max(tries, key=lambda pairs: sum(weight(a, b) for a, b in pairs))
+
+
+def aligned(truth, found):
+    """Matches of each frame by brute force: {frame: [(a, b, iou)]}; truth and found are {frame: {track: box}}."""
+    potential, frames = {}, sorted(truth)
+    for f in frames:
+        own = {(a, b): box_iou(x, y) for a, x in truth[f].items() for b, y in found.get(f, {}).items()}
+        for (a, b), v in own.items():
+            rest = sum(w for (c, d), w in own.items() if c == a or d == b)
+            potential[a, b] = potential.get((a, b), 0) + (v / rest if rest > 0 else 0)
+    count = lambda side, t: sum(t in x for x in side.values())
+    score = {(a, b): v / (count(truth, a) + count(found, b) - v) for (a, b), v in potential.items()}
+    out = {}
+    for f in frames:
+        a, b = sorted(truth[f]), sorted(found.get(f, {}))
+        iou = {(x, y): box_iou(truth[f][x], found[f][y]) for x in a for y in b}
+        out[f] = [(x, y, iou[x, y]) for x, y in best_assignment(a, b, lambda x, y: score[x, y] * iou[x, y])] if a and b else []  # noqa: B023
+    return out, count
+
+
+def random_tracks(seed):
+    rng = random.Random(seed)
+    box = lambda x, y: (x, y, x + rng.uniform(5, 12), y + rng.uniform(5, 12))
+    side = lambda n: {f: {t: box(rng.uniform(0, 15), rng.uniform(0, 6)) for t in range(n) if rng.random() < 0.8} for f in range(5)}
+    return side(4), side(4)
+
+
+def test_hota_by_brute_force(spark):
+    rows, want = ([], []), []
+    for video in range(4):
+        truth, found = random_tracks(video)
+        for out, side in zip(rows, (truth, found), strict=True):
+            out += [(video, f, t, *box) for f, own in side.items() for t, box in own.items()]
+        matches, count = aligned(truth, found)
+        n, m = (sum(len(x) for x in side.values()) for side in (truth, found))
+        for step in range(19):
+            hits = [(a, b, v) for own in matches.values() for a, b, v in own if v >= (step + 1) * 0.05 - 1e-12]
+            met = collections.Counter((a, b) for a, b, _ in hits)
+            association = sum(k * k / (count(truth, a) + count(found, b) - k) for (a, b), k in met.items())
+            want.append((video, step, len(hits), n - len(hits), m - len(hits), round(association, 6), round(sum(v for *_, v in hits), 6)))
+    schema = "video long, frame long, track long, x0 double, y0 double, x1 double, y1 double"
+    got = tracks.hota_parts(*[spark.createDataFrame(x, schema) for x in rows]).collect()
+    assert sorted((r.video, r.step, r.tp, r.fn, r.fp, round(r.association, 6), round(r.located, 6)) for r in got) == sorted(want)
+
+
+def test_teta_by_brute_force(spark):
+    rows, want = ([], []), collections.Counter()
+    for video in range(3):
+        truth, found = random_tracks(video + 50)
+        for out, side in zip(rows, (truth, found), strict=True):
+            out += [(video, f, t, t % 2, *box) for f, own in side.items() for t, box in own.items()]
+        for c in (0, 1):
+            own = {f: {t: x for t, x in side.items() if t % 2 == c} for f, side in truth.items()}
+            matches, count = aligned({f: x for f, x in own.items() if x}, found)
+            for step in range(19):
+                hits = [(f, a, b) for f, pairs in matches.items() for a, b, v in pairs if v >= (step + 1) * 0.05 - 1e-12]
+                near = {(f, b) for f, x in own.items() for a, box in x.items() for b, other in found[f].items() if box_iou(box, other) >= 0.5}
+                met = collections.Counter((a, b) for _, a, b in hits)
+                want[c, step, "loc_tp"] += len(hits)
+                want[c, step, "loc_fn"] += sum(len(x) for x in own.values()) - len(hits)
+                want[c, step, "loc_fp"] += len(near - {(f, b) for f, _, b in hits})
+                want[c, step, "association"] += sum(k * k / (count(own, a) + count(found, b) - k) for (a, b), k in met.items())
+                if step >= 9:
+                    for _, _, b in hits:
+                        want[c, step, "cls_tp"] += b % 2 == c
+                        want[c, step, "cls_fn"] += b % 2 != c
+                        want[b % 2, step, "cls_fp"] += b % 2 != c
+    schema = "video long, frame long, track long, cls long, x0 double, y0 double, x1 double, y1 double"
+    parts = tracks.teta_parts(*[spark.createDataFrame(x, schema) for x in rows]).collect()
+    assert len(parts) == 38
+    for r in parts:
+        assert all(abs(r[k] - want[r.cls, r.step, k]) < 1e-6 for k in ("loc_tp", "loc_fn", "loc_fp", "association", "cls_tp", "cls_fn", "cls_fp"))
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    perfect = tracks.teta(tracks.teta_parts(frame(rows[0]), frame(rows[0]))).first()
+    assert [round(x, 9) for x in perfect] == [1, 1, 1, 1]
+
+
+def test_sparse_assignment_by_brute_force(spark):
+    rng = random.Random(3)
+    rows, want = [], 0.0
+    for g in range(40):
+        pairs = {(a, b): rng.random() for a in range(5) for b in range(4) if rng.random() < 0.4}
+        rows += [(g, a, b, v) for (a, b), v in pairs.items()]
+        want += sum(pairs.get(p, 0) for p in best_assignment(range(5), range(4), lambda a, b: pairs.get((a, b), 0)))  # noqa: B023
+    got = tracks.assigned(spark.createDataFrame(rows, "g long, a long, b long, iou double").repartition(3), ["g"]).collect()
+    assert abs(sum(r.iou for r in got) - want) < 1e-9
+    assert len({(r.g, r.a) for r in got}) == len(got) == len({(r.g, r.b) for r in got})
+
+
+def test_overlaps_by_cells(spark):
+    rng = random.Random(5)
+    rows = [(i % 3, i, x := rng.uniform(-50, 50), y := rng.uniform(-50, 50), x + rng.uniform(0, 30), y + rng.uniform(0, 30)) for i in range(150)]
+    df = spark.createDataFrame(rows, "g long, id long, x0 double, y0 double, x1 double, y1 double")
+    sets = [sorted((r.a, r.b, round(r.iou, 9)) for r in tracks.overlapping(df, df, ["g"], cell=c).collect()) for c in (None, 10.0)]
+    assert sets[0] == sets[1] and len(sets[0]) == sum(p[0] == q[0] and box_iou(p[2:], q[2:]) > 0 for p in rows for q in rows)
+
+
+def test_greedy_matches_by_brute_force(spark):
+    rng = random.Random(7)
+    truth, found = [], []
+    for g in range(12):
+        for rows, n in ((truth, 4), (found, 5)):
+            for i in range(n):
+                x, y = rng.uniform(0, 12), rng.uniform(0, 12)
+                box = (x, y, x + rng.uniform(4, 12), y + rng.uniform(4, 12))
+                rows.append((g, i, (box[2] - box[0]) * (box[3] - box[1]), rng.random() < 0.2, *box) if rows is truth else (g, i, rng.choice([0.3, 0.6, 0.9]), *box))
+    thresholds, ranges = [0.3, 0.5], [(0.0, 1e9), (0.0, 60.0), (60.0, 1e9)]
+    want = {}
+    for g in range(12):
+        mine = sorted((f for f in found if f[0] == g), key=lambda f: (-f[2], f[1]))
+        for t, least in enumerate(thresholds):
+            for r, (low, high) in enumerate(ranges):
+                taken = set()
+                for f in mine:
+                    size = (f[5] - f[3]) * (f[6] - f[4])
+                    options = []
+                    for x in (x for x in truth if x[0] == g and x[1] not in taken):
+                        both = max(min(x[6], f[5]) - max(x[4], f[3]), 0) * max(min(x[7], f[6]) - max(x[5], f[4]), 0)
+                        iou, ignored = both / size if x[3] else box_iou(x[4:], f[3:]), x[3] or not low <= x[2] <= high
+                        if both > 0 and iou >= least:
+                            options.append((not ignored, iou, x))
+                    best = max(options, default=None)
+                    if best and not best[2][3]:
+                        taken.add(best[2][1])
+                    want[g, f[1], t * 3 + r] = (best[0], not best[0]) if best else (False, not low <= size <= high)
+    frames = [spark.createDataFrame(truth, "g long, id long, area double, crowd boolean, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(found, "g long, id long, score double, x0 double, y0 double, x1 double, y1 double")]
+    rows = tracks.greedy_matches(*frames, ["g"], thresholds, ranges).collect()
+    assert {(r.g, r.id, i): (r.hit[i], r.ignored[i]) for r in rows for i in range(6)} == want
+
+
 def test_average_precision(spark):
     random.seed(4)
     rows = [("g", i, random.random(), random.random() < 0.4) for i in range(50)] + [("none", 100, 0.5, False)]
