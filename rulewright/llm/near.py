@@ -35,6 +35,8 @@ REGION, DEEPER = 64, 12
 CROWDED_TREES = 4
 #: Documents of a region that even its deepest part is dealt out by, so that no task holds more.
 SALT_ROWS = 1 << 16
+#: 64-bit words of the marks by which sets of crowded regions are compared before they are joined; a power of two.
+BIT_WORDS = 8
 
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,19 +142,27 @@ def crowded_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
     If two sets have that similarity, they share one of the first n - ceil(n * percent / 100) + 1
     shingles of either, in any one order of all shingles; here the rarest come first. From the first
-    shingle that they share on, both must have as many as the similarity asks them to share.
+    shingle that they share on, both must have as many as the similarity asks them to share. And
+    each shingle in only one of two sets turns one of the 64 * BIT_WORDS bits of their marks at most, so marks that differ in more bits
+    than the similarity leaves shingles to differ in are no pair. The join forms no others.
     """
     each = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
+    word, bit = F.shiftrightunsigned("shingle", 6).bitwiseAND(F.lit(BIT_WORDS - 1)), F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    marks = [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0)).alias(f"m{i}") for i in range(BIT_WORDS)]
     # shingles of one document or one component stand in the order but form no pairs
-    ranked = each.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle", (F.col("low") != F.col("high")).alias("joins")))).alias("order"))
+    ranked = each.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle", (F.col("low") != F.col("high")).alias("joins")))).alias("order"), *marks)
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
-    post = ranked.select("rep", "component", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "x")).filter("x.joins")
-    post = stored(post.select("rep", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "x.shingle"))
-    a, b = (post.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), "shingle") for x in "ab")
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return a.join(b, "shingle").filter(apart & enough).select("a", "b").distinct()
+    words = [f"m{i}" for i in range(BIT_WORDS)]
+    post = ranked.select("rep", "component", "n", *words, F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "x")).filter("x.joins")
+    post = stored(post.select("rep", "component", "n", *words, (F.col("n") - F.col("at")).alias("rest"), "x.shingle"))
+    a, b = (post.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "component", "n", "rest", *words)]) for x in "ab")
+    na, nb = F.col("a_n"), F.col("b_n")
+    apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+    enough = F.least("a_rest", "b_rest") * (100 + percent) >= (na + nb) * percent
+    turned = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
+    near = turned * (100 + percent) <= (na + nb) * (100 - percent)
+    return a.join(b, "shingle").filter(apart & enough & near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, sketched: DataFrame, percent: int, words: int) -> DataFrame:
