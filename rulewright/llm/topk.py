@@ -3,9 +3,11 @@
 A block of candidates has, for each component, one list sorted by that component's value. A query
 reads all lists to the same depth, from the end at which its own component makes the largest
 contributions. What was read bounds every candidate's score: contributions not read yet are at
-most the last one read of their list, and at least the list's worst. Once few candidates can
-still reach the k-th lower bound, no outsider qualifies and their scores are resolved exactly; a
-query that never gets so far has read its lists to the end, where both bounds are the score.
+most the last one read of their list, and at least the list's worst. The bounds are looked at at
+rising depths, for each query by itself: once few candidates can still reach the k-th lower bound, no
+outsider qualifies, the query reads no further and their scores are resolved exactly. A query
+that never gets so far has read its lists to the end, where both bounds are the score; that last step is
+one product of what is left of the queries with all candidates.
 
 Blocks of queries meet blocks of candidates by a join, and each pair of blocks keeps k rows for
 each query; so no task holds more than two blocks, however many vectors there are.
@@ -13,6 +15,7 @@ each query; so no task holds more than two blocks, however many vectors there ar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES, AT_ONCE = 8192, 2048, 128
-#: Parts of a list's length to which it is read before its end.
-DEPTHS = (0.5, 0.875)
+#: Parts of a list's length after which a query's bounds are looked at; one that goes on after the last reads its lists to the end.
+DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375)
 #: Candidates for each query, in multiples of k, that are few enough to resolve.
 FEW = 16
 _EXACT32, _EXACT64 = 1 << 24, 1 << 53
@@ -86,11 +89,13 @@ def _candidate_blocks(size: int):
     return run
 
 
-def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, stops: Counter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query within one block: query ids, candidate ids, scores.
 
-    Candidates with the query's own id don't count; ties go to the smaller id.
+    Candidates with the query's own id don't count; ties go to the smaller id. ``stops`` counts at
+    which part of the lists' length queries stopped.
     """
+    stops = Counter() if stops is None else stops
     width = max(queries.shape[1], vectors.shape[1])
     queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, vectors))
     largest = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(width, 1)
@@ -105,9 +110,9 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     by_depth = {}
     for part in DEPTHS:
         depth = min(n, max(k + 1, int(n * part)))
-        if depth < n:
+        if depth < n and depth not in by_depth:
             read = np.concatenate((rank >= n - depth, rank < depth), axis=1)
-            by_depth[depth] = np.concatenate((np.concatenate((exact, exact), axis=1) * read, read.astype(kind)), axis=1)
+            by_depth[depth] = part, np.concatenate((np.concatenate((exact, exact), axis=1) * read, read.astype(kind)), axis=1)
     found = ([], [], [])
 
     def resolve(rows: np.ndarray, candidates: np.ndarray, scores: np.ndarray) -> None:
@@ -125,7 +130,7 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
         own = query_ids[rows][:, None] == ids[None, :]
         left = np.arange(len(rows))
         worst = np.concatenate((lists[0], lists[-1])) * signed
-        for depth, read in by_depth.items():
+        for depth, (part, read) in by_depth.items():
             last = np.concatenate((lists[n - depth], lists[depth - 1])) * signed[left]
             lower = np.concatenate((signed[left], -worst[left]), axis=1) @ read.T + worst[left].sum(axis=1, keepdims=True)
             upper = np.concatenate((signed[left], -last), axis=1) @ read.T + last.sum(axis=1, keepdims=True)
@@ -136,6 +141,7 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             open_ = (upper >= bar[:, None]) & ~own[left]
             done = open_.sum(axis=1) <= FEW * k
             if done.any():
+                stops[part] += int(done.sum())
                 at, candidates = np.nonzero(open_[done])
                 mine = left[done][at]
                 resolve(rows[mine], candidates, (queries[rows[mine]] * vectors[candidates]).sum(axis=1))
@@ -143,6 +149,7 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             if not len(left):
                 return
         # the lists are read to their ends: every score is known
+        stops[1.0] += len(left)
         scores = some[left] @ exact.T
         if n > k + 1:
             masked = np.where(own[left], np.iinfo(np.int64).min if kind is np.int64 else -np.inf, scores)

@@ -203,6 +203,10 @@ def test_sorted_lists_stop_early():
     rng = np.random.default_rng(9)
     vectors = rng.integers(-50, 50, (4000, 3))
     vectors[:5] = 10_000
-    query = np.array([[1, 1, 1]])
-    q, ids, scores = topk.best_of_block(np.array([-1]), query, np.arange(4000), vectors, 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4] and set(scores) == {30_000}
+    query, stops = np.array([[1, 1, 1], [1, -1, 0]]), collections.Counter()
+    q, ids, scores = topk.best_of_block(np.array([-1, -2]), query, np.arange(4000), vectors, 5, stops)
+    assert ids[q == -1].tolist() == [0, 1, 2, 3, 4] and set(scores[q == -1]) == {30_000}
+    # the first query is done at the first look, the second has ties up to far down its lists
+    assert stops[topk.DEPTHS[0]] >= 1 and stops.total() == 2
+    want = sorted(range(4000), key=lambda i: (-(vectors[i] @ query[1]), i))[:5]
+    assert ids[q == -2].tolist() == want
