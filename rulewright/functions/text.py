@@ -41,6 +41,26 @@ READING_PATTERN = (
 IMAGE_PATTERN = "<image>|(^|[^a-z0-9_])(image|picture|photo|photograph|scene|visible|shown)([^a-z0-9_]|$)|图中|图片|照片|画面|这张图|这幅图"
 BAD_PHRASES = ["the answer is", "in the image", "are you", "again,", "an answer", "the last one"]
 RETRY_ANSWERS = ["no image", "unknown", "image not available", "unable to determine"]
+# Words without their apostrophe, or with one in the wrong place, as answers are compared.
+CONTRACTIONS = {
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've", "couldnt've": "couldn't've", "didnt": "didn't",
+    "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hadnt've": "hadn't've", "hadn'tve": "hadn't've", "hasnt": "hasn't", "havent": "haven't", "hed": "he'd", "hed've": "he'd've",
+    "he'dve": "he'd've", "hes": "he's", "howd": "how'd", "howll": "how'll", "hows": "how's", "Id've": "I'd've", "I'dve": "I'd've", "Im": "I'm", "Ive": "I've", "isnt": "isn't", "itd": "it'd",
+    "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll", "let's": "let's", "maam": "ma'am", "mightnt": "mightn't", "mightnt've": "mightn't've", "mightn'tve": "mightn't've",
+    "mightve": "might've", "mustnt": "mustn't", "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't", "ow's'at": "'ow's'at",
+    "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't", "shed've": "she'd've", "she'dve": "she'd've", "she's": "she's", "shouldve": "should've", "shouldnt": "shouldn't",
+    "shouldnt've": "shouldn't've", "shouldn'tve": "shouldn't've", "somebody'd": "somebodyd", "somebodyd've": "somebody'd've", "somebody'dve": "somebody'd've", "somebodyll": "somebody'll",
+    "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've", "someone'dve": "someone'd've", "someonell": "someone'll", "someones": "someone's",
+    "somethingd": "something'd", "somethingd've": "something'd've", "something'dve": "something'd've", "somethingll": "something'll", "thats": "that's", "thered": "there'd",
+    "thered've": "there'd've", "there'dve": "there'd've", "therere": "there're", "theres": "there's", "theyd": "they'd", "theyd've": "they'd've", "they'dve": "they'd've",
+    "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas", "wasnt": "wasn't", "wed've": "we'd've", "we'dve": "we'd've", "weve": "we've", "werent": "weren't",
+    "whatll": "what'll", "whatre": "what're", "whats": "what's", "whatve": "what've", "whens": "when's", "whered": "where'd", "wheres": "where's", "whereve": "where've", "whod": "who'd",
+    "whod've": "who'd've", "who'dve": "who'd've", "wholl": "who'll", "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're", "whys": "why's", "wont": "won't",
+    "wouldve": "would've", "wouldnt": "wouldn't", "wouldnt've": "wouldn't've", "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll",
+    "yall'd've": "y'all'd've", "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd", "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're",
+    "youve": "you've",
+}
+ANSWER_MARKS = [';', '/', '[', ']', '"', '{', '}', '(', ')', '=', '+', '\\', '_', '-', '>', '<', '@', '`', ',', '?', '!']
 ARTICLES = ["a", "an", "the"]
 BLANKS = r"[ \t\n\x0b\f\r]+"
 
@@ -246,16 +266,15 @@ def is_nullish(text: Column) -> Column:
 
 
 def plain_answer(text: Column) -> Column:
-    """Lower case, without marks and articles, number words as digits, as answers are compared in evaluation."""
-    marks = ";/[]\"{}()=+\\_->_<@`,?!"
+    """Lower case, without marks and articles, number words as digits and contractions with their apostrophes, as answers are compared in evaluation."""
     low = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[,?]", ""), "'s", " 's")), "[\n\t]", " "))
     out = low
-    for mark in dict.fromkeys(marks):
+    for mark in ANSWER_MARKS:
         near = low.contains(mark + " ") | low.contains(" " + mark)
         out = F.replace(out, F.lit(mark), F.when(near, "").otherwise(" "))
     words = F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(out, r"\.(?![0-9])", ""), BLANKS, " ")), " "), lambda w: ~w.isin(*ARTICLES, ""))
     numbers = {k: v for k, v in NUMBER_WORDS.items() if k not in ("no", "eleven", "twelve")}
-    return F.array_join(F.transform(words, lambda w: _lookup(numbers, w)), " ")
+    return F.array_join(F.transform(words, lambda w: _lookup(numbers | CONTRACTIONS, w)), " ")
 
 
 def prompt_question(prompt: Column) -> Column:

@@ -140,3 +140,30 @@ def preference_pairs(rows: DataFrame, chosen: str, rejected: str, same_case: boo
     a, b = F.trim(chosen), F.trim(rejected)
     differ = (F.lower(a) != F.lower(b)) if not same_case else (a != b)
     return rows.filter((a != "") & (b != "") & differ)
+
+
+def phrase_mentions(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str = "text", anchor: int = 3) -> DataFrame:
+    """(item_id, docs): in how many documents each item's text stands, in lower case and between single spaces; items in none count 0.
+
+    Documents meet items by a run of ``anchor`` words (an item's first ones; shorter items by all of theirs), looked for
+    only where an item's first word stands, and then by the whole text.
+    """
+    own = items.select(item_id, F.lower(text).alias("__phrase")).filter("__phrase <> ''").withColumn("__w", F.split("__phrase", " "))
+    own = own.select(item_id, "__phrase", F.get("__w", F.lit(0)).alias("__first"), F.least(F.size("__w"), F.lit(anchor)).alias("__n"), F.array_join(F.slice("__w", 1, anchor), " ").alias("__run"))
+    sizes = own.select("__first", "__n").distinct()
+    words = docs.select(F.col(doc_id).alias("__doc"), F.lower(text).alias("__text")).withColumn("__w", F.split("__text", " "))
+    places = words.select("__doc", F.posexplode("__w").alias("__at", "__first")).join(sizes, "__first")
+    # one row for each document and place where some item may begin; the run is cut from the document's words once more
+    starts = places.groupBy("__doc").agg(F.collect_set(F.struct("__at", "__n")).alias("__s"))
+    runs = words.join(starts, "__doc").select("__doc", "__text", F.explode(F.array_distinct(F.transform("__s", lambda s: F.array_join(F.slice("__w", s["__at"] + 1, s["__n"]), " ")))).alias("__run"))
+    held = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    hits = runs.join(own, "__run").filter(held(F.col("__text")).contains(held(F.col("__phrase")))).select(item_id, "__doc").distinct()
+    counts = hits.groupBy(item_id).agg(F.count(F.lit(1)).alias("docs"))
+    return items.select(item_id).join(counts, item_id, "left").select(item_id, F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+def skip_reasons(rows: DataFrame, key: str, order: str, reason: Column) -> DataFrame:
+    """Adds reason: why a row is skipped, ``duplicate`` for valid ones after the first of their key, null for those that stay."""
+    told = rows.withColumn("reason", reason)
+    first = F.row_number().over(Window.partitionBy(key, F.col("reason").isNull()).orderBy(order))
+    return told.withColumn("__n", first).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__n") > 1), "duplicate").otherwise(F.col("reason"))).drop("__n")

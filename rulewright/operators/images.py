@@ -14,6 +14,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from rulewright.operators.corpus import numbered
 
 
+#: Categories of a grid of images and categories, at most.
+MOST_CATEGORIES = 10_000
+
+
 def first_existing(rows: DataFrame, key: str, candidates: str, listing: DataFrame, path: str) -> DataFrame:
     """(key, found, rank): the first of each row's candidate paths that the listing has; null if it has none."""
     tried = rows.select(key, F.posexplode(candidates).alias("rank", "found"))
@@ -24,12 +28,16 @@ def first_existing(rows: DataFrame, key: str, candidates: str, listing: DataFram
 def query_grid(images: DataFrame, categories: DataFrame, notes: DataFrame, negatives: bool) -> DataFrame:
     """(image, category, objects): every image with every category and its sorted objects, empty ones only with ``negatives``.
 
-    The categories are a fixed short list; with negatives there is a row for each image and category.
+    With negatives there is a row for each image and category: that is the feature. Categories are
+    broadcast, and more than MOST_CATEGORIES raise a ValueError.
     """
     found = notes.groupBy("image", "category").agg(F.array_sort(F.collect_list("object")).alias("objects"))
     if not negatives:
         return found.select("image", "category", "objects")
-    grid = images.select("image").withColumn("category", F.explode(F.array(*[F.lit(r[0]) for r in categories.select("category").distinct().orderBy("category").collect()])))
+    names = categories.select("category").distinct()
+    if names.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories for a grid of all images and categories")
+    grid = images.select("image").crossJoin(F.broadcast(names))
     return grid.join(found, ["image", "category"], "left").select("image", "category", F.coalesce("objects", F.array().cast("array<bigint>")).alias("objects"))
 
 
@@ -48,20 +56,59 @@ def from_one(rows: DataFrame, key: str) -> DataFrame:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def region_labels(bits: pd.Series, side: pd.Series) -> pd.Series:
-    """Cells of one 4-connected region have its first cell's number plus one, others 0."""
-
-    def one(cells: np.ndarray, n: int) -> list[int]:
-        on = np.asarray(cells, bool).reshape(n, n)
-        label = np.where(on, np.arange(1, n * n + 1).reshape(n, n), 0)
+    """Cells of one 4-connected region have its first cell's number plus one, others 0; all grids of a batch at a time."""
+    out = pd.Series([None] * len(bits), index=bits.index, dtype=object)
+    for n, own in bits.groupby(side):
+        on = np.array([np.asarray(b, bool) for b in own]).reshape(len(own), n, n)
+        none = n * n + 1
+        label = np.where(on, np.arange(1, none).reshape(1, n, n), none)
         while True:
-            around = np.pad(np.where(on, label, n * n + 1), 1, constant_values=n * n + 1)
-            least = np.minimum.reduce([around[1:-1, 1:-1], around[:-2, 1:-1], around[2:, 1:-1], around[1:-1, :-2], around[1:-1, 2:]])
-            new = np.where(on, least, 0)
+            around = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=none)
+            least = np.minimum.reduce([around[:, 1:-1, 1:-1], around[:, :-2, 1:-1], around[:, 2:, 1:-1], around[:, 1:-1, :-2], around[:, 1:-1, 2:]])
+            # a cell also takes the label of the cell that its own label names, so that long regions settle in few rounds
+            flat = np.concatenate((np.where(on, np.minimum(label, least), none).reshape(len(own), -1), np.full((len(own), 1), none)), axis=1)
+            new = np.take_along_axis(flat, np.minimum(flat[:, :-1] - 1, n * n), axis=1).reshape(label.shape)
+            new = np.where(on, np.minimum(new, flat[:, :-1].reshape(label.shape)), none)
             if (new == label).all():
-                return label.reshape(-1).tolist()
+                break
             label = new
+        out.loc[own.index] = pd.Series([x.tolist() for x in np.where(on, label, 0).reshape(len(own), -1)], index=own.index, dtype=object)
+    return out
+
 
-    return pd.Series([one(b, n) for b, n in zip(bits, side, strict=True)])
+def union_masks(masks: DataFrame, group: str, bits: str, place: str | None = None) -> DataFrame:
+    """(group, bits, n): the union of each group's masks, arrays of 0 and 1 of one length, made cell by cell, and how many masks it has."""
+    counts = masks.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    cells = masks.select(group, F.posexplode(bits).alias("__i", "__b")).groupBy(group, "__i").agg(F.max("__b").alias("__b"))
+    whole = cells.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__i", "__b"))).alias("__cells")).select(group, F.transform("__cells", lambda c: c["__b"]).alias("bits"))
+    return whole.join(counts, group)
+
+
+def finished_unions(masks: DataFrame, wanted: DataFrame, group: str, bits: str) -> DataFrame:
+    """(group, bits, ratio, finished): the union of the masks of each group's cues, its active share, and whether all ``wanted`` cues have come.
+
+    Masks have group, cue and bits, of which one of each cue counts; wanted has group and an array of cues.
+    """
+    union = union_masks(masks.dropDuplicates([group, "cue"]), group, bits)
+    rows = wanted.select(group, F.size(F.array_distinct("cues")).alias("__need")).join(union, group, "left")
+    ratio = F.aggregate("bits", F.lit(0), lambda n, x: n + x) / F.size("bits")
+    return rows.select(group, "bits", ratio.alias("ratio"), F.coalesce(F.col("n") >= F.col("__need"), F.lit(False)).alias("finished"))
+
+
+def object_lists(notes: DataFrame, image: str, name: str, images: DataFrame | None = None) -> DataFrame:
+    """(image, classes, scores): the sorted distinct names of each image, all with score 1; with ``images`` those without any have none."""
+    lists = notes.groupBy(image).agg(F.array_sort(F.collect_set(name)).alias("classes"))
+    if images is not None:
+        lists = images.select(image).distinct().join(lists, image, "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+    return lists.withColumn("scores", F.transform("classes", lambda _: F.lit(1.0)))
+
+
+def with_detections(questions: DataFrame, detections: DataFrame, least: float) -> DataFrame:
+    """Questions with the classes of their image's detections of at least ``least``; a missing score counts as 1, a missing image as none."""
+    both = F.arrays_zip(F.col("classes").alias("c"), F.col("scores").alias("s"))
+    kept = F.transform(F.filter(both, lambda x: (F.coalesce(x["s"], F.lit(1.0)) >= least) & x["c"].isNotNull()), lambda x: x["c"])
+    rows = questions.join(detections.select("image_id", kept.alias("classes")), "image_id", "left")
+    return rows.withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
 
 
 def bit_overlap(a: Column, b: Column) -> Column:

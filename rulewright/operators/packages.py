@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators.corpus import numbered, shuffled_order
+
 
 def supervised(rows: DataFrame, shares: DataFrame, key: str, most: float) -> DataFrame:
     """Adds supervision: ``mask`` where the active share is above 0 and at most ``most``, else ``none``; all rows stay."""
@@ -27,7 +30,7 @@ def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFr
 def mentions(text: Column, terms: list[str], excluded: list[str] = ()) -> Column:
     """Whether any term stands in a lower-case text between other characters than letters, excluded phrases left out first."""
     plain = reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit(" ")), excluded, text)
-    return reduce(lambda a, b: a | b, [plain.rlike(f"(^|[^a-z]){term}([^a-z]|$)") for term in terms])
+    return reduce(lambda a, b: a | b, [plain.rlike(f"(^|[^a-z]){re.escape(term)}([^a-z]|$)") for term in terms])
 
 
 def merged_predictions(parts: list[DataFrame], rows: DataFrame, key: str) -> DataFrame:
@@ -80,11 +83,29 @@ def answer_spans(tokens: Column, most: int) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
-def length_groups(rows: DataFrame, length: str, order: str, shards: int, size: int) -> DataFrame:
-    """Adds mega, place and shard: batches of ``shards`` x ``size`` consecutive rows, each sorted by falling length.
+def merged_shards(parts: list[DataFrame], rows: DataFrame, key: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of all shards in their source's order, by the source's place where a prediction has one and else by its key, and the problems.
+
+    The second result is (place, problem): places that no prediction, or more than one, claims.
+    """
+    union = reduce(DataFrame.unionByName, parts)
+    own = rows.select(F.col(place).alias("__place"), F.col(key).alias("__key"))
+    by_key = union.filter(F.col(place).isNull()).join(own, F.col(key) == F.col("__key")).select(F.col("__place").alias(place), "text")
+    told = union.filter(F.col(place).isNotNull()).select(place, "text").unionByName(by_key)
+    counts = told.groupBy(place).agg(F.count(F.lit(1)).alias("__n"), F.min("text").alias("text"))
+    joined = rows.join(counts, place, "left")
+    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "repeated")
+    return joined.drop("__n"), joined.select(place, problem.alias("problem")).filter("problem is not null")
+
+
+def length_groups(rows: DataFrame, length: str, order: str, shards: int, size: int, seed: int | None = None) -> DataFrame:
+    """Adds mega, place and shard: batches of ``shards`` x ``size`` rows that follow in ``order``, each sorted by falling length.
 
-    A batch's rows are dealt out to the shards in turn, so the shards of a batch are alike long.
+    A batch's rows are dealt out to the shards in turn, so the shards of a batch are alike long. With a
+    ``seed`` the rows are shuffled first, by a hash of the order column.
     """
+    by = [shuffled_order(F.col(order), seed), F.col(order)] if seed is not None else [F.col(order)]
     w = Window.partitionBy("mega").orderBy(F.col(length).desc(), order)
-    placed = rows.withColumn("mega", F.floor(F.col(order) / (shards * size))).withColumn("place", F.row_number().over(w) - 1)
+    told = numbered(rows.withColumn("__by", by[0]), [F.col("__by"), F.col(order)], "__at").drop("__by")
+    placed = told.withColumn("mega", F.floor(F.col("__at") / (shards * size))).drop("__at").withColumn("place", F.row_number().over(w) - 1)
     return placed.withColumn("shard", (F.col("place") % shards).cast("int"))

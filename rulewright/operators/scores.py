@@ -121,3 +121,73 @@ def cg_f1(images: DataFrame, eps: float = 1e-6) -> DataFrame:
     a, b, c, d = (F.col(f"il_{k}") for k in ("tp", "fp", "fn", "tn"))
     mcc = (a * d - b * c) / (F.sqrt((a + b) * (a + c)) * F.sqrt((d + b) * (d + c)) + eps)
     return sums.select(f1.alias("positive_f1"), mcc.alias("mcc"), (f1 * mcc).alias("cg_f1"))
+
+
+def accuracy_by(rows: DataFrame, group: str, correct: str, whole: str = "all") -> DataFrame:
+    """(group, n, accuracy): the share of correct rows in percent, by group and in all."""
+    found = rows.groupingSets([[group], []], group).agg(F.grouping(group).alias("__all"), F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col(correct).cast("int"))).alias("accuracy"))
+    return found.select(F.when(F.col("__all") == 1, whole).otherwise(F.col(group)).alias(group), "n", "accuracy")
+
+
+def review_means(rows: DataFrame, group: str, first: str, second: str, whole: str = "all") -> DataFrame:
+    """(group, first, second, relative): mean scores of two answers and the second's in percent of the first's, by group and in all."""
+    found = rows.groupingSets([[group], []], group).agg(F.grouping(group).alias("__all"), F.avg(first).alias("first"), F.avg(second).alias("second"))
+    return found.select(F.when(F.col("__all") == 1, whole).otherwise(F.col(group)).alias(group), "first", "second", (100 * F.try_divide("second", "first")).alias("relative"))
+
+
+def top_values(rows: DataFrame, value: str, n: int) -> DataFrame:
+    """The ``n`` most frequent values and their counts, ties by value."""
+    return counted(rows, [value]).orderBy(F.col("n").desc(), value).limit(n)
+
+
+def counted(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """How many rows each value, or combination of values, has: groups, n."""
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+
+
+def length_statistics(rows: DataFrame, length: str, limit: int) -> DataFrame:
+    """n, total, mean, most and at_limit, the share of rows whose length reaches the limit, as one row."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("total"), F.avg(length).alias("mean"), F.max(length).cast("long").alias("most"), F.avg((F.col(length) >= limit).cast("int")).alias("at_limit"))
+
+
+def positional_scores(labels: DataFrame, answers: DataFrame) -> DataFrame:
+    """Accuracy, precision, recall, f1 and yes_ratio of answers against the labels at the same place, as one row.
+
+    Rows have ord; labels other than no count as yes, and an answer is no if its first sentence has No, not or no between single
+    spaces. Scores without anything to divide by are null.
+    """
+    from rulewright.functions import text as T
+
+    rows = labels.join(answers.select("ord", F.col("text").alias("__text")), "ord")
+    said, true = T.yes_no_exact_words(F.col("__text")) == "yes", F.col("label") != "no"
+    found = rows.agg(_count(said & true).alias("tp"), _count(said & ~true).alias("fp"), _count(~said & ~true).alias("tn"), _count(~said & true).alias("fn"))
+    return _plain_scores(found, F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+
+
+def contained_scores(rows: DataFrame) -> DataFrame:
+    """The same by whether the lower-case text contains its label; rows with other labels count in all and as unknown."""
+    from rulewright.functions import text as T
+
+    kind = T.yes_no_contained(F.lower(F.trim("label")), F.trim(F.col("text")))
+    found = rows.withColumn("__kind", kind).agg(*[_count(F.coalesce(F.col("__kind") == k, F.lit(False))).alias(k.lower()) for k in ("TP", "FP", "TN", "FN")], _count(F.col("__kind").isNull()).alias("unknown"))
+    whole = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") + F.col("unknown")
+    return _plain_scores(found, whole).withColumn("unknown", F.try_divide("unknown", whole))
+
+
+def _plain_scores(found: DataFrame, whole: Column) -> DataFrame:
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
+    return found.withColumns({"accuracy": F.try_divide(tp + tn, whole), "precision": p, "recall": r, "f1": F.try_divide(2 * p * r, p + r), "yes_ratio": F.try_divide(tp + fp, whole)})
+
+
+def question_key_matches(predictions: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Predictions with the question that their image and prompt name, and those that name none.
+
+    A prompt of a known layout gives its question in lower case; questions are compared in lower case.
+    """
+    from rulewright.functions import text as T
+
+    asked = predictions.withColumn("__q", T.prompt_question(F.col("prompt")))
+    known = questions.withColumn("__q", F.lower("question"))
+    keys = ["image_id", "__q"]
+    return asked.join(known, keys).drop("__q"), asked.join(known, keys, "left_anti").drop("__q")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import corpus as K
+from rulewright.operators import images as M
 from rulewright.plans.catalog import query
 from rulewright.sources.tables import table
 
@@ -111,33 +112,20 @@ def c12_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c13_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why events are skipped, by the first reason that holds; of the valid ones the first of each user stays."""
     reason = F.when(F.col("value").isNull(), "no value").when(~F.col("event_type").isin("click", "view", "purchase"), "other type").when(F.col("value") < 10, "small")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", reason.alias("reason"))
-    first = F.row_number().over(Window.partitionBy("user_id", "reason").orderBy("event_id"))
-    told = rows.withColumn("first", first).select(F.coalesce("reason", F.when(F.col("first") == 1, "kept").otherwise("duplicate")).alias("reason"))
-    return told.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    rows = K.skip_reasons(table(spark, sf_dir, "events"), "user_id", "event_id", reason)
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH m AS (SELECT p_partkey, array_to_string(list_sort(list(DISTINCT s_name)), '|') AS names, count(DISTINCT s_name) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
     SELECT p_partkey, coalesce(names, '') AS names, n FROM m""")
 def c14_object_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct suppliers of each part; parts without any have an empty list."""
-    names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("l_partkey").agg(F.array_sort(F.collect_set("s_name")).alias("names"))
-    rows = table(spark, sf_dir, "part").join(names, F.col("p_partkey") == F.col("l_partkey"), "left")
-    listed = F.coalesce("names", F.array().cast("array<string>"))
-    return rows.select("p_partkey", F.array_join(listed, "|").alias("names"), F.size(listed).cast("long").alias("n"))
+    notes = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("p_partkey"), "s_name")
+    listed = M.object_lists(notes, "p_partkey", "s_name", table(spark, sf_dir, "part"))
+    return listed.select("p_partkey", F.array_join("classes", "|").alias("names"), F.size("scores").cast("long").alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+') AS phrase FROM benchmark)
-    SELECT item_id, count(d.doc_id) AS docs FROM b LEFT JOIN documents d ON phrase <> '' AND contains(' ' || lower(d.text) || ' ', ' ' || phrase || ' ') GROUP BY item_id""")
+@query("""WITH b AS (SELECT item_id, lower(text) AS phrase FROM benchmark) SELECT item_id, count(d.doc_id) AS docs FROM b LEFT JOIN documents d ON contains(' ' || lower(d.text) || ' ', ' ' || phrase || ' ') GROUP BY item_id""")
 def c15_phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents the first three plain words of each benchmark item stand, in a row.
-
-    The theta join on containment becomes an equi-join: documents give their three-word sequences
-    between single spaces, each once.
-    """
-    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+ [a-z]+", 0).alias("phrase"))
-    words = F.split(F.lower("text"), " ")
-    threes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.concat_ws(" ", F.slice("words", i, 3))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 2).select("doc_id", F.explode(threes).alias("phrase"))
-    hits = docs.join(phrases.filter("phrase <> ''"), "phrase").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
-    return phrases.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"))
+    """In how many documents each benchmark item stands whole, between spaces."""
+    return K.phrase_mentions(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulewright.operators import images as M
 from rulewright.operators import mining
+from rulewright.operators import scores as S
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import _GRID, BOXES_SQL, SIDE, grids, part_boxes
 from rulewright.plans.mining import _RULES, baskets_and_rules
@@ -71,8 +72,8 @@ def i6_mask_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_GRID}, m AS (SELECT vec_id // 8 AS image, i, max(b) AS b FROM u GROUP BY ALL) SELECT image, sum(b)::BIGINT AS active FROM m GROUP BY 1""")
 def i7_union_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active cells of the union of each image's masks, with the union made cell by cell before it is counted."""
-    cells = grids(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("image"), F.posexplode("bits").alias("i", "b"))
-    return cells.groupBy("image", "i").agg(F.max("b").alias("b")).groupBy("image").agg(F.sum("b").alias("active"))
+    masks = grids(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("image"), "bits")
+    return M.union_masks(masks, "image", "bits").select("image", F.aggregate("bits", F.lit(0), lambda n, x: n + x).cast("long").alias("active"))
 
 
 @query()
@@ -109,8 +110,9 @@ def i11_candidate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT conv_id, len(string_split(text, ' ')) AS n FROM conversations) SELECT count(*) AS n, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, max(n)::BIGINT AS most, round(avg((n >= 60)::INT), 6) AS at_limit FROM w""")
 def i12_token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of the turns: total, mean, longest and the share that reaches a limit."""
-    n = F.size(F.split("text", " "))
-    return table(spark, sf_dir, "conversations").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"), F.round(F.avg(n), 6).alias("mean"), F.max(n).cast("long").alias("most"), F.round(F.avg((n >= 60).cast("int")), 6).alias("at_limit"))
+    rows = table(spark, sf_dir, "conversations").select(F.size(F.split("text", " ")).alias("n_words"))
+    found = S.length_statistics(rows, "n_words", 60)
+    return found.select("n", "total", F.round("mean", 6).alias("mean"), "most", F.round("at_limit", 6).alias("at_limit"))
 
 
 @query(_RULES + """, o AS (SELECT k, answer, list(item) AS items FROM t GROUP BY ALL),

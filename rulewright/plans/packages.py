@@ -94,11 +94,11 @@ def p9_choices_and_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(P.choices_around_or(F.col("w")), "|").alias("options"), F.size(P.answer_spans(F.col("w"), 3)).cast("long").alias("spans"))
 
 
-@query("""WITH r AS (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY n_chars DESC, doc_id) - 1 AS place FROM documents)
-    SELECT doc_id, (doc_id // 64)::BIGINT AS mega, place::INT AS place, (place % 4)::INT AS shard FROM r""")
+@query("""WITH m AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5(doc_id || ':3'), doc_id) - 1) // 64 AS mega FROM documents WHERE doc_id % 3 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY mega ORDER BY n_chars DESC, doc_id) - 1 AS place FROM m)
+    SELECT doc_id, mega::BIGINT AS mega, place::INT AS place, (place % 4)::INT AS shard FROM r""")
 def p10_length_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents grouped by length within batches of 64, dealt out to four shards."""
-    return P.length_groups(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 4, 16).select("doc_id", "mega", "place", "shard")
+    """Two thirds of the documents (whose ids have gaps), shuffled, grouped by length within batches of 64 and dealt out to four shards."""
+    return P.length_groups(table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select("doc_id", "n_chars"), "n_chars", "doc_id", 4, 16, seed=3).select("doc_id", "mega", "place", "shard")
 
 
 @query(f"""WITH {QUESTIONS_SQL}, t AS (SELECT CASE WHEN question_id % 3 = 0 THEN 'image' ELSE 'text' END AS kind, question_id % 7 < 3 AS correct, question_id % 5 + 1 AS a, question_id % 4 + 2 AS b FROM q)
@@ -107,8 +107,9 @@ def p11_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and review scores by kind and in all."""
     k = F.col("question_id")
     rows = questions(spark, sf_dir).select(F.when(k % 3 == 0, "image").otherwise("text").alias("kind"), (k % 7 < 3).cast("int").alias("correct"), (k % 5 + 1).alias("a"), (k % 4 + 2).alias("b"))
-    found = rows.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("c"), F.avg("a").alias("x"), F.avg("b").alias("y"))
-    return found.select(F.coalesce("kind", F.lit("all")).alias("kind"), "n", F.round(100 * F.col("c"), 6).alias("accuracy"), F.round("x", 6).alias("first"), F.round("y", 6).alias("second"), F.round(100 * F.col("y") / F.col("x"), 6).alias("relative"))
+    accuracy = S.accuracy_by(rows, "kind", "correct")
+    found = accuracy.join(S.review_means(rows, "kind", "a", "b"), "kind")
+    return found.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "first", "second", "relative")])
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) FILTER (value > 30) AS tp, count(*) FILTER (value BETWEEN 10 AND 12) AS fp, count(*) FILTER (value < 1) AS fn FROM events GROUP BY 1, 2)
@@ -126,13 +127,26 @@ def p12_phrase_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p13_top_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen most frequent answers: the limit is the feature."""
     rows = questions(spark, sf_dir).select(F.lower(F.trim("answer")).alias("answer")).filter("answer <> ''")
-    return rows.groupBy("answer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "answer").limit(15)
+    return S.top_values(rows, "answer", 15)
 
 
-@query()
+def _plain_sql(x: str) -> str:
+    quote = lambda t: t.replace("'", "''")
+    low = f"trim(regexp_replace(trim(replace(regexp_replace(lower({x}), '[,?]', '', 'g'), '''s', ' ''s')), '[\\n\\t]', ' ', 'g'))"
+    out = low
+    for m in map(quote, T.ANSWER_MARKS):
+        out = f"replace({out}, '{m}', CASE WHEN contains(low, '{m} ') OR contains(low, ' {m}') THEN '' ELSE ' ' END)"
+    words = f"string_split(trim(regexp_replace(regexp_replace(regexp_replace({out.replace(low, 'low')}, '\\.+([^0-9.]|$)', '\\1', 'g'), '\\.+(\\.[0-9])', '\\1', 'g'), '\\s+', ' ', 'g')), ' ')"
+    table = {k: v for k, v in T.NUMBER_WORDS.items() if k not in ("no", "eleven", "twelve")} | T.CONTRACTIONS
+    cases = " ".join(f"WHEN '{quote(k)}' THEN '{quote(v)}'" for k, v in table.items())
+    return f"SELECT question_id, array_to_string([CASE w {cases} ELSE w END for w in {words} if w NOT IN ('a', 'an', 'the', '')], ' ') AS answer FROM (SELECT question_id, {low} AS low FROM q)"
+
+
+@query(f"""WITH {QUESTIONS_SQL} """ + _plain_sql("answer || CASE WHEN question_id % 2 = 0 THEN ' I dont know whats (new) 3.5.' ELSE ' let''s, youre_no one..' END"))
 def p14_plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as evaluation compares them."""
-    return questions(spark, sf_dir).select("question_id", T.plain_answer(F.col("answer")).alias("answer"))
+    text = F.concat("answer", F.when(F.col("question_id") % 2 == 0, " I dont know whats (new) 3.5.").otherwise(" let's, youre_no one.."))
+    return questions(spark, sf_dir).select("question_id", T.plain_answer(text).alias("answer"))
 
 
 _PROMPTS = ["OCR tokens: a. Question: Is {} red? Short answer:", "Reference OCR token: x\n{} where\nAnswer", "What {}\nReference OCR token: y\nAnswer", "Which {}\nAnswer", "nothing of {}"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import corpus as K
+from rulewright.operators import mixtures as M
 from rulewright.plans.catalog import query
 from rulewright.sources.tables import table
 
@@ -44,8 +45,7 @@ def t3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4_prefix_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first quarter of the customers by key, one at least: the limit is the feature."""
     rows = K.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), [F.col("c_custkey")], "at")
-    sized = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
-    return sized.filter(F.col("at") < F.greatest(F.lit(1), F.floor(F.col("n") * 0.25))).select("c_custkey", "c_mktsegment")
+    return M.first_share(rows, "at", 0.25).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey::VARCHAR || ':3'), p_partkey LIMIT 100")

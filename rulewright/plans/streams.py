@@ -25,3 +25,12 @@ def r2_running_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r3_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, for days that the watermark has closed."""
     return E.windowed_counts(spark, f"{sf_dir}/events.parquet", "ts", "event_type")
+
+
+@query("""WITH n AS (SELECT user_id, count(DISTINCT event_type) AS have FROM events GROUP BY 1) SELECT user_id, 0 AS batch FROM n WHERE have >= 4 + user_id % 2""")
+def r4_completed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users for whom enough types of events have come, and the batch that brought the last."""
+    from pyspark.sql import functions as F
+
+    needed = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().select("user_id", (4 + F.col("user_id") % 2).alias("n"))
+    return E.completed_keys(spark, f"{sf_dir}/events.parquet", "user_id", "event_type", needed)

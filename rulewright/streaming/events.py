@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.sources.staging import shared_dir
+from rulewright.sources.staging import run_dir
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -29,7 +29,7 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
 
 def resumed_copy(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
     """The stream's rows, each key once, written by a run and read again; a second run finds nothing left."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = stream_of(spark, path).select(*columns).dropDuplicates([key])
     for _ in range(2):
         run_once(rows, f"{base}/out", f"{base}/checkpoint")
@@ -41,7 +41,7 @@ def running_peaks(spark: SparkSession, path: str, key: str, value: str, time: st
 
     Each batch's changed keys are written with the batch's number; the last number of a key counts.
     """
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     peaks = stream_of(spark, path).groupBy(key).agg(F.max(value).alias("peak"), F.count(F.lit(1)).alias("n"), F.max(time).alias("last"))
     write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
     peaks.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
@@ -51,7 +51,24 @@ def running_peaks(spark: SparkSession, path: str, key: str, value: str, time: st
 
 def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts by time window and key, each once, when the watermark has passed the window's end."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     counts = stream_of(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
     run_once(counts.select(F.col("window.start").alias("start"), key, "n"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+def completed_keys(spark: SparkSession, path: str, key: str, item: str, needed: DataFrame) -> DataFrame:
+    """Keys all of whose ``needed`` items (key, n) have come by the stream's end, with the batch in which the last one came: key, batch.
+
+    Items count once each. The state is an aggregate in update mode; a key is written by the batch that completes it.
+    """
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = stream_of(spark, path).dropDuplicates([key, item]).groupBy(key).agg(F.count(F.lit(1)).alias("have"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        done = df.join(needed, key).filter("have >= n").select(key)
+        done.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/part={batch}")
+
+    # two stateful steps after one another: the aggregate is on what the deduplication lets through
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy(key).agg(F.min("batch").alias("batch"))

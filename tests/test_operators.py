@@ -289,8 +289,11 @@ def test_records(spark, tmp_path):
     path = write("c.jsonl", '{"id": 1, "q": "a"}\n\n{bad\n{"id": 2}\n')
     assert records.json_lines(spark, [path, path], "id long, q string").count() == 2
     assert records.bad_lines(spark, path).first().bad == 1
-    with pytest.raises(Exception, match="(?i)malformed"):
-        records.json_lines(spark, path, "id long, q string", strict=True).collect()
+    with pytest.raises(ValueError, match="line 3 of"):
+        records.json_lines(spark, path, "id long, q string", strict=True)
+    assert records.json_any(spark, write("h.json", '[{"id": 1},\n {"id": 2}]'), "id long").count() == 2
+    assert records.json_any(spark, write("i.json", '{"id": 1}\n\n{"id": 2}\n'), "id long").count() == 2
+    assert records.json_any(spark, write("j.json", '{"id": 1}'), "id long").count() == 1 and records.json_any(spark, write("k.json", "") or str(tmp_path / "k.json"), "id long").count() == 0
     nested = write("d.json", json.dumps([{"id": 5, "qas": [{"qa_id": 1, "question": "x", "answer": "y"}]}, {"question_id": 2, "image_id": 6, "question": "z", "answer": "w"}]))
     assert sorted((r.question_id, r.image_id, r.question) for r in records.nested_answers(spark, nested).collect()) == [(1, 5, "x"), (2, 6, "z")]
     by_id = write("e.json", json.dumps({"02": {"imageId": "n1", "question": "b", "answer": "c"}, "01": {"imageId": "n2", "question": "d", "answer": "e"}}))
@@ -310,3 +313,30 @@ def test_sinks(spark, tmp_path):
     assert {r.names for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()} == {"a|b", None}
     predictions = spark.createDataFrame([(1, "x", 0), (1, "y", 1)], "id long, text string, ord long")
     assert sorted(map(tuple, records.submission(rows, predictions, "id", "text").collect())) == [(1, "y"), (2, "")]
+
+
+def test_array_archives(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", question_ids=[5, 6, 5], coverage=np.arange(12).reshape(3, 2, 2) / 10, has_mask=np.ones((3, 2, 2), bool))
+    np.savez(tmp_path / "b.npz", image_names=["x/7_1.png", "no.png", "8_2_3.png"], coverage=np.zeros((3, 4)), has_mask=np.zeros((3, 4), bool))
+    rows = {r.question_id: r for r in records.array_archives(spark, str(tmp_path), "question_ids", {"coverage": "double", "has_mask": "boolean"}).collect()}
+    assert rows.keys() == {5, 6, 7} and rows[5].coverage == [0.0, 0.1, 0.2, 0.3] and rows[6].ord == 1 and rows[7].has_mask == [False] * 4
+
+
+def test_content_hashes(spark):
+    import hashlib
+
+    from rulewright.operators import images
+
+    rows = spark.createDataFrame([(1, '{"b": [1, 2], "a": "é"}'), (2, '{"a":"é","b":[1,2]}'), (3, "no"), (4, None), (5, "{}")], "id long, t string")
+    want = hashlib.blake2b('{"a":"é","b":[1,2]}'.encode(), digest_size=16).hexdigest()
+    got = {r.id: r.h for r in rows.select("id", images.content_hash("t").alias("h")).collect()}
+    assert got[1] == got[2] == want and got[3] is None and got[4] is None
+    assert sorted(r.id for r in images.without_hashes(rows, "t", spark.createDataFrame([(want,)], "hash string")).collect()) == [3, 4, 5]
+
+
+def test_mentions_take_terms_as_they_are(spark):
+    from rulewright.operators import packages
+
+    rows = spark.createDataFrame([("i like c++ a lot",), ("ccc",), ("axb (",)], "t string")
+    got = [tuple(r) for r in rows.select(packages.mentions(F.col("t"), ["c++"]), packages.mentions(F.col("t"), ["a.b"]), packages.mentions(F.col("t"), ["("])).collect()]
+    assert got == [(True, False, False), (False, False, False), (False, False, True)]
