@@ -150,3 +150,43 @@ def padded(values: Column, to: int, fill: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def mask_ioa(a: Column, b: Column) -> Column:
+    """The share of ``a``'s active cells that ``b`` has too; 0 if it has none. Both are arrays of 0 and 1."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0), lambda n, x: n + x)
+    return _share(both, F.aggregate(a, F.lit(0), lambda n, x: n + x))
+
+
+def point_similarity(ax: Column, ay: Column, bx: Column, by: Column, zero_distance: float = 2.0) -> Column:
+    """1 for equal points, falling with their distance to 0 at ``zero_distance``."""
+    return F.greatest(F.lit(0.0), 1 - F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) / zero_distance)
+
+
+def canvas_bits(runs: Column, size: int) -> Column:
+    """As ``bits_of`` on a canvas of ``size`` cells: negative runs count as none, what runs past the end is cut, and what they leave is 0."""
+    bits = F.slice(bits_of(F.transform(runs, lambda r: F.greatest(r, F.lit(0)))), F.lit(1), F.lit(size))
+    return padded(bits, size, F.lit(0))
+
+
+def valid_runs(runs: Column, size: int) -> Column:
+    """Whether no run is negative and together they fill the canvas."""
+    return F.forall(runs, lambda r: r >= 0) & (F.aggregate(runs, F.lit(0), lambda n, r: n + r) == size)
+
+
+def square_bits(values: Column, width: int, height: int, least: int = 128) -> Column:
+    """Values of at least ``least`` as 1, others as 0, on a square canvas with the image in its middle (offsets rounded down)."""
+    side = max(width, height)
+    left, top = (side - width) // 2, (side - height) // 2
+
+    def one(i: Column) -> Column:
+        r, c = F.floor(i / side).cast("int") - top, i % side - left
+        inside = r.between(0, height - 1) & c.between(0, width - 1)
+        return F.when(inside, (F.get(values, r * width + c) >= least).cast("int")).otherwise(0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), one)
+
+
+def instance_count(shapes: Column) -> Column:
+    """How many masks a list of results holds, by their shapes: one of three or more sides holds as many as its first, one of two is one, others none."""
+    return F.coalesce(F.aggregate(shapes, F.lit(0), lambda n, s: n + F.when(F.size(s) >= 3, s[0]).when(F.size(s) == 2, 1).otherwise(0)), F.lit(0))

@@ -68,6 +68,42 @@ def choice_prompt(question: Column, options: Column) -> Column:
     return F.concat_ws("\n", question, F.array_join(F.transform(kept, lambda o, i: F.concat(F.get(letters, i), F.lit(". "), o)), "\n"))
 
 
+def prompt_rounds(rows: DataFrame, question: str, hint: str, options: str, letters: str = "ABCDEFGH") -> DataFrame:
+    """A row for each option and round: round, prompt and letters, the options under the letters that they have in that round.
+
+    A hint that isn't null or says so stands before the question. Options end at the first that is null or says so; in each further round
+    the first option moves behind the last one.
+    """
+    nothing = lambda c: c.isNull() | F.lower(c).isin("nan", "none")
+    at = F.array_position(F.transform(options, nothing), True)
+    kept = F.when(at > 0, F.slice(options, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(F.col(options))
+    told = rows.withColumn("__kept", kept).withColumn("round", F.explode(F.when(F.size("__kept") > 0, F.sequence(F.lit(0), F.size("__kept") - 1)).otherwise(F.array(F.lit(0)))))
+    n = F.size("__kept")
+    turned = F.concat(F.slice("__kept", F.col("round") + 1, n), F.slice("__kept", F.lit(1), F.col("round")))
+    names = F.array(*[F.lit(c) for c in letters])
+    asked = F.when(nothing(F.col(hint)), F.col(question)).otherwise(F.concat_ws("\n", F.col(hint), F.col(question)))
+    lines = F.transform(turned, lambda o, i: F.concat(F.get(names, i), F.lit(". "), o))
+    return told.withColumn("prompt", F.concat_ws("\n", asked, F.nullif(F.array_join(lines, "\n"), F.lit("")))).withColumn("letters", F.array_join(turned, "|")).drop("__kept")
+
+
+def with_shortcuts(rows: DataFrame, shortcuts: DataFrame, key: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows with shortcut_answer where a filled one is known (null elsewhere, or with ``strict`` left out), and the keys without one."""
+    known = shortcuts.select(key, F.trim("answer").alias("shortcut_answer")).filter("shortcut_answer <> ''")
+    lost = rows.join(known, key, "left_anti").select(key)
+    return rows.join(known, key, "inner" if strict else "left"), lost
+
+
+def with_images(rows: DataFrame, masked: str, originals: list[str], listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their image and image_kind: the ``masked`` path if the listing has it, else the first of the ``originals`` that it has; and those without."""
+    told = rows
+    for i, c in enumerate([masked, *originals]):
+        files = listing.select(F.col("path").alias(c)).distinct().withColumn(f"__has{i}", F.lit(True))
+        told = told.join(files, c, "left")
+    image = F.coalesce(*[F.when(F.col(f"__has{i}"), F.col(c)) for i, c in enumerate([masked, *originals])])
+    told = told.withColumn("image", image).withColumn("image_kind", F.when(F.col("__has0"), "masked").when(F.col("image").isNotNull(), "original")).drop(*[f"__has{i}" for i in range(len(originals) + 1)])
+    return told.filter("image is not null"), told.filter("image is null").drop("image", "image_kind")
+
+
 def choices_around_or(tokens: Column, most: int = 4) -> Column:
     """The options of "a or b": up to ``most`` tokens on each side of the first or; empty if there is none or a side is empty."""
     at = F.array_position(tokens, "or").cast("int")

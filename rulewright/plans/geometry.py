@@ -58,7 +58,7 @@ def g3_top_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, cells, bits): embeddings as grids, and where they are at least 0.05."""
+    """(vec_id, label, cells, bits): embeddings as grids of 64 cells, and where they are at least 0.05; an embedding of another length is no grid."""
     rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == SIDE * SIDE)
     cells = F.transform("embedding", lambda x: x.cast("double"))
     return rows.select("vec_id", "label", cells.alias("cells"), G.active(cells, 0.05).alias("bits"))
@@ -115,3 +115,22 @@ def g9_frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four evenly spread turns of each conversation, as frames are chosen from a video."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("conv_id", "n", F.array_join(G.frame_sample(F.col("n"), 4), " ").alias("frames"))
+
+
+@query(f"""WITH {_GRID}, p AS (SELECT vec_id, bits, [(x >= 0)::INT for x in cells] AS other, cells FROM g),
+    q AS (SELECT *, [vec_id % 5, 20, vec_id % 9 - 4, 30, vec_id % 40] AS runs FROM p), c AS (SELECT *, [greatest(r, 0) for r in runs] AS plain FROM q)
+    SELECT vec_id, round(CASE WHEN list_sum(bits) > 0 THEN list_sum([a * other[i] for a, i in bits]) / list_sum(bits) ELSE 0 END, 9) AS ioa, round(greatest(0, 1 - sqrt((cells[1] - cells[2]) ** 2 + (cells[3] - cells[4]) ** 2) / 0.5), 9) AS similarity,
+      greatest(0, least(64 - plain[1], plain[2])) + greatest(0, least(64 - plain[1] - plain[2] - plain[3], plain[4])) AS area, list_min(runs) >= 0 AND list_sum(runs) = 64 AS valid,
+      (SELECT count(*) FROM (SELECT unnest(cells[:48]) AS x) t WHERE x >= 0.05)::INT AS square_area, 2 + vec_id % 4 + 1 AS instances FROM c""")
+def g10_mask_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of masks, similarity of points, runs on a canvas, masks on squares, numbers of instances."""
+    k, cell = F.col("vec_id"), lambda i: F.get("cells", F.lit(i))
+    runs = F.array(*[x.cast("int") for x in (k % 5, F.lit(20), k % 9 - 4, F.lit(30), k % 40)])
+    total = lambda bits: F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+    square = G.square_bits(F.transform(F.slice("cells", 1, 48), lambda x: F.when(x >= 0.05, 200).otherwise(127)), 8, 6)
+    sizes = lambda *v: F.array(*[x.cast("int") for x in v])
+    shapes = F.array(sizes(F.lit(2), F.lit(8), F.lit(8)), sizes(F.lit(8), F.lit(8)), sizes(F.lit(9)), sizes(k % 4, F.lit(8), F.lit(8)))
+    return grids(spark, sf_dir).select(
+        "vec_id", F.round(G.mask_ioa(F.col("bits"), G.active(F.col("cells"), 0.0)), 9).alias("ioa"), F.round(G.point_similarity(cell(0), cell(2), cell(1), cell(3), 0.5), 9).alias("similarity"), total(G.canvas_bits(runs, 64)).alias("area"),
+        G.valid_runs(runs, 64).alias("valid"), total(square).alias("square_area"), G.instance_count(shapes).alias("instances"),
+    )

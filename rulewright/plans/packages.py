@@ -173,3 +173,36 @@ def p16_mask_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks by quality of their match and area."""
     k = F.col("doc_id")
     return _shares(spark, sf_dir).select(T.mask_quality(k % 10 / 10, k % 7 / 20, F.col("share")).alias("quality")).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 3 AS k, [p_name, p_brand, p_type] AS o, CASE WHEN p_partkey % 2 = 0 THEN 'NaN' ELSE 'look' END AS hint FROM part), q AS (SELECT *, CASE k WHEN 0 THEN o WHEN 1 THEN o[:1] ELSE [] END AS kept FROM p), r AS (SELECT *, unnest(range(greatest(1, len(kept)))) AS round FROM q),
+    t AS (SELECT *, list_concat(kept[round + 1:], kept[:round]) AS turned FROM r)
+    SELECT p_partkey, round::INT AS round, CASE WHEN hint = 'look' THEN 'look' || chr(10) ELSE '' END || 'Which?' || list_reduce(list_concat([''], [chr(10) || substr('ABC', i, 1) || '. ' || x for x, i in turned]), lambda a, b: a || b) AS prompt, array_to_string(turned, '|') AS letters FROM t""")
+def p17_prompt_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of a hint, a question and its options, one for each turn of the options."""
+    k = F.col("p_partkey")
+    options = F.array(F.when(k % 3 == 2, F.lit("None")).otherwise(F.col("p_name")), F.when(k % 3 == 0, F.col("p_brand")), F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("Which?").alias("question"), F.when(k % 2 == 0, "NaN").otherwise("look").alias("hint"), options.alias("options"))
+    return P.prompt_rounds(rows, "question", "hint", "options").select("p_partkey", "round", "prompt", "letters")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS c_custkey, nullif(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE ' ' || o_orderpriority END), '') AS a FROM orders WHERE o_orderkey % 3 > 0)
+    SELECT c_custkey, a AS shortcut_answer, false AS strict FROM customer LEFT JOIN s USING (c_custkey) UNION ALL SELECT c_custkey, a, true FROM customer JOIN s USING (c_custkey) WHERE a IS NOT NULL""")
+def p18_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the shortcut answers that are known, all rows and only those that have one."""
+    k = F.col("o_orderkey")
+    known = table(spark, sf_dir, "orders").filter(k % 3 > 0).select(k.alias("c_custkey"), F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"))).alias("answer"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    parts = [P.with_shortcuts(rows, known, "c_custkey", strict)[0].withColumn("strict", F.lit(strict)) for strict in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""WITH l AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'm/' WHEN 1 THEN 'a/' ELSE 'b/' END || o_custkey AS path FROM orders), c AS (SELECT c_custkey, 'm/' || c_custkey IN (FROM l) AS m, 'a/' || c_custkey IN (FROM l) AS a, 'b/' || c_custkey IN (FROM l) AS b FROM customer)
+    SELECT c_custkey, CASE WHEN m THEN 'm/' WHEN a THEN 'a/' WHEN b THEN 'b/' END || c_custkey AS image, CASE WHEN m THEN 'masked' WHEN a OR b THEN 'original' END AS image_kind FROM c""")
+def p19_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked image of each row, else an original one, with where it is from."""
+    k = F.col("o_orderkey") % 3
+    listing = table(spark, sf_dir, "orders").select(F.concat(F.when(k == 0, "m/").when(k == 1, "a/").otherwise("b/"), F.col("o_custkey").cast("string")).alias("path"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", *[F.concat(F.lit(f"{x}/"), F.col("c_custkey").cast("string")).alias(x) for x in "mab"])
+    good, bad = P.with_images(rows, "m", ["a", "b"], listing)
+    return good.unionByName(bad, allowMissingColumns=True).select("c_custkey", "image", "image_kind")

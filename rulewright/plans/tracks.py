@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import tracks as K
+from rulewright.operators.images import bit_overlap
 from rulewright.plans.catalog import query
-from rulewright.plans.geometry import BOXES_SQL, part_boxes
+from rulewright.plans.geometry import _GRID, BOXES_SQL, grids, part_boxes
 from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
 
@@ -80,3 +81,17 @@ def k6_teta(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = staged(K.teta_parts(truth.withColumn("cls", cls), found.withColumn("cls", F.when(F.col("frame") == 4, (cls + 1) % 3).otherwise(cls))))
     rows = K.teta(parts).withColumn("averaged", F.lit("class")).unionByName(K.teta(parts, by_class=False).withColumn("averaged", F.lit("boxes")))
     return rows.select("averaged", *[F.round(c, 6).alias(c) for c in ("loc_a", "assoc_a", "cls_a", "teta")])
+
+
+@query(f"""WITH RECURSIVE {_GRID}, g8 AS (SELECT vec_id, vec_id // 8 AS image, label % 3 AS score, bits FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, vec_id) AS rank FROM g8),
+    p AS (SELECT a.image, a.rank, c.rank AS better, list_sum([x * c.bits[i] for x, i in a.bits]) AS i, list_sum(a.bits) AS s1, list_sum(c.bits) AS s2 FROM o a JOIN o c ON a.image = c.image AND c.rank < a.rank),
+    q AS (SELECT o.image, o.vec_id, o.rank, coalesce(list(better) FILTER (i / (s1 + s2 - i) >= 0.3), []) AS bad FROM o LEFT JOIN p USING (image, rank) GROUP BY ALL),
+    r AS (SELECT image, 0::BIGINT AS rank, []::BIGINT[] AS kept FROM o GROUP BY image
+          UNION ALL SELECT r.image, q.rank, CASE WHEN list_has_any(q.bad, r.kept) THEN r.kept ELSE list_append(r.kept, q.rank) END FROM r JOIN q ON q.image = r.image AND q.rank = r.rank + 1)
+    SELECT q.image, q.vec_id FROM q JOIN (SELECT image, arg_max(kept, rank) AS kept FROM r GROUP BY image) k ON k.image = q.image AND list_contains(k.kept, q.rank)""")
+def k7_mask_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of each image that suppression by their overlaps keeps, equal overlaps suppressed too."""
+    rows = grids(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("image"), "vec_id", (F.col("label") % 3).alias("score"), "bits")
+    a, b = rows.select("image", F.col("vec_id").alias("a"), F.col("bits").alias("x")), rows.select("image", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
+    pairs = a.join(b, "image").filter("a < b").select("image", "a", "b", bit_overlap(F.col("x"), F.col("y")).alias("iou"))
+    return K.suppressed_pairs(rows, pairs, "image", "vec_id", 0.3, at_most=False)
