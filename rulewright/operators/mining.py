@@ -41,19 +41,21 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
         whole = transactions.agg(F.count(F.lit(1)).alias("n_items"))
         by_answer = transactions.groupBy("answer").agg(F.count(F.lit(1)).alias("n_both"))
         found.append(by_answer.crossJoin(F.broadcast(whole)).select(F.array().cast("array<string>").alias("itemset"), "answer", "n_items", "n_both"))
-    single = transactions.select("answer", F.explode("items").alias("item")).groupBy("item", "answer").agg(F.count(F.lit(1)).alias("n"))
-    frequent = single.filter(F.col("n") >= least).select("item").distinct()
-    items = transactions.select(key, "answer", F.explode("items").alias("item")).join(frequent, "item")
-    level = items.select(key, "answer", F.array("item").alias("itemset"))
+    single = staged(transactions.select("answer", F.explode("items").alias("item")).groupBy("item", "answer").agg(F.count(F.lit(1)).alias("n_both")))
+    frequent = single.filter(F.col("n_both") >= least).select("item").distinct()
+    both = single.join(frequent, "item").select(F.array("item").alias("itemset"), "answer", "n_both")
+    # a row for each basket and frequent itemset in it, with the frequent items that come after: no level needs the baskets again
+    items = transactions.select(key, "answer", F.explode("items").alias("item")).join(frequent, "item").groupBy(key, "answer").agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    level = items.select("answer", F.posexplode("rest").alias("at", "item"), "rest").select("answer", F.array("item").alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
     for size in range(1, longest):
-        both = level.groupBy("itemset", "answer").agg(F.count(F.lit(1)).alias("n_both"))
+        if size > 1:
+            both = level.groupBy("itemset", "answer").agg(F.count(F.lit(1)).alias("n_both"))
         alone = both.groupBy("itemset").agg(F.sum("n_both").alias("n_items"), F.max("n_both").alias("most")).filter(F.col("most") >= least)
         found.append(both.filter(F.col("n_both") >= least).join(alone.drop("most"), "itemset").select("itemset", "answer", "n_items", "n_both"))
         if size + 1 < longest:
-            going = level.join(alone.select("itemset"), "itemset")
-            more = items.groupBy(key).agg(F.collect_list("item").alias("others"))
-            level = going.join(more, key).select(key, "answer", "itemset", F.explode(F.filter("others", lambda x: x > F.element_at("itemset", -1))).alias("item"))
-            level = level.select(key, "answer", F.concat("itemset", F.array("item")).alias("itemset"))
+            going = (level if size == 1 else level.join(alone.select("itemset"), "itemset")).filter(F.size("rest") > 0)
+            level = going.select("answer", "itemset", F.posexplode("rest").alias("at", "item"), "rest")
+            level = level.select("answer", F.concat("itemset", F.array("item")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -152,6 +154,13 @@ def keywords(itemset: Column) -> Column:
     return F.filter(itemset, lambda x: ~x.startswith(CUE))
 
 
+def _held(part: str, items: str) -> Column:
+    """Whether all of an array's items are in another: its first and last one, and only for longer arrays all of them, are looked for."""
+    n = F.size(part)
+    some = F.array_contains(items, F.get(part, F.lit(0))) & F.array_contains(items, F.get(part, n - 1))
+    return (n == 0) | (some & ((n <= 2) | (F.size(F.array_except(part, items)) == 0)))
+
+
 def _anchored(split: DataFrame, items: str, counts: DataFrame) -> DataFrame:
     """Adds item, the one of a rule's ``items`` that the fewest baskets have (ties by name); rules without any are left out."""
     parts = split.select("rank", F.explode(items).alias("item")).join(counts, "item", "left")
@@ -167,7 +176,7 @@ def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: boo
     """
     split = mined.select("rank", "answer", cues(F.col("itemset")).alias("cues"), keywords(F.col("itemset")).alias("words"))
     own = transactions.select(key, "answer", "items")
-    fits = F.size(F.array_except("words", "items")) == 0
+    fits = _held("words", "items")
     by_cue = own.withColumn("cue", F.explode(cues(F.col("items")))).join(split.withColumn("cue", F.explode("cues")), ["answer", "cue"])
     met = by_cue.filter(fits).groupBy(key).agg(F.min("rank").alias("rank"))
     if bare:
@@ -191,10 +200,10 @@ def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue
     each = own.withColumn("item", F.explode("items"))
     always = own.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
     if not any_cue:
-        met = each.join(_anchored(known, "itemset", item_counts(transactions)), "item").filter(F.size(F.array_except("itemset", "items")) == 0)
+        met = each.join(_anchored(known, "itemset", item_counts(transactions)), "item").filter(_held("itemset", "items"))
         return met.select(*columns).unionByName(always.select(*columns))
     split = known.withColumns({"cues": cues(F.col("itemset")), "words": keywords(F.col("itemset"))})
-    fits = (F.size(F.array_except("words", "items")) == 0) & ((F.size("cues") == 0) | F.arrays_overlap("cues", "items"))
+    fits = _held("words", "items") & ((F.size("cues") == 0) | F.arrays_overlap("cues", "items"))
     worded = each.join(_anchored(split.filter(F.size("words") > 0), "words", item_counts(transactions)), "item").filter(fits).select(*columns)
     by_cue = each.join(split.filter((F.size("words") == 0) & (F.size("cues") > 0)).withColumn("item", F.explode("cues")), "item").select(*columns).distinct()
     return worded.unionByName(by_cue).unionByName(always.select(*columns))
