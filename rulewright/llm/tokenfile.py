@@ -109,19 +109,27 @@ class WordEncoder:
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.seen: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
+    def _first(self, word: str) -> bytes:
+        """The ids of a text's first word, which has no space before it."""
+        if word not in self.firsts:
+            if len(self.firsts) > CACHE_WORDS:
+                self.firsts.clear()
+            self.firsts[word] = self.whole(word)
+        return self.firsts[word]
+
     def _learn(self, words: list[str]) -> None:
         """Ids of words without blanks at their ends or spaces within, many at a time."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         at = 0
         while at < len(words):
-            run, size = [], 0
-            while at < len(words) and size < 200_000:
-                run.append(words[at])
-                size += len(words[at]) + 1
-                at += 1
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, "right"))
+            run = words[at : max(at + 1, upto)]
+            at += len(run)
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, self.dtype)
             heads = np.flatnonzero(self.starts[ids])
             if len(heads) != len(run):
@@ -141,7 +149,7 @@ class WordEncoder:
             words = self._cuts.split(text) if text[:1].isspace() or self._blanks.search(text) else text.split(" ")
             first = words.pop(0)
             new.update(words)
-            parts.append((self.whole(first) if first else b"", words))
+            parts.append((self._first(first) if first else b"", words))
         if len(self.seen) > CACHE_WORDS:
             self.seen, self.last = {}, self.seen
         new -= self.seen.keys()
