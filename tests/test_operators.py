@@ -340,3 +340,27 @@ def test_mentions_take_terms_as_they_are(spark):
     rows = spark.createDataFrame([("i like c++ a lot",), ("ccc",), ("axb (",)], "t string")
     got = [tuple(r) for r in rows.select(packages.mentions(F.col("t"), ["c++"]), packages.mentions(F.col("t"), ["a.b"]), packages.mentions(F.col("t"), ["("])).collect()]
     assert got == [(True, False, False), (False, False, False), (False, False, True)]
+
+
+def test_other_masters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rulewright.sources.staging import shared_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: None), getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+
+    assert shared_dir(session("local[4]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://a:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master))
+
+
+def test_samples_that_are_too_small_are_refused(spark):
+    from rulewright.operators import mixtures
+
+    ids = spark.range(5).withColumnRenamed("id", "k")
+    assert mixtures.sampled(ids, "k", 9, 1).count() == 5 and mixtures.limited_ids(ids, "k", 0).count() == 5
+    with pytest.raises(ValueError, match="fewer"):
+        mixtures.sampled(ids, "k", 9, 1, exact=True)
