@@ -47,7 +47,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     text = staged(text)
     blocks = text.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = text.join(F.broadcast(blocks.select("path", "block", "first", before.alias("before"))), ["path", "block"])
+    placed = text.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"])
     return placed.select("path", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
 
 
@@ -152,7 +152,7 @@ def keyed_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def annotations_of(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
     """(image_id, file_name, id, category, box, area, crowd) of an annotation file, boxes by their corners; with ``images`` (image_id) of those alone."""
     notes, names, files = _annotation_parts(spark, path)
-    rows = notes.join(F.broadcast(names), "category_id").join(files, "image_id")
+    rows = notes.join(names, "category_id").join(files, "image_id")
     if images is not None:
         rows = rows.join(images.select("image_id").distinct(), "image_id", "left_semi")
     b = F.col("bbox")
