@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import exact, langid, lines, mixing, near, passages, pieces, tokenfile, topk, toxicity
+from rulewright.llm import divergence, exact, langid, lines, mixing, near, passages, pieces, secrets, tokenfile, topk, toxicity, whitening
 from rulewright.sources.tables import table
 
 
@@ -67,6 +67,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs, counts="counts").select("doc_id", "counts.n_lines", "counts.removed_lines", "text")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms lie from its peers' and its language's."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document: counts by pattern, a checksum of the patterns' spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fitted(secrets.labelled_samples(docs)))
+    counts = [F.size(F.filter("spans", secrets.of_kinds(kind))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    base = F.filter("spans", secrets.of_kinds(*secrets.KINDS[:3]))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on their four largest principal components, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_file": op2_token_file,
@@ -78,6 +97,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_top_k": op9_top_k,
     "op10_line_dedup": op10_line_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_secrets": op12_secrets,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -102,4 +124,54 @@ ORACLES = {
         SELECT d.doc_id, coalesce(any_value(j.n), 0)::INT AS n_lines, coalesce(sum(j.gone::INT), 0)::INT AS removed_lines,
                CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(j.line, chr(10) ORDER BY j.pos) FILTER (WHERE NOT j.gone), '') END AS text
         FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""",
+    "op11_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+        w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        t AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT lang, source, sum(c.n)::HUGEINT AS total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * t.v) AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 5)) // (t.total + 5 * t.v) AS q
+              FROM g JOIN k USING (lang) JOIN t USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        u AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM u QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
+    "op12_secrets": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        pat AS (SELECT unnest([0, 1, 2, 3]) AS kind, unnest(['assign', 'access', 'hex', 'random']) AS name, unnest([
+                    '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)',
+                    'AKIA[A-Z0-9]+', '[0-9a-f]+', '[A-Za-z0-9+/_=-]{20,}']) AS re),
+        h AS (SELECT list_filter(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{4,}'), lambda x: len(x) < 20) AS t FROM d
+              WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < (SELECT least(4294967296, (200 * 4294967296) // greatest(count(*), 1)) FROM d)),
+        samples AS (
+            SELECT DISTINCT unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) || list_transform(range(1, len(t)), lambda i: t[i] || '-' || t[i + 1])
+                                     || list_transform(range(1, len(t)), lambda i: t[i] || '/' || t[i + 1]) || list_transform(range(1, len(t)), lambda i: t[i] || upper(t[i + 1][1]) || t[i + 1][2:])) AS sample, 0 AS random FROM h
+            UNION ALL SELECT unnest([to_base64(unhex(sha256(t))), translate(to_base64(unhex(sha256(t))), '+/', '-_'), sha256(t), upper(sha256(t))]), 1 FROM (SELECT DISTINCT unnest(t) AS t FROM h)),
+        abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-' AS abc),
+        steps AS (SELECT random, CASE WHEN i > 1 THEN instr(abc, sample[i - 1]) ELSE 0 END AS state, instr(abc, sample[i]) AS next FROM (SELECT sample, random, unnest(range(1, len(sample) + 1)) AS i FROM samples), abc),
+        counts AS (SELECT state, next, sum(random) AS r, sum(1 - random) AS o FROM steps GROUP BY ALL),
+        totals AS (SELECT state, sum(r) AS rs, sum(o) AS os FROM counts GROUP BY ALL),
+        grid AS (SELECT *, unnest(range(1, 68)) AS next FROM totals),
+        w AS (SELECT g.state, g.next, round(1000 * (ln((coalesce(r, 0) + 1) / (rs + 67)) - ln((coalesce(o, 0) + 1) / (os + 67))))::INT AS w FROM grid g LEFT JOIN counts c ON c.state = g.state AND c.next = g.next),
+        m AS (SELECT r, kind, name, re, regexp_extract_all(t, re) AS ms, string_split_regex(t, re) AS ps FROM d, pat WHERE kind < 2 OR regexp_matches(t, '[A-Za-z0-9+/_=-]{20}')),
+        u AS (SELECT r, kind, name, re, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+        s AS (SELECT r, kind, name, re, m, (sum(len(p) + len(m)) OVER (PARTITION BY r, kind ORDER BY i))::INT AS e FROM u),
+        base AS (SELECT r, kind, name, e - len(m) AS b, e FROM s WHERE (kind = 0 AND len(regexp_extract(m, re, 2)) >= 6) OR (kind = 1 AND len(m) >= 20) OR (kind = 2 AND len(m) >= 24)),
+        cand AS (SELECT r, e - len(m) AS b, e, m FROM s WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+        chars AS (SELECT r, b, e, m, unnest(range(1, len(m) + 1)) AS i FROM cand),
+        scored AS (SELECT r, b, e, sum(w.w) AS score FROM chars, abc JOIN w ON w.state = CASE WHEN i > 1 THEN instr(abc, m[i - 1]) ELSE 0 END AND w.next = instr(abc, m[i]) GROUP BY ALL),
+        every AS (SELECT * FROM base UNION ALL
+                  SELECT r, 3, 'random', b, e FROM scored c WHERE score >= 12000 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.r = c.r AND x.b < c.e AND x.e > c.b))
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               sha256(coalesce(string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind) FILTER (kind < 3), '')) AS base_sha256,
+               coalesce(string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind), '') AS spans
+        FROM d LEFT JOIN every USING (r) GROUP BY r, doc_id""",
 }
