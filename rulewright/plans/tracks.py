@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import tracks as K
+from rulewright.operators import trackscores as S
 from rulewright.operators.images import bit_overlap
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import _GRID, BOXES_SQL, grids, part_boxes
@@ -66,21 +69,107 @@ def k4_track_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.track_overlaps(*_tracks(spark, sf_dir)).withColumn("iou", F.round("iou", 9))
 
 
+def _rounded(found: DataFrame, fields: tuple[str, ...], *keys: str) -> DataFrame:
+    return found.select(*keys, *[F.round(c, 6).alias(c) for c in fields])
+
+
+def _with_classes(truth: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tracks with one of three classes each; in one frame found boxes have the next class."""
+    cls = F.pmod(F.col("video") + F.col("track"), F.lit(3))
+    return truth.withColumn("cls", cls), found.withColumn("cls", F.when(F.col("frame") == 4, (cls + 1) % 3).otherwise(cls))
+
+
 @query()
 def k5_hota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking scores over all videos."""
-    found = K.hota(K.hota_parts(*_tracks(spark, sf_dir)))
-    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+    return _rounded(S.hota(S.hota_parts(*_tracks(spark, sf_dir))), S.HOTA_FIELDS)
 
 
 @query()
 def k6_teta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Location, association and class scores, by class and over all boxes."""
-    truth, found = _tracks(spark, sf_dir)
-    cls = F.pmod(F.col("video") + F.col("track"), F.lit(3))
-    parts = staged(K.teta_parts(truth.withColumn("cls", cls), found.withColumn("cls", F.when(F.col("frame") == 4, (cls + 1) % 3).otherwise(cls))))
-    rows = K.teta(parts).withColumn("averaged", F.lit("class")).unionByName(K.teta(parts, by_class=False).withColumn("averaged", F.lit("boxes")))
-    return rows.select("averaged", *[F.round(c, 6).alias(c) for c in ("loc_a", "assoc_a", "cls_a", "teta")])
+    """Location, association and class scores, by class and over all boxes, with and without errors on boxes that match nothing."""
+    sides = _with_classes(*_tracks(spark, sf_dir))
+    rows = []
+    for exhaustive in (False, True):
+        parts = staged(S.teta_parts(*sides, exhaustive=exhaustive))
+        for averaged, classes in (("class", True), ("boxes", False)):
+            rows.append(S.teta(parts, classes=classes).select(F.lit(averaged).alias("averaged"), F.lit(exhaustive).alias("exhaustive"), "*"))
+    return _rounded(reduce(DataFrame.unionByName, rows), (*S.TETA_FIELDS, "teta"), "averaged", "exhaustive")
+
+
+def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same tracks so far apart that a found box overlaps one true box only, so every assignment is forced."""
+    truth, found = _with_classes(*_tracks(spark, sf_dir))
+    # the found track's number is one ahead after frame 8
+    lane = F.when(F.col("frame") > 8, F.pmod(F.col("track") - 1, F.lit(5))).otherwise(F.col("track"))
+    moved = lambda rows, by: rows.withColumns({c: F.col(c) + by * 20 for c in ("x0", "x1")})
+    return moved(truth, F.col("track")), moved(found, lane)
+
+
+_LANES = """r AS (SELECT o_custkey // 5 AS video, o_orderkey % 12 AS frame, o_custkey % 5 AS a, min(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3),
+    t AS (SELECT *, (video + a) % 3 AS cls, CASE WHEN frame > 8 THEN (a + 1) % 5 ELSE a END AS b FROM r),
+    f AS (SELECT video, frame, a, b, cls, (video + b + CASE WHEN frame = 4 THEN 1 ELSE 0 END) % 3 AS said, (15 - k % 11) / (15 + k % 11) AS iou FROM t WHERE k % 9 <> 0)"""
+
+
+def _means_sql(sums: str, fields: str, names: tuple[str, ...]) -> str:
+    """From the sums ``s`` of (cls, step): each class's fields, their mean over classes, and the fields of all boxes."""
+    added, means = ", ".join(f"sum({c.strip()})" for c in sums.split(",")), ", ".join(f"avg({c}) AS {c}" for c in names)
+    return f"""u AS (SELECT 'class ' || cls AS scope, step, {sums} FROM s UNION ALL SELECT 'boxes', step, {added} FROM s GROUP BY step),
+    e AS (SELECT scope, step, {fields} FROM u), m AS (SELECT scope, {means} FROM e GROUP BY scope),
+    w AS (SELECT * FROM m UNION ALL SELECT 'classes', {means} FROM m WHERE scope LIKE 'class %')"""
+
+
+_HOTA_MEANS = _means_sql("tp, n, m, located, aa, re, pr", """tp / greatest(1, n + m - tp) AS det_a, tp / greatest(1, n) AS det_re, tp / greatest(1, m) AS det_pr, aa / greatest(1, tp) AS ass_a, re / greatest(1, tp) AS ass_re, pr / greatest(1, tp) AS ass_pr,
+    greatest(1e-10, located) / greatest(1e-10, tp) AS loc_a, sqrt(tp / greatest(1, n + m - tp) * aa / greatest(1, tp)) AS hota, sqrt(tp / greatest(1, n) * aa / greatest(1, tp)) AS owta""", S.HOTA_FIELDS)
+_HOTA_SQL = f"""WITH {_LANES}, p AS (SELECT * FROM f WHERE cls = said),
+    na AS (SELECT video, cls, a, count(*) AS na FROM t GROUP BY ALL), nb AS (SELECT video, said AS cls, b, count(*) AS nb FROM f GROUP BY ALL),
+    h AS (SELECT *, unnest(range(1, 20)) AS step FROM p), hs AS (SELECT * FROM h WHERE iou >= step * 0.05 - 1e-12),
+    g AS (SELECT video, cls, step, a, b, count(*) AS c, sum(iou) AS located FROM hs GROUP BY ALL),
+    x AS (SELECT video, cls, step, sum(c) AS tp, sum(located) AS located, sum(c * c / (na + nb - c)) AS aa, sum(c * c / na) AS re, sum(c * c / nb) AS pr FROM g JOIN na USING (video, cls, a) JOIN nb USING (video, cls, b) GROUP BY ALL),
+    sizes AS (SELECT cls, step, (SELECT count(*) FROM t WHERE t.cls = c.cls) AS n, (SELECT count(*) FROM f WHERE f.said = c.cls) AS m FROM (SELECT cls, unnest(range(1, 20)) AS step FROM (SELECT DISTINCT cls FROM t)) c),
+    s AS (SELECT cls, step, coalesce(sum(tp), 0) AS tp, any_value(n) AS n, any_value(m) AS m, coalesce(sum(located), 0) AS located, coalesce(sum(aa), 0) AS aa, coalesce(sum(re), 0) AS re, coalesce(sum(pr), 0) AS pr FROM sizes LEFT JOIN x USING (cls, step) GROUP BY cls, step),
+    {_HOTA_MEANS}
+    SELECT scope, {', '.join(f'round({c}, 6) AS {c}' for c in S.HOTA_FIELDS)} FROM w"""
+
+
+@query(_HOTA_SQL)
+def k8_hota_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking scores of each class, averaged over classes, and of all boxes together."""
+    parts = staged(S.hota_parts(*_lanes(spark, sf_dir), ["video", "cls"]))
+    own = S.hota(parts, ["cls"]).select(F.concat(F.lit("class "), F.col("cls")).alias("scope"), *S.HOTA_FIELDS)
+    rows = own.unionByName(S.hota(parts, classes=True).withColumn("scope", F.lit("classes"))).unionByName(S.hota(parts).withColumn("scope", F.lit("boxes")))
+    return _rounded(rows, S.HOTA_FIELDS, "scope")
+
+
+_TETA_MEANS = _means_sql("tp, fn, fp, aa, re, pr, ctp, cfn, cfp", """tp / greatest(1, tp + fn + fp) AS loc_a, tp / greatest(1, tp + fn) AS loc_re, tp / greatest(1, tp + fp) AS loc_pr, aa / greatest(1, tp) AS assoc_a, re / greatest(1, tp) AS assoc_re, pr / greatest(1, tp) AS assoc_pr,
+    CASE WHEN step >= 10 THEN ctp / greatest(1, ctp + cfn + cfp) END AS cls_a, CASE WHEN step >= 10 THEN ctp / greatest(1, ctp + cfn) END AS cls_re, CASE WHEN step >= 10 THEN ctp / greatest(1, ctp + cfp) END AS cls_pr""", S.TETA_FIELDS)
+_TETA_SQL = f"""WITH {_LANES}, c AS (SELECT * FROM f WHERE iou >= 0.5), tr AS (SELECT DISTINCT video, cls, b FROM c),
+    m0 AS (SELECT video, cls, frame, a, b, iou FROM f SEMI JOIN tr USING (video, cls, b)),
+    la AS (SELECT video, cls, frame, a, row_number() OVER (PARTITION BY video, cls, frame ORDER BY a) AS k FROM t SEMI JOIN tr USING (video, cls) ANTI JOIN m0 USING (video, cls, frame, a)),
+    lb AS (SELECT video, cls, frame, b, row_number() OVER (PARTITION BY video, cls, frame ORDER BY b) AS k FROM (SELECT f.video, tr.cls, f.frame, f.b FROM f JOIN tr ON tr.video = f.video AND tr.b = f.b) ANTI JOIN m0 USING (video, cls, frame, b)),
+    mm AS (SELECT * FROM m0 UNION ALL SELECT video, cls, frame, a, b, 0 FROM la JOIN lb USING (video, cls, frame, k)),
+    h AS (SELECT *, unnest(range(0, 20)) AS step FROM mm), hs AS (SELECT h.*, f.said FROM h JOIN f ON f.video = h.video AND f.frame = h.frame AND f.b = h.b WHERE h.iou >= step * 0.05 - 1e-12),
+    na AS (SELECT video, cls, a, count(*) AS na FROM t GROUP BY ALL), nb AS (SELECT video, b, count(*) AS nb FROM f GROUP BY ALL),
+    g AS (SELECT video, cls, step, a, b, count(*) AS n FROM hs GROUP BY ALL),
+    x AS (SELECT cls, step, sum(n) AS tp, sum(n * n / (na + nb - n)) AS aa, sum(n * n / na) AS re, sum(n * n / nb) AS pr FROM g JOIN na USING (video, cls, a) JOIN nb USING (video, b) GROUP BY ALL),
+    y AS (SELECT cls, step, count(*) FILTER (said = cls) AS ctp, count(*) FILTER (said <> cls) AS cfn FROM hs WHERE step >= 10 GROUP BY ALL),
+    z AS (SELECT said AS cls, step, count(*) AS cfp FROM hs WHERE step >= 10 AND said <> cls GROUP BY ALL),
+    q AS (SELECT cls, step, count(*) AS fp FROM (SELECT *, unnest(range(0, 20)) AS step FROM c) ANTI JOIN hs USING (video, cls, frame, b, step) GROUP BY ALL),
+    sizes AS (SELECT cls, unnest(range(0, 20)) AS step, n FROM (SELECT cls, count(*) AS n FROM t GROUP BY cls)),
+    s AS (SELECT cls, step, coalesce(tp, 0) AS tp, n - coalesce(tp, 0) AS fn, coalesce(fp, 0) AS fp, coalesce(aa, 0) AS aa, coalesce(re, 0) AS re, coalesce(pr, 0) AS pr, coalesce(ctp, 0) AS ctp, coalesce(cfn, 0) AS cfn, coalesce(cfp, 0) AS cfp
+          FROM sizes LEFT JOIN x USING (cls, step) LEFT JOIN y USING (cls, step) LEFT JOIN z USING (cls, step) LEFT JOIN q USING (cls, step)),
+    {_TETA_MEANS}
+    SELECT scope, {', '.join(f'round({c}, 6) AS {c}' for c in S.TETA_FIELDS)}, round((loc_a + assoc_a + cls_a) / 3, 6) AS teta FROM w"""
+
+
+@query(_TETA_SQL)
+def k9_teta_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location, association and class scores of each class, averaged over classes, and of all boxes together."""
+    parts = staged(S.teta_parts(*_lanes(spark, sf_dir)))
+    fields = (*S.TETA_FIELDS, "teta")
+    own = S.teta(parts, ["cls"], classes=False).select(F.concat(F.lit("class "), F.col("cls")).alias("scope"), *fields)
+    rows = own.unionByName(S.teta(parts).withColumn("scope", F.lit("classes"))).unionByName(S.teta(parts, classes=False).withColumn("scope", F.lit("boxes")))
+    return _rounded(rows, fields, "scope")
 
 
 @query(f"""WITH RECURSIVE {_GRID}, g8 AS (SELECT vec_id, vec_id // 8 AS image, label % 3 AS score, bits FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, vec_id) AS rank FROM g8),

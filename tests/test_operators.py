@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rulewright.functions import geometry as G
 from rulewright.functions import text as T
-from rulewright.operators import corpus, mining, scores, tracks
+from rulewright.operators import corpus, mining, scores, tracks, trackscores
 from rulewright.sources import records
 
 
@@ -92,12 +92,12 @@ def test_suppression(spark):
 
 def test_hota_of_perfect_and_missing_tracks(spark):
     truth = spark.createDataFrame([(1, f, t, 20.0 * t, 0.0, 20.0 * t + 10, 10.0) for f in range(4) for t in range(2)], "video long, frame long, track long, x0 double, y0 double, x1 double, y1 double")
-    perfect = tracks.hota(tracks.hota_parts(truth, truth.withColumn("track", F.col("track") + 7))).first()
-    assert [round(x, 9) for x in perfect] == [1] * 6
+    perfect = trackscores.hota(trackscores.hota_parts(truth, truth.withColumn("track", F.col("track") + 7))).first()
+    assert [round(x, 9) for x in perfect] == [1] * 9
     swapped = truth.withColumn("track", F.when(F.col("frame") >= 2, 1 - F.col("track")).otherwise(F.col("track")))
-    got = tracks.hota(tracks.hota_parts(truth, swapped)).first()
+    got = trackscores.hota(trackscores.hota_parts(truth, swapped)).first()
     assert round(got.det_a, 9) == 1 and round(got.ass_a, 6) == round(1 / 3, 6)
-    nothing = tracks.hota(tracks.hota_parts(truth, truth.filter("false"))).first()
+    nothing = trackscores.hota(trackscores.hota_parts(truth, truth.filter("false"))).first()
     assert nothing.hota == 0
     assert tracks.matched(truth.withColumn("id", F.col("track")), truth.withColumn("id", F.col("track")).filter("false"), "frame", 0.5).count() == 0
 
@@ -149,46 +149,100 @@ def test_hota_by_brute_force(spark):
             out += [(video, f, t, *box) for f, own in side.items() for t, box in own.items()]
         matches, count = aligned(truth, found)
         n, m = (sum(len(x) for x in side.values()) for side in (truth, found))
-        for step in range(19):
-            hits = [(a, b, v) for own in matches.values() for a, b, v in own if v >= (step + 1) * 0.05 - 1e-12]
+        for step in range(1, 20):
+            hits = [(a, b, v) for own in matches.values() for a, b, v in own if v >= step * 0.05 - 1e-12]
             met = collections.Counter((a, b) for a, b, _ in hits)
             association = sum(k * k / (count(truth, a) + count(found, b) - k) for (a, b), k in met.items())
             want.append((video, step, len(hits), n - len(hits), m - len(hits), round(association, 6), round(sum(v for *_, v in hits), 6)))
     schema = "video long, frame long, track long, x0 double, y0 double, x1 double, y1 double"
-    got = tracks.hota_parts(*[spark.createDataFrame(x, schema) for x in rows]).collect()
+    got = trackscores.hota_parts(*[spark.createDataFrame(x, schema) for x in rows]).collect()
     assert sorted((r.video, r.step, r.tp, r.fn, r.fp, round(r.association, 6), round(r.located, 6)) for r in got) == sorted(want)
 
 
-def test_teta_by_brute_force(spark):
-    rows, want = ([], []), collections.Counter()
-    for video in range(3):
+def teta_by_definition(truth, found, classes, exhaustive):
+    """Counts of one video, {(cls, step, name): count}; truth and found are {frame: {track: (box, cls)}}."""
+    want = collections.Counter()
+    boxes = lambda side, keep: {f: {t: x[0] for t, x in own.items() if keep(t, x[1])} for f, own in side.items()}
+    near = lambda f, a, b: box_iou(truth[f][a][0], found[f][b][0]) >= 0.5
+    close = {b for f in truth for a in truth[f] for b in found[f] if near(f, a, b)}
+    first, _ = aligned(boxes(truth, lambda t, c: True), boxes(found, lambda t, c: t in close))
+    of = {(f, b): truth[f][a][1] for f, pairs in first.items() for a, b, v in pairs if v >= 0.5}
+    blank = set()
+    for c in classes:
+        own = boxes(truth, lambda t, k: k == c)  # noqa: B023
+        counted = {(f, b) for f in truth for b in found[f] if any(near(f, a, b) for a in own[f]) and of.get((f, b), c) == c}
+        for step in range(20):
+            want[c, step, "loc_fn"] += sum(map(len, own.values()))
+            if exhaustive and step >= 10:
+                want[c, step, "cls_fp"] += sum(x[1] == c and (f, b) not in counted for f in found for b, x in found[f].items())
+        if not counted:
+            blank.add(c)
+            continue
+        kept = boxes(found, lambda t, k: t in {b for _, b in counted})  # noqa: B023
+        matches, count = aligned(own, kept)
+        paired = []
+        for f, pairs in matches.items():
+            real = [p for p in pairs if p[2] > 0]
+            spare = [sorted(set(side[f]) - {p[i] for p in real}) for i, side in enumerate((own, kept))]
+            paired += [(f, *p) for p in real] + [(f, a, b, 0.0) for a, b in zip(*spare, strict=False)]
+        for step in range(20):
+            hits = [p for p in paired if p[3] >= step * 0.05 - 1e-12]
+            met = collections.Counter((a, b) for _, a, b, _ in hits)
+            want[c, step, "loc_tp"] += len(hits)
+            want[c, step, "loc_fn"] -= len(hits)
+            want[c, step, "loc_fp"] += len(counted - {(f, b) for f, _, b, _ in hits})
+            for name, share in (("association", lambda a, b, k: count(own, a) + count(kept, b) - k), ("association_re", lambda a, b, k: count(own, a)), ("association_pr", lambda a, b, k: count(kept, b))):  # noqa: B023
+                want[c, step, name] += sum(k * k / share(a, b, k) for (a, b), k in met.items())
+            for f, _, b, _ in hits if step >= 10 else []:
+                said = found[f][b][1]
+                want[c, step, "cls_tp" if said == c else "cls_fn"] += 1
+                if said != c:
+                    want[said, step, "cls_fp", c] += 1
+    for (said, step, name, by), n in [(k, n) for k, n in want.items() if len(k) == 4]:
+        if not (exhaustive and said in blank and by < said):
+            want[said, step, name] += n
+    return want
+
+
+@pytest.mark.parametrize("exhaustive", [False, True])
+def test_teta_by_brute_force(spark, exhaustive):
+    rows, want, rng = ([], []), {}, random.Random(9)
+    for video in range(6):
         truth, found = random_tracks(video + 50)
+        if video % 2:
+            found = {f: {t: x if rng.random() < 0.3 else tuple(v + rng.uniform(-1, 1) for v in truth[f].get(t, x)) for t, x in own.items()} for f, own in found.items()}
+        truth = {f: {t: (x, t % 2) for t, x in own.items()} for f, own in truth.items()}
+        found = {f: {t: (x, (t + rng.choice([0, 0, 0, 1, 2])) % 3) for t, x in own.items()} for f, own in found.items()}
         for out, side in zip(rows, (truth, found), strict=True):
-            out += [(video, f, t, t % 2, *box) for f, own in side.items() for t, box in own.items()]
-        for c in (0, 1):
-            own = {f: {t: x for t, x in side.items() if t % 2 == c} for f, side in truth.items()}
-            matches, count = aligned({f: x for f, x in own.items() if x}, found)
-            for step in range(19):
-                hits = [(f, a, b) for f, pairs in matches.items() for a, b, v in pairs if v >= (step + 1) * 0.05 - 1e-12]
-                near = {(f, b) for f, x in own.items() for a, box in x.items() for b, other in found[f].items() if box_iou(box, other) >= 0.5}
-                met = collections.Counter((a, b) for _, a, b in hits)
-                want[c, step, "loc_tp"] += len(hits)
-                want[c, step, "loc_fn"] += sum(len(x) for x in own.values()) - len(hits)
-                want[c, step, "loc_fp"] += len(near - {(f, b) for f, _, b in hits})
-                want[c, step, "association"] += sum(k * k / (count(own, a) + count(found, b) - k) for (a, b), k in met.items())
-                if step >= 9:
-                    for _, _, b in hits:
-                        want[c, step, "cls_tp"] += b % 2 == c
-                        want[c, step, "cls_fn"] += b % 2 != c
-                        want[b % 2, step, "cls_fp"] += b % 2 != c
+            out += [(video, f, t, c, *box) for f, own in side.items() for t, (box, c) in own.items()]
+        want[video] = teta_by_definition(truth, found, (0, 1, 2), exhaustive)
     schema = "video long, frame long, track long, cls long, x0 double, y0 double, x1 double, y1 double"
-    parts = tracks.teta_parts(*[spark.createDataFrame(x, schema) for x in rows]).collect()
-    assert len(parts) == 38
-    for r in parts:
-        assert all(abs(r[k] - want[r.cls, r.step, k]) < 1e-6 for k in ("loc_tp", "loc_fn", "loc_fp", "association", "cls_tp", "cls_fn", "cls_fp"))
     frame = lambda rows: spark.createDataFrame(rows, schema)
-    perfect = tracks.teta(tracks.teta_parts(frame(rows[0]), frame(rows[0]))).first()
-    assert [round(x, 9) for x in perfect] == [1, 1, 1, 1]
+    parts = trackscores.teta_parts(*map(frame, rows), exhaustive=exhaustive).collect()
+    names = set(trackscores.TETA_PARTS)
+    assert {k[2] for w in want.values() for k, n in w.items() if n and len(k) == 3} == names
+    for r in parts:
+        for name in names:
+            assert abs(r[name] - want[r.video][r.cls, r.step, name]) < 1e-6, (r, name)
+    if not exhaustive:
+        perfect = trackscores.teta(trackscores.teta_parts(frame(rows[0]), frame(rows[0]))).first()
+        assert [round(x, 9) for x in perfect] == [1] * 10
+
+
+def test_combined_scores(spark):
+    rng = random.Random(8)
+    parts = [(v, c, s, *[float(rng.randrange(5)) for _ in range(3)], *[rng.random() for _ in range(4)]) for v in range(3) for c in range(4) for s in range(1, 20)]
+    parts = [p if p[1] < 3 else (*p[:3], *[0.0] * 7) for p in parts]
+    df = spark.createDataFrame(parts, "video long, cls long, step long, " + ", ".join(f"{c} double" for c in trackscores.HOTA_PARTS))
+    at = lambda keep, s, i: sum(p[3 + i] for p in parts if keep(p) and p[2] == s)
+    mean = lambda f: sum(f(s) for s in range(1, 20)) / 19
+    hota = lambda keep: mean(lambda s: (at(keep, s, 0) / max(1, at(keep, s, 0) + at(keep, s, 1) + at(keep, s, 2)) * at(keep, s, 3) / max(1, at(keep, s, 0))) ** 0.5)
+    own = [hota(lambda p, c=c: p[1] == c) for c in range(4)]
+    assert abs(trackscores.hota(df).first().hota - hota(lambda p: True)) < 1e-9
+    assert abs(trackscores.hota(df, classes=True).first().hota - sum(own) / 4) < 1e-9
+    assert abs(trackscores.hota(df, classes=True, ignore_empty=True).first().hota - sum(own[:3]) / 3) < 1e-9
+    assert {r.video: round(r.hota, 9) for r in trackscores.hota(df, ["video"]).collect()} == {v: round(hota(lambda p, v=v: p[0] == v), 9) for v in range(3)}
+    assert abs(trackscores.hota_at_first(df).first().loc_a_0 - at(lambda p: True, 1, 6) / at(lambda p: True, 1, 0)) < 1e-9
 
 
 def test_sparse_assignment_by_brute_force(spark):
