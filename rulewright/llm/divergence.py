@@ -247,10 +247,11 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", la
     language fit the arithmetic up to 10^19.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    # summed by term first, so that the terms' totals need no other shuffle
-    counts = rows.mapInArrow(_partial_counts, _COUNTS).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    of_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-    kept = stored(counts.drop("docs").join(of_term.filter(F.col("docs") >= min_docs).drop("docs"), ["lang", "term"]))
+    # one shuffle, by term: the sums over all sources of a term then need no other
+    counts = rows.mapInArrow(_partial_counts, _COUNTS).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    summed = counts.select("lang", "term", "source", "n", F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("lang_n"))
+    kept = stored(summed.filter(F.col("docs") >= min_docs).drop("docs"))
     groups = stored(_groups(rows, kept))
     rounds = (groups.agg(F.max("seats")).first()[0] or 1) - 1
     blocks = stored(_blocks(kept, groups))
