@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,13 +68,21 @@ def is_zero_box(b: Column) -> Column:
     return (b["x0"] <= 0) & (b["y0"] <= 0) & (b["x1"] <= 0) & (b["y1"] <= 0)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, even where ``use`` names it often or within lambdas."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def run_lengths(bits: Column) -> Column:
     """Lengths of the runs of an array of 0 and 1, the first one of zeros (0 if it starts with 1)."""
+    return let(bits, _run_lengths)
+
+
+def _run_lengths(bits: Column) -> Column:
     places = F.sequence(F.lit(0), F.size(bits) - 1)
     starts = F.filter(places, lambda i: (i == 0) | (F.get(bits, i) != F.get(bits, i - 1)))
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(bits)))
-    runs = F.zip_with(starts, ends, lambda a, b: b - a)
-    return F.when(F.get(bits, F.lit(0)) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
+    runs = let(starts, lambda own: F.zip_with(own, F.concat(F.slice(own, F.lit(2), F.size(own)), F.array(F.size(bits))), lambda a, b: b - a))
+    return F.concat(F.when(F.get(bits, F.lit(0)) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), runs)
 
 
 def run_area(runs: Column) -> Column:
@@ -87,7 +97,7 @@ def bits_of(runs: Column) -> Column:
 
 def transposed(cells: Column, side: int) -> Column:
     """A square grid by columns instead of rows."""
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(cells, (i % side) * side + F.floor(i / side).cast("int")))
+    return let(cells, lambda own: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(own, (i % side) * side + F.floor(i / side).cast("int"))))
 
 
 def active(cells: Column, least: float) -> Column:
@@ -118,12 +128,12 @@ def pooled(cells: Column, side: int, to: int) -> Column:
 def shrunk(bits: Column, side: int) -> Column:
     """One ring less: a cell stays if all nine cells around it are there and active."""
 
-    def inner(i: Column) -> Column:
+    def inner(bits: Column, i: Column) -> Column:
         r, c = F.floor(i / side).cast("int"), i % side
         inside = r.between(1, side - 2) & c.between(1, side - 2)
         return F.when(inside, F.array_min(F.array(*[F.get(bits, (r + dr) * side + c + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))).otherwise(0)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), inner)
+    return let(bits, lambda own: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: inner(own, i)))
 
 
 def grid_box(bits: Column, side: int) -> Column:

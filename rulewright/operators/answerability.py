@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.functions.geometry import let
+
 
 def mentioned_categories(questions: DataFrame, categories: DataFrame) -> DataFrame:
     """(question_id, category): categories whose name, or its plural with s or es, stands in a question between word boundaries.
@@ -68,25 +70,6 @@ def labelled(questions: DataFrame, masks: DataFrame, objects: DataFrame, categor
     return rows.withColumn("x", told).select("question_id", "mentions", "mask_ratio", "coverage", "iou", "x.label", "x.reasons")
 
 
-def polygon_bits(points: Column, width: int, height: int) -> Column:
-    """Cells of a grid, by rows, whose centre (at whole numbers) lies in a polygon x0, y0, x1, y1, ... or on its edge; all 0 for fewer than three points."""
-    n = F.floor(F.size(points) / 2).cast("int")
-    x, y = (lambda i: F.get(points, 2 * (i % n))), (lambda i: F.get(points, 2 * (i % n) + 1))
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(x(i).alias("ax"), y(i).alias("ay"), x(i + 1).alias("bx"), y(i + 1).alias("by")))
-
-    def inside(cell: Column) -> Column:
-        px, py = (cell % width).cast("double"), F.floor(cell / width).cast("double")
-        cross = lambda e: (e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"])
-        between = lambda p, a, b: (p >= F.least(a, b)) & (p <= F.greatest(a, b))
-        on = F.exists(edges, lambda e: (cross(e) == 0) & between(px, e["ax"], e["bx"]) & between(py, e["ay"], e["by"]))
-        # an edge that a ray to the right crosses: it spans the row, and the centre lies left of it
-        crossed = F.size(F.filter(edges, lambda e: ((e["ay"] > py) != (e["by"] > py)) & ((cross(e) > 0) == (e["by"] > e["ay"]))))
-        return F.when(on | (crossed % 2 == 1), 1).otherwise(0)
-
-    cells = F.sequence(F.lit(0), F.lit(width * height - 1))
-    return F.when(F.size(points) >= 6, F.transform(cells, inside)).otherwise(F.array_repeat(F.lit(0), width * height))
-
-
 def darkened(before: Column, after: Column, drop: float = 40.0, black: int = 30) -> Column:
     """Pixels, as arrays of channels, that became darker by more than ``drop`` on average, or are below ``black`` in all channels: an array of 0 and 1."""
     mean = lambda p: F.aggregate(p, F.lit(0.0), lambda n, x: n + x) / F.size(p)
@@ -115,20 +98,20 @@ def boundary_f(truth: Column, truth_wide: Column, found: Column, found_wide: Col
 def widened(bits: Column, side: int) -> Column:
     """A square grid's active cells and all their eight neighbours."""
 
-    def one(i: Column) -> Column:
+    def one(bits: Column, i: Column) -> Column:
         r, c = F.floor(i / side).cast("int"), i % side
         near = [F.when((r + a).between(0, side - 1) & (c + b).between(0, side - 1), F.get(bits, (r + a) * side + c + b)).otherwise(0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
         return F.array_max(F.array(*near))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), one)
+    return let(bits, lambda own: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: one(own, i)))
 
 
 def boundary(bits: Column, side: int) -> Column:
     """The active cells of a square grid that touch its edge or an inactive cell above, below or beside them."""
 
-    def one(i: Column) -> Column:
+    def one(bits: Column, i: Column) -> Column:
         r, c = F.floor(i / side).cast("int"), i % side
         near = [F.when((r + a).between(0, side - 1) & (c + b).between(0, side - 1), F.get(bits, (r + a) * side + c + b)).otherwise(0) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
         return F.when((F.get(bits, i) == 1) & (F.array_min(F.array(*near)) == 0), 1).otherwise(0)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), one)
+    return let(bits, lambda own: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: one(own, i)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.functions import runs as R
 from rulewright.operators import tracks
 from rulewright.operators.corpus import capped
 from rulewright.operators.scores import average_precision
@@ -57,7 +58,8 @@ def gated_f1(counts: DataFrame) -> DataFrame:
     """Scores by step from ``image_counts``: step, micro_f1, positive_micro_f1, positive_macro_f1, mcc, cg_f1 (micro), cg_f1_macro and more.
 
     Positive false boxes are those of images with truth. The correlation is between having any found
-    box and having any truth. macro means are over the images with both; the rates ``perfect_positive`` and ``perfect_negative``
+    box and having any truth. positive_macro_f1 and cg_f1_macro are over the images with truth and found boxes, those named ``_w0dt`` over
+    all images with truth; the rates ``perfect_positive`` and ``perfect_negative``
     are of images with and without truth on which nothing is wrong, ``mean_iou`` is over images with matches.
     """
     truth, said = F.col("n_truth") > 0, F.col("n_found") > 0
@@ -71,9 +73,9 @@ def gated_f1(counts: DataFrame) -> DataFrame:
     )
     tp, fp, fn, pfp, a, b, c, d = (F.col(x) for x in ("tp", "fp", "fn", "pfp", "a", "b", "c", "d"))
     mcc = (a * d - b * c) / (F.sqrt((a + b) * (a + c) * (d + b) * (d + c)) + 1e-6)
-    told = sums.select("step", _f1(tp, fp, fn).alias("micro_f1"), _f1(tp, pfp, fn).alias("positive_micro_f1"), F.col("macro").alias("positive_macro_f1"), F.col("macro_said").alias("answered_macro_f1"), mcc.alias("mcc"), (F.col("pp") / (a + c + 1e-9)).alias("perfect_positive"), (F.col("pn") / (b + d + 1e-9)).alias("perfect_negative"), "mean_iou")
+    told = sums.select("step", _f1(tp, fp, fn).alias("micro_f1"), _f1(tp, pfp, fn).alias("positive_micro_f1"), F.col("macro_said").alias("positive_macro_f1"), F.col("macro").alias("positive_w0dt_macro_f1"), mcc.alias("mcc"), (F.col("pp") / (a + c + 1e-9)).alias("perfect_positive"), (F.col("pn") / (b + d + 1e-9)).alias("perfect_negative"), "mean_iou")
     gate = F.col("mcc")
-    return told.withColumns({"cg_f1": F.col("positive_micro_f1") * gate, "cg_f1_macro": F.col("positive_macro_f1") * gate, "cg_f1_answered": F.col("answered_macro_f1") * gate})
+    return told.withColumns({"cg_f1": F.col("positive_micro_f1") * gate, "cg_f1_macro": F.col("positive_macro_f1") * gate, "cg_f1_w0dt": F.col("positive_w0dt_macro_f1") * gate})
 
 
 #: Area ranges of boxes and of tracks: all, small, medium, large.
@@ -81,33 +83,55 @@ BOX_RANGES = [(0.0, 1e10), (0.0, 32.0**2), (32.0**2, 96.0**2), (96.0**2, 1e10)]
 TRACK_RANGES = [(0.0, 1e10), (0.0, 128.0**2), (128.0**2, 256.0**2), (256.0**2, 1e10)]
 
 
-def precision_and_recall(truth: DataFrame, found: DataFrame, ranges: list[tuple[float, float]] = BOX_RANGES, most: int = 100, by_category: bool = True) -> DataFrame:
+def precision_and_recall(truth: DataFrame, found: DataFrame, ranges: list[tuple[float, float]] = BOX_RANGES, most: int = 100, by_category: bool = True, masks: bool = False, recalls: tuple[int, ...] = ()) -> DataFrame:
     """(category, range, ap, ap50, ap75, ar): the means over ten thresholds, and precision at two of them, of each category and area range.
 
-    At most ``most`` boxes of an image and category count, the best ones (the limit is the measure's).
-    A category without truth in a range has no row. Without ``by_category`` all boxes are one category.
+    At most ``most`` boxes of an image and category count, the best ones (the limit is the measure's); for each number k
+    in ``recalls`` a column ar_k has the recall of the best k only. A category without truth in a range has no row.
+    Without ``by_category`` all boxes are one category; with ``masks`` both tables have run lengths (``runs``) in the place of boxes.
     """
     if not by_category:
         truth, found = truth.withColumn("category", F.lit(0)), found.withColumn("category", F.lit(0))
     keyed = found.withColumn("__group", F.struct("image", "category"))
-    kept = capped(keyed, "__group", [F.col("score").desc(), F.col("id")], most).drop("__group")
-    told = tracks.greedy_matches(truth, kept, ["image", "category"], THRESHOLDS, ranges).join(kept.select("image", "category", "id", "score"), ["image", "category", "id"])
-    return summarised(told, truth, ranges)
+    order = [F.col("score").desc(), F.col("id")]
+    kept = capped(keyed, "__group", order, most).drop("__group")
+    place = kept.select("image", "category", "id", "score", F.row_number().over(Window.partitionBy("image", "category").orderBy(*order)).alias("place"))
+    told = tracks.greedy_matches(truth, kept, ["image", "category"], THRESHOLDS, ranges, masks).join(place, ["image", "category", "id"])
+    return summarised(told, truth, ranges, recalls)
 
 
-def summarised(told: DataFrame, truth: DataFrame, ranges: list[tuple[float, float]]) -> DataFrame:
-    """As ``precision_and_recall``, from graded rows (category, id, score, hit, ignored) and truth (category, area, crowd)."""
+def summarised(told: DataFrame, truth: DataFrame, ranges: list[tuple[float, float]], recalls: tuple[int, ...] = ()) -> DataFrame:
+    """As ``precision_and_recall``, from graded rows (category, id, score, hit, ignored, with ``recalls`` place) and truth (category, area, crowd)."""
     k = len(ranges)
-    flat = told.select("category", "id", "score", F.posexplode(F.arrays_zip("hit", "ignored")).alias("at", "x")).filter(~F.col("x.ignored"))
-    flat = flat.select(F.struct("category", F.floor(F.col("at") / k).cast("int").alias("step"), (F.col("at") % k).alias("range")).alias("cell"), "id", "score", F.col("x.hit").alias("hit"))
+    place = ["place"] if recalls else []
+    flat = told.select("category", "id", "score", *place, F.posexplode(F.arrays_zip("hit", "ignored")).alias("at", "x")).filter(~F.col("x.ignored"))
+    flat = flat.select(F.struct("category", F.floor(F.col("at") / k).cast("int").alias("step"), (F.col("at") % k).alias("range")).alias("cell"), "id", "score", *place, F.col("x.hit").alias("hit"))
     inside = F.array(*[(F.col("area") >= low) & (F.col("area") <= high) for low, high in ranges])
     own = truth.filter(~F.col("crowd")).select("category", F.posexplode(inside).alias("range", "in")).filter("in").groupBy("category", "range").agg(F.count(F.lit(1)).alias("positives"))
     cells = own.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1)))).select(F.struct("category", "step", "range").alias("cell"), "positives")
     ap = average_precision(flat, "cell", "score", "id", "hit", cells)
-    hits = flat.filter("hit").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    rows = ap.join(hits, "cell", "left").select("cell.category", "cell.range", "cell.step", "ap", (F.coalesce("n", F.lit(0)) / F.col("positives")).alias("recall"))
+    hits = flat.filter("hit").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("place") <= r, 1)).alias(f"n_{r}") for r in recalls])
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("positives")
+    rows = ap.join(hits, "cell", "left").select("cell.category", "cell.range", "cell.step", "ap", share("n").alias("recall"), *[share(f"n_{r}").alias(f"ar_{r}") for r in recalls])
     at = lambda step: F.max(F.when(F.col("step") == step, F.col("ap")))
-    return rows.groupBy("category", "range").agg(F.avg("ap").alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.avg("recall").alias("ar"))
+    return rows.groupBy("category", "range").agg(F.avg("ap").alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.avg("recall").alias("ar"), *[F.avg(f"ar_{r}").alias(f"ar_{r}") for r in recalls])
+
+
+def mask_agreement(images: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(image, n_matches, j, f, jf): mean IoU and mean boundary F of each image's matched masks, and the mean of both.
+
+    Masks have image, id, runs, and the runs of their ``boundary`` and of the widened one (``wide``). They are matched for the most
+    total IoU, as many as there are on the smaller side: what overlaps nothing is paired in the order of ids. Images without masks on
+    either side have nulls.
+    """
+    pairs = tracks.mask_pairs(truth, found, ["image"]).select("image", "a", "b", (F.col("shared") / (F.col("sa") + F.col("size") - F.col("shared"))).alias("iou"))
+    side = lambda rows, mark: rows.select("image", F.col("id").alias(mark), F.col("boundary").alias(f"{mark}_edge"), F.col("wide").alias(f"{mark}_wide"))
+    a, b = side(truth, "a"), side(found, "b")
+    matches = tracks.completed(tracks.assigned(pairs, ["image"]), a, b, ["image"]).join(a, ["image", "a"]).join(b, ["image", "b"])
+    edges = R.boundary_f(*[F.col(c) for c in ("a_edge", "a_wide", "b_edge", "b_wide")])
+    own = matches.groupBy("image").agg(F.count(F.lit(1)).alias("n_matches"), F.avg("iou").alias("j"), (F.sum(edges) / (F.count(F.lit(1)) + 1e-9)).alias("f"))
+    rows = images.select("image").distinct().join(own, "image", "left")
+    return rows.select("image", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "j", "f", ((F.col("j") + F.col("f")) / 2).alias("jf"))
 
 
 def track_precision(truth: DataFrame, found: DataFrame, overlaps: DataFrame, by_category: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from rulewright.operators.corpus import numbered
 
@@ -54,26 +54,69 @@ def from_one(rows: DataFrame, key: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(least)).withColumn(key, F.col(key) + F.when(F.col("__least") == 0, 1).otherwise(0)).drop("__least")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def region_labels(bits: pd.Series, side: pd.Series) -> pd.Series:
-    """Cells of one 4-connected region have its first cell's number plus one, others 0; all grids of a batch at a time."""
-    out = pd.Series([None] * len(bits), index=bits.index, dtype=object)
-    for n, own in bits.groupby(side):
-        on = np.array([np.asarray(b, bool) for b in own]).reshape(len(own), n, n)
-        none = n * n + 1
-        label = np.where(on, np.arange(1, none).reshape(1, n, n), none)
-        while True:
-            around = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=none)
-            least = np.minimum.reduce([around[:, 1:-1, 1:-1], around[:, :-2, 1:-1], around[:, 2:, 1:-1], around[:, 1:-1, :-2], around[:, 1:-1, 2:]])
-            # a cell also takes the label of the cell that its own label names, so that long regions settle in few rounds
-            flat = np.concatenate((np.where(on, np.minimum(label, least), none).reshape(len(own), -1), np.full((len(own), 1), none)), axis=1)
-            new = np.take_along_axis(flat, np.minimum(flat[:, :-1] - 1, n * n), axis=1).reshape(label.shape)
-            new = np.where(on, np.minimum(new, flat[:, :-1].reshape(label.shape)), none)
-            if (new == label).all():
-                break
-            label = new
-        out.loc[own.index] = pd.Series([x.tolist() for x in np.where(on, label, 0).reshape(len(own), -1)], index=own.index, dtype=object)
-    return out
+def labelled_runs(on: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the runs in rows of cells: places in rows that are one cell wider, and each run's region, by its first run's number.
+
+    Runs of adjacent rows join if they share a column, with ``reach`` 1 also if their ends touch at a corner.
+    """
+    wide = np.pad(on.astype(np.int8), ((0, 0), (0, 1)))
+    row, flat = wide.shape[1], wide.ravel()
+    edge = np.diff(flat, prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    low, high = np.searchsorted(end, start + row - reach, "right"), np.searchsorted(start, end + row + reach, "left")
+    count = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(start)), count)
+    lower = np.arange(len(upper)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    label = np.arange(len(start))
+    while True:
+        least = np.minimum(label[upper], label[lower])
+        new = label.copy()
+        # the roots of both ends hang on the lesser one, then every run on its root's root
+        for side in (label[upper], label[lower]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return start, end, label
+        label = new
+
+
+_REGIONS = StructType([StructField("labels", ArrayType(IntegerType())), StructField("sizes", ArrayType(IntegerType()))])
+
+
+def _regions(eight: bool):
+    @F.pandas_udf(_REGIONS)
+    def run(bits: pd.Series, width: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"labels": [[] for _ in bits], "sizes": [[] for _ in bits]}, index=bits.index, dtype=object)
+        for n, own in bits.dropna().groupby(width):
+            grids = [np.asarray(b, bool).reshape(-1, n) for b in own]
+            # one grid under the other, with an empty row between
+            stack = np.concatenate([np.pad(g, ((0, 1), (0, 0))) for g in grids]) if grids else np.zeros((0, n), bool)
+            start, end, first = labelled_runs(stack, int(eight))
+            size = np.bincount(first, weights=end - start, minlength=len(start)).astype(int)
+            label = np.zeros(stack.shape[0] * (n + 1), int)
+            sizes = label.copy()
+            cells = np.repeat(start - np.cumsum(end - start) + (end - start), end - start) + np.arange((end - start).sum())
+            label[cells], sizes[cells] = np.repeat(start[first] + 1, end - start), np.repeat(size[first], end - start)
+            label, sizes = (x.reshape(-1, n + 1)[:, :n] for x in (label, sizes))
+            top = 0
+            for at, g in zip(own.index, grids, strict=True):
+                rows = slice(top, top + len(g))
+                place = np.where(g, label[rows] - 1 - top * (n + 1), 0)
+                out.at[at, "labels"] = np.where(g, place // (n + 1) * n + place % (n + 1) + 1, 0).ravel().tolist()
+                out.at[at, "sizes"] = sizes[rows].ravel().tolist()
+                top += len(g) + 1
+        return out
+
+    return run
+
+
+def regions(bits: Column, width: Column, eight: bool = True) -> Column:
+    """(labels, sizes) of the cells, by rows, of a canvas ``width`` cells wide: regions of ones that touch, at corners too if ``eight``.
+
+    A cell's label is its region's first cell's number plus one, its size the region's number of cells; both are 0 off
+    the mask. A null canvas has neither.
+    """
+    return _regions(eight)(bits, width)
 
 
 def union_masks(masks: DataFrame, group: str, bits: str, place: str | None = None) -> DataFrame:

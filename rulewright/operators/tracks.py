@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.functions import runs as R
+
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -222,26 +224,65 @@ def track_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("video", "truth_track", "found_track", (F.col("shared") / (F.col("truth_area") + F.col("found_area") - F.col("shared"))).alias("iou"))
 
 
+def completed(matches: DataFrame, truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """Matches (group, a, b, iou) and, at an IoU of 0, pairs of what they leave over on both sides of a group: the first a with the first b, and so on."""
+    left = lambda rows, side: rows.select(*group, side).join(matches, [*group, side], "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(*group).orderBy(side)))
+    rest = left(truth, "a").join(left(found, "b"), [*group, "__k"])
+    return matches.select(*group, "a", "b", "iou").unionByName(rest.select(*group, "a", "b", F.lit(0.0).alias("iou")))
+
+
+def masklet_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``track_overlaps`` for masks: rows are (video, frame, track, runs), runs of one canvas by video.
+
+    A frame that one track lacks counts the other's area in the union. Two tracks of the same video that are empty throughout agree.
+    """
+    sized = lambda rows, name: rows.select("video", "frame", F.col("track").alias(f"{name}_track"), F.col("runs").alias(name), R.area(F.col("runs")).alias("area"))
+    a, b = sized(truth, "truth"), sized(found, "found")
+    total = lambda rows, name: rows.groupBy("video", f"{name}_track").agg(F.sum("area").alias(f"{name}_area"))
+    ta, tb = total(a, "truth"), total(b, "found")
+    met = a.filter("area > 0").drop("area").join(b.filter("area > 0").drop("area"), ["video", "frame"])
+    shared = met.groupBy("video", "truth_track", "found_track").agg(F.sum(R.shared_area(F.col("truth"), F.col("found"))).alias("shared")).filter("shared > 0")
+    iou = F.col("shared") / (F.col("truth_area") + F.col("found_area") - F.col("shared"))
+    some = shared.join(ta, ["video", "truth_track"]).join(tb, ["video", "found_track"]).select("video", "truth_track", "found_track", iou.alias("iou"))
+    none = ta.filter("truth_area = 0").join(tb.filter("found_area = 0"), "video").select("video", "truth_track", "found_track", F.lit(1.0).alias("iou"))
+    return some.unionByName(none)
+
+
 def mean_track_area(areas: Column) -> Column:
     """The mean of a track's areas by frame, null and zero ones left out; 0 if none is left."""
     some = F.filter(areas, lambda x: x.isNotNull() & (x != 0))
     return F.coalesce(F.try_divide(F.aggregate(some, F.lit(0.0), lambda n, x: n + x), F.size(some)), F.lit(0.0))
 
 
-def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresholds: list[float], ranges: list[tuple[float, float]]) -> DataFrame:
+def mask_pairs(truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """(group, a, b, shared, sa, size): the masks (group, id, runs) of two tables that share cells in one group, and all three areas."""
+    side = lambda rows, mark, size: rows.select(*group, F.col("id").alias(mark), F.col("runs").alias(f"__{mark}"), R.area(F.col("runs")).alias(size)).filter(F.col(size) > 0)
+    both = side(truth, "a", "sa").join(side(found, "b", "size"), group).withColumn("shared", R.shared_area(F.col("__a"), F.col("__b")))
+    return both.filter("shared > 0").drop("__a", "__b")
+
+
+def _box_pairs(truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    sized = lambda rows, mark, name: rows.select(*group, F.col("id").alias(mark), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(name))
+    pairs = overlapping(truth, found, group).join(sized(truth, "a", "sa"), [*group, "a"]).join(sized(found, "b", "size"), [*group, "b"])
+    return pairs.withColumn("shared", F.col("iou") * (F.col("sa") + F.col("size")) / (1 + F.col("iou"))).drop("iou")
+
+
+def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresholds: list[float], ranges: list[tuple[float, float]], masks: bool = False) -> DataFrame:
     """For each found box two arrays over threshold and area range, ``hit`` and ``ignored``: (group, id, hit, ignored).
 
     From the best score down (ties by id) a found box takes the truth that it overlaps most among
     those that are free and reach the threshold, one that counts before one that doesn't. Truths are ignored where
     their area lies outside the range or they are crowds, which any number of boxes may take and which are measured by
-    the found box's area. An unmatched box outside the range is ignored too. truth has id, area, crowd and a box, found id, score and a box.
+    the found box's area. An unmatched box outside the range is ignored too. truth has id, area, crowd and a box, found id, score
+    and a box; with ``masks`` both have run lengths (``runs``) in the place of boxes.
     """
-    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    keyed = found.withColumn("__size", size)
-    pairs = overlapping(truth, found, group).join(truth.select(*group, F.col("id").alias("a"), F.col("area").cast("double").alias("area"), "crowd", size.alias("sa")), [*group, "a"])
-    pairs = pairs.join(keyed.select(*group, F.col("id").alias("b"), F.col("score").cast("double").alias("score"), F.col("__size").alias("size")), [*group, "b"])
-    shared = F.col("iou") * (F.col("sa") + F.col("size")) / (1 + F.col("iou"))
-    pairs = pairs.withColumn("iou", F.when(F.col("crowd"), shared / F.col("size")).otherwise(F.col("iou"))).drop("sa")
+    size = R.area(F.col("runs")) if masks else (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    keyed = found.withColumn("__size", size.cast("double"))
+    pairs = (mask_pairs if masks else _box_pairs)(truth, found, group)
+    pairs = pairs.join(truth.select(*group, F.col("id").alias("a"), F.col("area").cast("double").alias("area"), "crowd"), [*group, "a"])
+    pairs = pairs.join(keyed.select(*group, F.col("id").alias("b"), F.col("score").cast("double").alias("score")), [*group, "b"])
+    whole = F.when(F.col("crowd"), F.col("size")).otherwise(F.col("sa") + F.col("size") - F.col("shared"))
+    pairs = pairs.select(*group, "a", "b", "area", "crowd", "score", F.col("size").cast("double").alias("size"), (F.col("shared") / whole).alias("iou"))
     limits, bounds = np.array(thresholds), np.array(ranges)
 
     def each(block: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.operators.tracks import assigned, overlapping
+from rulewright.operators.tracks import assigned, completed, overlapping
 from rulewright.sources.staging import staged
 
 #: IoU thresholds by step: HOTA's 0.05 to 0.95, TETA's 0 to 0.95, of which class counts begin at the tenth.
@@ -111,10 +111,8 @@ def teta_parts(truth: DataFrame, found: DataFrame, near: float = 0.5, exhaustive
     na = _count(truths, [*groups, "a"], "na")
     matches = aligned_matches(pairs.join(tracks, [*groups, "b"]).select(*groups, "frame", "a", "b", "iou"), na, nb, groups)
     boxes = found.select("video", "frame", F.col("track").alias("b"), F.col("cls").alias("said"))
-    # what is left over on both sides of a frame, each in its order
-    left = lambda rows, side: rows.join(matches, [*groups, "frame", side], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(*groups, "frame").orderBy(side)))
-    over = left(truths.join(tracks.select(*groups).distinct(), groups), "a").join(left(boxes.join(tracks, ["video", "b"]).drop("said"), "b"), [*groups, "frame", "k"])
-    matches = staged(matches.unionByName(over.select(*groups, "frame", "a", "b", F.lit(0.0).alias("iou"))))
+    own = truths.join(tracks.select(*groups).distinct(), groups)
+    matches = staged(completed(matches, own, boxes.join(tracks, ["video", "b"]), [*groups, "frame"]))
     reached, sums = associations(matches, na, nb, groups, TETA_STEPS)
     told = reached.join(boxes, ["video", "frame", "b"])
     high, right = F.col("step") >= CLASS_STEP, F.col("said").eqNullSafe(F.col("cls"))

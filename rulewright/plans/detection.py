@@ -43,8 +43,8 @@ def d1_image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LANES}, {_COUNTS}, g AS (SELECT step, sum(tp) AS tp, sum(nf - tp) AS fp, sum(nt - tp) AS fn, coalesce(sum(nf - tp) FILTER (nt > 0 AND nf > 0), 0) AS pfp, coalesce(avg(f1) FILTER (nt > 0), 0) AS macro, coalesce(avg(f1) FILTER (nt > 0 AND nf > 0), 0) AS answered,
       count(*) FILTER (nt > 0 AND nf > 0) AS a, count(*) FILTER (nt = 0 AND nf > 0) AS b, count(*) FILTER (nt > 0 AND nf = 0) AS cc, count(*) FILTER (nt = 0 AND nf = 0) AS dd, count(*) FILTER (nt > 0 AND tp = nt AND tp = nf) AS pp, avg(mean_iou) AS mean_iou FROM e GROUP BY step),
     h AS (SELECT *, tp / (tp + fp + 1e-4) AS p, tp / (tp + pfp + 1e-4) AS pp_, tp / (tp + fn + 1e-4) AS r, (a * dd - b * cc) / (sqrt((a + b)::DOUBLE * (a + cc) * (dd + b) * (dd + cc)) + 1e-6) AS mcc FROM g)
-    SELECT step::INT AS step, round(2 * p * r / (p + r + 1e-4), 6) AS micro_f1, round(2 * pp_ * r / (pp_ + r + 1e-4), 6) AS positive_micro_f1, round(macro, 6) AS positive_macro_f1, round(answered, 6) AS answered_macro_f1, round(mcc, 6) AS mcc, round(pp / (a + cc + 1e-9), 6) AS perfect_positive,
-      round(dd / (b + dd + 1e-9), 6) AS perfect_negative, round(mean_iou, 6) AS mean_iou, round(2 * pp_ * r / (pp_ + r + 1e-4) * mcc, 6) AS cg_f1, round(macro * mcc, 6) AS cg_f1_macro, round(answered * mcc, 6) AS cg_f1_answered FROM h""")
+    SELECT step::INT AS step, round(2 * p * r / (p + r + 1e-4), 6) AS micro_f1, round(2 * pp_ * r / (pp_ + r + 1e-4), 6) AS positive_micro_f1, round(answered, 6) AS positive_macro_f1, round(macro, 6) AS positive_w0dt_macro_f1, round(mcc, 6) AS mcc, round(pp / (a + cc + 1e-9), 6) AS perfect_positive,
+      round(dd / (b + dd + 1e-9), 6) AS perfect_negative, round(mean_iou, 6) AS mean_iou, round(2 * pp_ * r / (pp_ + r + 1e-4) * mcc, 6) AS cg_f1, round(answered * mcc, 6) AS cg_f1_macro, round(macro * mcc, 6) AS cg_f1_w0dt FROM h""")
 def d2_gated_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gated F1 at ten thresholds, micro and macro."""
     truth, found = lanes(spark, sf_dir)

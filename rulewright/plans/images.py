@@ -49,15 +49,17 @@ def i4_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.from_one(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
 
 
-@query(f"""WITH RECURSIVE {_GRID}, r AS (SELECT vec_id, i, i AS root FROM u WHERE b = 1
-      UNION SELECT r.vec_id, n.i, r.root FROM r JOIN u n ON n.vec_id = r.vec_id AND n.b = 1 AND abs(n.i % 8 - r.i % 8) + abs(n.i // 8 - r.i // 8) = 1),
+@query(f"""WITH RECURSIVE {_GRID}, o AS (SELECT vec_id, i FROM u WHERE b = 1 AND i < 56), r AS (SELECT vec_id, i, i AS root FROM o
+      UNION SELECT r.vec_id, n.i, r.root FROM r JOIN o n ON n.vec_id = r.vec_id AND abs(n.i % 8 - r.i % 8) <= 1 AND abs(n.i // 8 - r.i // 8) <= 1),
     m AS (SELECT vec_id, i, min(root) AS root FROM r GROUP BY ALL), c AS (SELECT vec_id, root, count(*) AS n FROM m GROUP BY ALL)
-    SELECT vec_id, count(*) AS regions, max(n) AS largest FROM c GROUP BY 1""")
+    SELECT vec_id, count(*) AS regions, max(n) AS largest, sum(n * n)::BIGINT AS cell_sizes, string_agg((root + 1) || ':' || n, ' ' ORDER BY root) AS labels FROM c GROUP BY 1""")
 def i5_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected regions of each grid and the largest one's size; grids without active cells have no row."""
-    labels = grids(spark, sf_dir).select("vec_id", F.explode(M.region_labels("bits", F.lit(SIDE))).alias("label")).filter("label > 0")
-    sizes = labels.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("vec_id").agg(F.count(F.lit(1)).alias("regions"), F.max("n").alias("largest"))
+    """Regions of the first seven rows of each grid, joined at corners too: their number, labels and sizes; grids without active cells have no row."""
+    cells = grids(spark, sf_dir).select("vec_id", M.regions(F.slice("bits", 1, 56), F.lit(SIDE)).alias("r"))
+    cells = cells.select("vec_id", F.explode(F.arrays_zip(F.col("r.labels").alias("label"), F.col("r.sizes").alias("size"))).alias("c")).select("vec_id", "c.*").filter("label > 0")
+    each = cells.groupBy("vec_id", "label").agg(F.max("size").alias("n"), F.sum("size").alias("s"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "n"))), lambda x: F.concat_ws(":", x["label"], x["n"])), " ")
+    return each.groupBy("vec_id").agg(F.count(F.lit(1)).alias("regions"), F.max("n").cast("long").alias("largest"), F.sum("s").alias("cell_sizes"), told.alias("labels"))
 
 
 @query(f"""WITH {_GRID}, p AS (SELECT a.vec_id AS a, c.vec_id AS b, sum(a.b * c.b) AS i, sum(greatest(a.b, c.b)) AS o FROM u a JOIN u c ON a.vec_id // 8 = c.vec_id // 8 AND a.i = c.i AND a.vec_id < c.vec_id GROUP BY ALL)
