@@ -85,11 +85,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 _CHUNK = 1 << 20
-_POWERS = _powers(_CHUNK + 1)
-_INVERSES = np.full(_CHUNK + 1, _INT64(pow(_BASE, -1, 1 << 64)), np.uint64)
-_INVERSES[0] = 1
+POWERS = _powers(_CHUNK + 1)
+INVERSES = np.full(_CHUNK + 1, _INT64(pow(_BASE, -1, 1 << 64)), np.uint64)
+INVERSES[0] = 1
 with np.errstate(over="ignore"):
-    _INVERSES = np.cumprod(_INVERSES, dtype=np.uint64)
+    INVERSES = np.cumprod(INVERSES, dtype=np.uint64)
 
 
 def _words_of(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +99,8 @@ def _words_of(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[data] * _POWERS[: len(data)], out=sums[1:])
-        return starts, mix64((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[data] * POWERS[: len(data)], out=sums[1:])
+        return starts, mix64((sums[ends] - sums[starts]) * INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: bytes | np.ndarray, lower: bool = False) -> np.ndarray:

@@ -4,14 +4,15 @@ Two kinds of pieces of a text are compared. Whole paragraphs (lines of at least
 get MinHash values in bands; paragraphs that share a band are joined, verified by the exact Jaccard
 similarity of their word shingles, and clustered by components; the paragraphs of bands with more
 members than are all paired are matched once more exactly, by a prefix filter. Passages that stand within
-different paragraphs are found as stretches of STRETCH words. A stretch begins where the shingle
-hash is the least of SPREAD consecutive ones, so it depends on its own surroundings alone, and any
-run of STRETCH + SPREAD - 1 words (49) that two documents share has a stretch in common; stretches
-are joined where their shingles are all equal. Each is then extended, word by word, as far as it
-agrees with the document that keeps it; a stretch begins in any SPREAD words of a run, so REACH words
-to each side are enough to come to its ends. Only runs of MIN_RUN words or more are removed.
-
-Of each group the pieces of the smallest doc_id stay; those of other documents are removed.
+different paragraphs are runs of MIN_RUN words. They are looked for where documents share a stretch of STRETCH
+words: a stretch begins where the shingle hash is the least of SPREAD consecutive ones, so it depends on its
+own surroundings alone, and any run of STRETCH + SPREAD - 1 words (49) that two documents share
+has a stretch in common. The runs of MIN_RUN words around shared stretches are then compared themselves, so what
+goes is exactly what stands in an earlier document, word for word.
+
+Of each group of paragraphs that of the smallest doc_id stays. Passages are settled among what paragraphs
+leave: a run in a paragraph that goes keeps no other, and of the rest the smallest doc_id keeps it. So of every
+run that goes each word stands in an earlier document that keeps it.
 """
 
 from __future__ import annotations
@@ -20,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import IS_BLANK, fresh, grams, many_to_one, mix64, slices, small_batches, stored, text_column, word_hashes
+from rulewright.llm.common import INVERSES, IS_BLANK, POWERS, fresh, grams, many_to_one, mix64, slices, small_batches, stored, text_column, word_hashes
 from rulewright.llm.components import components
 from rulewright.llm.near import confirmed, crowded_pairs, fetched, marked
 
 SHINGLE_WORDS, MIN_WORDS, PERCENT = 5, 20, 80
 STRETCH, SPREAD = 20, 30
-#: How far a stretch is extended to each side, and the least run of words that is a repeated passage.
-REACH, MIN_RUN = SPREAD - 1, 50
+#: The least run of words that is a repeated passage.
+MIN_RUN = 50
 #: Two values a band: of pairs with similarity 0.8, 1 - (1 - 0.8^2)^6 = 99.8 % share a band.
 BANDS, ROWS = 6, 2
 #: Paragraphs of one band that are compared with their neighbours at a time, and neighbours of each.
@@ -66,6 +67,10 @@ class Document:
             return np.array([int(values.argmin())])
         return np.unique(np.lib.stride_tricks.sliding_window_view(values, SPREAD).argmin(axis=1) + np.arange(n - SPREAD + 1))
 
+    def line_of(self, word: np.ndarray) -> np.ndarray:
+        """The first words of the lines in which words stand."""
+        return self.lines[np.searchsorted(self.lines, word, "right") - 1]
+
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
         """First words of the paragraphs that are long enough, and the words after their last."""
         first, after = self.lines[:-1], self.lines[1:]
@@ -108,9 +113,9 @@ def bands_of(shingles: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.n
 
 def _pieces(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "mark", "at", "from", "to", "a", "b", "bands"]
+        names = ["key", "mark", "at", "from", "to", "a", "b", "line", "last_line", "bands"]
         for batch, docs in _documents(batches, words):
-            owner, first, after = [], [], []
+            owner, first, after, lines = [], [], [], [np.zeros((2, 0), np.int64)]
             bases = np.cumsum([0, *[d.count for d in docs]])
             for whole in (True, False):
                 own, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -120,6 +125,8 @@ def _pieces(words: int):
                         own.append(np.full(len(a), i))
                         one.append(a + bases[i])
                         two.append(b + bases[i])
+                        if not whole:
+                            lines.append(np.stack((d.line_of(a), d.line_of(b - 1))))
                 for out, x in zip((owner, first, after), (own, one, two), strict=True):
                     out.append(np.concatenate(x))
             if not len(owner[1]) and not len(owner[0]):
@@ -133,79 +140,84 @@ def _pieces(words: int):
                     continue
                 low, high = _sums(shingles, a, b)
                 bands = pa.nulls(len(of), pa.list_(pa.int64())) if whole else pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(shingles, a, b).reshape(-1)))
+                at = np.concatenate(lines, axis=1) if whole else np.stack((a - bases[of],) * 2)
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(pa.array(of)) for c in batch.columns[:2]], pa.array((a - bases[of]).astype(np.int32)), pa.array(starts[a], pa.int64()), pa.array(ends[after[whole] - 1], pa.int64()), pa.array(low), pa.array(high), bands], names=names
+                    [*[c.take(pa.array(of)) for c in batch.columns[:2]], pa.array((a - bases[of]).astype(np.int32)), pa.array(starts[a], pa.int64()), pa.array(ends[after[whole] - 1], pa.int64()), pa.array(low), pa.array(high), *[pa.array(x.astype(np.int32)) for x in at], bands], names=names
                 )
 
     return run
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each seed of (key, mark, seeds, text): the words next to it, as 32-bit hashes, and where they end.
+def run_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the runs of MIN_RUN words that begin at ``starts``, rising; a run's hash is the same wherever it stands."""
+    out = np.empty((2, len(starts)), np.int64)
+    for low in range(0, len(words), BLOCK):
+        mine = slice(*np.searchsorted(starts, (low, low + BLOCK)))
+        at = starts[mine] - low
+        if len(at):
+            own = words[low : low + BLOCK + MIN_RUN]
+            with np.errstate(over="ignore"):
+                for k, other in enumerate((np.uint64(0), _OTHER)):
+                    sums = np.zeros(len(own) + 1, np.uint64)
+                    np.cumsum(mix64(own ^ other) * POWERS[: len(own)], out=sums[1:])
+                    out[k, mine] = mix64((sums[at + MIN_RUN] - sums[at]) * INVERSES[at]).view(np.int64)
+    return out[0], out[1]
 
-    ``before`` and ``after`` go away from the stretch, REACH words each. A document that keeps a stretch
-    gives both (role 0); one that loses it only the words that its neighbouring stretches with the same
-    keeper don't reach (role 1), and in how many bytes from the stretch these words begin and end.
-    """
-    for batch, docs in _documents(batches, SHINGLE_WORDS):
-        rows = []
-        for x, d in zip(batch.select(["key", "mark", "seeds"]).to_pylist(), docs, strict=True):
-            words = (d.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            seeds, kept = sorted(x["seeds"], key=lambda s: s["at"]), set()
-            for i, s in enumerate(seeds):
-                at, end = s["at"], s["at"] + STRETCH
-                role = int(s["keep"] < x["key"])
-                back, on = min(REACH, at), min(REACH, d.count - end)
-                if role:
-                    if i and seeds[i - 1]["keep"] == s["keep"]:
-                        back = min(back, max(0, at - seeds[i - 1]["at"] - STRETCH))
-                    if i + 1 < len(seeds) and seeds[i + 1]["keep"] == s["keep"]:
-                        on = min(on, max(0, seeds[i + 1]["at"] - end))
-                elif (s["a"], s["b"]) in kept:
-                    continue
-                else:
-                    kept.add((s["a"], s["b"]))
-                rows.append({
-                    "a": s["a"], "b": s["b"], "role": role, "key": x["key"], "mark": x["mark"], "keep": s["keep"], "at": at, "from": int(d.starts[at]), "to": int(d.ends[end - 1]),
-                    "before": words[at - back : at][::-1], "after": words[end : end + on],
-                    "back": (d.starts[at] - d.starts[at - back : at][::-1]).astype(np.int32) if role else [], "on": (d.ends[end : end + on] - d.ends[end - 1]).astype(np.int32) if role else [],
-                })
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_SURROUNDINGS)
 
+#: Words of a text that are hashed with the same powers.
+BLOCK = 1 << 19
 
-_WORDS = pa.list_(pa.int32())
-_SURROUNDINGS = pa.schema([
-    *[(n, pa.int64()) for n in ("a", "b")], ("role", pa.int32()), *[(n, pa.int64()) for n in ("key", "mark", "keep")], ("at", pa.int32()), ("from", pa.int64()), ("to", pa.int64()),
-    *[(n, _WORDS) for n in ("before", "after", "back", "on")],
-])
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (key, mark, seeds, gone, text): the runs of MIN_RUN words that hold a stretch of ``seeds`` (first words) and no byte of ``gone``."""
+    for batch, docs in _documents(batches, SHINGLE_WORDS):
+        for x, d in zip(batch.select(["key", "mark", "seeds", "gone"]).to_pylist(), docs, strict=True):
+            seeds = np.unique(np.array(x["seeds"], np.int64))
+            held = np.zeros(max(d.count - MIN_RUN + 1, 0) + 1, np.int64)
+            if len(held) == 1:
+                continue
+            low, high = np.maximum(seeds + STRETCH - MIN_RUN, 0), np.minimum(seeds, len(held) - 2)
+            some = low <= high
+            np.add.at(held, low[some], 1)
+            np.add.at(held, high[some] + 1, -1)
+            removed = np.zeros(d.count + 1, np.int64)
+            for g in x["gone"] or ():
+                a, b = np.searchsorted(d.ends, g["from"], "right"), np.searchsorted(d.starts, g["to"])
+                removed[a] += 1
+                removed[b] -= 1
+            lost = np.concatenate(([0], np.cumsum(np.cumsum(removed)[:-1] > 0)))
+            starts = np.flatnonzero((np.cumsum(held)[:-1] > 0) & (lost[MIN_RUN:] == lost[: len(lost) - MIN_RUN]))
+            n = len(starts)
+            if n:
+                a, b = run_hashes(d.words, starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["key"]] * n, pa.int64()), pa.array([x["mark"]] * n, pa.int64()), pa.array(d.starts[starts], pa.int64()), pa.array(d.ends[starts + MIN_RUN - 1], pa.int64()), pa.array(a), pa.array(b)], names=["key", "mark", "from", "to", "a", "b"]
+                )
 
 
-def _agreed(one: str, two: str) -> Column:
-    """How many values two arrays have in common at their beginnings."""
-    same = F.zip_with(one, two, lambda x, y: x.eqNullSafe(y))
-    end = F.array_position(same, F.lit(False))
-    return F.when(end == 0, F.size(same)).otherwise(end - 1).cast("int")
+def shared_stretches(stretches: DataFrame) -> DataFrame:
+    """Those of the rows (key, mark, at, a, b, ...) whose (a, b) more than one key has."""
+    keeps = stretches.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).filter("least < last").select("a", "b", "n")
+    return many_to_one(stretches, stored(keeps), ["a", "b"], "n", ["key", "mark", "at"])
 
 
-def extended(plain: DataFrame, hits: DataFrame) -> DataFrame:
-    """(key, mark, keep, from, to, at, end): the stretches of ``hits`` in documents that lose them, extended as far as they agree with their keeper.
+def repeated_runs(plain: DataFrame, stretches: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, mark, keep, from, to): the runs of MIN_RUN words that an earlier document, keep, has outside of what is gone.
 
-    ``plain`` has the texts (key, mark, text); ``hits`` are stored rows (key, mark, at, a, b, keep, n) of the documents with key >= keep.
+    ``plain`` has the texts (key, mark, text), ``stretches`` where they begin (key, mark, at, a, b, and the first words of
+    their first and last lines), ``gone`` the paragraphs that go (key, mark, at, from, to). A stretch touches no
+    other paragraph than those of its first and last line, since lines between are shorter than one.
     """
-    seeds = stored(hits.groupBy("key", "mark").agg(F.collect_list(F.struct("at", "a", "b", "keep")).alias("seeds")))
-    ids = stored(seeds.select("key", "mark"))
-    texts = fetched(plain, ids).join(seeds, ["key", "mark"]).select("key", "mark", "seeds", "text")
+    left = shared_stretches(stretches)
+    for line in ("line", "last_line"):
+        left = left.join(gone.select("key", "mark", F.col("at").alias(line)), ["key", "mark", line], "left_anti")
+    seeds = shared_stretches(stored(left.select("key", "mark", "at", "a", "b"))).groupBy("key", "mark").agg(F.collect_set("at").alias("seeds"))
+    seeds = stored(seeds.join(gone.groupBy("key", "mark").agg(F.collect_list(F.struct("from", "to")).alias("gone")), ["key", "mark"], "left"))
+    texts = fetched(plain, stored(seeds.select("key", "mark"))).join(seeds, ["key", "mark"]).select("key", "mark", "seeds", "gone", "text")
     with small_batches(plain.sparkSession):
-        sides = stored(texts.mapInArrow(_surroundings, "a long, b long, role int, key long, mark long, keep long, at int, from long, to long, before array<int>, after array<int>, back array<int>, on array<int>"))
-    kept = sides.filter("role = 0").groupBy("a", "b").agg(F.min(F.struct("mark", "before", "after")).alias("k"))
-    sizes = sides.filter("role = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    kept = stored(kept.join(sizes, ["a", "b"]).select("a", "b", F.col("k.before").alias("kept_before"), F.col("k.after").alias("kept_after"), "n"))
-    # one side's words may be cut short where a neighbour takes over, so only as many are compared
-    both = many_to_one(sides.filter("role = 1").drop("role"), kept, ["a", "b"], "n", ["key", "mark", "at"])
-    both = both.withColumn("l", F.least(_agreed("before", "kept_before"), F.size("before"))).withColumn("r", F.least(_agreed("after", "kept_after"), F.size("after")))
-    reach = lambda ends, n: F.coalesce(F.get(ends, F.col(n) - 1), F.lit(0))
-    return both.select("key", "mark", "keep", (F.col("from") - reach("back", "l")).alias("from"), (F.col("to") + reach("on", "r")).alias("to"), (F.col("at") - F.col("l")).alias("at"), (F.col("at") + STRETCH + F.col("r")).alias("end"))
+        runs = stored(texts.mapInArrow(_runs, "key long, mark long, from long, to long, a long, b long"))
+    keeps = runs.groupBy("a", "b").agg(F.min("key").alias("keep"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).filter("keep < last").drop("last")
+    return many_to_one(runs, stored(keeps), ["a", "b"], "n", ["key", "mark", "from"]).filter("key > keep").select("key", "mark", "keep", "from", "to")
 
 
 def _paragraph_sets(words: int):
@@ -271,29 +283,18 @@ def _paragraph_keeps(plain: DataFrame, paragraphs: DataFrame, percent: int, word
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each (key, mark, pieces): the runs that are long enough and the paragraphs, as byte spans."""
+    """One row for each (key, mark, pieces): the spans of its runs and paragraphs, those that touch merged."""
     for batch in batches:
         rows = []
         for x in batch.to_pylist():
-            whole, runs = [], []
-            for p in sorted(x["pieces"], key=lambda p: (p["at"], p["end"] or 0)):
-                if p["end"] is None:
-                    whole.append((p["from"], p["to"], {p["keep"]}))
-                elif runs and p["at"] <= runs[-1]["end"]:
-                    run = runs[-1]
-                    run |= {"to": max(run["to"], p["to"]), "end": max(run["end"], p["end"]), "keeps": run["keeps"] | {p["keep"]}}
-                else:
-                    runs.append({"at": p["at"], "from": p["from"], "to": p["to"], "end": p["end"], "keeps": {p["keep"]}})
-            found = sorted(whole + [(r["from"], r["to"], r["keeps"]) for r in runs if r["end"] - r["at"] >= MIN_RUN], key=lambda f: f[:2])
             spans: list[list[int]] = []
-            for a, b, _ in found:
-                if spans and a <= spans[-1][1] + 1:
-                    spans[-1][1] = max(spans[-1][1], b)
+            for p in sorted(x["pieces"], key=lambda p: (p["from"], p["to"])):
+                if spans and p["from"] <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], p["to"])
                 else:
-                    spans.append([a, b])
-            if found:
-                keeps = sorted(set().union(*[f[2] for f in found]))
-                rows.append({"doc_id": x["key"], "text_hash": x["mark"], "keep_ids": keeps, "spans": [{"from": a, "to": b} for a, b in spans], "removed_bytes": sum(b - a for a, b in spans)})
+                    spans.append([p["from"], p["to"]])
+            keeps = sorted({p["keep"] for p in x["pieces"]})
+            rows.append({"doc_id": x["key"], "text_hash": x["mark"], "keep_ids": keeps, "spans": [{"from": a, "to": b} for a, b in spans], "removed_bytes": sum(b - a for a, b in spans)})
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("keep_ids", pa.list_(pa.int64())), ("spans", span), ("removed_bytes", pa.int64())]))
 
@@ -301,10 +302,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """What repeats from other documents: doc_id, text_hash, keep_ids, spans, removed_bytes; only documents that lose something.
 
-    keep_ids are the documents in which the removed pieces stay, spans the merged ranges to remove,
+    keep_ids are the earliest documents that have the removed pieces, spans the merged ranges to remove,
     in bytes of the UTF-8 text. Paragraphs of at least MIN_WORDS words go if they are like one of
-    an earlier document; passages within paragraphs go if they have at least MIN_RUN words, up to
-    the last word that they share with the earliest document that has the same stretches. Null
+    an earlier document; of what they leave, every run of at least MIN_RUN words goes that stands in an
+    earlier document outside of paragraphs that go. Null
     and empty texts and shorter ones lose nothing, and what repeats within one document only
     stays. Rows with a null doc_id take no part. Rows that repeat a doc_id with other texts have
     spans of their own, told apart by text_hash, and lose nothing to one another; rows that repeat both
@@ -313,14 +314,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     plain = marked(docs, doc_id, text).filter("key is not null")
     with small_batches(docs.sparkSession):
-        pieces = stored(plain.mapInArrow(_pieces(words), "key long, mark long, at int, from long, to long, a long, b long, bands array<long>"))
-    stretches, paragraphs = pieces.filter("bands is null").drop("bands"), pieces.filter("bands is not null")
-    keeps = stretches.groupBy("a", "b").agg(F.min("key").alias("keep"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).filter("keep < last").drop("last")
-    hits = stored(many_to_one(stretches.drop("from", "to"), stored(keeps), ["a", "b"], "n", ["key", "mark", "at"]))
-    alike = many_to_one(paragraphs.drop("bands", "at"), _paragraph_keeps(plain, paragraphs, percent, words), ["a", "b"], "n", ["key", "mark", "from"])
-    alike = alike.select("key", "mark", "keep", "from", "to", F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
-    found = extended(plain, hits).unionByName(alike.filter("key > keep"))
-    found = found.groupBy("key", "mark").agg(F.collect_set(F.struct("from", "to", "keep", "at", "end")).alias("pieces"))
+        pieces = stored(plain.mapInArrow(_pieces(words), "key long, mark long, at int, from long, to long, a long, b long, line int, last_line int, bands array<long>"))
+    paragraphs = pieces.filter("bands is not null").drop("line", "last_line")
+    alike = many_to_one(paragraphs.drop("bands"), _paragraph_keeps(plain, paragraphs, percent, words), ["a", "b"], "n", ["key", "mark", "from"])
+    gone = stored(alike.filter("key > keep").select("key", "mark", "keep", "at", "from", "to"))
+    stretches = pieces.filter("bands is null").drop("bands", "from", "to")
+    found = repeated_runs(plain, stretches, gone).unionByName(gone.drop("at"))
+    found = found.groupBy("key", "mark").agg(F.collect_list(F.struct("from", "to", "keep")).alias("pieces"))
     return found.mapInArrow(_merged, "doc_id long, text_hash long, keep_ids array<long>, spans array<struct<from:long,to:long>>, removed_bytes long")
 
 

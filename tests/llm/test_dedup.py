@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,92 @@ def test_passages_are_removed_to_their_last_word(spark):
     assert all(r.keep_ids == [r.doc_id - 1] for r in got)
 
 
+def removed_words(spark, texts):
+    """The words that go of each text, by number, and the result's rows by doc_id; texts are lists of words joined by blanks."""
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows_of([(i, " ".join(t), "en", "a") for i, t in texts.items()]), SCHEMA).repartition(4)).collect()}
+    out = {}
+    for i, t in texts.items():
+        starts = [0]
+        for w in t:
+            starts.append(starts[-1] + len(w) + 1)
+        out[i] = {k for s in (got[i].spans if i in got else ()) for k in range(len(t)) if s["from"] <= starts[k] < s.to}
+    return out, got
+
+
+def runs_in(words, n=50):
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def test_the_last_copy_of_a_run_stays(spark):
+    random.seed(41)
+    new = iter(range(10**7))
+    own = lambda n: [f"u{next(new)}" for _ in range(n)]
+    texts = {}
+    for g in range(60):
+        z, c = own(900), own(60)
+        at = random.randrange(100, 700)
+        # A is Z but for 60 words, and so like it; C has those words elsewhere
+        texts |= {3 * g: z, 3 * g + 1: [*z[:at], *c, *z[at + 60 :]], 3 * g + 2: [*own(200), *c, *own(200)]}
+    gone, _ = removed_words(spark, texts)
+    for g in range(60):
+        assert not gone[3 * g] and len(gone[3 * g + 1]) == 900 and not gone[3 * g + 2]
+
+
+def test_runs_that_earlier_documents_hold_in_part(spark):
+    random.seed(42)
+    new = iter(range(10**7))
+    own = lambda n: [f"u{next(new)}" for _ in range(n)]
+    texts = {}
+    for g in range(200):
+        run, a = own(60), random.randrange(32)
+        # the middle stands earlier alone; or the keeper has it first alone and the whole run later
+        part = run[a : a + 28]
+        texts |= {10 * g: own(30) + part + own(30), 10 * g + 1: own(40) + run + own(9), 10 * g + 2: own(11) + run + own(40)}
+        run, a = own(60), random.randrange(32)
+        texts |= {10 * g + 5: own(30) + run[a : a + 28] + own(90) + run + own(20), 10 * g + 6: own(25) + run + own(33)}
+    gone, got = removed_words(spark, texts)
+    for g in range(200):
+        assert not gone[10 * g] and not gone[10 * g + 1] and not gone[10 * g + 5]
+        assert gone[10 * g + 2] == set(range(11, 71)) and list(got[10 * g + 2].keep_ids) == [10 * g + 1]
+        assert gone[10 * g + 6] == set(range(25, 85)) and list(got[10 * g + 6].keep_ids) == [10 * g + 5]
+
+
+def test_passages_by_brute_force(spark):
+    random.seed(43)
+    new = iter(range(10**7))
+    own = lambda n: [f"u{next(new)}" for _ in range(n)]
+    pool, texts = [own(400) for _ in range(12)], {}
+    for i in range(160):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            source, a = random.choice(pool), random.randrange(340)
+            parts += source[a : a + random.randint(20, 180)] + own(random.randrange(1, 60))
+        texts[i] = own(150) + parts
+    gone, got = removed_words(spark, texts)
+    paragraphs = {i for i, t in texts.items() if len(gone[i]) == len(t)}
+    first = {}
+    for i in sorted(texts):
+        if i not in paragraphs:
+            for k, run in enumerate(zip(*[texts[i][j:] for j in range(50)], strict=False)):
+                first.setdefault(run, (i, k))
+    want = {i: {k + j for k, run in enumerate(zip(*[t[j:] for j in range(50)], strict=False)) if first[run][0] < i for j in range(50)} for i, t in texts.items() if i not in paragraphs}
+    assert {i: gone[i] for i in want} == want and sum(map(bool, want.values())) > 60
+    # every word of a run that goes stands in the run's first document, or in an earlier one that keeps it there
+    left = {w for i, t in texts.items() for k, w in enumerate(t) if k not in gone[i]}
+    assert all(w in left for i in want for w in texts[i])
+
+
+def test_hashes_of_runs_do_not_depend_on_their_place(monkeypatch):
+    words = np.random.default_rng(2).integers(0, 1 << 62, 400).astype(np.uint64)
+    twice = np.concatenate((words, words))
+    starts = np.arange(len(twice) - 49)
+    whole = passages.run_hashes(twice, starts)
+    monkeypatch.setattr(passages, "BLOCK", 64)
+    parts = passages.run_hashes(twice, starts)
+    for a, b in zip(whole, parts, strict=True):
+        assert (a == b).all() and (a[:351] == a[400:]).all() and len(set(a.tolist())) == 400
+
+
 def test_a_passage_of_most_documents_is_dealt_over_tasks(spark, monkeypatch):
     from rulewright.llm import common
 
