@@ -51,6 +51,22 @@ def x3_keyed_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyed_answers(spark, path)
 
 
+@query(f"WITH {QUESTIONS_SQL} SELECT row_number() OVER (ORDER BY question_id) - 1 AS ord, question_id, image_id, question, answer FROM q")
+def x20_ordered_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array with the places of its records, read in splits."""
+    path = _path(spark, "array")
+    R.write_array(_plain(spark, sf_dir), path, [F.col("question_id")])
+    return R.json_document(spark, path, _SCHEMA)
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (c_acctbal > 0) AS positive, count(*) FILTER (c_mktsegment = 'BUILDING') AS building FROM customer")
+def x21_counts_beside_a_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that are taken while rows are written, read from beside them."""
+    path = _path(spark, "counted")
+    R.write_with_counts(table(spark, sf_dir, "customer"), path, {"positive": F.col("c_acctbal") > 0, "building": F.col("c_mktsegment") == "BUILDING"})
+    return spark.read.schema("rows long, positive long, building long").json(f"{path}/counts")
+
+
 @query(f"WITH {QUESTIONS_SQL} SELECT row_number() OVER (ORDER BY question_id) - 1 AS ord, question_id, question FROM q")
 def x4_wrapped_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list under a key of one object."""
@@ -90,10 +106,7 @@ def x7_nested_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     alone = rows.filter(k % 3 == 0).select(k.alias("question_id"), k.alias("image_id"), "question", "answer")
     below.write.json(f"{path}/a")
     alone.write.json(f"{path}/b")
-    # each line is a JSON value of its own here, as each is in files of one value
-    one = "question_id: bigint, qa_id: bigint, image_id: bigint, question: string, answer: string"
-    lines = spark.read.schema(f"id bigint, {one.replace(':', '')}, qas array<struct<{one}>>").json([f"{path}/a", f"{path}/b"])
-    return R.unnested(lines)
+    return R.nested_answers(spark, [f"{path}/a", f"{path}/b"])
 
 
 @query("""SELECT p_partkey // 20 AS image_id, 'img' || p_partkey // 20 AS file_name, p_partkey AS id, p_type AS category, (p_partkey % 50)::DOUBLE AS x0, (p_partkey % 50 + p_size)::DOUBLE AS x1, p_size * 2.0::DOUBLE AS area, p_partkey % 9 = 0 AS crowd FROM part WHERE p_partkey // 20 % 3 > 0""")

@@ -7,28 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rulewright.operators.corpus import numbered
+from rulewright.sources.jsonvalues import json_lists, json_members, json_objects
 from rulewright.sources.staging import staged
 
 
 def json_document(spark: SparkSession, paths: str | list[str], schema: StructType | str, key: str | None = None) -> DataFrame:
-    """Records of whole JSON files: a list, or with ``key`` the list under that key; adds ord, the place within its file.
+    """Records of JSON files: the objects of a list, or with ``key`` of the list under that key; adds ord, the place within its list.
 
-    A whole file is one record for the reader, so large inputs are read once and kept as Parquet.
+    A file of one object without ``key`` is one record. Files are read by as many tasks as they have splits.
     """
-    if key is None:
-        return spark.read.option("multiLine", True).schema(schema).json(paths)
-    whole = spark.read.option("multiLine", True).schema(f"`{key}` array<struct<{_fields(schema)}>>").json(paths)
-    return whole.select(F.posexplode(key).alias("ord", "row")).select(F.col("ord").cast("long").alias("ord"), "row.*")
+    rows = json_objects(spark, paths) if key is None else json_lists(spark, paths).filter(F.col("name") == key)
+    return _parsed(rows, schema, "ord")
 
 
-def _fields(schema: StructType | str) -> str:
-    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+def _parsed(rows: DataFrame, schema: StructType | str, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.from_json("value", schema).alias("__row")).select(*keep, "__row.*")
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: StructType | str, strict: bool = False) -> DataFrame:
@@ -66,7 +64,7 @@ def json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     head = spark.read.text(path).filter(F.trim("value") != "").limit(2).select(F.trim("value").startswith("{").alias("opens"), F.try_parse_json("value").isNotNull().alias("whole")).collect()
     if head and head[0].whole and (len(head) == 2 or head[0].opens):
         return json_lines(spark, path, schema, strict=True)
-    return json_document(spark, path, schema)
+    return json_document(spark, path, schema).drop("ord")
 
 
 def listing(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
@@ -129,7 +127,7 @@ def plain_detections(detections: DataFrame, least: float = 0.3) -> DataFrame:
 def nested_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(question_id, image_id, question, answer) of files of questions that stand below their image or by themselves."""
     one = "question_id: bigint, qa_id: bigint, image_id: bigint, question: string, answer: string"
-    return unnested(spark.read.option("multiLine", True).schema(f"id bigint, {one.replace(':', '')}, qas array<struct<{one}>>").json(paths))
+    return unnested(_parsed(json_objects(spark, paths), f"id bigint, {one.replace(':', '')}, qas array<struct<{one}>>"))
 
 
 def unnested(rows: DataFrame) -> DataFrame:
@@ -139,13 +137,9 @@ def unnested(rows: DataFrame) -> DataFrame:
 
 
 def keyed_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(ord, question_id, image_id, question, answer) of one object of questions by id, in the order of the ids' texts.
-
-    The object has a key for each question, so a file is read as one text; its rows are numbered by ranges.
-    """
-    text = spark.read.text(paths, wholetext=True)
-    rows = text.select(F.explode(F.from_json("value", "map<string, struct<imageId: string, image_id: string, question: string, answer: string>>")).alias("question_id", "q"))
-    found = rows.select("question_id", F.coalesce("q.imageId", "q.image_id").alias("image_id"), "q.question", "q.answer")
+    """(ord, question_id, image_id, question, answer) of one object of questions by id, in the order of the ids' texts."""
+    rows = _parsed(json_members(spark, paths), "imageId string, image_id string, question string, answer string", "name")
+    found = rows.select(F.col("name").alias("question_id"), F.coalesce("imageId", "image_id").alias("image_id"), "question", "answer")
     return numbered(found, [F.col("question_id")], "ord")
 
 
@@ -160,13 +154,10 @@ def annotations_of(spark: SparkSession, path: str, images: DataFrame | None = No
 
 
 def _annotation_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    schema = (
-        "images array<struct<id: bigint, file_name: string, width: int, height: int>>, categories array<struct<id: bigint, name: string>>,"
-        "annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, bbox: array<double>, area: double, iscrowd: int, score: double>>"
-    )
-    whole = spark.read.option("multiLine", True).schema(schema).json(path)
-    part = lambda name: whole.select(F.explode(name).alias("x")).select("x.*")
-    return part("annotations"), part("categories").select(F.col("id").alias("category_id"), "name"), part("images").select(F.col("id").alias("image_id"), "file_name")
+    lists = staged(json_lists(spark, path).filter(F.col("name").isin("annotations", "categories", "images")))
+    part = lambda name, schema: _parsed(lists.filter(F.col("name") == name), schema)
+    notes = part("annotations", "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int, score double")
+    return notes, part("categories", "id bigint, name string").withColumnRenamed("id", "category_id"), part("images", "id bigint, file_name string").withColumnRenamed("id", "image_id")
 
 
 def annotated_images(spark: SparkSession, path: str, least_score: float = 0.0) -> DataFrame:
@@ -201,13 +192,32 @@ def write_array(rows: DataFrame, path: str, order: list[Column], key: str | None
 
 
 def write_with_summary(rows: DataFrame, path: str, groups: list[str]) -> DataFrame:
-    """Writes the rows as Parquet and, beside them, how many each combination of ``groups`` has; returns that summary."""
+    """Writes the rows as Parquet and, beside them, how many each combination of ``groups`` has; returns that summary.
+
+    The counts are taken of the rows that were written, in a second job that reads these columns alone; where the
+    combinations are few and known, ``write_with_counts`` counts as it writes.
+    """
     rows.write.mode("overwrite").parquet(f"{path}/rows")
     summary = rows.sparkSession.read.parquet(f"{path}/rows").groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     return summary
 
 
+def write_with_counts(rows: DataFrame, path: str, counts: dict[str, Column]) -> dict[str, int]:
+    """Writes the rows as Parquet and returns how many there are (``rows``) and for how many each condition holds.
+
+    The counts are observed while the rows are written: there is one job, and nothing is read again. They are also written beside the rows,
+    as JSON.
+    """
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(name) for name, c in counts.items()])
+    observed.write.mode("overwrite").parquet(f"{path}/rows")
+    found = {name: int(n) for name, n in seen.get.items()}
+    spark = rows.sparkSession
+    spark.createDataFrame([tuple(found.values())], ", ".join(f"`{n}` long" for n in found)).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    return found
+
+
 def shard_problems(spark: SparkSession, shards: dict[str, str], expected: dict[str, int]) -> DataFrame:
     """(shard, expected, found): the shards of JSON lines whose number of lines, blank ones apart, isn't the expected one."""
     counts = None

@@ -339,7 +339,7 @@ def test_records(spark, tmp_path):
     rows = [{"id": 1, "q": "a"}, {"id": 2}]
     listed = records.json_document(spark, write("a.json", json.dumps(rows)), "id long, q string")
     keyed = records.json_document(spark, write("b.json", json.dumps({"rows": rows})), "id long, q string", "rows")
-    assert [(r.id, r.q) for r in listed.collect()] == [(1, "a"), (2, None)] and [(r.ord, r.id) for r in keyed.collect()] == [(0, 1), (1, 2)]
+    assert [(r.id, r.q) for r in listed.orderBy("ord").collect()] == [(1, "a"), (2, None)] and [(r.ord, r.id) for r in keyed.orderBy("ord").collect()] == [(0, 1), (1, 2)]
     path = write("c.jsonl", '{"id": 1, "q": "a"}\n\n{bad\n{"id": 2}\n')
     assert records.json_lines(spark, [path, path], "id long, q string").count() == 2
     assert records.bad_lines(spark, path).first().bad == 1
