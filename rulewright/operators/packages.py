@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.functions.geometry import let
 from rulewright.operators.corpus import numbered, shuffled_order
+from rulewright.sources.staging import staged
 
 
 def supervised(rows: DataFrame, shares: DataFrame, key: str, most: float) -> DataFrame:
@@ -134,14 +136,63 @@ def merged_shards(parts: list[DataFrame], rows: DataFrame, key: str, place: str)
     return joined.drop("__n"), joined.select(place, problem.alias("problem")).filter("problem is not null")
 
 
+def _least_loaded(shards: int):
+    """For lengths in order, the shard that each goes to: the first one of least total length that isn't full."""
+
+    def placed(held: Column, x: Column, at: Column) -> Column:
+        count = F.get(held["counts"], at) + 1
+        load = F.when(count * shards == x["n"], F.lit(float("inf"))).otherwise(F.get(held["loads"], at) + x["length"])
+        changed = lambda values, new: F.transform(values, lambda v, i: F.when(i == at, new).otherwise(v))
+        return F.struct(changed(held["loads"], load).alias("loads"), changed(held["counts"], count).alias("counts"), F.concat(held["out"], F.array(at)).alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        return let(F.array_position(held["loads"], F.array_min(held["loads"])).cast("int") - 1, lambda at: placed(held, x, at))
+
+    begin = F.struct(F.array_repeat(F.lit(0.0), shards).alias("loads"), F.array_repeat(F.lit(0), shards).alias("counts"), F.array().cast("array<int>").alias("out"))
+    return lambda lengths: F.aggregate(lengths, begin, step, lambda held: held["out"])
+
+
 def length_groups(rows: DataFrame, length: str, order: str, shards: int, size: int, seed: int | None = None) -> DataFrame:
     """Adds mega, place and shard: batches of ``shards`` x ``size`` rows that follow in ``order``, each sorted by falling length.
 
-    A batch's rows are dealt out to the shards in turn, so the shards of a batch are alike long. With a
-    ``seed`` the rows are shuffled first, by a hash of the order column.
+    Within a batch each row goes to the shard of least total length so far that has fewer than its share of the rows; a batch
+    that ``shards`` doesn't divide is dealt out in turn. With a ``seed`` the rows are shuffled first, by a hash of the order
+    column. A batch is one row's array while it is dealt out. Its rows follow one another by shard and place.
     """
     by = [shuffled_order(F.col(order), seed), F.col(order)] if seed is not None else [F.col(order)]
-    w = Window.partitionBy("mega").orderBy(F.col(length).desc(), order)
     told = numbered(rows.withColumn("__by", by[0]), [F.col("__by"), F.col(order)], "__at").drop("__by")
-    placed = told.withColumn("mega", F.floor(F.col("__at") / (shards * size))).drop("__at").withColumn("place", F.row_number().over(w) - 1)
-    return placed.withColumn("shard", (F.col("place") % shards).cast("int"))
+    names = [F.col(c) for c in rows.columns]
+    held = told.groupBy(F.floor(F.col("__at") / (shards * size)).alias("mega")).agg(F.array_sort(F.collect_list(F.struct((-F.col(length)).cast("double").alias("__down"), F.col(order).alias("__order"), F.struct(*names).alias("row")))).alias("__rows"))
+    n = F.size("__rows")
+    lengths = F.transform("__rows", lambda x: F.struct((-x["__down"]).alias("length"), n.alias("n")))
+    shard = F.when(n % shards == 0, _least_loaded(shards)(lengths)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: i % shards))
+    placed = held.select("mega", F.posexplode(F.arrays_zip(F.transform("__rows", lambda x: x["row"]).alias("row"), shard.alias("shard"))).alias("place", "x"))
+    return placed.select("x.row.*", "mega", "place", F.col("x.shard").cast("int").alias("shard"))
+
+
+def modality_groups(rows: DataFrame, length: str, order: str, shards: int, size: int, seed: int = 0) -> DataFrame:
+    """Adds mega and place: batches of rows of one modality each, which the sign of ``length`` tells, in a shuffled order.
+
+    Either modality is grouped by the absolute length as ``length_groups`` does, by shard and place within a batch. Batches
+    follow one another in the order of a hash; the last one of each modality, which may be short, come together at the end, in the rows'
+    order. Rows of one modality alone are grouped by their signed lengths. A length of 0 raises a ValueError.
+    """
+    signs = {r.sign for r in rows.select(F.signum(F.col(length).cast("double")).alias("sign")).distinct().collect()}
+    if 0.0 in signs:
+        raise ValueError(f"a row's {length} is 0")
+    last = Window.partitionBy("mega")
+    if len(signs) < 2:
+        alone = length_groups(rows, length, order, shards, size, seed)
+        return alone.withColumn("place", F.row_number().over(last.orderBy("shard", "place")) - 1).drop("shard")
+    sides = []
+    for sign in (1, -1):
+        own = rows.filter(F.col(length) * sign > 0).withColumn("__length", F.abs(F.col(length)))
+        sides.append(length_groups(own, "__length", order, shards, size, seed).drop("__length").withColumn("__side", F.lit(sign)))
+    both = staged(sides[0].unionByName(sides[1]))
+    ends = both.groupBy("__side").agg(F.max("mega").alias("__last"))
+    kept = both.join(ends, "__side")
+    full, rest = kept.filter("mega < __last").drop("__last"), kept.filter("mega = __last")
+    batches = numbered(full.select("__side", "mega").distinct().withColumn("__by", F.md5(F.concat_ws(":", "__side", "mega", F.lit(seed)))), [F.col("__by")], "__new").drop("__by")
+    placed = full.join(batches, ["__side", "mega"]).drop("mega").withColumnRenamed("__new", "mega").withColumn("place", F.row_number().over(last.orderBy("shard", "place")) - 1)
+    end = rest.drop("mega", "__last").withColumn("mega", F.lit(batches.count()).cast("long")).withColumn("place", F.row_number().over(last.orderBy(order)) - 1)
+    return placed.unionByName(end).drop("__side", "shard")

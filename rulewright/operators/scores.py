@@ -191,3 +191,38 @@ def question_key_matches(predictions: DataFrame, questions: DataFrame) -> tuple[
     known = questions.withColumn("__q", F.lower("question"))
     keys = ["image_id", "__q"]
     return asked.join(known, keys).drop("__q"), asked.join(known, keys, "left_anti").drop("__q")
+
+
+def _grams(tokens: Column, most: int) -> Column:
+    """(n, gram) of all runs of up to ``most`` tokens, joined by blanks."""
+    some = lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")))
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+    return F.concat(*[F.when(F.size(tokens) >= n, some(n)).otherwise(none) for n in range(1, most + 1)])
+
+
+def bleu(rows: DataFrame, key: str, found: str = "found", truths: str = "truths", by: list[str] | None = None, most: int = 4) -> DataFrame:
+    """Corpus scores bleu_1 to bleu_4, for each combination of ``by``: geometric means of clipped shares of runs of tokens, times a penalty for brevity.
+
+    ``found`` is an array of tokens without blanks, ``truths`` an array of such arrays, of which a run counts as often as in the
+    one that has it most. The length to reach is, row by row, that of the truth nearest in length, the shorter one of two. Sums are
+    taken over all rows before shares. Null tokens count as none; a row without truths has length 0 to reach.
+    """
+    by = by or []
+    blank = F.array().cast("array<string>")
+    own = rows.select(key, *by, F.coalesce(found, blank).alias("f"), F.transform(F.coalesce(truths, F.array().cast("array<array<string>>")), lambda t: F.coalesce(t, blank)).alias("t"))
+    count = F.count(F.lit(1))
+    said = own.select(key, *by, F.explode(_grams(F.col("f"), most)).alias("g")).groupBy(key, *by, "g").agg(count.alias("c"))
+    true = own.select(key, F.posexplode("t").alias("which", "one")).select(key, "which", F.explode(_grams(F.col("one"), most)).alias("g"))
+    true = true.groupBy(key, "g", "which").agg(count.alias("m")).groupBy(key, "g").agg(F.max("m").alias("m"))
+    clipped = said.join(true, [key, "g"], "left").groupBy(*by).agg(*[F.sum(F.when(F.col("g.n") == n, F.least("c", F.coalesce("m", F.lit(0))))).alias(f"right_{n}") for n in range(1, most + 1)])
+    size = F.size("f")
+    near = F.array_min(F.transform("t", lambda t: F.struct(F.abs(F.size(t) - size).alias("apart"), F.size(t).alias("size"))))["size"]
+    sizes = own.groupBy(*by).agg(F.sum(size).alias("size"), F.sum(F.coalesce(near, F.lit(0))).alias("wanted"), *[F.sum(F.greatest(F.lit(0), size - (n - 1))).alias(f"all_{n}") for n in range(1, most + 1)])
+    told = sizes.join(clipped, by, "left") if by else sizes.join(clipped, F.lit(True), "left")
+    ratio_ = (F.col("size") + 1e-15) / (F.col("wanted") + 1e-9)
+    short = F.when(ratio_ < 1, F.exp(1 - 1 / ratio_)).otherwise(1.0)
+    product, out = F.lit(1.0), []
+    for n in range(1, most + 1):
+        product = product * (F.coalesce(F.col(f"right_{n}"), F.lit(0)) + 1e-15) / (F.col(f"all_{n}") + 1e-9)
+        out.append((F.pow(product, F.lit(1.0 / n)) * short).alias(f"bleu_{n}"))
+    return told.select(*by, *out)

@@ -94,11 +94,33 @@ def p9_choices_and_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(P.choices_around_or(F.col("w")), "|").alias("options"), F.size(P.answer_spans(F.col("w"), 3)).cast("long").alias("spans"))
 
 
-@query("""WITH m AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5(doc_id || ':3'), doc_id) - 1) // 64 AS mega FROM documents WHERE doc_id % 3 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY mega ORDER BY n_chars DESC, doc_id) - 1 AS place FROM m)
-    SELECT doc_id, mega::BIGINT AS mega, place::INT AS place, (place % 4)::INT AS shard FROM r""")
+def _dealt_sql(source: str, length: str, order: str) -> str:
+    """Rows ``r`` of (mega, place, n, length) and their shards ``z``, by least total length, one row after the other."""
+    return f"""r AS (SELECT *, {length} AS l, row_number() OVER (PARTITION BY mega ORDER BY {length} DESC, {order}) - 1 AS place, count(*) OVER (PARTITION BY mega) AS n FROM {source}),
+    s AS (SELECT DISTINCT mega, -1::BIGINT AS place, [0, 0, 0, 0]::DOUBLE[] AS loads, [0, 0, 0, 0]::BIGINT[] AS counts, 0::BIGINT AS at_ FROM r
+          UNION ALL SELECT mega, place, [CASE WHEN i = at_ THEN CASE WHEN (counts[i] + 1) * 4 = n THEN 'inf'::DOUBLE ELSE x + l END ELSE x END for x, i in loads], [CASE WHEN i = at_ THEN x + 1 ELSE x END for x, i in counts], at_
+          FROM (SELECT r.mega, r.place, r.l, r.n, s.loads, s.counts, list_position(s.loads, list_min(s.loads))::BIGINT AS at_ FROM s JOIN r ON r.mega = s.mega AND r.place = s.place + 1)),
+    z AS (SELECT r.*, CASE WHEN n % 4 = 0 THEN at_ - 1 ELSE r.place % 4 END AS shard FROM r JOIN s USING (mega, place))"""
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5((doc_id * 3) || ':3'), doc_id) - 1) // 64 AS mega FROM documents), {_dealt_sql('m', 'n_chars', 'doc_id')}
+    SELECT doc_id * 3 AS doc_id, mega::BIGINT AS mega, place::INT AS place, shard::INT AS shard FROM z""")
 def p10_length_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the documents (whose ids have gaps), shuffled, grouped by length within batches of 64 and dealt out to four shards."""
-    return P.length_groups(table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select("doc_id", "n_chars"), "n_chars", "doc_id", 4, 16, seed=3).select("doc_id", "mega", "place", "shard")
+    """All documents, with gaps between their ids, shuffled, grouped by length within batches of 64 and dealt out to four shards evenly."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("doc_id"), "n_chars")
+    return P.length_groups(docs, "n_chars", "doc_id", 4, 16, seed=3).select("doc_id", "mega", "place", "shard")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, n_chars + 1 AS len_, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END AS side FROM documents),
+    m AS (SELECT *, side || '|' || ((row_number() OVER (PARTITION BY side ORDER BY md5(doc_id || ':5'), doc_id) - 1) // 32) AS mega FROM d), {_dealt_sql('m', 'len_', 'doc_id')},
+    x AS (SELECT *, string_split(mega, '|')[2]::BIGINT AS no FROM z), y AS (SELECT *, no = max(no) OVER (PARTITION BY side) AS last_ FROM x),
+    b AS (SELECT side, no, row_number() OVER (ORDER BY md5(side || ':' || no || ':5')) - 1 AS new FROM (SELECT DISTINCT side, no FROM y WHERE NOT last_)),
+    f AS (SELECT doc_id, new AS mega, row_number() OVER (PARTITION BY side, no ORDER BY shard, place) - 1 AS place FROM y JOIN b USING (side, no))
+    SELECT doc_id, mega::BIGINT AS mega, place::INT AS place FROM f UNION ALL SELECT doc_id, (SELECT count(*) FROM b), (row_number() OVER (ORDER BY doc_id) - 1)::INT FROM y WHERE last_""")
+def p20_modality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two modalities in batches of 32, of one modality each but for the last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") + 1) * F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1)).alias("length"))
+    return P.modality_groups(docs, "length", "doc_id", 4, 8, seed=5).select("doc_id", "mega", "place")
 
 
 @query(f"""WITH {QUESTIONS_SQL}, t AS (SELECT CASE WHEN question_id % 3 = 0 THEN 'image' ELSE 'text' END AS kind, question_id % 7 < 3 AS correct, question_id % 5 + 1 AS a, question_id % 4 + 2 AS b FROM q)

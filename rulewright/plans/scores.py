@@ -113,3 +113,23 @@ def a10_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("third", F.col("user_id") % 3 == 0)
     counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") > 20, 1)).alias("above")]
     return rows.groupingSets([["event_type", "third"], ["event_type"], []], "event_type", "third").agg(*counts)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS grp, string_split(lower(p_name || ' ' || p_type), ' ') AS w, string_split(lower(p_type), ' ') AS t, string_split(lower(p_name), ' ') AS m FROM part),
+    d AS (SELECT k, grp, CASE WHEN k % 4 = 0 THEN w[2:] WHEN k % 4 = 1 THEN w || w[:2] WHEN k % 4 = 2 THEN list_reverse(w) ELSE m END AS f, [w, t || m] AS ts FROM p),
+    fg AS (SELECT k, grp, n, array_to_string(f[i:i + n - 1], ' ') AS g FROM (SELECT k, grp, f, n, unnest(range(1, len(f) - n + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4]) AS n) x)),
+    tg AS (SELECT k, j, n, array_to_string(t[i:i + n - 1], ' ') AS g FROM (SELECT k, j, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT k, unnest(ts) AS t, unnest([0, 1]) AS j FROM d), (SELECT unnest([1, 2, 3, 4]) AS n) x)),
+    fc AS (SELECT k, grp, n, g, count(*) AS c FROM fg GROUP BY ALL), tc AS (SELECT k, n, g, max(c) AS m FROM (SELECT k, j, n, g, count(*) AS c FROM tg GROUP BY ALL) GROUP BY ALL),
+    c AS (SELECT grp, n, sum(least(c, coalesce(m, 0))) AS r, sum(c) AS a FROM fc LEFT JOIN tc USING (k, n, g) GROUP BY ALL),
+    z AS (SELECT grp, sum(len(f)) AS size, sum(list_min([[abs(len(t) - len(f)), len(t)] for t in ts])[2]) AS wanted FROM d GROUP BY 1),
+    q AS (SELECT grp, coalesce(max(r) FILTER (n = 1), 0) AS r1, coalesce(max(r) FILTER (n = 2), 0) AS r2, coalesce(max(r) FILTER (n = 3), 0) AS r3, coalesce(max(r) FILTER (n = 4), 0) AS r4, coalesce(max(a) FILTER (n = 1), 0) AS a1, coalesce(max(a) FILTER (n = 2), 0) AS a2, coalesce(max(a) FILTER (n = 3), 0) AS a3, coalesce(max(a) FILTER (n = 4), 0) AS a4 FROM c GROUP BY 1),
+    b AS (SELECT grp, CASE WHEN size < wanted THEN exp(1 - (wanted + 1e-9) / (size + 1e-15)) ELSE 1 END AS s, (r1 + 1e-15) / (a1 + 1e-9) AS p1, (r2 + 1e-15) / (a2 + 1e-9) AS p2, (r3 + 1e-15) / (a3 + 1e-9) AS p3, (r4 + 1e-15) / (a4 + 1e-9) AS p4 FROM q JOIN z USING (grp))
+    SELECT grp, round(s * p1, 6) AS bleu_1, round(s * sqrt(p1 * p2), 6) AS bleu_2, round(s * pow(p1 * p2 * p3, 1.0 / 3), 6) AS bleu_3, round(s * pow(p1 * p2 * p3 * p4, 0.25), 6) AS bleu_4 FROM b""")
+def a11_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of changed names of parts against two forms of them, by brand."""
+    words = lambda *c: F.split(F.lower(F.concat_ws(" ", *c)), " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"), words("p_name", "p_type").alias("w"), words("p_type").alias("t"), words("p_name").alias("m"))
+    k, w = F.col("p_partkey") % 4, F.col("w")
+    found = F.when(k == 0, F.slice(w, F.lit(2), F.size(w))).when(k == 1, F.concat(w, F.slice(w, 1, 2))).when(k == 2, F.reverse(w)).otherwise(F.col("m"))
+    scored = S.bleu(rows.select("p_partkey", "grp", found.alias("found"), F.array("w", F.concat("t", "m")).alias("truths")), "p_partkey", by=["grp"])
+    return scored.select("grp", *[F.round(f"bleu_{n}", 6).alias(f"bleu_{n}") for n in range(1, 5)])
