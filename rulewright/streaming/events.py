@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rulewright.sources.records import shard_problems
 from rulewright.sources.staging import run_dir
 
 
@@ -57,18 +65,103 @@ def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width:
     return spark.read.parquet(f"{base}/out")
 
 
+class _Completion(StatefulProcessor):
+    """Per key: the items that have come, the union of their masks, and how many are needed; one row when the last one comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("items", "item string", "seen boolean")
+        self.union = handle.getValueState("union", "bits array<int>, needed long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        union, needed, done = self.union.get() or ([], None, False)
+        bits = np.asarray(union, np.int32)
+        came = None
+        for batch in rows:
+            for item, own, need, number in zip(batch["item"], batch["bits"], batch["needed"], batch["number"], strict=True):
+                if done:
+                    continue
+                needed = int(need) if pd.notna(need) else needed
+                if item is not None and not self.items.containsKey((item,)):
+                    self.items.updateValue((item,), (True,))
+                    own = np.asarray([] if own is None else own, np.int32)
+                    wide = max(len(bits), len(own))
+                    bits = np.maximum(np.pad(bits, (0, wide - len(bits))), np.pad(own, (0, wide - len(own))))
+                count = sum(1 for _ in self.items.keys())
+                if needed is not None and count >= needed:
+                    done, came = True, pd.DataFrame({"key": [key[0]], "items": [count], "bits": [bits.tolist()], "batch": [number]})
+        # what a finished key needs no longer is forgotten; later rows of it find it done
+        if done:
+            self.items.clear()
+            bits = bits[:0]
+        self.union.update((bits.tolist(), needed, done))
+        if came is not None:
+            yield came
+
+    def close(self) -> None:
+        pass
+
+
+def completions(rows: DataFrame) -> DataFrame:
+    """A stream of (key, items, bits, batch): each key once, when all the items that it needs have come, with the union of their masks.
+
+    ``rows`` is a stream of (key, item, bits, needed, number): an item and its mask, an array of 0 and 1 (null for none), and how many different
+    items the key needs, which any of its rows may tell; ``number`` is carried into the result by the row that completes the key. Items that come again change
+    nothing, and neither does what comes after a key is complete. The state of a key is its items and one union.
+    """
+    kind = dict(rows.dtypes)
+    schema = f"key {kind['key']}, items long, bits array<int>, batch {kind['number']}"
+    return rows.groupBy("key").transformWithStateInPandas(_Completion(), schema, "Append", "None")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, as long as the block lasts; a query keeps the one that it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def completed_keys(spark: SparkSession, path: str, key: str, item: str, needed: DataFrame) -> DataFrame:
-    """Keys all of whose ``needed`` items (key, n) have come by the stream's end, with the batch in which the last one came: key, batch.
+    """Keys all of whose ``needed`` items (key, n) have come by the stream's end: key, items (how many had come when it was complete).
 
-    Items count once each. The state is an aggregate in update mode; a key is written by the batch that completes it.
+    Items count once each; a key is written once, by the batch that completes it.
     """
     base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = stream_of(spark, path).dropDuplicates([key, item]).groupBy(key).agg(F.count(F.lit(1)).alias("have"))
+    rows = stream_of(spark, path).join(needed, key).select(F.col(key).alias("key"), F.col(item).cast("string").alias("item"), F.lit(None).cast("array<int>").alias("bits"), F.col("n").cast("long").alias("needed"), F.lit(0).alias("number"))
+    with keyed_state(spark):
+        run_once(completions(rows), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select(F.col("key").alias(key), "items")
+
 
-    def write(df: DataFrame, batch: int) -> None:
-        done = df.join(needed, key).filter("have >= n").select(key)
-        done.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/part={batch}")
+def completed_unions(spark: SparkSession, path: str, base: str) -> DataFrame:
+    """(key, items, bits): takes what is new in the Parquet folder ``path`` of rows as ``completions`` takes them, and returns all keys that are complete by now.
 
-    # two stateful steps after one another: the aggregate is on what the deduplication lets through
-    rows.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy(key).agg(F.min("batch").alias("batch"))
+    ``base`` keeps the state and the results; a run that breaks off, or one that comes later, goes on where the last complete batch ended.
+    """
+    with keyed_state(spark):
+        run_once(completions(stream_of(spark, path)), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("key", "items", "bits")
+
+
+def after_marker(spark: SparkSession, folder: str, marker: str, expected: dict[str, int], seconds: float = 0.0, every: float = 1.0) -> DataFrame:
+    """The shards of ``folder`` (folders of JSON lines by name) as (shard, value), once the file ``marker`` is there and every shard has its ``expected`` lines.
+
+    Waits for the marker, up to ``seconds``: a TimeoutError is raised if it doesn't come, and a ValueError that names the first
+    shard whose number of lines, blank ones apart, is another.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{marker}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    until = time.monotonic() + seconds
+    while not files.exists(where):
+        if time.monotonic() >= until:
+            raise TimeoutError(f"no {marker} in {folder} after {seconds} seconds")
+        time.sleep(every)
+    wrong = shard_problems(spark, {name: f"{folder}/{name}" for name in expected}, expected).orderBy("shard").first()
+    if wrong:
+        raise ValueError(f"shard {wrong.shard} has {wrong.found} lines, not {wrong.expected}")
+    parts = [spark.read.text(f"{folder}/{name}").filter(F.trim("value") != "").select(F.lit(name).alias("shard"), "value") for name in expected]
+    return reduce(DataFrame.unionByName, parts)
