@@ -154,8 +154,10 @@ def frame_sample(n: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n / k) + n / k / 2).cast("int"))
 
 
-def padded(values: Column, to: int, fill: Column) -> Column:
-    return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), F.lit(to) - F.size(values))))
+def padded(values: Column, to: int | Column, fill: Column) -> Column:
+    """An array followed by as many ``fill`` as bring it to a length; a longer one stays."""
+    to = to if isinstance(to, Column) else F.lit(to)
+    return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), to - F.size(values))))
 
 
 def sigmoid(x: Column) -> Column:

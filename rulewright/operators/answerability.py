@@ -58,6 +58,19 @@ def answerability(question: Column, mentions: Column, coverage: Column, iou: Col
     return F.struct(label.alias("label"), reasons.alias("reasons"))
 
 
+def masks_of_cues(cues: DataFrame, objects: DataFrame, images: DataFrame) -> DataFrame:
+    """(question_id, image_id, bits, instances): the union of all objects of a question's image whose category is one of its cues, and how many they are.
+
+    ``cues`` has question_id, image_id and an array of cues, of which repeated ones count once; ``objects`` image_id, category and bits; ``images`` image_id and
+    cells, the size of its canvas. A question whose image has none of them has an empty mask; one without an image in ``images`` has no row.
+    """
+    named = cues.select("question_id", "image_id", F.explode(F.array_distinct("cues")).alias("category"))
+    met = named.join(objects.select("image_id", "category", "bits"), ["image_id", "category"]).groupBy("question_id").agg(F.collect_list("bits").alias("all"))
+    rows = cues.select("question_id", "image_id").join(images.select("image_id", "cells"), "image_id").join(met, "question_id", "left")
+    union = F.aggregate(F.coalesce("all", F.array().cast("array<array<int>>")), F.array_repeat(F.lit(0), F.col("cells").cast("int")), lambda m, o: F.zip_with(m, o, lambda x, y: F.greatest(x, y)))
+    return rows.select("question_id", "image_id", union.alias("bits"), F.coalesce(F.size("all"), F.lit(0)).alias("instances"))
+
+
 def labelled(questions: DataFrame, masks: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """(question_id, mentions, mask_ratio, coverage, iou, label, reasons) of the questions that have a mask."""
     named = mentioned_categories(questions, categories)

@@ -93,6 +93,15 @@ def disjoint(keep: DataFrame, remove: DataFrame, key: str) -> DataFrame:
     return keep.select(key).intersect(remove.select(key))
 
 
+def provenance(rows: DataFrame, evidence: DataFrame, key: str, labels: dict[str, Column], none: str, otherwise: str) -> DataFrame:
+    """Rows with the columns of their evidence and ``provenance``: the first label whose condition on them holds, ``otherwise`` if none does, ``none`` without evidence."""
+    told = rows.join(evidence.withColumn("__known", F.lit(True)), key, "left")
+    label = F.when(F.col("__known").isNull(), none)
+    for name, holds in labels.items():
+        label = label.when(holds, name)
+    return told.withColumn("provenance", label.otherwise(otherwise)).drop("__known")
+
+
 def uncovered(rows: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
     """(key, problem): keys of ``rows`` in no part (missing), and keys of parts that rows don't have (extra)."""
     union = parts[0].select(key)
@@ -127,7 +136,7 @@ def most_frequent(rows: DataFrame, value: str, n: int, order: str) -> DataFrame:
     if n <= 0:
         return rows
     top = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")).orderBy(F.col("__n").desc(), "__first").limit(n)
-    return rows.join(F.broadcast(top.select(value)), value, "left_semi")
+    return rows.join(top.select(value), value, "left_semi")
 
 
 def capped(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:

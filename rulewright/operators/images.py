@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from rulewright.operators.corpus import numbered
 
 
-#: Categories of a grid of images and categories, at most.
+#: Categories of a grid of images and categories that are broadcast, at most.
 MOST_CATEGORIES = 10_000
 
 
@@ -28,16 +28,16 @@ def first_existing(rows: DataFrame, key: str, candidates: str, listing: DataFram
 def query_grid(images: DataFrame, categories: DataFrame, notes: DataFrame, negatives: bool) -> DataFrame:
     """(image, category, objects): every image with every category and its sorted objects, empty ones only with ``negatives``.
 
-    With negatives there is a row for each image and category: that is the feature. Categories are
-    broadcast, and more than MOST_CATEGORIES raise a ValueError.
+    With negatives there is a row for each image and category: that is the feature. Up to MOST_CATEGORIES
+    categories are broadcast, counted first.
     """
     found = notes.groupBy("image", "category").agg(F.array_sort(F.collect_list("object")).alias("objects"))
     if not negatives:
         return found.select("image", "category", "objects")
+    # each image asks for each category: few categories go to every task, many are joined in blocks by the planner
     names = categories.select("category").distinct()
-    if names.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
-        raise ValueError(f"more than {MOST_CATEGORIES} categories for a grid of all images and categories")
-    grid = images.select("image").crossJoin(F.broadcast(names))
+    few = names.limit(MOST_CATEGORIES + 1).count() <= MOST_CATEGORIES
+    grid = images.select("image").crossJoin(F.broadcast(names) if few else names)
     return grid.join(found, ["image", "category"], "left").select("image", "category", F.coalesce("objects", F.array().cast("array<bigint>")).alias("objects"))
 
 

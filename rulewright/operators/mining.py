@@ -76,6 +76,12 @@ def ranked(mined: DataFrame, order: str = "items") -> DataFrame:
     return mined.withColumn("rank", F.row_number().over(Window.orderBy(*ORDERS[order]())))
 
 
+def best_rules(mined: DataFrame, most: int, order: str = "items") -> DataFrame:
+    """The ``most`` first rules in one of ORDERS, with rank; all of them for 0 or less."""
+    rules = ranked(mined, order)
+    return rules.filter(F.col("rank") <= most) if most > 0 else rules
+
+
 def with_cue(mined: DataFrame) -> DataFrame:
     """The rules that have a visual cue."""
     return mined.filter(F.exists("itemset", lambda x: x.startswith(CUE)))

@@ -111,6 +111,24 @@ def response_text(payload: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(said, lambda x: x["text"]), "\n"), F.lit(""))
 
 
+def chat_text(payload: Column) -> Column:
+    """The text of a response payload of either shape, without blanks at its ends; null where it has neither.
+
+    A list of choices that isn't empty counts first, by its first message: its content is a text, or parts of which those of the type text are
+    joined by newlines. Else the parts of all outputs, of the types output_text and text, are joined.
+    """
+    v, parts = F.try_parse_json(payload), "array<struct<type: string, text: string>>"
+    content = F.from_json(payload, f"choices array<struct<message: struct<content: {parts}>>>")["choices"]
+    said = lambda found, *kinds: T.trimmed(F.array_join(F.filter(F.transform(F.filter(found, lambda x: x["type"].isin(*kinds)), lambda x: F.coalesce(x["text"], F.lit(""))), lambda t: t != ""), "\n"))
+    first = F.try_variant_get(v, "$.choices[0]", "variant")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant"))
+    outputs = F.from_json(payload, f"output array<struct<content: {parts}>>")["output"]
+    every = F.flatten(F.transform(outputs, lambda x: F.coalesce(x["content"], F.array().cast("array<struct<type:string,text:string>>"))))
+    of_choice = F.when(kind == "STRING", T.trimmed(F.try_variant_get(v, "$.choices[0].message.content", "string"))).when(kind.startswith("ARRAY"), said(F.get(content, F.lit(0))["message"]["content"], "text"))
+    missing = F.when(first.isNotNull() & kind.isNull(), "")
+    return F.coalesce(of_choice, missing, F.when(outputs.isNotNull(), said(every, "output_text", "text")))
+
+
 def judged_responses(responses: DataFrame, sources: DataFrame, need_status: bool = True, need_answer: bool = True) -> DataFrame:
     """All responses with the generated texts, their source row and reason, why one is skipped (null if it stays).
 

@@ -46,18 +46,21 @@ def overlapping(a: DataFrame, b: DataFrame, group: list[str], of_smaller: bool =
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Batches of rows sorted by ``keys``, cut anew so that no group lies in two of them."""
-    held = None
+    held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        held = batch if held is None else pd.concat((held, batch), ignore_index=True)
-        same = (held[keys] == held[keys].iloc[-1]).all(axis=1).to_numpy()
+        same = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
         start = int(np.argmax(same))
-        if start:
-            yield held.iloc[:start]
-            held = held.iloc[start:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held
+        goes_on = held and (batch[keys].iloc[0] == held[-1][keys].iloc[-1]).all()
+        if start or (held and not goes_on):
+            # the last group of the batch may go on in the next one
+            done = [*held, batch.iloc[:start]] if start else held
+            yield pd.concat(done, ignore_index=True)
+            held = []
+        held.append(batch.iloc[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def by_groups(rows: DataFrame, keys: list[str], order: list[Column], each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -171,18 +174,19 @@ def suppressed_pairs(rows: DataFrame, pairs: DataFrame, group: str, key: str, mo
     too_much = F.col("iou") > most if at_most else F.col("iou") >= most
     better = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a")))
     beaten = both.filter(too_much).join(score, [group, "a"]).join(other, [group, "b"]).filter(better)
-    beaten = beaten.select(F.col(group).cast("long").alias(group), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "sa").distinct()
+    beaten = beaten.select(group, "a", "b", "sa").distinct()
+    kinds = dict(rows.dtypes)
 
     def each(block: pd.DataFrame) -> pd.DataFrame:
-        gone: set[tuple[int, int]] = set()
+        gone: set[tuple] = set()
         for g, a, b in zip(block[group], block["a"], block["b"], strict=True):
             # boxes come from the best score down, so those that beat this one are settled
             if (g, b) not in gone:
                 gone.add((g, a))
         return pd.DataFrame(sorted(gone), columns=[group, key])
 
-    dropped = by_groups(beaten, [group], [F.col("sa").desc(), F.col("a")], each, f"{group} long, {key} long")
-    return rows.select(F.col(group).cast("long").alias(group), F.col(key).cast("long").alias(key)).join(dropped, [group, key], "left_anti")
+    dropped = by_groups(beaten, [group], [F.col("sa").desc(), F.col("a")], each, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}")
+    return rows.select(group, key).join(dropped, [group, key], "left_anti")
 
 
 def matched(truth: DataFrame, found: DataFrame, group: str, least: float, cell: float | None = None) -> DataFrame:

@@ -74,6 +74,29 @@ def e3_answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 9) for c in ("mask_ratio", "coverage", "iou")} | {"reasons": F.array_join("reasons", "|")})
 
 
+_CUE_MASKS = f"""c AS (SELECT p_partkey AS question_id, p_partkey // 8 AS image_id, list_distinct([{_CATEGORIES}[p_partkey % 5 + 1], {_CATEGORIES}[p_partkey % 3 + 1]]) AS cues FROM part WHERE p_partkey % 7 > 0),
+    i AS (SELECT DISTINCT image_id FROM o), h AS (SELECT question_id, image_id, object, o.bits FROM c JOIN o USING (image_id) WHERE list_contains(cues, category)),
+    e AS (SELECT question_id, unnest(range(1, 65)) AS at_, unnest(bits) AS b FROM h), f AS (SELECT question_id, at_, max(b) AS b FROM e GROUP BY ALL), g AS (SELECT question_id, list(b ORDER BY at_) AS bits FROM f GROUP BY 1),
+    m AS (SELECT c.question_id, c.image_id, coalesce(g.bits, list_transform(range(64), lambda x: 0)) AS bits, (SELECT count(*) FROM h WHERE h.question_id = c.question_id) AS instances FROM c SEMI JOIN i USING (image_id) LEFT JOIN g USING (question_id))"""
+_OBJECTS_SQL, _MATCHED_SQL = _M[_M.index("o AS (") : _M.index(",\n    j AS")], _M[_M.index("j AS (") :]
+
+
+@query(f"""WITH {_Q}, {_OBJECTS_SQL}, {_CUE_MASKS}, {_MATCHED_SQL}, x AS (SELECT q.*, m.instances, (SELECT count(*) FROM n WHERE n.question_id = q.question_id) AS mentions, list_sum(m.bits) / 64 AS ratio, (SELECT max(coverage) FROM best JOIN n USING (question_id, category) WHERE question_id = q.question_id) AS cov,
+      (SELECT max(iou) FROM best JOIN n USING (question_id, category) WHERE question_id = q.question_id) AS iou FROM q JOIN m USING (question_id)),
+    y AS (SELECT *, CASE WHEN cov IS NULL THEN NULL WHEN cov >= 0.7 AND iou >= 0.15 THEN 'strongly' WHEN cov >= 0.35 AND iou >= 0.05 THEN 'partially' ELSE 'visible' END AS seen FROM x)
+    SELECT question_id, instances::INT AS instances, mentions, round(ratio, 9) AS mask_ratio, round(cov, 9) AS coverage, round(iou, 9) AS iou,
+      CASE WHEN seen = 'strongly' THEN 'likely_unanswerable' WHEN seen = 'partially' THEN 'borderline' WHEN seen IS NOT NULL OR (mentions = 0 AND ratio < 0.25) THEN 'likely_answerable' WHEN ratio > 0.45 AND answer_type <> 'yes/no' THEN 'borderline' ELSE 'likely_answerable' END AS label FROM y""")
+def e7_answerability_of_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the masks are all objects of the categories that a question's cues name."""
+    k = F.col("p_partkey")
+    name = lambda n: F.element_at(F.array(*[F.lit(c) for c in _CATEGORIES]), (k % n + 1).cast("int"))
+    cues = table(spark, sf_dir, "part").filter(k % 7 > 0).select(k.alias("question_id"), F.floor(k / 8).alias("image_id"), F.array(name(5), name(3)).alias("cues"))
+    objects = _objects(spark, sf_dir)
+    masks = A.masks_of_cues(cues, objects, objects.select("image_id", F.lit(64).alias("cells")).distinct())
+    rows = A.labelled(_questions(spark, sf_dir), masks, objects, _categories(spark)).join(masks.select("question_id", "instances"), "question_id")
+    return rows.select("question_id", "instances", "mentions", *[F.round(c, 9).alias(c) for c in ("mask_ratio", "coverage", "iou")], "label")
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, [p_partkey % 5, 0, 7, p_partkey % 8, p_partkey % 7, 7, 0, p_partkey % 4]::DOUBLE[] AS v FROM part),
     e AS (SELECT id, i, v[2 * i - 1] AS ax, v[2 * i] AS ay, v[2 * (i % 4) + 1] AS bx, v[2 * (i % 4) + 2] AS by_ FROM p, (SELECT unnest([1, 2, 3, 4]) AS i) t), c AS (SELECT unnest(range(64)) AS cell),
     d AS (SELECT id, cell, (bx - ax) * (cell // 8 - ay) - (by_ - ay) * (cell % 8 - ax) AS cross_, ax, ay, bx, by_, cell % 8 AS px, cell // 8 AS py FROM e, c),

@@ -46,9 +46,9 @@ def c4_offset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def c5_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the reason why they stay or go; those without labels stay."""
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
-    label = F.when(F.col("known").isNull(), "unlabelled").when(F.col("toxic") == 1, "removed").when(F.col("quality") == 1, "kept").otherwise("weak")
-    return rows.select("doc_id", "quality", label.alias("provenance"))
+    labels = {"removed": F.col("toxic") == 1, "kept": F.col("quality") == 1}
+    rows = K.provenance(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", labels, "unlabelled", "weak")
+    return rows.select("doc_id", "quality", "provenance")
 
 
 @query("""WITH keep AS (SELECT doc_id FROM labels WHERE toxic = 0), remove AS (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)

@@ -134,3 +134,16 @@ def g10_mask_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.round(G.mask_ioa(F.col("bits"), G.active(F.col("cells"), 0.0)), 9).alias("ioa"), F.round(G.point_similarity(cell(0), cell(2), cell(1), cell(3), 0.5), 9).alias("similarity"), total(G.canvas_bits(runs, 64)).alias("area"),
         G.valid_runs(runs, 64).alias("valid"), total(square).alias("square_area"), G.instance_count(shapes).alias("instances"),
     )
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderkey, list_transform(range(o_orderkey % 6), lambda i: (o_orderkey + i) % 10) AS v FROM orders), w AS (SELECT o_custkey, max(len(v)) AS w FROM d GROUP BY 1)
+    SELECT o_orderkey, array_to_string(v || list_transform(range(w - len(v)), lambda x: -1), ' ') AS padded, len(v)::INT AS n FROM d JOIN w USING (o_custkey)""")
+def g12_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of different lengths brought to the longest one of their customer."""
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    values = F.when(k % 6 > 0, F.transform(F.sequence(F.lit(0), (k % 6).cast("int") - 1), lambda i: (k + i) % 10)).otherwise(F.array().cast("array<long>"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", values.alias("v"))
+    rows = rows.withColumn("w", F.max(F.size("v")).over(Window.partitionBy("o_custkey")))
+    return rows.select("o_orderkey", F.array_join(G.padded(F.col("v"), F.col("w"), F.lit(-1).cast("long")), " ").alias("padded"), F.size("v").alias("n"))

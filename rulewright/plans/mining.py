@@ -169,6 +169,13 @@ def q10_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.array_join("text_keywords", "|").alias("text_keywords"), F.array_join("visual_cues", "|").alias("visual_cues"), "trigger", "answer", *[f"by_{n}" for n in mining.ORDERS])
 
 
+@query(_RULES + """, z AS (SELECT * FROM m WHERE confidence >= 0.1 AND len(list_filter(itemset, lambda i: starts_with(i, 'V_'))) > 0) SELECT array_to_string(itemset, '|') AS itemset, answer, row_number() OVER (ORDER BY n_items DESC, confidence DESC, itemset, answer)::INT AS rank FROM z QUALIFY row_number() OVER (ORDER BY n_items DESC, confidence DESC, itemset, answer) <= 20""")
+def q14_best_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best rules by support, of those with a cue and enough confidence."""
+    rules = mining.with_cue(baskets_and_rules(spark, sf_dir)[1].drop("rank")).filter("confidence >= 0.1")
+    return mining.best_rules(rules, 20, "support").select(F.array_join("itemset", "|").alias("itemset"), "answer", "rank")
+
+
 _SPOKEN = """w AS (SELECT p_partkey, lower(p_name) || chr(39) || 's ' || lower(p_type) || ' ' || p_partkey % 30 AS text FROM part),
     a AS (SELECT answer, row_number() OVER (ORDER BY answer DESC) AS answer_id FROM (SELECT DISTINCT lower(p_name) AS answer FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT (p_partkey % 30)::VARCHAR FROM part UNION SELECT DISTINCT string_split(lower(p_name), ' ')[2] FROM part UNION SELECT 's ' || lower(p_type) FROM part)),
     x AS (SELECT p_partkey, regexp_extract_all(text, '[a-z0-9]+|' || chr(39)) AS l FROM w), n AS (SELECT unnest(range(1, 3)) AS n),

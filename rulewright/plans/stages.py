@@ -156,6 +156,20 @@ def n9_model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CHATS = [
+    '{"choices": [{"message": {"content": " a# "}}], "output": [{"content": [{"type": "text", "text": "no"}]}]}', '{"choices": [{"message": {"content": [{"type": "text", "text": "a#"}, {"type": "image", "text": "x"}, {"type": "text", "text": ""}, {"type": "text", "text": "b "}]}}]}',
+    '{"choices": [], "output": [{"content": [{"type": "output_text", "text": "a#"}, {"type": "refusal", "text": "x"}]}, {"type": "reasoning"}, {"content": [{"type": "text", "text": "c"}]}]}', '{"error": "#"}', '{"choices": [{"index": #}]}', "no JSON #",
+]
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_CHATS)} WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'a' || event_id || chr(10) || 'b' WHEN 2 THEN 'a' || event_id || chr(10) || 'c' WHEN 4 THEN '' END AS said FROM events")
+def n17_chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of payloads of choices and of outputs."""
+    e = F.col("event_id")
+    payload = F.replace(F.element_at(F.array(*[F.lit(t) for t in _CHATS]), (e % len(_CHATS) + 1).cast("int")), F.lit("#"), e.cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", S.chat_text(payload).alias("said"))
+
+
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ord, c_custkey AS id, c_name AS x FROM customer), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, s_suppkey + CASE WHEN s_suppkey % 9 = 4 THEN 1 ELSE 0 END AS id, s_name AS y FROM supplier)
     SELECT ord, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'only one side' WHEN a.id <> b.id THEN 'other key' ELSE x || y END AS outcome FROM a FULL JOIN b USING (ord)""")
 def n10_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
