@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import BLANK, fresh, stored
+from rulewright.llm.common import BLANK, BROADCAST_IDS, fresh, stored
 
 GOLDEN = 0.6180339887498949
 #: The same for steps of _STRIDE slots, so that far slots lose no digits of their fraction.
@@ -132,7 +132,8 @@ def mix(
     ranks = stored(schedule(stats.select("sid", "target"), int(total), block_words).select("sid", F.col("rank").alias("block")))
     slots = stored(ranks.groupBy("sid").agg(F.count(F.lit(1)).alias("slots")))
     # each document as often as it may be taken, up to the last word that its source's slots have room for
-    laps = laid.filter("size > 0").join(F.broadcast(slots), "sid").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    few = slots.count() <= BROADCAST_IDS
+    laps = laid.filter("size > 0").join(F.broadcast(slots) if few else slots, "sid").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     laps = laps.select("sid", "start", "size", "slots", (F.col("start") + F.col("lap") * F.col("source_size")).alias("first"))
     laps = laps.filter(F.col("first") < F.col("slots") * block_words).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("slots") * block_words))
     pieces = laps.withColumn("block", F.explode(F.sequence(_chunk(F.col("first"), block_words), _chunk(F.col("end") - 1, block_words))))

@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words a mix of all documents takes of each, by its source's target."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("place")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
