@@ -96,9 +96,10 @@ def average_precision(rows: DataFrame, group: str, score: str, order: str, hit:
     """
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), order)
     run = rows.select(group, F.sum(F.col(hit).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"), F.row_number().over(w).alias("n"), F.col(hit).alias("hit"))
-    # a recall begins at its first hit, so only hits matter; the best precision from a hit on is a running maximum
-    hits = run.filter("hit").join(positives, group).withColumn("precision", F.col("tp") / F.col("n"))
-    best = hits.withColumn("best", F.max("precision").over(Window.partitionBy(group).orderBy("tp").rowsBetween(0, Window.unboundedFollowing)))
+    # a recall begins at its first hit, so only hits matter; the best precision from a hit on is a running maximum, taken from the
+    # last hit up: a frame that ends with the group is read anew for each row, one that begins with it is not
+    hits = run.filter("hit").join(positives.hint("merge"), group).withColumn("precision", F.col("tp") / F.col("n"))
+    best = hits.withColumn("best", F.max("precision").over(Window.partitionBy(group).orderBy(F.col("tp").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     # recalls in ((tp - 1) / positives, tp / positives], and recall 0 with the first
     upto = lambda k: F.floor(k * steps / F.col("positives"))
     points = upto(F.col("tp")) - F.when(F.col("tp") == 1, F.lit(-1)).otherwise(upto(F.col("tp") - 1))
