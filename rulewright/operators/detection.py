@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulewright.functions import runs as R
 from rulewright.operators import tracks
 from rulewright.operators.corpus import capped
+from rulewright.operators.joins import large
 from rulewright.operators.scores import average_precision
 
 #: IoU thresholds by step: 0.5 to 0.95.
@@ -96,7 +97,7 @@ def precision_and_recall(truth: DataFrame, found: DataFrame, ranges: list[tuple[
     order = [F.col("score").desc(), F.col("id")]
     kept = capped(keyed, "__group", order, most).drop("__group")
     place = kept.select("image", "category", "id", "score", F.row_number().over(Window.partitionBy("image", "category").orderBy(*order)).alias("place"))
-    told = tracks.greedy_matches(truth, kept, ["image", "category"], THRESHOLDS, ranges, masks).join(place, ["image", "category", "id"])
+    told = tracks.greedy_matches(truth, kept, ["image", "category"], THRESHOLDS, ranges, masks).join(large(place), ["image", "category", "id"])
     return summarised(told, truth, ranges, recalls)
 
 
@@ -144,11 +145,11 @@ def track_precision(truth: DataFrame, found: DataFrame, overlaps: DataFrame, by_
     steps = F.transform(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: F.col("iou") >= t - 1e-12)
     inside = lambda area: F.array(*[(area >= low) & (area <= high) for low, high in TRACK_RANGES])
     # from the best score down each track takes the free truth that it overlaps most; graded one step at a time
-    pairs = overlaps.join(found.select("video", "category", F.col("id").alias("b"), "score"), ["video", "category", "b"]).withColumn("reach", steps)
+    pairs = overlaps.join(large(found).select("video", "category", F.col("id").alias("b"), "score"), ["video", "category", "b"]).withColumn("reach", steps)
     graded = tracks.by_groups(pairs.drop("reach"), ["video", "category"], [F.col("score").desc(), F.col("b"), F.col("iou").desc(), F.col("a")], _graded_tracks, "video long, category long, id long, step int, a long")
     area = truth.select("video", "category", F.col("id").alias("a"), F.col("area").alias("truth_area"))
-    hits = graded.join(area, ["video", "category", "a"]).groupBy("video", "category", "id").agg(F.collect_list(F.struct("step", inside(F.col("truth_area")).alias("in"))).alias("met"))
-    rows = found.select("video", "category", "id", "score", "area").join(hits, ["video", "category", "id"], "left")
+    hits = graded.join(large(area), ["video", "category", "a"]).groupBy("video", "category", "id").agg(F.collect_list(F.struct("step", inside(F.col("truth_area")).alias("in"))).alias("met"))
+    rows = found.select("video", "category", "id", "score", "area").join(large(hits), ["video", "category", "id"], "left")
     cells = F.sequence(F.lit(0), F.lit(len(THRESHOLDS) * len(TRACK_RANGES) - 1))
     k = len(TRACK_RANGES)
     met = lambda c: F.filter(F.coalesce("met", F.array()), lambda m: m["step"] == F.floor(c / k).cast("int"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import runs as R
+from rulewright.operators.joins import large
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -29,7 +30,7 @@ def overlapping(a: DataFrame, b: DataFrame, group: list[str], of_smaller: bool =
     """
     sides = []
     for rows, mark in ((a, "a"), (b, "b")):
-        side = rows.select(*group, F.col("id").alias(mark), *[F.col(c).cast("double").alias(f"{mark}_{c}") for c in BOX])
+        side = large(rows.select(*group, F.col("id").alias(mark), *[F.col(c).cast("double").alias(f"{mark}_{c}") for c in BOX]))
         if cell:
             at = {k: F.explode(F.sequence(F.floor(F.col(f"{mark}_{k}0") / cell), F.floor(F.col(f"{mark}_{k}1") / cell))) for k in "xy"}
             side = side.withColumn("__cx", at["x"]).withColumn("__cy", at["y"])
@@ -173,7 +174,7 @@ def suppressed_pairs(rows: DataFrame, pairs: DataFrame, group: str, key: str, mo
     other = score.select(group, F.col("a").alias("b"), F.col("sa").alias("sb"))
     too_much = F.col("iou") > most if at_most else F.col("iou") >= most
     better = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a")))
-    beaten = both.filter(too_much).join(score, [group, "a"]).join(other, [group, "b"]).filter(better)
+    beaten = both.filter(too_much).join(large(score), [group, "a"]).join(large(other), [group, "b"]).filter(better)
     beaten = beaten.select(group, "a", "b", "sa").distinct()
     kinds = dict(rows.dtypes)
 
@@ -186,7 +187,7 @@ def suppressed_pairs(rows: DataFrame, pairs: DataFrame, group: str, key: str, mo
         return pd.DataFrame(sorted(gone), columns=[group, key])
 
     dropped = by_groups(beaten, [group], [F.col("sa").desc(), F.col("a")], each, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}")
-    return rows.select(group, key).join(dropped, [group, key], "left_anti")
+    return rows.select(group, key).join(large(dropped), [group, key], "left_anti")
 
 
 def matched(truth: DataFrame, found: DataFrame, group: str, least: float, cell: float | None = None) -> DataFrame:
@@ -223,15 +224,15 @@ def track_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
     b = found.select("video", "frame", F.col("track").alias("found_track"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     w = F.greatest(F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.lit(0.0))
     h = F.greatest(F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"), F.lit(0.0))
-    both = a.join(b, ["video", "frame"]).groupBy("video", "truth_track", "found_track").agg(F.sum(w * h).alias("shared"))
-    joined = both.filter("shared > 0").join(total(truth, "truth"), ["video", "truth_track"]).join(total(found, "found"), ["video", "found_track"])
+    both = a.join(large(b), ["video", "frame"]).groupBy("video", "truth_track", "found_track").agg(F.sum(w * h).alias("shared"))
+    joined = both.filter("shared > 0").join(large(total(truth, "truth")), ["video", "truth_track"]).join(large(total(found, "found")), ["video", "found_track"])
     return joined.select("video", "truth_track", "found_track", (F.col("shared") / (F.col("truth_area") + F.col("found_area") - F.col("shared"))).alias("iou"))
 
 
 def completed(matches: DataFrame, truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
     """Matches (group, a, b, iou) and, at an IoU of 0, pairs of what they leave over on both sides of a group: the first a with the first b, and so on."""
-    left = lambda rows, side: rows.select(*group, side).join(matches, [*group, side], "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(*group).orderBy(side)))
-    rest = left(truth, "a").join(left(found, "b"), [*group, "__k"])
+    left = lambda rows, side: rows.select(*group, side).join(large(matches), [*group, side], "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(*group).orderBy(side)))
+    rest = left(truth, "a").join(large(left(found, "b")), [*group, "__k"])
     return matches.select(*group, "a", "b", "iou").unionByName(rest.select(*group, "a", "b", F.lit(0.0).alias("iou")))
 
 
@@ -261,13 +262,13 @@ def mean_track_area(areas: Column) -> Column:
 def mask_pairs(truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
     """(group, a, b, shared, sa, size): the masks (group, id, runs) of two tables that share cells in one group, and all three areas."""
     side = lambda rows, mark, size: rows.select(*group, F.col("id").alias(mark), F.col("runs").alias(f"__{mark}"), R.area(F.col("runs")).alias(size)).filter(F.col(size) > 0)
-    both = side(truth, "a", "sa").join(side(found, "b", "size"), group).withColumn("shared", R.shared_area(F.col("__a"), F.col("__b")))
+    both = side(truth, "a", "sa").join(large(side(found, "b", "size")), group).withColumn("shared", R.shared_area(F.col("__a"), F.col("__b")))
     return both.filter("shared > 0").drop("__a", "__b")
 
 
 def _box_pairs(truth: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
     sized = lambda rows, mark, name: rows.select(*group, F.col("id").alias(mark), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias(name))
-    pairs = overlapping(truth, found, group).join(sized(truth, "a", "sa"), [*group, "a"]).join(sized(found, "b", "size"), [*group, "b"])
+    pairs = overlapping(truth, found, group).join(large(sized(truth, "a", "sa")), [*group, "a"]).join(large(sized(found, "b", "size")), [*group, "b"])
     return pairs.withColumn("shared", F.col("iou") * (F.col("sa") + F.col("size")) / (1 + F.col("iou"))).drop("iou")
 
 
@@ -283,8 +284,8 @@ def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresho
     size = R.area(F.col("runs")) if masks else (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     keyed = found.withColumn("__size", size.cast("double"))
     pairs = (mask_pairs if masks else _box_pairs)(truth, found, group)
-    pairs = pairs.join(truth.select(*group, F.col("id").alias("a"), F.col("area").cast("double").alias("area"), "crowd"), [*group, "a"])
-    pairs = pairs.join(keyed.select(*group, F.col("id").alias("b"), F.col("score").cast("double").alias("score")), [*group, "b"])
+    pairs = pairs.join(large(truth).select(*group, F.col("id").alias("a"), F.col("area").cast("double").alias("area"), "crowd"), [*group, "a"])
+    pairs = pairs.join(large(keyed).select(*group, F.col("id").alias("b"), F.col("score").cast("double").alias("score")), [*group, "b"])
     whole = F.when(F.col("crowd"), F.col("size")).otherwise(F.col("sa") + F.col("size") - F.col("shared"))
     pairs = pairs.select(*group, "a", "b", "area", "crowd", "score", F.col("size").cast("double").alias("size"), (F.col("shared") / whole).alias("iou"))
     limits, bounds = np.array(thresholds), np.array(ranges)
@@ -312,5 +313,5 @@ def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresho
     met = by_groups(pairs, group, [F.col("score").desc(), F.col("b")], each, schema)
     none = F.array_repeat(F.lit(False), len(limits) * len(bounds))
     own_range = F.array(*[(F.col("__size") < low) | (F.col("__size") > high) for low, high in ranges])
-    rows = keyed.select(*group, "id", "__size").join(met, [*group, "id"], "left")
+    rows = keyed.select(*group, "id", "__size").join(large(met), [*group, "id"], "left")
     return rows.select(*group, "id", F.coalesce("hit", none).alias("hit"), F.coalesce("ignored", F.flatten(F.array_repeat(own_range, len(limits)))).alias("ignored"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators.joins import large
 from rulewright.operators.tracks import assigned, completed, overlapping
 from rulewright.sources.staging import staged
 
@@ -47,11 +48,11 @@ def aligned_matches(pairs: DataFrame, na: DataFrame, nb: DataFrame, groups: list
     is the alignment. In each frame the assignment of most alignment times IoU is chosen.
     """
     of = lambda side: F.sum("iou").over(Window.partitionBy(*groups, "frame", side))
-    shared = staged(pairs.withColumn("share", F.col("iou") / (of("a") + of("b") - F.col("iou"))))
-    met = shared.groupBy(*groups, "a", "b").agg(F.sum("share").alias("s")).join(na, [*groups, "a"]).join(nb, [c for c in nb.columns if c != "nb"])
+    shared = large(staged(pairs.withColumn("share", F.col("iou") / (of("a") + of("b") - F.col("iou")))))
+    met = shared.groupBy(*groups, "a", "b").agg(F.sum("share").alias("s")).join(large(na), [*groups, "a"]).join(large(nb), [c for c in nb.columns if c != "nb"])
     aligned = met.select(*groups, "a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("aligned"))
     weighed = shared.drop("share").join(aligned, [*groups, "a", "b"]).withColumn("weight", F.col("aligned") * F.col("iou")).drop("aligned")
-    return staged(assigned(weighed, [*groups, "frame"], "weight").drop("weight"))
+    return large(staged(assigned(weighed, [*groups, "frame"], "weight").drop("weight")))
 
 
 def associations(matches: DataFrame, na: DataFrame, nb: DataFrame, groups: list[str], steps: range) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +62,7 @@ def associations(matches: DataFrame, na: DataFrame, nb: DataFrame, groups: list[
     the truth and of the found track.
     """
     reached = _at_steps(matches, steps).filter(F.col("iou") >= F.col("step") * 0.05 - 1e-12)
-    met = reached.groupBy(*groups, "step", "a", "b").agg(F.count(F.lit(1)).alias("m")).join(na, [*groups, "a"]).join(nb, [c for c in nb.columns if c != "nb"])
+    met = reached.groupBy(*groups, "step", "a", "b").agg(F.count(F.lit(1)).alias("m")).join(large(na), [*groups, "a"]).join(large(nb), [c for c in nb.columns if c != "nb"])
     share = lambda n: F.sum(F.col("m") * F.col("m") / F.greatest(F.lit(1), n))
     sums = met.groupBy(*groups, "step").agg(*[share(n).alias(c) for c, n in zip(SUMS, (F.col("na") + F.col("nb") - F.col("m"), F.col("na"), F.col("nb")), strict=True)])
     return reached, sums
@@ -73,13 +74,13 @@ def hota_parts(truth: DataFrame, found: DataFrame, groups: list[str] | None = No
     Rows have the columns ``groups`` (video, unless a class is named too), frame, track and a box. A
     group on one side only has all its boxes missed or false.
     """
-    groups = groups or ["video"]
+    groups, truth, found = groups or ["video"], large(truth), large(found)
     na, nb = (_count(rows, [*groups, "track"], n).withColumnRenamed("track", side) for rows, n, side in ((truth, "na", "a"), (found, "nb", "b")))
     matches = aligned_matches(frame_pairs(truth, found, groups), na, nb, groups)
     reached, sums = associations(matches, na, nb, groups, HOTA_STEPS)
     hits = reached.groupBy(*groups, "step").agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("located"))
     rows = _at_steps(_count(truth, groups, "n").join(_count(found, groups, "m"), groups, "full"), HOTA_STEPS)
-    rows = rows.join(hits, [*groups, "step"], "left").join(sums, [*groups, "step"], "left")
+    rows = rows.join(large(hits), [*groups, "step"], "left").join(large(sums), [*groups, "step"], "left")
     missed = lambda n, name: (_zero(n) - _zero("tp")).alias(name)
     return rows.select(*groups, "step", _zero("tp"), missed("n", "fn"), missed("m", "fp"), *[_zero(c) for c in (*SUMS, "located")])
 
@@ -98,21 +99,21 @@ def teta_parts(truth: DataFrame, found: DataFrame, near: float = 0.5, exhaustive
     With ``exhaustive`` every box of a class that doesn't count for it is false for the class as well; for a class
     without any that counts in a video, the errors that smaller classes make on it there are left out.
     """
-    groups = ["video", "cls"]
+    groups, truth, found = ["video", "cls"], large(truth), large(found)
     truths = truth.select("video", "frame", F.col("track").alias("a"), "cls")
-    pairs = staged(frame_pairs(truth, found, ["video"]).join(truths, ["video", "frame", "a"]))
+    pairs = large(staged(frame_pairs(truth, found, ["video"]).join(truths, ["video", "frame", "a"])))
     close = pairs.filter(F.col("iou") >= near)
     nb = _count(found, ["video", "track"], "nb").withColumnRenamed("track", "b")
     by_video = _count(truths, ["video", "a"], "na")
     any_class = aligned_matches(pairs.drop("cls").join(close.select("video", "b").distinct(), ["video", "b"]), by_video, nb, ["video"]).filter(F.col("iou") >= 0.5 - 1e-12)
     taken = any_class.join(truths, ["video", "frame", "a"]).select("video", "frame", "b", F.col("cls").alias("of"))
-    counted = staged(close.join(taken, ["video", "frame", "b"], "left").filter("of IS NULL OR of = cls").select(*groups, "frame", "b").distinct())
+    counted = large(staged(close.join(taken, ["video", "frame", "b"], "left").filter("of IS NULL OR of = cls").select(*groups, "frame", "b").distinct()))
     tracks = counted.select(*groups, "b").distinct()
     na = _count(truths, [*groups, "a"], "na")
     matches = aligned_matches(pairs.join(tracks, [*groups, "b"]).select(*groups, "frame", "a", "b", "iou"), na, nb, groups)
     boxes = found.select("video", "frame", F.col("track").alias("b"), F.col("cls").alias("said"))
     own = truths.join(tracks.select(*groups).distinct(), groups)
-    matches = staged(completed(matches, own, boxes.join(tracks, ["video", "b"]), [*groups, "frame"]))
+    matches = large(staged(completed(matches, own, boxes.join(tracks, ["video", "b"]), [*groups, "frame"])))
     reached, sums = associations(matches, na, nb, groups, TETA_STEPS)
     told = reached.join(boxes, ["video", "frame", "b"])
     high, right = F.col("step") >= CLASS_STEP, F.col("said").eqNullSafe(F.col("cls"))
@@ -128,7 +129,7 @@ def teta_parts(truth: DataFrame, found: DataFrame, near: float = 0.5, exhaustive
     seen = truth.select(*groups).unionByName(found.select(*groups)).distinct().join(_count(truths, groups, "n"), groups, "left")
     parts = _at_steps(seen, TETA_STEPS)
     for added in (hits, false, errors, sums):
-        parts = parts.join(added, [*groups, "step"], "left")
+        parts = parts.join(large(added), [*groups, "step"], "left")
     zero = lambda names: [_zero(c) for c in names]
     return parts.select(*groups, "step", _zero("loc_tp"), (_zero("n") - _zero("loc_tp")).alias("loc_fn"), *zero(TETA_PARTS[2:]))
 

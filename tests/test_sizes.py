@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from rulewright.operators import answerability as A
+from rulewright.operators import mining
 from rulewright.operators import scores as S
+from rulewright.operators import trackscores
+from rulewright.sources.staging import staged
 
 
 def plan(rows):
@@ -19,3 +23,34 @@ def test_precision_reads_no_frame_anew_for_each_row(spark):
     points = [(sum(hits[: n + 1]), sum(hits[: n + 1]) / (n + 1)) for n in range(40) if hits[n]]
     want = sum(max((p for tp, p in points if tp * 100 >= r * 14), default=0.0) for r in range(101)) / 101
     assert abs(found.first()["ap"] - want) < 1e-12
+
+
+def test_tracking_scores_broadcast_no_boxes(spark):
+    boxes = staged(spark.range(60).selectExpr("id % 2 as video", "id % 5 as frame", "id % 3 as track", "id % 2 as cls", "0D as x0", "0D as y0", "9D as x1", "9D as y1").dropDuplicates(["video", "frame", "track"]))
+    for parts in (trackscores.teta_parts(boxes, boxes), trackscores.teta_parts(boxes, boxes, exhaustive=True), trackscores.hota_parts(boxes, boxes)):
+        assert "Broadcast" not in plan(parts)
+
+
+def test_rules_are_broadcast_and_baskets_never(spark):
+    own = staged(spark.createDataFrame([(1, ["V_a", "b"], "x"), (2, ["b", "c"], "y")], "k long, items array<string>, answer string"))
+    # many rules, so that the baskets are smaller on disk
+    some = spark.range(3000).selectExpr("cast(id as int) as rank", "array(concat(if(id % 3 = 0, 'V_', ''), substr('abc', id % 3 + 1, 1)), sha2(cast(id as string), 256)) as itemset", "if(id % 2 = 0, 'x', 'y') as answer")
+    rules = staged(some.unionByName(spark.createDataFrame([(3000, ["b"], "x"), (3001, ["V_a"], "x"), (3002, [], "y")], "rank int, itemset array<string>, answer string")))
+    for any_cue, want in ((False, {(1, 3000, True), (1, 3001, True), (1, 3002, False), (2, 3000, False), (2, 3002, True)}), (True, None)):
+        met = mining.match_all_items(own, rules, "k", any_cue)
+        assert "BroadcastHashJoin" in plan(met) and "BuildLeft" not in plan(met)
+        assert want is None or set(map(tuple, met.collect())) == want
+    best = mining.match_any_cue(own, rules, "k", bare=True)
+    assert "BuildLeft" not in plan(best) and dict(map(tuple, best.collect())) == {1: 3000, 2: 3002}
+
+
+def test_bleu_broadcasts_no_runs_of_tokens(spark):
+    rows = staged(spark.range(20).selectExpr("id", "id % 2 as grp", "array('a', 'b') as found", "array(array('a', 'b', 'c')) as truths"))
+    assert "Broadcast" not in plan(S.bleu(rows, "id", by=["grp"]))
+
+
+def test_questions_meet_broadcast_categories(spark):
+    asked = staged(spark.createDataFrame([(1, "Is the cat red?"), (2, "Rings and small bolts")], "question_id long, question string"))
+    found = A.mentioned_categories(asked, spark.createDataFrame([("cat",), ("ring",), ("small bolt",)], "category string"))
+    assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found)
+    assert set(map(tuple, found.collect())) == {(1, "cat"), (2, "ring"), (2, "small bolt")}
