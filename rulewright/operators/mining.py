@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import text as T
+from rulewright.operators.joins import counted, large
 from rulewright.sources.staging import staged
 
 CUE = "V_"
@@ -14,7 +15,7 @@ CUE = "V_"
 def baskets(items: DataFrame, answers: DataFrame, key: str, item: str = "item", answer: str = "answer") -> DataFrame:
     """(key, items, answer): the sorted distinct items of each key that has an answer and an item."""
     sets = items.filter(F.col(item).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    return sets.join(answers.select(key, F.col(answer).alias("answer")).filter("answer is not null and answer <> ''"), key)
+    return sets.join(large(answers).select(key, F.col(answer).alias("answer")).filter("answer is not null and answer <> ''"), key)
 
 
 def item_counts(transactions: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def lowest_keywords(rows: DataFrame, key: str, tokens: str, known: DataFrame, mo
 
 def with_candidates(transactions: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """A basket for each answer candidate: (key, items, answer), for ``match_any_cue``."""
-    return transactions.drop("answer").join(candidates.select(key, "answer"), key)
+    return large(transactions).drop("answer").join(large(candidates).select(key, "answer"), key)
 
 
 def _subsets(itemset: Column, size: int) -> Column:
@@ -170,7 +171,8 @@ def _held(part: str, items: str) -> Column:
 def _anchored(split: DataFrame, items: str, counts: DataFrame) -> DataFrame:
     """Adds item, the one of a rule's ``items`` that the fewest baskets have (ties by name); rules without any are left out."""
     parts = split.select("rank", F.explode(items).alias("item")).join(counts, "item", "left")
-    return split.join(parts.groupBy("rank").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "item"))["item"].alias("item")), "rank")
+    rarest = parts.groupBy("rank").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "item"))["item"].alias("item"))
+    return counted(staged(large(split).join(rarest, "rank")))
 
 
 def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: bool = False) -> DataFrame:
@@ -181,16 +183,16 @@ def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: boo
     that have neither cue nor keyword only the best of each answer can be a basket's best.
     """
     split = mined.select("rank", "answer", cues(F.col("itemset")).alias("cues"), keywords(F.col("itemset")).alias("words"))
-    own = transactions.select(key, "answer", "items")
+    own = large(transactions).select(key, "answer", "items")
     fits = _held("words", "items")
-    by_cue = own.withColumn("cue", F.explode(cues(F.col("items")))).join(split.withColumn("cue", F.explode("cues")), ["answer", "cue"])
+    by_cue = own.withColumn("cue", F.explode(cues(F.col("items")))).join(counted(split.withColumn("cue", F.explode("cues"))), ["answer", "cue"])
     met = by_cue.filter(fits).groupBy(key).agg(F.min("rank").alias("rank"))
     if bare:
         plain = split.filter(F.size("cues") == 0).drop("cues")
         worded = _anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions))
         by_word = own.withColumn("item", F.explode(keywords(F.col("items")))).join(worded, ["answer", "item"]).filter(fits)
         best = plain.filter(F.size("words") == 0).groupBy("answer").agg(F.min("rank").alias("rank"))
-        met = met.unionByName(by_word.groupBy(key).agg(F.min("rank").alias("rank"))).unionByName(own.join(best, "answer").select(key, "rank"))
+        met = met.unionByName(by_word.groupBy(key).agg(F.min("rank").alias("rank"))).unionByName(own.join(counted(best), "answer").select(key, "rank"))
     return met.groupBy(key).agg(F.min("rank").alias("rank"))
 
 
@@ -202,7 +204,7 @@ def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue
     """
     known = mined.select("rank", "itemset", F.col("answer").alias("consequent"))
     columns = [key, "rank", (F.col("answer") == F.col("consequent")).alias("correct")]
-    own = transactions.select(key, "answer", "items")
+    own = large(transactions).select(key, "answer", "items")
     each = own.withColumn("item", F.explode("items"))
     always = own.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
     if not any_cue:
@@ -211,13 +213,13 @@ def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue
     split = known.withColumns({"cues": cues(F.col("itemset")), "words": keywords(F.col("itemset"))})
     fits = _held("words", "items") & ((F.size("cues") == 0) | F.arrays_overlap("cues", "items"))
     worded = each.join(_anchored(split.filter(F.size("words") > 0), "words", item_counts(transactions)), "item").filter(fits).select(*columns)
-    by_cue = each.join(split.filter((F.size("words") == 0) & (F.size("cues") > 0)).withColumn("item", F.explode("cues")), "item").select(*columns).distinct()
+    by_cue = each.join(counted(split.filter((F.size("words") == 0) & (F.size("cues") > 0)).withColumn("item", F.explode("cues"))), "item").select(*columns).distinct()
     return worded.unionByName(by_cue).unionByName(always.select(*columns))
 
 
 def dilution(matches: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
     """Active and correct baskets of each rule, by group and in all (null group): rank, group, active, positive."""
-    rows = matches.join(groups.select(key, F.col(group).alias("group")), key)
+    rows = matches.join(large(groups).select(key, F.col(group).alias("group")), key)
     counted = rows.groupingSets([["rank", "group"], ["rank"]], "rank", "group").agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
     return counted.select("rank", "group", "active", "positive")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import corpus, mining
+from rulewright.operators.joins import counted, large
 from rulewright.plans.catalog import query
 from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
@@ -16,7 +17,7 @@ LEAST, LONGEST, CONFIDENCE = 25, 3, 0.2
 def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, items, answer) of each order with lines."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.array(F.concat(F.lit(mining.CUE), "p_type"), F.col("p_brand"))).alias("item"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(parts, "l_partkey").select("o_orderkey", "item")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(counted(parts), "l_partkey").select("o_orderkey", "item")
     return mining.baskets(items, table(spark, sf_dir, "orders"), "o_orderkey", answer="o_orderpriority")
 
 
@@ -130,14 +131,14 @@ def q7_rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     own, rules = baskets_and_rules(spark, sf_dir)
     kept = mining.without_redundant(rules, LONGEST)
-    counted = mining.dilution(mining.match_all_items(own, kept, "o_orderkey"), orders, "o_orderkey", "o_orderstatus")
-    base = own.join(orders, "o_orderkey").groupingSets([["answer", "o_orderstatus"], ["answer"], ["o_orderstatus"], []], "answer", "o_orderstatus").agg(
+    active = mining.dilution(mining.match_all_items(own, kept, "o_orderkey"), orders, "o_orderkey", "o_orderstatus")
+    base = large(own).join(orders, "o_orderkey").groupingSets([["answer", "o_orderstatus"], ["answer"], ["o_orderstatus"], []], "answer", "o_orderstatus").agg(
         F.grouping("answer").alias("of_all"), F.count(F.lit(1)).alias("n")
     )
     share = base.filter("of_all = 0").select("answer", F.col("o_orderstatus").alias("d"), "n").alias("s").join(
         base.filter("of_all = 1").select(F.col("o_orderstatus").alias("e"), F.col("n").alias("of")), F.col("d").eqNullSafe(F.col("e"))
     )
-    rows = counted.join(kept.select("rank", "answer"), "rank").join(share.select(F.col("answer").alias("a"), "d", "n", "of"), (F.col("answer") == F.col("a")) & F.col("group").eqNullSafe(F.col("d")))
+    rows = active.join(kept.select("rank", "answer"), "rank").join(share.select(F.col("answer").alias("a"), "d", "n", "of"), (F.col("answer") == F.col("a")) & F.col("group").eqNullSafe(F.col("d")))
     return rows.select("rank", F.col("group").alias("dataset"), "active", "positive", F.round(F.col("positive") / F.col("active") / (F.col("n") / F.col("of")), 6).alias("lift"))
 
 
