@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators.joins import large
+
 
 def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(otherwise))
@@ -98,7 +100,7 @@ def average_precision(rows: DataFrame, group: str, score: str, order: str, hit:
     run = rows.select(group, F.sum(F.col(hit).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"), F.row_number().over(w).alias("n"), F.col(hit).alias("hit"))
     # a recall begins at its first hit, so only hits matter; the best precision from a hit on is a running maximum, taken from the
     # last hit up: a frame that ends with the group is read anew for each row, one that begins with it is not
-    hits = run.filter("hit").join(positives.hint("merge"), group).withColumn("precision", F.col("tp") / F.col("n"))
+    hits = run.filter("hit").join(large(positives), group).withColumn("precision", F.col("tp") / F.col("n"))
     best = hits.withColumn("best", F.max("precision").over(Window.partitionBy(group).orderBy(F.col("tp").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     # recalls in ((tp - 1) / positives, tp / positives], and recall 0 with the first
     upto = lambda k: F.floor(k * steps / F.col("positives"))
@@ -210,7 +212,7 @@ def bleu(rows: DataFrame, key: str, found: str = "found", truths: str = "truths"
     """
     by = by or []
     blank = F.array().cast("array<string>")
-    own = rows.select(key, *by, F.coalesce(found, blank).alias("f"), F.transform(F.coalesce(truths, F.array().cast("array<array<string>>")), lambda t: F.coalesce(t, blank)).alias("t"))
+    own = large(rows).select(key, *by, F.coalesce(found, blank).alias("f"), F.transform(F.coalesce(truths, F.array().cast("array<array<string>>")), lambda t: F.coalesce(t, blank)).alias("t"))
     count = F.count(F.lit(1))
     said = own.select(key, *by, F.explode(_grams(F.col("f"), most)).alias("g")).groupBy(key, *by, "g").agg(count.alias("c"))
     true = own.select(key, F.posexplode("t").alias("which", "one")).select(key, "which", F.explode(_grams(F.col("one"), most)).alias("g"))
