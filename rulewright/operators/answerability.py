@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions.geometry import let
+from rulewright.operators.joins import counted, large
 
 
 def mentioned_categories(questions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def mentioned_categories(questions: DataFrame, categories: DataFrame) -> DataFra
     forms = F.when(single, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
     names = categories.select("category").distinct().select("category", F.explode(forms).alias("__word"))
     pattern = F.concat(F.lit(r"\b\Q"), F.lower("category"), F.lit(r"\E(s|es)?\b"))
-    return asked.join(names, "__word").filter(F.regexp(F.col("__q"), pattern)).select("question_id", "category").distinct()
+    return large(asked).join(counted(names), "__word").filter(F.regexp(F.col("__q"), pattern)).select("question_id", "category").distinct()
 
 
 def mask_matches(masks: DataFrame, objects: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def mask_matches(masks: DataFrame, objects: DataFrame) -> DataFrame:
     ``masks`` has question_id, image_id and bits, ``objects`` image_id, object, category and bits of the same length. The
     best one has the highest coverage, then IoU, then share of the mask, then the least object. Empty objects don't count.
     """
-    pairs = masks.select("question_id", "image_id", F.col("bits").alias("m")).join(objects.select("image_id", "object", "category", F.col("bits").alias("o")), "image_id")
+    pairs = masks.select("question_id", "image_id", F.col("bits").alias("m")).join(large(objects).select("image_id", "object", "category", F.col("bits").alias("o")), "image_id")
     total = lambda bits: F.aggregate(bits, F.lit(0), lambda n, x: n + x)
     both = total(F.zip_with("m", "o", lambda x, y: x * y))
     told = pairs.withColumns({"n": total(F.col("o")), "k": total(F.col("m")), "both": both}).filter("n > 0")
@@ -65,8 +66,8 @@ def masks_of_cues(cues: DataFrame, objects: DataFrame, images: DataFrame) -> Dat
     cells, the size of its canvas. A question whose image has none of them has an empty mask; one without an image in ``images`` has no row.
     """
     named = cues.select("question_id", "image_id", F.explode(F.array_distinct("cues")).alias("category"))
-    met = named.join(objects.select("image_id", "category", "bits"), ["image_id", "category"]).groupBy("question_id").agg(F.collect_list("bits").alias("all"))
-    rows = cues.select("question_id", "image_id").join(images.select("image_id", "cells"), "image_id").join(met, "question_id", "left")
+    met = large(named).join(objects.select("image_id", "category", "bits"), ["image_id", "category"]).groupBy("question_id").agg(F.collect_list("bits").alias("all"))
+    rows = large(cues).select("question_id", "image_id").join(images.select("image_id", "cells"), "image_id").join(large(met), "question_id", "left")
     union = F.aggregate(F.coalesce("all", F.array().cast("array<array<int>>")), F.array_repeat(F.lit(0), F.col("cells").cast("int")), lambda m, o: F.zip_with(m, o, lambda x, y: F.greatest(x, y)))
     return rows.select("question_id", "image_id", union.alias("bits"), F.coalesce(F.size("all"), F.lit(0)).alias("instances"))
 
@@ -74,10 +75,10 @@ def masks_of_cues(cues: DataFrame, objects: DataFrame, images: DataFrame) -> Dat
 def labelled(questions: DataFrame, masks: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """(question_id, mentions, mask_ratio, coverage, iou, label, reasons) of the questions that have a mask."""
     named = mentioned_categories(questions, categories)
-    met = mask_matches(masks, objects).join(named, ["question_id", "category"]).groupBy("question_id").agg(F.max("coverage").alias("coverage"), F.max("iou").alias("iou"))
+    met = large(mask_matches(masks, objects)).join(named, ["question_id", "category"]).groupBy("question_id").agg(F.max("coverage").alias("coverage"), F.max("iou").alias("iou"))
     counts = named.groupBy("question_id").agg(F.count(F.lit(1)).alias("mentions"))
     ratio = F.aggregate("bits", F.lit(0), lambda n, x: n + x) / F.size("bits")
-    rows = questions.select("question_id", "question", "answer_type").join(masks.select("question_id", ratio.alias("mask_ratio")), "question_id").join(counts, "question_id", "left").join(met, "question_id", "left")
+    rows = large(questions).select("question_id", "question", "answer_type").join(masks.select("question_id", ratio.alias("mask_ratio")), "question_id").join(large(counts), "question_id", "left").join(large(met), "question_id", "left")
     rows = rows.withColumn("mentions", F.coalesce("mentions", F.lit(0)))
     told = answerability(F.col("question"), F.col("mentions"), F.col("coverage"), F.col("iou"), F.col("mask_ratio"), F.col("answer_type"))
     return rows.withColumn("x", told).select("question_id", "mentions", "mask_ratio", "coverage", "iou", "x.label", "x.reasons")
