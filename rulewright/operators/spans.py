@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions import text as T
+from rulewright.operators.joins import large, spread
 
 # Word lists and weights that the choice depends on.
 STOPWORDS = [
@@ -132,9 +133,11 @@ def scored_spans(rows: DataFrame, key: str, most: int) -> DataFrame:
     what was said, with the question's kind and options and for new words, less for length and empty ends.
     """
     question = T.normalized_answer(F.col("question"))
-    told = rows.select(key, question.alias("q"), tokens_of(F.col("question")).alias("asked"), tokens_of(F.col("said")).alias("said"), answer_spans(tokens_of(F.col("answer")), most).alias("spans"))
-    told = told.select(key, "asked", "said", T.question_type(F.col("q")).alias("kind"), F.transform(choice_options(F.col("asked")), canonical).alias("options"), F.posexplode("spans").alias("place", "span"))
-    told = told.withColumns({"c": canonical(F.col("span")), "s": canonical(F.col("said")), "flags": span_flags(F.col("span"))})
+    told = spread(rows, key).select(key, question.alias("q"), tokens_of(F.col("question")).alias("asked"), tokens_of(F.col("said")).alias("said"), answer_spans(tokens_of(F.col("answer")), most).alias("spans"))
+    # what holds for all spans of a question is made before they part
+    told = told.select(key, "asked", "said", canonical(F.col("said")).alias("s"), T.question_type(F.col("q")).alias("kind"), F.transform(choice_options(F.col("asked")), canonical).alias("options"), "spans")
+    told = told.select(key, "asked", "said", "s", "kind", "options", F.posexplode("spans").alias("place", "span"))
+    told = told.withColumns({"c": canonical(F.col("span")), "flags": span_flags(F.col("span"))})
     span, asked, kind, last, first = F.col("span"), F.col("asked"), F.col("kind"), F.element_at("span", -1), F.element_at("span", 1)
     n = F.size(span)
     same = (F.size("said") > 0) & (F.size("said") <= most) & ((span == F.col("said")) | (F.col("c") == F.col("s")))
@@ -168,8 +171,8 @@ def chosen_spans(rows: DataFrame, key: str, most: int = 4) -> DataFrame:
     best = scored_spans(rows, key, most).groupBy(key).agg(F.max_by(F.struct("span", "kind", "same", "score"), F.struct("score", -F.col("place"))).alias("x"))
     method = F.when(F.col("x.same"), "aligned_exact").when(F.col("x.kind") != "other", F.concat(F.lit("aligned_"), F.col("x.kind"))).otherwise("aligned_overlap")
     found = best.select(key, F.col("x.span").alias("short_answer"), method.alias("method"), F.col("x.score").alias("score"))
-    whole = rows.select(key, T.normalized_answer(F.col("answer")).alias("__whole"))
-    return whole.join(found, key, "left").select(key, F.coalesce("short_answer", "__whole").alias("short_answer"), F.coalesce("method", F.lit("fallback_full_answer")).alias("method"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    whole = large(rows).select(key, T.normalized_answer(F.col("answer")).alias("__whole"))
+    return whole.join(large(found), key, "left").select(key, F.coalesce("short_answer", "__whole").alias("short_answer"), F.coalesce("method", F.lit("fallback_full_answer")).alias("method"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def compressed_answers(rows: DataFrame, shard: int = 0, shards: int = 1, most: int = 4, regions: bool = False, boxes: bool = False) -> DataFrame:
@@ -181,7 +184,7 @@ def compressed_answers(rows: DataFrame, shard: int = 0, shards: int = 1, most: i
     own = rows.filter(F.col("global_index") % shards == shard).withColumn("question_family", T.question_family(T.normalized_answer(F.col("question"))))
     skip = ((F.col("question_family") == "region_desc") & F.lit(not regions)) | ((F.col("question_family") == "bbox_coord") & F.lit(not boxes))
     told = chosen_spans(own.filter(~skip), "global_index", most)
-    joined = own.join(told, "global_index", "left")
+    joined = large(own).join(large(told), "global_index", "left")
     return joined.select(
         "global_index", "question_id", "image_id", "question", "answer", F.when(skip, "").otherwise(T.normalized_answer(F.col("said"))).alias("model_output"), F.coalesce("short_answer", F.lit("")).alias("short_answer"),
         F.coalesce("method", F.concat(F.lit("skipped_"), F.col("question_family"))).alias("selection_method"), F.coalesce("score", F.lit(-1.0)).alias("selection_score"), "question_family", F.lit(shard).alias("shard_id"), F.lit(shards).alias("num_shards"),

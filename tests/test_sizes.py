@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rulewright.operators import answerability as A
-from rulewright.operators import mining
+from rulewright.operators import datapoints, mining, spans
 from rulewright.operators import scores as S
 from rulewright.operators import trackscores
 from rulewright.sources.staging import staged
@@ -54,3 +54,17 @@ def test_questions_meet_broadcast_categories(spark):
     found = A.mentioned_categories(asked, spark.createDataFrame([("cat",), ("ring",), ("small bolt",)], "category string"))
     assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found)
     assert set(map(tuple, found.collect())) == {(1, "cat"), (2, "ring"), (2, "small bolt")}
+
+
+def test_targets_of_one_group_are_dealt_out(spark):
+    box = "named_struct('cx', id / 9, 'cy', 0.5D, 'w', 0.2D, 'h', 0.2D) as box"
+    a, b = spark.range(5).selectExpr("id div 1000 as g", "id", box, "array(0.5D, 0.5D) as probs"), spark.range(400).selectExpr("id div 1000 as g", "id", box, "cast(id % 2 as int) as label")
+    met = datapoints.assignment_costs(a, b, "g")
+    assert met.select("a", "b").distinct().count() == met.count() == 2000
+    assert "__part" in plan(met) and "Broadcast" not in plan(met)
+
+
+def test_spans_are_scored_by_many_tasks(spark):
+    rows = spark.range(200).coalesce(1).selectExpr("id", "'Is the ring red or blue?' as question", "'Yes, the small ring is red and blue.' as answer", "'red' as said")
+    found = spans.scored_spans(rows, "id", 4)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
