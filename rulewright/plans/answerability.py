@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulewright.functions import geometry as G
 from rulewright.functions import runs as R
 from rulewright.operators import answerability as A
+from rulewright.operators.joins import spread
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import grids
 from rulewright.sources.tables import table
@@ -107,7 +108,7 @@ def e4_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons of four points drawn on a grid."""
     k = F.col("p_partkey")
     points = F.array(*[F.lit(x) if isinstance(x, int) else x for x in (k % 5, 0, 7, k % 8, k % 7, 7, 0, k % 4)]).cast("array<double>")
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.array_join(G.bits_of(R.polygon_runs(F.array(points), 8, 8).cast("array<int>")), "").alias("bits"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), F.array_join(G.bits_of(R.polygon_runs(F.array(points), 8, 8).cast("array<int>")), "").alias("bits"))
 
 
 @query("""WITH p AS (SELECT event_id, [[event_id % 256, 100, 200], [90, 90, 90]] AS a, [[event_id % 64, 60, event_id % 31], [event_id % 120, 10, 29]] AS b FROM events)

@@ -10,6 +10,7 @@ from rulewright.functions import runs as R
 from rulewright.operators import answerability as A
 from rulewright.operators import detection as D
 from rulewright.operators import tracks as K
+from rulewright.operators.joins import spread
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import _GRID, grids
 from rulewright.sources.tables import table
@@ -106,5 +107,5 @@ def g11_polygon_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     points = lambda *v: F.array(*[F.lit(x) if isinstance(x, int) else x for x in v]).cast("array<double>")
     parts = F.array(points(k % 5, 0, 9, k % 6, k % 7, 5, 0, k % 4), points(k % 3 + 4, 1, 9, 5, k % 6, 5))
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), R.polygon_runs(parts, 10, 6).alias("runs"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), R.polygon_runs(parts, 10, 6).alias("runs"))
     return rows.select("id", F.array_join(G.bits_of(F.col("runs").cast("array<int>")), "").alias("bits"), R.area(F.col("runs")).alias("area"))
