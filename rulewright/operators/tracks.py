@@ -8,7 +8,6 @@ and videos are aggregates.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import runs as R
-from rulewright.operators.joins import large
+from rulewright.operators.joins import large, spread
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -65,12 +64,15 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def by_groups(rows: DataFrame, keys: list[str], order: list[Column], each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``each`` of blocks of whole groups, sorted by keys and order: many small groups share one call."""
+    """``each`` of blocks of whole groups, sorted by keys and order: many small groups share one call.
+
+    The number of parts is given: pairs are few bytes, and the planner would send them all to one or two tasks.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in whole_groups(batches, keys):
             yield each(block)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread(rows, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,6 +274,40 @@ def _box_pairs(truth: DataFrame, found: DataFrame, group: list[str]) -> DataFram
     return pairs.withColumn("shared", F.col("iou") * (F.col("sa") + F.col("size")) / (1 + F.col("iou"))).drop("iou")
 
 
+def graded_boxes(block: pd.DataFrame, group: list[str], limits: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+    """(group, id, hit, ignored) of the found boxes of whole groups of sorted pairs (group, score falling, b, a), as ``greedy_matches`` tells.
+
+    In each round all groups grade their next box, so the rounds are as many as the most boxes of one group.
+    """
+    code = lambda *names: block.groupby(list(names), sort=False).ngroup().to_numpy()
+    box, truth, of = code(*group, "b"), code(*group, "a"), code(*group)
+    outside = lambda x: (x[:, None] < bounds[:, 0]) | (x[:, None] > bounds[:, 1])
+    iou, crowd = block["iou"].to_numpy(float), block["crowd"].to_numpy(bool)
+    ignore, near = outside(block["area"].to_numpy(float)) | crowd[:, None], iou[:, None] >= limits - 1e-12
+    first = np.flatnonzero(np.diff(box, prepend=-1))
+    # a box's place in its group, whose boxes stand together
+    own = of[first]
+    place = np.arange(len(first)) - np.flatnonzero(np.diff(own, prepend=-1))[own]
+    shape = (len(first), len(limits), len(bounds))
+    hit, skipped, taken = np.zeros(shape, bool), np.repeat(outside(block["size"].to_numpy(float)[first])[:, None], len(limits), axis=1), np.zeros((truth.max() + 1, *shape[1:]), bool)
+    order = np.argsort(place[box], kind="stable")
+    t, r = np.arange(len(limits))[None, :, None], np.arange(len(bounds))[None, None, :]
+    for rows in np.split(order, np.flatnonzero(np.diff(place[box][order])) + 1):
+        starts = np.flatnonzero(np.diff(box[rows], prepend=-1))
+        at = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(rows)))
+        can = near[rows][:, :, None] & (~taken[truth[rows]] | crowd[rows][:, None, None])
+        worth = np.where(can, iou[rows][:, None, None] + 2 * ~ignore[rows][:, None, :], -1)
+        most = np.maximum.reduceat(worth, starts, axis=0)
+        # the first of equal ones
+        best = rows[np.minimum.reduceat(np.where(worth == most[at], np.arange(len(rows))[:, None, None], len(rows)), starts, axis=0)]
+        got, boxes = most >= 0, box[rows[starts]]
+        taken[truth[best], t, r] |= got
+        passed = ignore[best, r]
+        hit[boxes], skipped[boxes] = got & ~passed, np.where(got, passed, skipped[boxes])
+    found = block.iloc[first][[*group, "b"]].rename(columns={"b": "id"}).reset_index(drop=True)
+    return found.assign(hit=list(hit.reshape(len(first), -1)), ignored=list(skipped.reshape(len(first), -1)))
+
+
 def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresholds: list[float], ranges: list[tuple[float, float]], masks: bool = False) -> DataFrame:
     """For each found box two arrays over threshold and area range, ``hit`` and ``ignored``: (group, id, hit, ignored).
 
@@ -291,26 +327,11 @@ def greedy_matches(truth: DataFrame, found: DataFrame, group: list[str], thresho
     limits, bounds = np.array(thresholds), np.array(ranges)
 
     def each(block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, rows in block.groupby(group, sort=False):
-            taken: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((len(limits), len(bounds)), bool))
-            for b, own in rows.groupby("b", sort=False):
-                outside = lambda x: (x < bounds[:, 0]) | (x > bounds[:, 1])
-                ignore = np.stack([outside(x) | c for x, c in zip(own["area"], own["crowd"], strict=True)])
-                free = np.stack([~taken[a] | c for a, c in zip(own["a"], own["crowd"], strict=True)])
-                can = free & (own["iou"].to_numpy()[:, None, None] >= limits[None, :, None] - 1e-12)
-                worth = np.where(can, own["iou"].to_numpy()[:, None, None] + 2 * ~ignore[:, None, :], -1)
-                best = worth.argmax(axis=0)
-                got = worth.max(axis=0) >= 0
-                for i, a in enumerate(own["a"]):
-                    taken[a] = taken[a] | (got & (best == i))
-                skipped = np.where(got, np.take_along_axis(np.broadcast_to(ignore[:, None, :], worth.shape), best[None], axis=0)[0], outside(own["size"].iloc[0])[None, :])
-                out.append((*(key if isinstance(key, tuple) else (key,)), b, (got & ~skipped).reshape(-1).tolist(), skipped.reshape(-1).tolist()))
-        return pd.DataFrame(out, columns=[*group, "id", "hit", "ignored"])
+        return graded_boxes(block, group, limits, bounds)
 
     kinds = dict(found.select(*group, "id").dtypes)
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", hit array<boolean>, ignored array<boolean>"
-    met = by_groups(pairs, group, [F.col("score").desc(), F.col("b")], each, schema)
+    met = by_groups(pairs, group, [F.col("score").desc(), F.col("b"), F.col("a")], each, schema)
     none = F.array_repeat(F.lit(False), len(limits) * len(bounds))
     own_range = F.array(*[(F.col("__size") < low) | (F.col("__size") > high) for low, high in ranges])
     rows = keyed.select(*group, "id", "__size").join(large(met), [*group, "id"], "left")

@@ -1,11 +1,13 @@
 """Plans that have to hold for tables of any size: no frame that is read anew for each row, no broadcast of what is only small on disk."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rulewright.operators import answerability as A
 from rulewright.operators import datapoints, mining, spans
 from rulewright.operators import scores as S
-from rulewright.operators import trackscores
+from rulewright.operators import tracks, trackscores
 from rulewright.sources.staging import staged
 
 
@@ -68,3 +70,23 @@ def test_spans_are_scored_by_many_tasks(spark):
     rows = spark.range(200).coalesce(1).selectExpr("id", "'Is the ring red or blue?' as question", "'Yes, the small ring is red and blue.' as answer", "'red' as said")
     found = spans.scored_spans(rows, "id", 4)
     assert found.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_boxes_are_graded_by_many_tasks(spark):
+    box = "named_struct('x0', 0D, 'y0', 0D, 'x1', 9D, 'y1', 9D)"
+    rows = spark.range(300).coalesce(1).selectExpr("id div 3 as image", "id", "id % 3 as score", "81D as area", "false as crowd", f"inline(array({box}))")
+    met = tracks.greedy_matches(rows, rows, ["image"], [0.5], [(0.0, 1e10)])
+    parts = tracks.by_groups(rows.select("image", "id"), ["image"], [F.col("id")], lambda block: block, "image long, id long")
+    assert parts.groupBy(F.spark_partition_id()).count().count() > 1
+    # three equal boxes on three equal truths: each takes one that is left
+    assert met.filter("hit[0] AND NOT ignored[0]").count() == met.count() == 300
+
+
+def test_boxes_of_all_groups_are_graded_in_rounds():
+    # in image 1 box 9 takes truth 1 before box 8 comes; truth 3 is a crowd, truth 5 lies outside the second range
+    columns = ["image", "a", "b", "area", "crowd", "score", "size", "iou"]
+    rows = [(1, 1, 9, 10.0, False, 0.9, 10.0, 0.8), (1, 2, 9, 10.0, False, 0.9, 10.0, 0.6), (1, 1, 8, 10.0, False, 0.5, 10.0, 0.9), (1, 3, 7, 10.0, True, 0.4, 10.0, 0.9), (1, 3, 6, 10.0, True, 0.3, 10.0, 0.9), (2, 5, 4, 90.0, False, 0.2, 10.0, 0.7)]
+    found = tracks.graded_boxes(pd.DataFrame(rows, columns=columns), ["image"], np.array([0.5, 0.75]), np.array([(0.0, 100.0), (0.0, 20.0)]))
+    told = {r.id: ([bool(x) for x in r.hit], [bool(x) for x in r.ignored]) for r in found.itertuples()}
+    yes, no = [True] * 4, [False] * 4
+    assert told == {9: (yes, no), 8: (no, no), 7: (no, yes), 6: (no, yes), 4: ([True, False, False, False], [False, True, False, False])}
