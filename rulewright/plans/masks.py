@@ -13,6 +13,7 @@ from rulewright.operators import tracks as K
 from rulewright.operators.joins import spread
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import _GRID, grids
+from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
 
 #: A canvas of 8 x 7 cells, and area ranges on it.
@@ -27,12 +28,13 @@ def _flipped(bits: Column, key: Column, v: int) -> Column:
 
 def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Truth and found masks, (image, id, category, area, crowd, score, runs), by columns."""
-    rows = grids(spark, sf_dir).select(F.col("vec_id").alias("image"), (F.col("label") % 4).alias("category"), F.slice("bits", 1, WIDTH * HEIGHT).alias("bits"))
+    rows = spread(grids(spark, sf_dir), "vec_id").select(F.col("vec_id").alias("image"), (F.col("label") % 4).alias("category"), F.slice("bits", 1, WIDTH * HEIGHT).alias("bits"))
     runs = lambda bits: G.run_lengths(R.by_columns(bits, WIDTH, HEIGHT))
     truth = rows.filter("image % 7 <> 0").select("image", F.col("image").alias("id"), "category", (F.col("image") % 5 == 0).alias("crowd"), runs(F.col("bits")).alias("runs"))
     found = rows.select("image", "category", F.posexplode(F.array(*[_flipped(F.col("bits"), F.col("image"), v) for v in range(3)])).alias("v", "bits")).filter("NOT (image % 6 = 1 AND v = 1)")
     found = found.select("image", (F.col("image") * 3 + F.col("v")).alias("id"), "category", (F.pmod(F.col("image") * 29 + F.col("v") * 37, F.lit(101)) / 101).alias("score"), runs(F.col("bits")).alias("runs"))
-    return truth.withColumn("area", R.area(F.col("runs"))), found
+    # several steps read them, and runs take longer to make than to read
+    return staged(truth.withColumn("area", R.area(F.col("runs")))), staged(found)
 
 
 _FOUND = f"""f AS (SELECT vec_id, label % 4 AS category, v, i, b, CASE WHEN (vec_id + i * (v + 1)) % [11, 5, 3][v + 1] = 0 THEN 1 - b ELSE b END AS fb FROM (SELECT vec_id, label, unnest(range(64)) AS i, unnest(bits) AS b FROM g), (SELECT unnest(range(3)) AS v) WHERE i < {WIDTH * HEIGHT} AND NOT (vec_id % 6 = 1 AND v = 1)),
