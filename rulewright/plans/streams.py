@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulewright.operators.joins import spread
 from rulewright.plans.catalog import query
 from rulewright.plans.geometry import grids
 from rulewright.sources.staging import run_dir, staged
 from rulewright.streaming import events as E
 
+#: So many files at most are one batch: a batch opens every part of the state, so it has to have work for all.
+FILES = 1000
+
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def r1_resumed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +47,13 @@ def r4_completed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     u AS (SELECT key, item, unnest(range(64)) AS i, unnest(bits) AS b FROM c), m AS (SELECT key, i, max(b) AS b FROM u GROUP BY ALL), n AS (SELECT key, count(DISTINCT item) AS items FROM c GROUP BY 1 HAVING count(DISTINCT item) = 4)
     SELECT key, items, sum(b)::BIGINT AS area, string_agg(b::VARCHAR, '' ORDER BY i) AS bits FROM n JOIN m USING (key) GROUP BY key, items""")
 def r5_completed_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unions of four masks each, emitted once all four have come; they come in five files, in three runs of one stream, some of them twice."""
+    """Unions of four masks each, emitted once all four have come; they come in five parts, in three runs of one stream, some of them twice."""
     base = f"{run_dir(spark)}/unions-{uuid.uuid4().hex}"
-    rows = grids(spark, sf_dir).filter("vec_id % 13 <> 0")
+    rows = spread(grids(spark, sf_dir), "vec_id").filter("vec_id % 13 <> 0")
     rows = rows.select(F.floor(F.col("vec_id") / 4).alias("key"), (F.col("vec_id") % 4).cast("string").alias("item"), "bits", F.lit(4).cast("long").alias("needed"), F.pmod(F.col("vec_id") * 7, F.lit(5)).cast("int").alias("number"))
     staged_rows = staged(rows)
     for runs in ((3, 0), (4, 0), (1, 2)):
         for number in runs:
-            staged_rows.filter(F.col("number") == number).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        found = E.completed_unions(spark, f"{base}/in", base)
+            staged_rows.filter(F.col("number") == number).write.mode("append").parquet(f"{base}/in")
+        found = E.completed_unions(spark, f"{base}/in", base, FILES)
     return found.select("key", "items", F.aggregate("bits", F.lit(0).cast("long"), lambda n, b: n + b).alias("area"), F.array_join("bits", "").alias("bits"))

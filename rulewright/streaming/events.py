@@ -66,34 +66,37 @@ def windowed_counts(spark: SparkSession, path: str, time: str, key: str, width:
 
 
 class _Completion(StatefulProcessor):
-    """Per key: the items that have come, the union of their masks, and how many are needed; one row when the last one comes."""
+    """Per key: the items that have come, the union of their masks, and how many are needed; one row when the last one comes.
+
+    All of it is one value, read and written once for a key's rows of a batch: each call of the state goes to another process.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item string", "seen boolean")
-        self.union = handle.getValueState("union", "bits array<int>, needed long, done boolean")
+        self.union = handle.getValueState("union", "items array<string>, bits array<int>, needed long, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        union, needed, done = self.union.get() or ([], None, False)
-        bits = np.asarray(union, np.int32)
+        items, union, needed, done = self.union.get() or ([], [], None, False)
+        if done:
+            # later rows of a finished key change nothing
+            for _ in rows:
+                pass
+            return
+        have, bits = dict.fromkeys(items), np.asarray(union, np.int32)
         came = None
         for batch in rows:
             for item, own, need, number in zip(batch["item"], batch["bits"], batch["needed"], batch["number"], strict=True):
-                if done:
+                if came is not None:
                     continue
                 needed = int(need) if pd.notna(need) else needed
-                if item is not None and not self.items.containsKey((item,)):
-                    self.items.updateValue((item,), (True,))
+                if item is not None and item not in have:
+                    have[item] = None
                     own = np.asarray([] if own is None else own, np.int32)
                     wide = max(len(bits), len(own))
                     bits = np.maximum(np.pad(bits, (0, wide - len(bits))), np.pad(own, (0, wide - len(own))))
-                count = sum(1 for _ in self.items.keys())
-                if needed is not None and count >= needed:
-                    done, came = True, pd.DataFrame({"key": [key[0]], "items": [count], "bits": [bits.tolist()], "batch": [number]})
-        # what a finished key needs no longer is forgotten; later rows of it find it done
-        if done:
-            self.items.clear()
-            bits = bits[:0]
-        self.union.update((bits.tolist(), needed, done))
+                if needed is not None and len(have) >= needed:
+                    came = pd.DataFrame({"key": [key[0]], "items": [len(have)], "bits": [bits.tolist()], "batch": [number]})
+        # what a finished key needs no longer is forgotten
+        self.union.update(([], [], needed, True) if came is not None else (list(have), bits.tolist(), needed, False))
         if came is not None:
             yield came
 
@@ -137,13 +140,13 @@ def completed_keys(spark: SparkSession, path: str, key: str, item: str, needed:
     return spark.read.parquet(f"{base}/out").select(F.col("key").alias(key), "items")
 
 
-def completed_unions(spark: SparkSession, path: str, base: str) -> DataFrame:
+def completed_unions(spark: SparkSession, path: str, base: str, files_per_batch: int = 1) -> DataFrame:
     """(key, items, bits): takes what is new in the Parquet folder ``path`` of rows as ``completions`` takes them, and returns all keys that are complete by now.
 
     ``base`` keeps the state and the results; a run that breaks off, or one that comes later, goes on where the last complete batch ended.
     """
     with keyed_state(spark):
-        run_once(completions(stream_of(spark, path)), f"{base}/out", f"{base}/checkpoint")
+        run_once(completions(stream_of(spark, path, files_per_batch)), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("key", "items", "bits")
 
 

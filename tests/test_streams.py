@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 
 from rulewright.streaming import events
@@ -74,3 +75,26 @@ def test_shards_after_a_marker(spark, tmp_path):
     assert events.after_marker(spark, str(tmp_path), "_DONE", {"a": 3, "b": 2}).count() == 5
     with pytest.raises(ValueError, match="shard b has 2 lines, not 4"):
         events.after_marker(spark, str(tmp_path), "_DONE", {"a": 3, "b": 4})
+
+
+def test_a_key_is_one_call_of_the_state():
+    class Value:
+        """A state that counts its calls."""
+
+        calls, value = 0, None
+
+        def get(self):
+            Value.calls += 1
+            return self.value
+
+        def update(self, value):
+            Value.calls += 1
+            self.value = value
+
+    processor = events._Completion()
+    processor.init(type("Handle", (), {"getValueState": lambda *_: Value(), "getMapState": lambda *_: None})())
+    batch = lambda *items: pd.DataFrame({"item": list(items), "bits": [[0, 1]] * len(items), "needed": [4] * len(items), "number": [7] * len(items)})
+    assert not list(processor.handleInputRows((1,), iter([batch("a", "b"), batch("a")]), None)) and Value.calls == 2
+    (came,) = processor.handleInputRows((1,), iter([batch("c", "b", "d", "e")]), None)
+    assert came.iloc[0].to_dict() == {"key": 1, "items": 4, "bits": [0, 1], "batch": 7} and Value.calls == 4
+    assert not list(processor.handleInputRows((1,), iter([batch("f")]), None))
