@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions.geometry import let
-from rulewright.operators.joins import counted, large
+from rulewright.operators.joins import counted, large, spread
+from rulewright.sources.staging import staged
 
 
 def mentioned_categories(questions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def mentioned_categories(questions: DataFrame, categories: DataFrame) -> DataFra
     Questions meet categories by a word that a mention has to begin with, and only those pairs are matched by a pattern.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w != "")
-    asked = questions.select("question_id", F.lower("question").alias("__q"), F.explode(F.array_distinct(words(F.col("question")))).alias("__word"))
+    dealt = spread(questions.select("question_id", "question"), "question_id")
+    asked = dealt.select("question_id", F.lower("question").alias("__q"), F.explode(F.array_distinct(words(F.col("question")))).alias("__word"))
     first, single = F.get(words(F.col("category")), F.lit(0)), F.size(words(F.col("category"))) == 1
     forms = F.when(single, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
     names = categories.select("category").distinct().select("category", F.explode(forms).alias("__word"))
@@ -74,7 +76,7 @@ def masks_of_cues(cues: DataFrame, objects: DataFrame, images: DataFrame) -> Dat
 
 def labelled(questions: DataFrame, masks: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """(question_id, mentions, mask_ratio, coverage, iou, label, reasons) of the questions that have a mask."""
-    named = mentioned_categories(questions, categories)
+    named = staged(mentioned_categories(questions, categories))
     met = large(mask_matches(masks, objects)).join(named, ["question_id", "category"]).groupBy("question_id").agg(F.max("coverage").alias("coverage"), F.max("iou").alias("iou"))
     counts = named.groupBy("question_id").agg(F.count(F.lit(1)).alias("mentions"))
     ratio = F.aggregate("bits", F.lit(0), lambda n, x: n + x) / F.size("bits")

@@ -46,6 +46,24 @@ def test_rules_are_broadcast_and_baskets_never(spark):
     assert "BuildLeft" not in plan(best) and dict(map(tuple, best.collect())) == {1: 3000, 2: 3002}
 
 
+def test_matches_take_their_group_along(spark):
+    own = staged(spark.createDataFrame([(1, ["V_a", "b"], "x", "F"), (2, ["b", "c"], "y", "O"), (3, ["b"], "x", None)], "k long, items array<string>, answer string, s string"))
+    rules = staged(spark.createDataFrame([(1, ["b"], "x"), (2, ["V_a", "b"], "x"), (3, [], "y")], "rank int, itemset array<string>, answer string"))
+    told = mining.diluted(mining.match_all_items(own, rules, "k", carried=("s",)), "s")
+    assert "SortMergeJoin" not in plan(told)
+    want = mining.dilution(mining.match_all_items(own, rules, "k"), own, "k", "s")
+    assert sorted(map(str, told.collect())) == sorted(map(str, want.collect()))
+
+
+def test_items_of_a_row_and_numbered_items(spark):
+    rows = spark.createDataFrame([(1, ["b", "V_a"]), (1, ["b", "V_c"]), (2, ["b", "V_a"]), (3, [None, "d"]), (4, [None])], "k long, item array<string>")
+    answers = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y")], "k long, answer string")
+    own = mining.baskets(rows, answers, "k")
+    assert sorted(map(str, own.collect())) == sorted(map(str, mining.baskets(rows.select("k", F.explode("item").alias("item")), answers, "k").collect()))
+    found = mining.rules(staged(own), "k", 1, 4, 0.1)
+    assert {(tuple(r.itemset), r.n_both) for r in found.collect() if len(r.itemset) > 1} == {(("V_a", "b"), 2), (("V_a", "V_c"), 1), (("V_c", "b"), 1), (("V_a", "V_c", "b"), 1)}
+
+
 def test_bleu_broadcasts_no_runs_of_tokens(spark):
     rows = staged(spark.range(20).selectExpr("id", "id % 2 as grp", "array('a', 'b') as found", "array(array('a', 'b', 'c')) as truths"))
     assert "Broadcast" not in plan(S.bleu(rows, "id", by=["grp"]))
@@ -58,6 +76,12 @@ def test_questions_meet_broadcast_categories(spark):
     assert set(map(tuple, found.collect())) == {(1, "cat"), (2, "ring"), (2, "small bolt")}
 
 
+def test_questions_are_read_by_many_tasks(spark):
+    asked = spark.range(400).coalesce(1).selectExpr("id as question_id", "'Is the cat red?' as question")
+    text = plan(A.mentioned_categories(asked, spark.createDataFrame([("cat",)], "category string")))
+    assert "REPARTITION_BY_NUM" in text and text.index("REPARTITION_BY_NUM") > text.index("explode")
+
+
 def test_targets_of_one_group_are_dealt_out(spark):
     box = "named_struct('cx', id / 9, 'cy', 0.5D, 'w', 0.2D, 'h', 0.2D) as box"
     a, b = spark.range(5).selectExpr("id div 1000 as g", "id", box, "array(0.5D, 0.5D) as probs"), spark.range(400).selectExpr("id div 1000 as g", "id", box, "cast(id % 2 as int) as label")
