@@ -13,8 +13,14 @@ CUE = "V_"
 
 
 def baskets(items: DataFrame, answers: DataFrame, key: str, item: str = "item", answer: str = "answer") -> DataFrame:
-    """(key, items, answer): the sorted distinct items of each key that has an answer and an item."""
-    sets = items.filter(F.col(item).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    """(key, items, answer): the sorted distinct items of each key that has an answer and an item.
+
+    A row of ``items`` has one item, or several as an array.
+    """
+    sets = items.filter(F.col(item).isNotNull()).groupBy(key).agg(F.collect_set(item).alias("items"))
+    if items.schema[item].dataType.typeName() == "array":
+        sets = sets.withColumn("items", F.array_distinct(F.filter(F.flatten("items"), lambda x: x.isNotNull()))).filter(F.size("items") > 0)
+    sets = sets.withColumn("items", F.array_sort("items"))
     return sets.join(large(answers).select(key, F.col(answer).alias("answer")).filter("answer is not null and answer <> ''"), key)
 
 
@@ -45,24 +51,34 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
     single = staged(transactions.select("answer", F.explode("items").alias("item")).groupBy("item", "answer").agg(F.count(F.lit(1)).alias("n_both")))
     frequent = single.filter(F.col("n_both") >= least).select("item").distinct()
     both = single.join(frequent, "item").select(F.array("item").alias("itemset"), "answer", "n_both")
-    # a row for each basket and frequent itemset in it, with the frequent items that come after: no level needs the baskets again
-    items = transactions.select(key, "answer", F.explode("items").alias("item")).join(frequent, "item").groupBy(key, "answer").agg(F.array_sort(F.collect_list("item")).alias("rest"))
-    level = items.select("answer", F.posexplode("rest").alias("at", "item"), "rest").select("answer", F.array("item").alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+    # a row for each basket and frequent itemset in it, with the frequent items that come after: no level needs the baskets again;
+    # items go by their numbers in order of names, which are less to shuffle and to compare
+    coded = staged(frequent.withColumn("code", F.row_number().over(Window.orderBy("item"))))
+    items = transactions.select(key, "answer", F.explode("items").alias("item")).join(coded, "item").groupBy(key, "answer").agg(F.array_sort(F.collect_list("code")).alias("rest"))
+    level = items.select("answer", F.posexplode("rest").alias("at", "code"), "rest").select("answer", F.array("code").alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
     for size in range(1, longest):
         if size > 1:
-            both = level.groupBy("itemset", "answer").agg(F.count(F.lit(1)).alias("n_both"))
+            both = staged(level.groupBy("itemset", "answer").agg(F.count(F.lit(1)).alias("n_both")))
         alone = both.groupBy("itemset").agg(F.sum("n_both").alias("n_items"), F.max("n_both").alias("most")).filter(F.col("most") >= least)
-        found.append(both.filter(F.col("n_both") >= least).join(alone.drop("most"), "itemset").select("itemset", "answer", "n_items", "n_both"))
+        mined = both.filter(F.col("n_both") >= least).join(alone.drop("most"), "itemset").select("itemset", "answer", "n_items", "n_both")
+        found.append(mined if size == 1 else _named(mined, coded))
         if size + 1 < longest:
             going = (level if size == 1 else level.join(alone.select("itemset"), "itemset")).filter(F.size("rest") > 0)
-            level = going.select("answer", "itemset", F.posexplode("rest").alias("at", "item"), "rest")
-            level = level.select("answer", F.concat("itemset", F.array("item")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+            level = going.select("answer", "itemset", F.posexplode("rest").alias("at", "code"), "rest")
+            level = level.select("answer", F.concat("itemset", F.array("code")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.withColumn("confidence", F.col("n_both") / F.col("n_items")).filter(F.col("confidence") >= confidence)
 
 
+def _named(mined: DataFrame, coded: DataFrame) -> DataFrame:
+    """Rules of numbered items with the items (item, code) themselves."""
+    each = mined.select("answer", "n_items", "n_both", "itemset", F.explode("itemset").alias("code")).join(coded, "code")
+    rows = each.groupBy("itemset", "answer", "n_items", "n_both").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return rows.select(F.col("items").alias("itemset"), "answer", "n_items", "n_both")
+
+
 #: The orders in which rules are ranked: by confidence and support, with different ties, or by support first.
 ORDERS = {
     "items": lambda: [F.col("confidence").desc(), F.col("n_items").desc(), F.size("itemset"), "answer", "itemset"],
@@ -196,15 +212,16 @@ def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: boo
     return met.groupBy(key).agg(F.min("rank").alias("rank"))
 
 
-def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue: bool = False) -> DataFrame:
+def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, rank, correct) of all rules whose items all stand in the basket; an empty itemset is in every basket.
 
+    The columns ``carried`` of the baskets come along.
     With ``any_cue`` all keywords and, where a rule has cues, any one of them are enough. Rules are
     found by their rarest item (ties by name), or by their rarest keyword, so that a basket meets few rules.
     """
     known = mined.select("rank", "itemset", F.col("answer").alias("consequent"))
-    columns = [key, "rank", (F.col("answer") == F.col("consequent")).alias("correct")]
-    own = large(transactions).select(key, "answer", "items")
+    columns = [key, "rank", (F.col("answer") == F.col("consequent")).alias("correct"), *carried]
+    own = large(transactions).select(key, "answer", "items", *carried)
     each = own.withColumn("item", F.explode("items"))
     always = own.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
     if not any_cue:
@@ -219,9 +236,14 @@ def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue
 
 def dilution(matches: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
     """Active and correct baskets of each rule, by group and in all (null group): rank, group, active, positive."""
-    rows = matches.join(large(groups).select(key, F.col(group).alias("group")), key)
-    counted = rows.groupingSets([["rank", "group"], ["rank"]], "rank", "group").agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
-    return counted.select("rank", "group", "active", "positive")
+    return diluted(matches.join(large(groups).select(key, F.col(group).alias("group")), key), "group")
+
+
+def diluted(matches: DataFrame, group: str) -> DataFrame:
+    """As ``dilution`` of matches that carry their group: they are summed where they are made, and none is shuffled."""
+    own = matches.groupBy("rank", F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("active"), F.sum(F.col("correct").cast("long")).alias("positive"))
+    sums = own.groupingSets([["rank", "group"], ["rank"]], "rank", "group").agg(F.sum("active").alias("active"), F.sum("positive").alias("positive"))
+    return sums.select("rank", "group", "active", "positive")
 
 
 def match_stages(transactions: DataFrame, mined: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ LEAST, LONGEST, CONFIDENCE = 25, 3, 0.2
 
 def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, items, answer) of each order with lines."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.array(F.concat(F.lit(mining.CUE), "p_type"), F.col("p_brand"))).alias("item"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.array(F.concat(F.lit(mining.CUE), "p_type"), F.col("p_brand")).alias("item"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(counted(parts), "l_partkey").select("o_orderkey", "item")
     return mining.baskets(items, table(spark, sf_dir, "orders"), "o_orderkey", answer="o_orderpriority")
 
@@ -131,8 +131,10 @@ def q7_rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     own, rules = baskets_and_rules(spark, sf_dir)
     kept = mining.without_redundant(rules, LONGEST)
-    active = mining.dilution(mining.match_all_items(own, kept, "o_orderkey"), orders, "o_orderkey", "o_orderstatus")
-    base = large(own).join(orders, "o_orderkey").groupingSets([["answer", "o_orderstatus"], ["answer"], ["o_orderstatus"], []], "answer", "o_orderstatus").agg(
+    # an order has very many matches, so it takes its status along
+    told = staged(large(own).join(orders, "o_orderkey"))
+    active = mining.diluted(mining.match_all_items(told, kept, "o_orderkey", carried=("o_orderstatus",)), "o_orderstatus")
+    base = told.groupingSets([["answer", "o_orderstatus"], ["answer"], ["o_orderstatus"], []], "answer", "o_orderstatus").agg(
         F.grouping("answer").alias("of_all"), F.count(F.lit(1)).alias("n")
     )
     share = base.filter("of_all = 0").select("answer", F.col("o_orderstatus").alias("d"), "n").alias("s").join(
