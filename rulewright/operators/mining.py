@@ -124,7 +124,7 @@ def answer_candidates(rows: DataFrame, key: str, text: str, answers: DataFrame,
     at = lambda i: F.when(upto(i) > 0, F.transform(F.sequence(F.lit(1), upto(i)), lambda n: F.array_join(F.slice("__w", i, n), " "))).otherwise(none)
     runs = F.when(F.size("__w") > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size("__w")), at))).otherwise(none)
     said = tokens.select(key, F.explode(F.array_distinct(F.concat(F.array("__plain"), runs))).alias("answer"))
-    found = said.join(answers.select("answer", "answer_id"), "answer").groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("answer_id", "answer"))), 1, most).alias("__found"))
+    found = said.join(counted(answers.select("answer", "answer_id")), "answer").groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("answer_id", "answer"))), 1, most).alias("__found"))
     return found.select(key, F.explode("__found").alias("x")).select(key, F.col("x.answer").alias("answer"))
 
 
@@ -184,31 +184,36 @@ def _held(part: str, items: str) -> Column:
     return (n == 0) | (some & ((n <= 2) | (F.size(F.array_except(part, items)) == 0)))
 
 
+def _any(part: str, items: str) -> Column:
+    """Whether any of an array's items is in another; its first one is looked for before the others."""
+    return F.coalesce(F.array_contains(items, F.get(part, F.lit(0))) | ((F.size(part) > 1) & F.arrays_overlap(part, items)), F.lit(False))
+
+
 def _anchored(split: DataFrame, items: str, counts: DataFrame) -> DataFrame:
     """Adds item, the one of a rule's ``items`` that the fewest baskets have (ties by name); rules without any are left out."""
     parts = split.select("rank", F.explode(items).alias("item")).join(counts, "item", "left")
     rarest = parts.groupBy("rank").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "item"))["item"].alias("item"))
-    return counted(staged(large(split).join(rarest, "rank")))
+    return large(split).join(rarest, "rank")
 
 
 def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: bool = False) -> DataFrame:
     """(key, rank) of the best rule of each basket: its answer, any of its cues and all its keywords are there.
 
     Rules without cues match nothing, or with ``bare`` by their keywords alone. A basket meets a
-    rule by its answer and a cue, or by its answer and the rule's rarest keyword; of the rules
+    rule by its answer and a cue, or by its answer and the rule's rarest keyword, all in one pass; of the rules
     that have neither cue nor keyword only the best of each answer can be a basket's best.
     """
     split = mined.select("rank", "answer", cues(F.col("itemset")).alias("cues"), keywords(F.col("itemset")).alias("words"))
     own = large(transactions).select(key, "answer", "items")
-    fits = _held("words", "items")
-    by_cue = own.withColumn("cue", F.explode(cues(F.col("items")))).join(counted(split.withColumn("cue", F.explode("cues"))), ["answer", "cue"])
-    met = by_cue.filter(fits).groupBy(key).agg(F.min("rank").alias("rank"))
+    known = split.select("rank", "answer", "words", F.explode("cues").alias("item"))
     if bare:
         plain = split.filter(F.size("cues") == 0).drop("cues")
-        worded = _anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions))
-        by_word = own.withColumn("item", F.explode(keywords(F.col("items")))).join(worded, ["answer", "item"]).filter(fits)
+        known = known.unionByName(_anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions)))
+    each = own.withColumn("item", F.explode("items" if bare else cues(F.col("items"))))
+    met = each.join(counted(staged(known)), ["answer", "item"]).filter(_held("words", "items")).select(key, "rank")
+    if bare:
         best = plain.filter(F.size("words") == 0).groupBy("answer").agg(F.min("rank").alias("rank"))
-        met = met.unionByName(by_word.groupBy(key).agg(F.min("rank").alias("rank"))).unionByName(own.join(counted(best), "answer").select(key, "rank"))
+        met = met.unionByName(own.join(counted(best), "answer").select(key, "rank"))
     return met.groupBy(key).agg(F.min("rank").alias("rank"))
 
 
@@ -217,21 +222,24 @@ def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue
 
     The columns ``carried`` of the baskets come along.
     With ``any_cue`` all keywords and, where a rule has cues, any one of them are enough. Rules are
-    found by their rarest item (ties by name), or by their rarest keyword, so that a basket meets few rules.
+    found by their rarest item (ties by name), or by their rarest keyword, so that a basket meets few rules. A rule
+    of cues alone is found by each of them, and counts at the first that the basket has, so no match is shuffled.
     """
     known = mined.select("rank", "itemset", F.col("answer").alias("consequent"))
     columns = [key, "rank", (F.col("answer") == F.col("consequent")).alias("correct"), *carried]
     own = large(transactions).select(key, "answer", "items", *carried)
-    each = own.withColumn("item", F.explode("items"))
+    each = own.withColumn("item", F.explode(F.array_distinct("items")))
     always = own.crossJoin(F.broadcast(known.filter(F.size("itemset") == 0)))
-    if not any_cue:
-        met = each.join(_anchored(known, "itemset", item_counts(transactions)), "item").filter(_held("itemset", "items"))
-        return met.select(*columns).unionByName(always.select(*columns))
-    split = known.withColumns({"cues": cues(F.col("itemset")), "words": keywords(F.col("itemset"))})
-    fits = _held("words", "items") & ((F.size("cues") == 0) | F.arrays_overlap("cues", "items"))
-    worded = each.join(_anchored(split.filter(F.size("words") > 0), "words", item_counts(transactions)), "item").filter(fits).select(*columns)
-    by_cue = each.join(counted(split.filter((F.size("words") == 0) & (F.size("cues") > 0)).withColumn("item", F.explode("cues"))), "item").select(*columns).distinct()
-    return worded.unionByName(by_cue).unionByName(always.select(*columns))
+    if any_cue:
+        none = F.array().cast("array<string>")
+        split = known.select("rank", "consequent", keywords(F.col("itemset")).alias("words"), cues(F.col("itemset")).alias("some"))
+        worded = _anchored(split.filter(F.size("words") > 0), "words", item_counts(transactions)).withColumn("before", none)
+        cued = split.filter(F.size("words") == 0).select("rank", "consequent", "words", none.alias("some"), F.posexplode("some").alias("at", "item"), F.slice("some", 1, F.col("at")).alias("before"))
+        rules = worded.unionByName(cued.drop("at"))
+        fits = _held("words", "items") & ((F.size("some") == 0) | _any("some", "items")) & ((F.size("before") == 0) | ~_any("before", "items"))
+    else:
+        rules, fits = _anchored(known, "itemset", item_counts(transactions)), _held("itemset", "items")
+    return each.join(counted(staged(rules)), "item").filter(fits).select(*columns).unionByName(always.select(*columns))
 
 
 def dilution(matches: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:

@@ -46,6 +46,25 @@ def test_rules_are_broadcast_and_baskets_never(spark):
     assert "BuildLeft" not in plan(best) and dict(map(tuple, best.collect())) == {1: 3000, 2: 3002}
 
 
+def test_matches_by_any_cue_are_not_shuffled(spark):
+    baskets = [(n, [x for i, x in enumerate(("V_a", "V_b", "V_c", "p", "q", "r")) if n >> i & 1], "xy"[n % 3 == 0]) for n in range(1, 64)]
+    parts = [[], ["V_a"], ["V_b", "V_c"], ["V_a", "V_c"], ["V_a", "V_b", "V_c"], ["p"], ["p", "q"], ["p", "q", "r"], ["V_c", "p"], ["V_a", "V_b", "q"], ["V_z", "r"], ["V_b", "z"]]
+    rules = [(rank, part, "xy"[rank % 2]) for rank, part in enumerate(parts * 2)]
+    own = staged(spark.createDataFrame(baskets, "k long, items array<string>, answer string"))
+    mined = staged(spark.createDataFrame(rules, "rank int, itemset array<string>, answer string"))
+    cued = lambda part: [x for x in part if x.startswith("V_")]
+    worded = lambda part, items: all(x in items for x in part if not x.startswith("V_"))
+    met = mining.match_all_items(own, mined, "k", any_cue=True)
+    assert "Aggregate" not in plan(met) and "hashpartitioning" not in plan(met)
+    want = [(k, rank, answer == of) for k, items, answer in baskets for rank, part, of in rules if worded(part, items) and (not cued(part) or set(cued(part)) & set(items))]
+    assert sorted(map(tuple, met.collect())) == sorted(want)
+    for bare in (False, True):
+        best = mining.match_any_cue(own, mined, "k", bare)
+        assert plan(best).count("Exchange hashpartitioning(k") == 1
+        fits = {(k, rank) for k, items, answer in baskets for rank, part, of in rules if answer == of and worded(part, items) and (set(cued(part)) & set(items) or (bare and not cued(part)))}
+        assert dict(map(tuple, best.collect())) == {k: min(r for j, r in fits if j == k) for k, _ in fits}
+
+
 def test_matches_take_their_group_along(spark):
     own = staged(spark.createDataFrame([(1, ["V_a", "b"], "x", "F"), (2, ["b", "c"], "y", "O"), (3, ["b"], "x", None)], "k long, items array<string>, answer string, s string"))
     rules = staged(spark.createDataFrame([(1, ["b"], "x"), (2, ["V_a", "b"], "x"), (3, [], "y")], "rank int, itemset array<string>, answer string"))
