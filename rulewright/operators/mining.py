@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import text as T
-from rulewright.operators.joins import counted, large
+from rulewright.operators.joins import BROADCAST_ROWS, counted, large, spread
 from rulewright.sources.staging import staged
 
 CUE = "V_"
@@ -114,8 +114,20 @@ def answer_candidates(rows: DataFrame, key: str, text: str, answers: DataFrame,
     """(key, answer): the known answers that a text is or holds as a run of tokens, at most the ``most`` of least answer_id.
 
     ``answers`` has answer and answer_id. Tokens are lower-case letters and digits, apostrophes stand
-    alone; runs are as long as the longest known answer has words.
+    alone; runs are as long as the longest known answer has words. Rows are dealt out by key, however few bytes their
+    file has, and shuffled once; if they have few different texts, each of these is looked through once.
     """
+    own, kinds = spread(rows.select(key, text), key), rows.select(text).distinct()
+    if kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = own.join(counted(staged(_said(kinds, text, text, answers).distinct())), text)
+    else:
+        found = _said(own, key, text, answers)
+    found = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("answer_id", "answer"))), 1, most).alias("__found"))
+    return found.select(key, F.explode("__found").alias("x")).select(key, F.col("x.answer").alias("answer"))
+
+
+def _said(rows: DataFrame, key: str, text: str, answers: DataFrame) -> DataFrame:
+    """(key, answer_id, answer) of the known answers that a text is or holds."""
     plain = T.normalized_answer(F.col(text))
     longest = answers.agg(F.coalesce(F.max(F.size(F.split("answer", " "))), F.lit(0)).alias("__most"))
     tokens = rows.select(key, plain.alias("__plain"), F.regexp_extract_all(plain, F.lit("[a-z0-9]+|'"), F.lit(0)).alias("__w")).crossJoin(F.broadcast(longest))
@@ -124,8 +136,7 @@ def answer_candidates(rows: DataFrame, key: str, text: str, answers: DataFrame,
     at = lambda i: F.when(upto(i) > 0, F.transform(F.sequence(F.lit(1), upto(i)), lambda n: F.array_join(F.slice("__w", i, n), " "))).otherwise(none)
     runs = F.when(F.size("__w") > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size("__w")), at))).otherwise(none)
     said = tokens.select(key, F.explode(F.array_distinct(F.concat(F.array("__plain"), runs))).alias("answer"))
-    found = said.join(counted(answers.select("answer", "answer_id")), "answer").groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.struct("answer_id", "answer"))), 1, most).alias("__found"))
-    return found.select(key, F.explode("__found").alias("x")).select(key, F.col("x.answer").alias("answer"))
+    return said.join(counted(answers.select("answer", "answer_id")), "answer").select(key, "answer_id", "answer")
 
 
 def lowest_keywords(rows: DataFrame, key: str, tokens: str, known: DataFrame, most: int = 64) -> DataFrame:

@@ -218,8 +218,8 @@ def q12_match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("o_orderpriority")
     texts = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, low).otherwise(F.concat(F.lit("maybe "), low, F.lit(" or 2-high"))).alias("text"))
     answers = corpus.numbered(rules.select(F.col("answer").alias("name")).distinct(), [F.col("name")], "answer_id", 1)
-    said = answers.select("answer_id", "name", F.explode(F.array(F.lower("name"), F.lower(F.regexp_replace("name", "-", " ")))).alias("answer"))
-    found = mining.answer_candidates(texts, "o_orderkey", "text", said).join(said.select("answer", "name"), "answer").select("o_orderkey", F.col("name").alias("answer")).distinct()
+    said = staged(answers.select("answer_id", "name", F.explode(F.array(F.lower("name"), F.lower(F.regexp_replace("name", "-", " ")))).alias("answer")))
+    found = mining.answer_candidates(texts, "o_orderkey", "text", said).join(counted(said.select("answer", "name")), "answer").select("o_orderkey", F.col("name").alias("answer")).distinct()
     return mining.match_any_cue(mining.with_candidates(own, found, "o_orderkey"), rules, "o_orderkey")
 
 

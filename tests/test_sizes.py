@@ -83,6 +83,17 @@ def test_items_of_a_row_and_numbered_items(spark):
     assert {(tuple(r.itemset), r.n_both) for r in found.collect() if len(r.itemset) > 1} == {(("V_a", "b"), 2), (("V_a", "V_c"), 1), (("V_c", "b"), 1), (("V_a", "V_c", "b"), 1)}
 
 
+def test_texts_are_dealt_out_and_meet_broadcast_answers(spark, monkeypatch):
+    rows = staged(spark.createDataFrame([(1, "maybe 1 urgent or 2-high"), (2, "5-low"), (3, "none")], "k long, text string"))
+    answers = staged(spark.createDataFrame([(1, "1 urgent"), (2, "2 high"), (3, "5-low"), (4, "2-high")], "answer_id int, answer string"))
+    for most in (50_000, 2):
+        # with more different texts than that, each row is looked through
+        monkeypatch.setattr(mining, "BROADCAST_ROWS", most)
+        found = mining.answer_candidates(rows, "k", "text", answers)
+        assert "SortMergeJoin" not in plan(found) and "REPARTITION_BY_NUM" in plan(found) and plan(found).count("Exchange hashpartitioning(k") == 1
+        assert sorted(map(tuple, found.collect())) == [(1, "1 urgent"), (1, "2 high"), (2, "5-low")]
+
+
 def test_bleu_broadcasts_no_runs_of_tokens(spark):
     rows = staged(spark.range(20).selectExpr("id", "id % 2 as grp", "array('a', 'b') as found", "array(array('a', 'b', 'c')) as truths"))
     assert "Broadcast" not in plan(S.bleu(rows, "id", by=["grp"]))
