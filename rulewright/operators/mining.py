@@ -15,7 +15,7 @@ CUE = "V_"
 def baskets(items: DataFrame, answers: DataFrame, key: str, item: str = "item", answer: str = "answer") -> DataFrame:
     """(key, items, answer): the sorted distinct items of each key that has an answer and an item.
 
-    A row of ``items`` has one item, or several as an array.
+    A row of ``items`` has one item, or several as an array. Rows that are dealt out by key already (``spread``) aren't shuffled again.
     """
     sets = items.filter(F.col(item).isNotNull()).groupBy(key).agg(F.collect_set(item).alias("items"))
     if items.schema[item].dataType.typeName() == "array":
@@ -51,11 +51,16 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
     single = staged(transactions.select("answer", F.explode("items").alias("item")).groupBy("item", "answer").agg(F.count(F.lit(1)).alias("n_both")))
     frequent = single.filter(F.col("n_both") >= least).select("item").distinct()
     both = single.join(frequent, "item").select(F.array("item").alias("itemset"), "answer", "n_both")
-    # a row for each basket and frequent itemset in it, with the frequent items that come after: no level needs the baskets again;
-    # items go by their numbers in order of names, which are less to shuffle and to compare
+    # a row for each basket and frequent itemset in it, with the items that come after: no level needs the baskets again;
+    # items of itemsets go by their numbers in order of names, which are less to compare
     coded = staged(frequent.withColumn("code", F.row_number().over(Window.orderBy("item"))))
-    items = transactions.select(key, "answer", F.explode("items").alias("item")).join(coded, "item").groupBy(key, "answer").agg(F.array_sort(F.collect_list("code")).alias("rest"))
-    level = items.select("answer", F.posexplode("rest").alias("at", "code"), "rest").select("answer", F.array("code").alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+    if coded.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # numbers are looked up as items are taken, so no basket is shuffled
+        own, numbers = transactions.select("answer", F.sort_array("items").alias("rest")), F.broadcast(coded)
+    else:
+        items = transactions.select(key, "answer", F.explode("items").alias("item")).join(large(coded), "item")
+        own, numbers = items.groupBy(key, "answer").agg(F.array_sort(F.collect_list("code")).alias("rest")), None
+    level = _extended(own.withColumn("itemset", F.array().cast("array<int>")), numbers)
     for size in range(1, longest):
         if size > 1:
             both = staged(level.groupBy("itemset", "answer").agg(F.count(F.lit(1)).alias("n_both")))
@@ -63,15 +68,24 @@ def rules(transactions: DataFrame, key: str, least: int, longest: int, confidenc
         mined = both.filter(F.col("n_both") >= least).join(alone.drop("most"), "itemset").select("itemset", "answer", "n_items", "n_both")
         found.append(mined if size == 1 else _named(mined, coded))
         if size + 1 < longest:
-            going = (level if size == 1 else level.join(alone.select("itemset"), "itemset")).filter(F.size("rest") > 0)
-            level = going.select("answer", "itemset", F.posexplode("rest").alias("at", "code"), "rest")
-            level = level.select("answer", F.concat("itemset", F.array("code")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+            going = level if size == 1 else level.join(counted(alone.select("itemset")), "itemset")
+            level = _extended(going.filter(F.size("rest") > 0), numbers)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.withColumn("confidence", F.col("n_both") / F.col("n_items")).filter(F.col("confidence") >= confidence)
 
 
+def _extended(level: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """(answer, itemset, rest): each itemset with each item of its rest, and what comes after that one.
+
+    Items of the rest are names that get their ``numbers``, those without one are left out; or numbers already.
+    """
+    each = level.select("answer", "itemset", F.posexplode("rest").alias("at", "code" if numbers is None else "item"), "rest")
+    each = each if numbers is None else each.join(numbers, "item")
+    return each.select("answer", F.concat("itemset", F.array("code")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+
+
 def _named(mined: DataFrame, coded: DataFrame) -> DataFrame:
     """Rules of numbered items with the items (item, code) themselves."""
     each = mined.select("answer", "n_items", "n_both", "itemset", F.explode("itemset").alias("code")).join(coded, "code")
@@ -216,16 +230,19 @@ def match_any_cue(transactions: DataFrame, mined: DataFrame, key: str, bare: boo
     """
     split = mined.select("rank", "answer", cues(F.col("itemset")).alias("cues"), keywords(F.col("itemset")).alias("words"))
     own = large(transactions).select(key, "answer", "items")
-    known = split.select("rank", "answer", "words", F.explode("cues").alias("item"))
+    known = split.select("rank", F.col("answer").alias("of"), "words", F.explode("cues").alias("by"))
     if bare:
         plain = split.filter(F.size("cues") == 0).drop("cues")
-        known = known.unionByName(_anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions)))
-    each = own.withColumn("item", F.explode("items" if bare else cues(F.col("items"))))
-    met = each.join(counted(staged(known)), ["answer", "item"]).filter(_held("words", "items")).select(key, "rank")
-    if bare:
-        best = plain.filter(F.size("words") == 0).groupBy("answer").agg(F.min("rank").alias("rank"))
-        met = met.unionByName(own.join(counted(best), "answer").select(key, "rank"))
-    return met.groupBy(key).agg(F.min("rank").alias("rank"))
+        worded = _anchored(plain.filter(F.size("words") > 0), "words", item_counts(transactions))
+        known = known.unionByName(worded.withColumnsRenamed({"answer": "of", "item": "by"}))
+        # each basket has its answer's best rule without items from the start
+        best = plain.filter(F.size("words") == 0).groupBy("answer").agg(F.min("rank").alias("least"))
+        own = own.join(counted(best), "answer", "left")
+    each = own.withColumn("item", F.explode_outer("items") if bare else F.explode(cues(F.col("items"))))
+    fits = (F.col("answer") == F.col("of")) & (F.col("item") == F.col("by")) & _held("words", "items")
+    met = each.join(counted(staged(known)), fits, "left" if bare else "inner")
+    found = met.groupBy(key).agg(F.min(F.least("rank", "least") if bare else "rank").alias("rank"))
+    return found.filter("rank is not null")
 
 
 def match_all_items(transactions: DataFrame, mined: DataFrame, key: str, any_cue: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.operators import corpus, mining
-from rulewright.operators.joins import counted, large
+from rulewright.operators.joins import counted, hashed, large, spread
 from rulewright.plans.catalog import query
 from rulewright.sources.staging import staged
 from rulewright.sources.tables import table
@@ -15,9 +15,15 @@ LEAST, LONGEST, CONFIDENCE = 25, 3, 0.2
 
 
 def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, items, answer) of each order with lines."""
+    """(o_orderkey, items, answer) of each order with lines.
+
+    Many parts have the same items: lines are dealt out to their orders with the number of these, and get the items there.
+    """
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.array(F.concat(F.lit(mining.CUE), "p_type"), F.col("p_brand")).alias("item"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(counted(parts), "l_partkey").select("o_orderkey", "item")
+    kinds = counted(staged(parts.select("item").distinct().withColumn("kind", F.monotonically_increasing_id())))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    told = lines.join(hashed(parts.join(kinds, "item").select("l_partkey", "kind")), "l_partkey").select("o_orderkey", "kind")
+    items = spread(told, "o_orderkey", count=lines.count()).join(kinds, "kind").select("o_orderkey", "item")
     return mining.baskets(items, table(spark, sf_dir, "orders"), "o_orderkey", answer="o_orderpriority")
 
 

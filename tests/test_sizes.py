@@ -8,6 +8,8 @@ from rulewright.operators import answerability as A
 from rulewright.operators import datapoints, mining, spans
 from rulewright.operators import scores as S
 from rulewright.operators import tracks, trackscores
+from rulewright.operators.joins import PART_ROWS, hashed, spread
+from rulewright.plans import mining as orders_mining
 from rulewright.sources.staging import staged
 
 
@@ -83,6 +85,49 @@ def test_items_of_a_row_and_numbered_items(spark):
     assert {(tuple(r.itemset), r.n_both) for r in found.collect() if len(r.itemset) > 1} == {(("V_a", "b"), 2), (("V_a", "V_c"), 1), (("V_c", "b"), 1), (("V_a", "V_c", "b"), 1)}
 
 
+def test_lines_are_dealt_out_with_the_number_of_their_items(spark, tmp_path):
+    parts = [(1, "a", "x"), (2, "a", "y"), (3, None, "x"), (4, None, None), (5, "a", "x")]
+    lines = [(1, 1), (1, 5), (1, 2), (2, 3), (3, 4), (4, 1), (5, 2), (6, 9), (7, None), (None, 1)]
+    said = [(1, "p"), (2, "q"), (3, "q"), (4, None), (5, ""), (6, "p"), (7, "p")]
+    for name, rows, schema in (("part", parts, "p_partkey long, p_type string, p_brand string"), ("lineitem", lines, "l_orderkey long, l_partkey long"), ("orders", said, "o_orderkey long, o_orderpriority string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = orders_mining.order_baskets(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, ["V_a", "x", "y"], "p"), (2, ["x"], "q")]
+    # lines and answers are shuffled, and no sets of items
+    shuffled = [line for line in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 2 and sum("REPARTITION_BY_NUM" in line for line in shuffled) == 1
+    assert "ShuffledHashJoin" in plan(spark.range(9).join(hashed(spark.range(5), 2), "id"))
+    assert spread(spark.range(9), "id", count=40 * PART_ROWS + 1).rdd.getNumPartitions() == 41
+
+
+def test_rules_shuffle_no_baskets(spark, monkeypatch):
+    made, seen = [(n, [x for i, x in enumerate(("V_a", "V_b", "p", "q", "r")) if n >> i & 1], "xy"[n % 3 == 0]) for n in range(1, 32)], []
+    own = staged(spark.createDataFrame([(k, items[::-1], answer) for k, items, answer in made], "k long, items array<string>, answer string"))
+    monkeypatch.setattr(mining, "staged", lambda df: seen.append(plan(df)) or staged(df))
+    counts = {}
+    for _, items, answer in made:
+        for mask in range(1, 1 << len(items)):
+            part = tuple(x for i, x in enumerate(items) if mask >> i & 1)
+            if len(part) < 4:
+                counts.setdefault(part, {}).setdefault(answer, []).append(1)
+    want = {(part, answer, sum(map(len, by.values())), len(by[answer])) for part, by in counts.items() for answer in by if len(by[answer]) >= 2}
+    for most in (50_000, 2):
+        # with more frequent items than that, baskets are made again of their numbers
+        monkeypatch.setattr(mining, "BROADCAST_ROWS", most)
+        seen.clear()
+        found = mining.rules(own, "k", 2, 4, 0.0)
+        assert {(tuple(r.itemset), r.answer, r.n_items, r.n_both) for r in found.collect()} == want
+        assert any("hashpartitioning(k" in text for text in seen) == (most == 2)
+
+
+def test_baskets_meet_bare_rules_in_one_pass(spark):
+    own = staged(spark.createDataFrame([(1, ["V_a", "b"], "x"), (2, ["c"], "y"), (3, [], "y"), (4, ["b"], "z"), (5, ["V_z"], "x"), (6, ["b"], "x")], "k long, items array<string>, answer string"))
+    rules = staged(spark.createDataFrame([(1, ["V_a"], "x"), (2, ["b"], "x"), (3, [], "y"), (4, ["c"], "y"), (5, [], "y"), (6, ["V_q"], "z")], "rank int, itemset array<string>, answer string"))
+    best = mining.match_any_cue(own, rules, "k", bare=True)
+    assert "Union" not in plan(best)
+    assert dict(map(tuple, best.collect())) == {1: 1, 2: 3, 3: 3, 6: 2}
+
+
 def test_texts_are_dealt_out_and_meet_broadcast_answers(spark, monkeypatch):
     rows = staged(spark.createDataFrame([(1, "maybe 1 urgent or 2-high"), (2, "5-low"), (3, "none")], "k long, text string"))
     answers = staged(spark.createDataFrame([(1, "1 urgent"), (2, "2 high"), (3, "5-low"), (4, "2-high")], "answer_id int, answer string"))
