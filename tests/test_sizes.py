@@ -165,6 +165,33 @@ def test_targets_of_one_group_are_dealt_out(spark):
     assert "__part" in plan(met) and "Broadcast" not in plan(met)
 
 
+def test_costs_are_made_once_for_equal_rows(spark):
+    rng = np.random.default_rng(5)
+    boxes = [tuple(map(float, rng.uniform(0, 1, 4))) for _ in range(5)] + [(-0.0, 0.0, 0.0, 0.0), None]
+    own = [(n % 3, None if n == 7 else n, boxes[n % 7], [0.2, 0.8] if n % 4 else None) for n in range(40)]
+    found = [(n % 3, None if n < 2 else n, boxes[n % 5 + 2], n % 2) for n in range(90)]
+    kind = "box struct<cx: double, cy: double, w: double, h: double>"
+    met = datapoints.assignment_costs(spark.createDataFrame(own, f"g long, id long, {kind}, probs array<double>"), spark.createDataFrame(found, f"g long, id long, {kind}, label int"), "g", digits=6)
+    text = plan(met)
+    above = text[: text.index("SortMergeJoin")]
+    assert above.count("Generate explode") == 2 and "abs(" not in above[: above.rindex("Generate explode")]
+
+    def cost(p, probs, t, label):
+        if p is None or t is None or probs is None:
+            return None
+        (a, b), area = ([(x[0] - x[2] / 2, x[1] - x[3] / 2, x[0] + x[2] / 2, x[1] + x[3] / 2) for x in (p, t)]), lambda x: (x[2] - x[0]) * (x[3] - x[1])
+        both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+        union, hull = area(a) + area(b) - both, (max(a[2], b[2]) - min(a[0], b[0])) * (max(a[3], b[3]) - min(a[1], b[1]))
+        giou = (both / union if union else 0) - ((hull - union) / hull if hull else 0)
+        return 5 * sum(abs(x - y) for x, y in zip(p, t, strict=True)) - 2 * probs[label] - 2 * giou
+
+    want = [(g, a, b, cost(p, probs, t, label)) for g, a, p, probs in own for h, b, t, label in found if g == h]
+    order = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+    got = order(map(tuple, met.collect()))
+    for x, y in zip(got, order(want), strict=True):
+        assert x[:3] == y[:3] and ((x[3] is None) == (y[3] is None)) and (x[3] is None or abs(x[3] - y[3]) < 1e-6), (x, y)
+
+
 def test_spans_are_scored_by_many_tasks(spark):
     rows = spark.range(200).coalesce(1).selectExpr("id", "'Is the ring red or blue?' as question", "'Yes, the small ring is red and blue.' as answer", "'red' as said")
     found = spans.scored_spans(rows, "id", 4)
