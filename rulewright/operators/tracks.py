@@ -34,14 +34,33 @@ def overlapping(a: DataFrame, b: DataFrame, group: list[str], of_smaller: bool =
             at = {k: F.explode(F.sequence(F.floor(F.col(f"{mark}_{k}0") / cell), F.floor(F.col(f"{mark}_{k}1") / cell))) for k in "xy"}
             side = side.withColumn("__cx", at["x"]).withColumn("__cy", at["y"])
         sides.append(side)
-    low, high = (lambda c: F.greatest(f"a_{c}", f"b_{c}")), (lambda c: F.least(f"a_{c}", f"b_{c}"))
     pairs = sides[0].join(sides[1], [*group, "__cx", "__cy"] if cell else group)
     if cell:
+        low = lambda c: F.greatest(f"a_{c}", f"b_{c}")
         pairs = pairs.filter((F.floor(low("x0") / cell) == F.col("__cx")) & (F.floor(low("y0") / cell) == F.col("__cy")))
+    return _sharing(pairs, [*group, "a", "b"], of_smaller)
+
+
+def _sharing(pairs: DataFrame, keep: list[str], of_smaller: bool = False) -> DataFrame:
+    """(keep, iou) of the pairs whose boxes (columns a_x0, b_x0 and so on) share area."""
+    low, high = (lambda c: F.greatest(f"a_{c}", f"b_{c}")), (lambda c: F.least(f"a_{c}", f"b_{c}"))
     w, h = high("x1") - low("x0"), high("y1") - low("y0")
     size = {m: (F.col(f"{m}_x1") - F.col(f"{m}_x0")) * (F.col(f"{m}_y1") - F.col(f"{m}_y0")) for m in "ab"}
     whole = F.least(size["a"], size["b"]) if of_smaller else size["a"] + size["b"] - w * h
-    return pairs.filter((w > 0) & (h > 0)).select(*group, "a", "b", F.try_divide(w * h, whole).alias("iou"))
+    return pairs.filter((w > 0) & (h > 0)).select(*keep, F.try_divide(w * h, whole).alias("iou"))
+
+
+def overlapping_sides(boxes: DataFrame, group: list[str], own: tuple[list[str], list[str]]) -> DataFrame:
+    """As ``overlapping`` from one table of both sides' boxes, (group, id, truth, own, box), of which rows with ``truth`` are the a: (group, a, b, own, iou).
+
+    Both sides of a group meet as two lists; boxes that are dealt out by some of the group's keys aren't shuffled for it.
+    """
+    side = lambda which, columns: F.collect_list(F.when(which, F.struct("id", *columns, *[F.col(c).cast("double").alias(c) for c in BOX])))
+    lists = boxes.dropna(subset=group).groupBy(*group).agg(side(F.col("truth"), own[0]).alias("__a"), side(~F.col("truth"), own[1]).alias("__b"))
+    met = lists.filter((F.size("__a") > 0) & (F.size("__b") > 0)).select(*group, F.explode("__a").alias("__a"), "__b").select(*group, "__a", F.explode("__b").alias("__b"))
+    corners = [F.col(f"__{m}.{c}").alias(f"{m}_{c}") for m in "ab" for c in BOX]
+    rows = met.select(*group, *[F.col(f"__{m}.id").alias(m) for m in "ab"], *[F.col(f"__{m}.{c}") for m, columns in zip("ab", own, strict=True) for c in columns], *corners)
+    return _sharing(rows, [*group, "a", "b", *own[0], *own[1]])
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -160,6 +179,27 @@ def assigned(pairs: DataFrame, group: list[str], weight: str = "iou") -> DataFra
     return by_groups(pairs, group, [F.col("a"), F.col("b")], each, fields)
 
 
+def with_chosen(pairs: DataFrame, group: list[str], weight: str = "iou") -> DataFrame:
+    """All ``pairs`` (group, a, b, ...), without ``weight`` and with ``chosen``: whether ``assigned`` would take the pair.
+
+    Pairs that are dealt out by some of the group's keys aren't shuffled for it.
+    """
+    own = [c for c in pairs.columns if c not in (*group, "a", "b", weight)]
+
+    @F.pandas_udf("array<boolean>")
+    def chosen(a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=object)
+        sizes = a.map(len).to_numpy()
+        taken = chosen_pairs(np.repeat(np.arange(len(a)), sizes), *[np.concatenate(x.to_list()) for x in (a, b)], np.concatenate(w.to_list()).astype(float))
+        return pd.Series(np.split(taken, np.cumsum(sizes)[:-1]))
+
+    lists = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("a", "b", F.col(weight).alias("__w"), *own))).alias("__l"))
+    told = lists.withColumn("__chosen", chosen(*[F.col(f"__l.{c}") for c in ("a", "b", "__w")]))
+    rows = told.select(*group, F.explode(F.arrays_zip("__l", "__chosen")).alias("__r"))
+    return rows.select(*group, *[F.col(f"__r.__l.{c}").alias(c) for c in ("a", "b", *own)], F.col("__r.__chosen").alias("chosen"))
+
+
 def suppressed(boxes: DataFrame, group: str, key: str, most: float, at_most: bool = True, of_smaller: bool = False, cell: float | None = None) -> DataFrame:
     """(group, key) of the boxes that stay: from the best score down (ties by key), one that overlaps none kept too much.
 

@@ -88,10 +88,10 @@ def k5_hota(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k6_teta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location, association and class scores, by class and over all boxes, with and without errors on boxes that match nothing."""
-    sides = _with_classes(*_tracks(spark, sf_dir))
+    sums = staged(S.combined(S.teta_sums(*_with_classes(*_tracks(spark, sf_dir))), ["cls"]))
     rows = []
     for exhaustive in (False, True):
-        parts = staged(S.teta_parts(*sides, exhaustive=exhaustive))
+        parts = S.told(sums, exhaustive)
         for averaged, classes in (("class", True), ("boxes", False)):
             rows.append(S.teta(parts, classes=classes).select(F.lit(averaged).alias("averaged"), F.lit(exhaustive).alias("exhaustive"), "*"))
     return _rounded(reduce(DataFrame.unionByName, rows), (*S.TETA_FIELDS, "teta"), "averaged", "exhaustive")
@@ -135,7 +135,7 @@ _HOTA_SQL = f"""WITH {_LANES}, p AS (SELECT * FROM f WHERE cls = said),
 @query(_HOTA_SQL)
 def k8_hota_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking scores of each class, averaged over classes, and of all boxes together."""
-    parts = staged(S.hota_parts(*_lanes(spark, sf_dir), ["video", "cls"]))
+    parts = staged(S.combined(S.hota_parts(*_lanes(spark, sf_dir), ["video", "cls"]), ["cls"]))
     own = S.hota(parts, ["cls"]).select(F.concat(F.lit("class "), F.col("cls")).alias("scope"), *S.HOTA_FIELDS)
     rows = own.unionByName(S.hota(parts, classes=True).withColumn("scope", F.lit("classes"))).unionByName(S.hota(parts).withColumn("scope", F.lit("boxes")))
     return _rounded(rows, S.HOTA_FIELDS, "scope")
@@ -165,7 +165,7 @@ _TETA_SQL = f"""WITH {_LANES}, c AS (SELECT * FROM f WHERE iou >= 0.5), tr AS (S
 @query(_TETA_SQL)
 def k9_teta_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location, association and class scores of each class, averaged over classes, and of all boxes together."""
-    parts = staged(S.teta_parts(*_lanes(spark, sf_dir)))
+    parts = staged(S.combined(S.teta_parts(*_lanes(spark, sf_dir)), ["cls"]))
     fields = (*S.TETA_FIELDS, "teta")
     own = S.teta(parts, ["cls"], classes=False).select(F.concat(F.lit("class "), F.col("cls")).alias("scope"), *fields)
     rows = own.unionByName(S.teta(parts).withColumn("scope", F.lit("classes"))).unionByName(S.teta(parts, classes=False).withColumn("scope", F.lit("boxes")))

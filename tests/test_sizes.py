@@ -1,5 +1,7 @@
 """Plans that have to hold for tables of any size: no frame that is read anew for each row, no broadcast of what is only small on disk."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -35,6 +37,20 @@ def test_tracking_scores_broadcast_no_boxes(spark):
         assert "Broadcast" not in plan(parts)
 
 
+def test_tracking_scores_shuffle_boxes_by_video_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(trackscores, "staged", lambda df: seen.append(plan(df)) or staged(df))
+    boxes = staged(spark.range(60).selectExpr("id % 2 as video", "id % 5 as frame", "id % 3 as track", "id % 2 as cls", "0D as x0", "0D as y0", "9D as x1", "9D as y1").dropDuplicates(["video", "frame", "track"]))
+    for parts in (trackscores.teta_parts(boxes, boxes), trackscores.hota_parts(boxes, boxes)):
+        seen.append(plan(parts))
+    assert len(seen) == 3
+    for text in seen:
+        # thresholds are told after the last shuffle, and nothing is joined
+        dealt = re.findall(r"Exchange (\w+)\((.*)\), \w+, \[", text)
+        assert dealt and all(kind == "hashpartitioning" and re.fullmatch(r"video#\d+L?, \d+", keys) for kind, keys in dealt)
+        assert "Join" not in text and "sequence(" not in text[text.index("Exchange") :]
+
+
 def test_rules_are_broadcast_and_baskets_never(spark):
     own = staged(spark.createDataFrame([(1, ["V_a", "b"], "x"), (2, ["b", "c"], "y")], "k long, items array<string>, answer string"))
     # many rules, so that the baskets are smaller on disk
